@@ -18,7 +18,6 @@ ignored. The tokenizer file is a parameter, read by each Python worker on first
 
 from __future__ import annotations
 
-import bisect
 import re
 import zlib
 from collections import Counter
@@ -33,7 +32,7 @@ from pyspark.sql import types as T
 from .common import cut, only, ranked, table
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-CACHE = 600_000
+CACHE = 800_000
 _SPACE = re.compile(r"[ \n\t\r]+")
 _loaded: dict[str, tuple] = {}
 
@@ -121,75 +120,76 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096,
 
 
 def plan(counts: dict[int, int], capacity: int = 4096) -> list[tuple[int, list[int]]]:
-    """Recipes (multiplicity, lengths in place order) that use up ``counts``, length by count."""
-    left = {n: c for n, c in counts.items() if c > 0}
-    lengths = sorted(left)
-    out: list[tuple[int, list[int]]] = []
-    pairs: dict[int, list[tuple[int, int]]] = {}
-
-    def index() -> None:
-        """Pair sums of the available lengths; triples are a single plus an indexed pair."""
-        pairs.clear()
-        few = lengths if len(lengths) <= 4096 else lengths[:4096]
-        for i, a in enumerate(few):
-            for b in few[i:]:
-                if a + b >= capacity:
-                    break
-                pairs.setdefault(a + b, []).append((a, b))
+    """Recipes (multiplicity, lengths in place order) that use up ``counts``, length by count.
 
-    def fits(parts: tuple[int, ...], used: Counter) -> bool:
-        need = Counter(parts)
-        return all(left.get(n, 0) - used[n] >= c for n, c in need.items())
-
-    def exact(gap: int, used: Counter) -> tuple[int, ...] | None:
-        if fits((gap,), used):
+    The sum indexes are direct-address tables over 0..capacity: ``left`` has the pieces of each length
+    (single sums), ``pair`` the number of pairs of available lengths for each sum; a triple is a single
+    whose remainder has a pair. They are complete, so a gap is left to best-fit only if no combination of
+    up to three lengths fills it (under the counts that the recipe has not used itself).
+    """
+    left = np.zeros(capacity + 1, np.int64)
+    for n, c in counts.items():
+        left[n] = c
+    pair = np.zeros(capacity + 1, np.int64)
+    for n in np.flatnonzero(left):
+        m = np.flatnonzero(left[n : capacity + 1 - n]) + n
+        pair[m + n] += 1
+
+    def retire(n: int) -> None:
+        m = np.flatnonzero(left[: capacity + 1 - n])
+        pair[m + n] -= 1
+        if 2 * n <= capacity:  # the pair (n, n); n itself is no longer in ``left``
+            pair[2 * n] -= 1
+
+    def pairs(gap: int, free: np.ndarray) -> tuple[int, int] | None:
+        if pair[gap] <= 0:
+            return None
+        half = gap // 2
+        a = np.flatnonzero((free[1 : half + 1] > 0) & (free[gap - 1 : gap - half - 1 : -1] > 0)) + 1
+        if len(a) and 2 * a[-1] == gap and free[a[-1]] < 2:
+            a = a[:-1]
+        return (int(gap - a[0]), int(a[0])) if len(a) else None
+
+    def exact(gap: int, free: np.ndarray) -> tuple[int, ...] | None:
+        if free[gap] > 0:
             return (gap,)
-        for own in (pairs.get(gap, ()),):
-            while own and (left.get(own[-1][0], 0) == 0 or left.get(own[-1][1], 0) == 0):
-                own.pop()
-            for p in reversed(own[-64:]):
-                if fits(p, used):
-                    return p
-        i = bisect.bisect_right(lengths, gap - 2) - 1
-        tried = 0
-        while i >= 0 and tried < 64:
-            c = lengths[i]
-            i -= 1
-            if left.get(c, 0) - used[c] <= 0:
-                continue
-            tried += 1
-            for p in reversed(pairs.get(gap - c, ())[-16:]):
-                if fits((c, *p), used):
-                    return (c, *p)
+        if two := pairs(gap, free):
+            return two
+        c = np.flatnonzero(free[: gap - 1] > 0)
+        for n in c[pair[gap - c] > 0][::-1].tolist():
+            free[n] -= 1
+            two = pairs(gap - n, free)
+            free[n] += 1
+            if two:
+                return (n, *two)
         return None
 
-    index()
-    while lengths:
-        big = lengths[-1]
-        recipe, used, gap = [big], Counter([big]), capacity - big
+    out: list[tuple[int, list[int]]] = []
+    big = capacity
+    while True:
+        while big > 0 and left[big] == 0:
+            big -= 1
+        if big == 0:
+            return out
+        recipe, gap, free = [big], capacity - big, left.copy()
+        free[big] -= 1
         while gap > 0:
-            found = exact(gap, used)
-            if found:
-                recipe += found
-                used.update(found)
-                gap = 0
-                break
-            i = bisect.bisect_right(lengths, gap) - 1
-            while i >= 0 and left[lengths[i]] - used[lengths[i]] <= 0:
-                i -= 1
-            if i < 0:
-                break
-            recipe.append(lengths[i])
-            used[lengths[i]] += 1
-            gap -= lengths[i]
-        times = min(left[n] // c for n, c in used.items())
+            found = exact(gap, free)
+            if found is None:
+                fit = np.flatnonzero(free[: gap + 1] > 0)
+                if not len(fit):
+                    break
+                found = (int(fit[-1]),)
+            recipe += found
+            np.subtract.at(free, list(found), 1)
+            gap -= sum(found)
+        used = Counter(recipe)
+        times = int(min(left[n] // c for n, c in used.items()))
         out.append((times, recipe))
         for n, c in used.items():
             left[n] -= c * times
             if left[n] == 0:
-                del left[n]
-                lengths.pop(bisect.bisect_left(lengths, n))
-    return out
+                retire(n)
 
 
 def places(recipes: list[tuple[int, list[int]]]) -> Iterator[tuple[int, int, int, int, int]]:
