@@ -52,34 +52,22 @@ def byte_len(col: str) -> Column:
     return F.coalesce(F.octet_length(F.col(col)), F.lit(0)).cast("long")
 
 
-def ranked(df: DataFrame, key: list[str], order: list[str], out: str, per_task: int = 50_000) -> DataFrame:
-    """Gapless ranks from 0 within ``key`` in long column ``out``, without a whole key in one task.
+def ranked(df: DataFrame, key: list[str], order: list[str], out: str, per_bucket: int = 1000, most: int = 20_000) -> DataFrame:
+    """Gapless ranks from 0 within the non-null ``key`` in long column ``out``, without a whole key in one task.
 
     Each key's rows are dealt over buckets by a hash of ``order``; buckets get running offsets from
-    their counts (one row per key and bucket), and ``row_number`` runs inside a bucket only. The bucket
-    number follows the row count, so a bucket stays near ``per_task`` rows however hot the key is.
-    ``df`` must be cheap to read twice (written by :func:`cut`). Equal rows are interchangeable.
+    their counts (one row per key and bucket, at most ``most`` for a key), and ``row_number`` runs inside
+    a bucket only. The number of buckets follows the row count, so a bucket stays small however hot its
+    key is. ``df`` must be cheap to read twice (written by :func:`cut`). Equal rows are interchangeable.
     """
     from pyspark.sql import Window as W
 
-    n = df.count()
-    buckets = max(1, -(-n // per_task))
+    buckets = min(most, max(1, -(-df.count() // per_bucket)))
     b = df.withColumn("_b", F.pmod(F.xxhash64(*[F.col(c) for c in order]), F.lit(buckets)).cast("int"))
-    sizes = b.groupBy(*key, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    # at most keys x buckets rows, of which one key's buckets meet in a task
-    offs = sizes.withColumn("_off", F.sum("_n").over(W.partitionBy(*key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1))).select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col("_b").alias("_ob"), F.coalesce("_off", F.lit(0)).alias("_off")
-    )
+    before = W.partitionBy(*key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    offs = b.groupBy(*key, "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     rn = b.withColumn("_rn", F.row_number().over(W.partitionBy(*key, "_b").orderBy(*order)))
-    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(key)]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return (
-        rn.join(offs, cond & (F.col("_b") == F.col("_ob")), "left")
-        .withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("long"))
-        .drop("_b", "_ob", "_off", "_rn", *[f"_k{i}" for i in range(len(key))])
-    )
+    return rn.join(offs, [*key, "_b"]).withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("long")).select(*df.columns, out)
 
 
 def schema_of(ddl: str) -> T.StructType:

@@ -1,8 +1,8 @@
 """The queries and SQL of this subpackage, gathered from its modules."""
 
-from . import decontam, packing
+from . import decontam, knn, packing, sharding
 
-MODULES = (decontam, packing)
+MODULES = (decontam, knn, packing, sharding)
 
 
 def queries() -> dict:
