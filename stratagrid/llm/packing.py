@@ -25,15 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, only, ranked, table
+from .textkit import chunks
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 CACHE = 800_000
-_SPACE = re.compile(r"[ \n\t\r]+")
 _loaded: dict[str, tuple] = {}
 
 
@@ -43,51 +44,96 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# Characters that need no normalisation beyond lower-casing, and the pre-tokens that the
+# tokenizer's own file names, for such characters.
+_ODD = re.compile("[^\x00-\u012f\u0131-\u017f]")
+_PRETOKENS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
 class Encoder:
     """ids of a text as little-endian uint32 bytes.
 
     The tokenizer drops white space and splits at it before anything else, so the ids of a text are those
-    of its space-separated chunks in a row; chunks met before come from a table of bounded size.
+    of its space-separated chunks in a row; chunks met before come from a table of bounded size. A new chunk
+    of Latin characters is lower-cased and split as the tokenizer's file says, and its pre-tokens, which are
+    far fewer than chunks, go through the merges in batches; the last token of a pre-token is known by its
+    word-end mark. Any other chunk, and any tokenizer of another make, is encoded as it stands.
     """
 
     def __init__(self, path: str):
+        import json
+
+        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.mark = "<|startoftext|>"
-        self.mark_id = self.tok.token_to_id(self.mark)
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        split = next((x for x in (made.get("pre_tokenizer") or {}).get("pretokenizers", []) if x.get("type") == "Split"), {})
+        kinds = [x["type"] for x in (made.get("normalizer") or {}).get("normalizers", [])]
+        end = made["model"].get("end_of_word_suffix")
+        self.known_make = bool(end) and kinds == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": _PRETOKENS}
+        self.specials = [x["content"] for x in made.get("added_tokens", [])]
+        self.find = regex.compile(_PRETOKENS).findall
+        self.ends = np.zeros(self.tok.get_vocab_size(), bool)
+        for token, i in self.tok.get_vocab().items():
+            self.ends[i] = bool(end) and token.endswith(end)
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def merge(self, words: list[str]) -> None:
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) != len(part):  # not one pre-token each after all
+                self.words.update((w, self.whole(w)) for w in part)
+                continue
+            raw, b = ids.tobytes(), (stop * 4).tolist()
+            self.words.update((w, raw[x:y]) for w, x, y in zip(part, [0, *b], b))
 
     def learn(self, new: list[str]) -> None:
         if len(self.known) > CACHE:
             self.known.clear()
-        odd = [c for c in new if "<|" in c] if self.mark_id is not None else new
-        plain = [c for c in new if "<|" not in c] if self.mark_id is not None else []
-        for i in range(0, len(plain), 4096):
-            part = plain[i : i + 4096]
-            ids = np.array(self.tok.encode(self.mark.join(part), add_special_tokens=False).ids, "<u4")
-            cut_at = np.flatnonzero(ids == self.mark_id)
-            if len(cut_at) != len(part) - 1:
-                odd += part
+        if len(self.words) > CACHE:
+            self.words.clear()
+        parts: dict[str, list[str]] = {}
+        for c in new:
+            if not self.known_make or _ODD.search(c) or ("<" in c and any(x in c for x in self.specials)):
+                self.known[c] = self.whole(c)
                 continue
-            raw = ids.tobytes()
-            a = [0, *((cut_at + 1) * 4).tolist()]
-            b = [*(cut_at * 4).tolist(), len(raw)]
-            self.known.update((c, raw[x:y]) for c, x, y in zip(part, a, b))
-        for c in odd:
-            self.known[c] = np.array(self.tok.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.split(" ") if t and "\n" not in t and "\t" not in t and "\r" not in t else _SPACE.split(t) if t else [] for t in texts]
-        known = self.known
-        new = set().union(*split).difference(known)
-        if new:
-            self.learn(list(new))
-            known = self.known
-            if len(known) < len(new) + 1 or not all(c in known for s in split for c in s):
-                self.learn(list(set().union(*split).difference(known)))
-        get = known.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+            low = c.lower()
+            if low.isalpha():
+                parts[c] = [low]
+            elif low[:-1].isalpha() and low[-1] in ".,":
+                parts[c] = [low[:-1], low[-1]]
+            else:
+                parts[c] = self.find(low)
+        self.merge(list({w for p in parts.values() for w in p}.difference(self.words)))
+        get = self.words.__getitem__
+        for c, p in parts.items():
+            self.known[c] = b"".join(map(get, p))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and where each text's begin (null: none)."""
+        lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        lists = pc.fill_null(lists, pa.scalar([], lists.type)) if lists.null_count else lists
+        coded = lists.flatten().dictionary_encode()
+        every, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        for _ in range(2):  # a second time if the table was emptied
+            if new := [c for c in every if c not in self.known]:
+                self.learn(new)
+        ids = [self.known[c] for c in every]
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(n) - n
+        each = n[codes]
+        stop = np.concatenate([[0], np.cumsum(each)])
+        out = flat[np.repeat(first[codes] - stop[:-1], each) + np.arange(stop[-1])]
+        at = lists.offsets.to_numpy()
+        return out, stop[at - at[0]]
 
 
 def encoder(path: str) -> Encoder:
@@ -104,15 +150,14 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo, hi, *_ in chunks(batch.column(1)):
+                ids, at = enc(batch.column(1).slice(lo, hi - lo))
                 out: list[list] = [[], [], [], [], []]
-                for doc, ids in zip(part.column(0).to_pylist(), enc(part.column(1).to_pylist())):
-                    ids += end
-                    n, size = len(ids) // 4, capacity * 4
-                    for k, at in enumerate(range(0, len(ids), size)):
-                        p = ids[at : at + size]
-                        for col, v in zip(out, (doc, k, at // 4, min(capacity, n - at // 4), zlib.crc32(p))):
+                for doc, a, b in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                    own = ids[a:b].tobytes() + end
+                    for k, start in enumerate(range(0, b - a + 1, capacity)):
+                        p = own[start * 4 : (start + capacity) * 4]
+                        for col, v in zip(out, (doc, k, start, len(p) // 4, zlib.crc32(p))):
                             col.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 

@@ -1,8 +1,8 @@
 """The queries and SQL of this subpackage, gathered from its modules."""
 
-from . import decontam, knn, packing, sharding
+from . import decontam, knn, packing, sharding, toxicity
 
-MODULES = (decontam, knn, packing, sharding)
+MODULES = (decontam, knn, packing, sharding, toxicity)
 
 
 def queries() -> dict:
