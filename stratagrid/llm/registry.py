@@ -1,8 +1,8 @@
 """The queries and SQL of this subpackage, gathered from its modules."""
 
-from . import decontam, knn, langid, packing, sharding, toxicity
+from . import decontam, jaccard, knn, langid, packing, sharding, toxicity
 
-MODULES = (decontam, knn, langid, packing, sharding, toxicity)
+MODULES = (decontam, jaccard, knn, langid, packing, sharding, toxicity)
 
 
 def queries() -> dict:
