@@ -1,8 +1,8 @@
 """The queries and SQL of this subpackage, gathered from its modules."""
 
-from . import decontam, jaccard, knn, langid, packing, repeats, sharding, toxicity
+from . import decontam, jaccard, knn, langid, lines, packing, quality, repeats, sharding, toxicity
 
-MODULES = (decontam, jaccard, knn, langid, packing, repeats, sharding, toxicity)
+MODULES = (decontam, jaccard, knn, langid, lines, packing, quality, repeats, sharding, toxicity)
 
 
 def queries() -> dict:
