@@ -1,17 +1,22 @@
-"""Registry of the library's queries."""
+"""Registry of the library's queries and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import composite, reduce, scalar, spatial
+
+BOOKS = (scalar.book, reduce.book, spatial.book, composite.book)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Depth from focus and the all-in-focus render of every stack."""
+    return composite.slice_zero(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {k: f for b in BOOKS for k, f in b.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for b in BOOKS for k, s in b.sql.items()}
