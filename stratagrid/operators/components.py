@@ -19,17 +19,17 @@ def label(mask: DataFrame, width: int, rounds: int = 10_000) -> DataFrame:
     w = W.partitionBy("stack", "y").orderBy("x")
     fresh = F.when(F.col("x") - F.lag("x").over(w) == 1, 0).otherwise(1)
     runs = open_.withColumn("_f", fresh).withColumn("_g", F.sum("_f").over(w)).withColumn("run", F.min("i").over(W.partitionBy("stack", "y", "_g"))).select("stack", "y", "x", "i", "run")
-    runs = _cut(runs)
+    runs = cut(runs)
     below = runs.select("stack", (F.col("y") - 1).alias("y"), "x", F.col("run").alias("other"))
     e = runs.join(below, ["stack", "y", "x"]).select("stack", F.col("run").alias("a"), F.col("other").alias("b")).distinct()
-    e = _cut(e.unionAll(e.select("stack", F.col("b").alias("a"), F.col("a").alias("b"))))
-    names = _cut(runs.select("stack", "run", F.col("run").alias("name")).distinct())
+    e = cut(e.unionAll(e.select("stack", F.col("b").alias("a"), F.col("a").alias("b"))))
+    names = cut(runs.select("stack", "run", F.col("run").alias("name")).distinct())
     for _ in range(rounds):
         near = e.join(names.select("stack", F.col("run").alias("b"), "name"), ["stack", "b"]).groupBy("stack", F.col("a").alias("run")).agg(F.min("name").alias("_n"))
         step = names.join(near, ["stack", "run"], "left").select("stack", "run", "name", F.least("name", F.coalesce("_n", "name")).alias("new"))
         # the name is itself a run: jump to where that run already points
         jump = step.select("stack", F.col("run").alias("new"), F.col("new").alias("_j"))
-        nxt = _cut(step.join(jump, ["stack", "new"], "left").select("stack", "run", F.col("name").alias("old"), F.least("new", F.coalesce("_j", "new")).alias("name")))
+        nxt = cut(step.join(jump, ["stack", "new"], "left").select("stack", "run", F.col("name").alias("old"), F.least("new", F.coalesce("_j", "new")).alias("name")))
         done = nxt.where("old <> name").isEmpty()
         names = nxt.drop("old")
         if done:
@@ -39,7 +39,8 @@ def label(mask: DataFrame, width: int, rounds: int = 10_000) -> DataFrame:
     return mask.select("stack", "y", "x").join(own, ["stack", "y", "x"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
+    """Lineage cut in the shared checkpoint folder."""
     import tempfile
 
     sc = df.sparkSession.sparkContext
@@ -61,8 +62,8 @@ def reach(mask: DataFrame, seeds: DataFrame, radius: int) -> DataFrame:
     for k in range(1, radius + 1):
         nxt = edge.withColumn("_o", ring).select("stack", (F.col("y") + F.col("_o.dy")).alias("y"), (F.col("x") + F.col("_o.dx")).alias("x"), "origin")
         edge = nxt.groupBy("stack", "y", "x").agg(F.min("origin").alias("origin")).join(cells, ["stack", "y", "x"]).join(got.select("stack", "y", "x"), ["stack", "y", "x"], "left_anti").withColumn("steps", F.lit(k))
-        edge = _cut(edge.select("stack", "y", "x", "origin", "steps"))
-        got = _cut(got.select("stack", "y", "x", "origin", "steps").unionAll(edge))
+        edge = cut(edge.select("stack", "y", "x", "origin", "steps"))
+        got = cut(got.select("stack", "y", "x", "origin", "steps").unionAll(edge))
     return got.select("stack", "y", "x", "steps", "origin")
 
 

@@ -175,24 +175,26 @@ def fuse(px: DataFrame, height: int, width: int, o: Options | None = None, regul
     e = focus_energy(lum, "v", 0.0, 0.0, height, width)
     win = A.winner(e, F.col("e") * F.col("a"), {"g": "v"})
     frames = px.groupBy("stack").agg(F.countDistinct("frame").alias("n"))
+    win = C.cut(win)  # one pass over the frames; the stages below reread its pixels several times
     depth = win.select("stack", "y", "x", F.col("frame").cast("double").alias("d"))
     if regularize:
-        cube = A.box_down(e, f, "e").withColumnRenamed("e", "v")
-        lcube = A.box_down(lum, f, "v")
-        conc = A.curve_stats(cube)
+        cube = C.cut(A.box_down(e, f, "e").withColumnRenamed("e", "v"))
+        lcube = C.cut(A.box_down(lum, f, "v"))
+        conc = C.cut(A.curve_stats(cube))
         c = confidence(win.select("stack", "y", "x", "energy", "g", F.col("frame").cast("double").alias("d")), conc, o, f, rows, cols)
         if o.median_radius > 0:
             m = A.weighted_median(c, frames, o.median_radius, height, width)
             c = c.drop("d").join(m, A.PIXEL)
         else:
             c = c.withColumn("consensus", F.lit(0.0))
+        c = C.cut(c)
         g0 = c.groupBy("stack", F.floor(F.col("y") / f).cast("int").alias("y"), F.floor(F.col("x") / f).cast("int").alias("x")).agg(F.avg("g").alias("g0"))
         gs = guide_scale(g0)
         cells = measured(c, f)
-        cells = cells.join(neighbour_curves(cube, cells, o), A.PIXEL).join(lit_extremes(lcube), A.PIXEL)
-        cells = spill(regional(cube, cells, cols))
+        cells = C.cut(cells.join(neighbour_curves(cube, cells, o), A.PIXEL).join(lit_extremes(lcube), A.PIXEL))
+        cells = C.cut(spill(regional(cube, cells, cols)))
         cells = combined(cells, rows, cols).join(g0, A.PIXEL).join(F.broadcast(gs), "stack").withColumn("g", F.col("g0") * F.col("gs"))
-        depth = blend(c, guided(cells, o, f), gs, frames, f, rows, cols)
+        depth = C.cut(blend(c, C.cut(guided(C.cut(cells), o, f)), gs, frames, f, rows, cols))
     return A.tent_render(px, depth, o.blend_radius), depth
 
 

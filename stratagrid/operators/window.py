@@ -63,8 +63,8 @@ def box_mean(df: DataFrame, radius: int, value: str = "v", key: tuple[str, ...]
     """Mean of the box of ``radius``, clipped at the edges (dense rasters)."""
     rows = W.partitionBy(*key, "y").orderBy("x").rowsBetween(-radius, radius)
     cols = W.partitionBy(*key, "x").orderBy("y").rowsBetween(-radius, radius)
-    d = df.withColumn("_s", F.sum(value).over(rows)).withColumn("_n", F.count(value).over(rows))
-    return d.withColumn(out, F.sum("_s").over(cols) / F.sum("_n").over(cols)).drop("_s", "_n")
+    d = df.withColumn("_bs", F.sum(value).over(rows)).withColumn("_bn", F.count(value).over(rows))
+    return d.withColumn(out, F.sum("_bs").over(cols) / F.sum("_bn").over(cols)).drop("_bs", "_bn")
 
 
 def top_frames(depth: DataFrame, mass: str, k: int = 8) -> DataFrame:
