@@ -1,9 +1,9 @@
 """Burrows-Wheeler transforms of text shards, and their merge by iterative interleave refinement.
 
-A shard is a byte string, read in a circle. Its transform lists, in order of its rotations, the ``STEP`` bytes
-before each. The merge never compares texts: starting from the shards' rotations one shard after another, it
+A shard is a byte string, read in a circle. Its transform lists, in order of its rotations, the ``step`` bytes
+before each (one symbol, 8 bytes where the depth allows). The merge never compares texts: starting from the shards' rotations one shard after another, it
 walks through the interleave, takes the next symbol of the shard standing there, and deals the places stably
-by symbol. After h such steps the interleave is in order of the rotations' first STEP * h bytes, and the block
+by symbol. After h such rounds the interleave is in order of the rotations' first step * h bytes, and the block
 boundaries that appeared by then are where the common prefix is shorter than that.
 """
 
@@ -11,11 +11,9 @@ from __future__ import annotations
 
 import numpy as np
 
-STEP = 2
-
 
 def order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Rotations of ``text`` in order of at least their first ``depth`` bytes (ties by place), by prefix doubling."""
+    """Rotations of ``text`` in order of at least their first ``depth`` bytes (ties in any order), by prefix doubling."""
     n = len(text)
     ring = np.concatenate([text, np.resize(text, 8)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
@@ -23,7 +21,7 @@ def order(text: np.ndarray, depth: int) -> np.ndarray:
         key = (key << np.uint64(8)) | ring[j : j + n]
     h = 8
     while True:
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         k = key[by]
         rank = np.empty(n, np.int64)
         rank[by] = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
@@ -33,34 +31,50 @@ def order(text: np.ndarray, depth: int) -> np.ndarray:
         h *= 2
 
 
-def transform(text: np.ndarray, by: np.ndarray) -> np.ndarray:
-    """The STEP bytes before each rotation, in order, as one symbol."""
-    return (text[by - 2].astype(np.uint16) << np.uint16(8)) | text[by - 1]
+def step_of(depth: int) -> int:
+    return next(k for k in (8, 4, 2, 1) if depth % k == 0)
+
+
+def transform(text: np.ndarray, by: np.ndarray, step: int) -> np.ndarray:
+    """The ``step`` bytes before each rotation, in order, as one symbol."""
+    out = np.zeros(len(by), np.uint64)
+    for k in range(step, 0, -1):
+        out = (out << np.uint64(8)) | np.take(text, by - k, mode="wrap")
+    return out
+
+
+def stable(symbol: np.ndarray) -> np.ndarray:
+    """Stable order of small numbers, 16 bits at a time (radix)."""
+    by = np.argsort(symbol.astype(np.uint16), kind="stable")
+    if len(symbol) and int(symbol.max()) >> 16:
+        by = by[np.argsort((symbol >> 16).astype(np.uint16)[by], kind="stable")]
+    return by
 
 
-def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave (the shard of each place; a shard's rotations come in its own order) and block of each place.
+def merge(transforms: list[np.ndarray], back: list[np.ndarray], begin: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave (numbers of rotations, counted through all shards in their orders) and the block of each place.
 
-    Places of one block have rotations that agree on their first ``depth`` bytes (a multiple of STEP).
+    ``back``: for each rotation of a shard, in order, the number in that order of the rotation one symbol
+    earlier (the LF mapping). ``begin``: the rotations that the walk starts from, in order; it ends ``depth``
+    bytes earlier, so only rotations whose prefixes are asked for need to be walked. Places of one block have
+    rotations that agree on their first ``depth`` bytes.
     """
-    flow = np.concatenate(transforms)
-    kind = np.uint8 if len(transforms) < 256 else np.uint16
-    z = np.repeat(np.arange(len(transforms), dtype=kind), [len(t) for t in transforms])
+    _, flow = np.unique(np.concatenate(transforms), return_inverse=True)  # symbols in order, as small numbers
+    flow = flow.astype(np.uint32)
+    shift = np.cumsum([0, *map(len, transforms)])[:-1]
+    lf = np.concatenate([b + s for b, s in zip(back, shift)])
+    z = np.concatenate([b + s for b, s in zip(begin, shift)])
     block = np.zeros(len(z), np.int32)
-    symbol = np.empty(len(z), np.uint16)
-    for _ in range(depth // STEP):
-        if len(transforms) > 1:
-            symbol[np.argsort(z, kind="stable")] = flow
-        else:
-            symbol = flow
-        move = np.argsort(symbol, kind="stable")
-        z, block, s = z[move], block[move], symbol[move]
+    for _ in range(depth // step_of(depth)):
+        symbol = flow[z]
+        move = stable(symbol)
+        z, block, s = lf[z[move]], block[move], symbol[move]
         fresh = (block[1:] != block[:-1]) | (s[1:] != s[:-1])
         block = np.concatenate([np.zeros(1, np.int32), np.cumsum(fresh, dtype=np.int32)])
     return z, block
 
 
-def repeated(texts: list[bytes], starts: list[int], weights: list[int], depth: int, shard: int = 1 << 18) -> list[np.ndarray]:
+def repeated(texts: list[bytes], starts: list[int], weights: list[int], depth: int, shard: int = 1 << 17) -> list[np.ndarray]:
     """For each text, which of its first ``starts`` windows of ``depth`` bytes stand elsewhere too.
 
     ``weights``: how often a text's windows are known to stand in the corpus.
@@ -73,27 +87,30 @@ def repeated(texts: list[bytes], starts: list[int], weights: list[int], depth: i
             size = 0
         groups[-1].append(i)
         size += len(t)
-    places, transforms, counts = [], [], []
+    places, transforms, back, begin, counts = [], [], [], [], []
     offset = 0
     home: list[tuple[int, int]] = []
+    step = step_of(depth)
     for g in groups:
         text = np.frombuffer(b"".join(texts[i] for i in g), np.uint8)
-        by = order(text, depth)
-        transforms.append(transform(text, by))
-        places.append(by + offset)
+        w, first = np.zeros(len(text), np.int64), offset
         for i in g:
-            w = np.zeros(len(texts[i]), np.int64)
-            w[: starts[i]] = weights[i]
-            counts.append(w)
             home.append((i, offset))
+            w[offset - first : offset - first + starts[i]] = weights[i]
             offset += len(texts[i])
-    z, block = merge(transforms, depth)
-    at = np.empty(len(z), np.int64)
-    at[np.argsort(z, kind="stable")] = np.concatenate(places)  # the place in the texts of each rotation
-    weight = np.concatenate(counts)
-    total = np.bincount(block, weight[at])
-    again = np.zeros(len(z), bool)
-    again[at] = total[block] >= 2
+        by = order(text, depth)
+        number = np.empty(len(by), np.int64)
+        number[by] = np.arange(len(by))
+        transforms.append(transform(text, by, step))
+        back.append(number[(by - step) % len(by)])
+        begin.append(np.sort(number[(np.flatnonzero(w) + depth) % len(text)]))
+        places.append(by + first)
+        counts.append(w)
+    z, block = merge(transforms, back, begin, depth)
+    at, weight = np.concatenate(places), np.concatenate(counts)
+    total = np.bincount(block, weight[at[z]])
+    again = np.zeros(len(at), bool)
+    again[at[z]] = total[block] >= 2
     out: list[np.ndarray] = [np.zeros(0, bool)] * len(texts)
     for i, o in home:
         out[i] = again[o : o + starts[i]]

@@ -37,6 +37,7 @@ from . import textkit as K
 from .common import cut, only, table
 
 PIECE = 4 << 20
+BATCH = 1 << 20  # bytes that one merge takes at a time; a key's ranges are at most as many as fill it
 
 
 def eights(data: np.ndarray) -> np.ndarray:
@@ -92,7 +93,7 @@ def _ranges(src: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, data, offs in K.chunks(b.column(1)):
+            for i, j, data, offs in K.chunks(b.column(1), 1 << 20):
                 rid = b.column(0).slice(i, j - i).to_numpy(zero_copy_only=False)
                 for part, o, doc, shift in pieces(data, offs, length):
                     s1, s2, a = anchors(part, o, length, gram)
@@ -134,7 +135,7 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return e[::2], e[1::2]
 
 
-def _merged(rows: DataFrame, length: int, batch: int = 1 << 20) -> DataFrame:
+def _merged(rows: DataFrame, length: int, batch: int = BATCH) -> DataFrame:
     """Spans (rid, lo, hi) that repeated windows cover; rows of one key stand together."""
 
     def solve(keys, rid, at, weight, body):
@@ -193,7 +194,7 @@ def _digests(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "rid long, place long, weight long, d1 long, d2 long")
 
 
-def spans(src: DataFrame, length: int = 200, gram: int = 64, crowd: int = 200) -> DataFrame:
+def spans(src: DataFrame, length: int = 200, gram: int = 64, crowd: int = 3000) -> DataFrame:
     """(rid, lo, hi): spans whose union is what repeated ``length``-byte strings cover; ``src``: rid, text."""
     rows = _ranges(src, length, gram)
     keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("total"), F.min("cls").alias("c1"), F.max("cls").alias("c2")).where("total > 1")
@@ -216,7 +217,7 @@ def spans(src: DataFrame, length: int = 200, gram: int = 64, crowd: int = 200) -
     return whole(hit.where("one")).unionAll(whole(settled)).unionAll(found).unionAll(counted)
 
 
-def dedup(docs: DataFrame, length: int = 200, gram: int = 64, crowd: int = 200, texts: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 200, gram: int = 64, crowd: int = 3000, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; with ``texts`` also what is kept, as bytes."""
     src = only(docs, "doc_id", "text").select("doc_id", F.monotonically_increasing_id().alias("rid"), F.coalesce("text", F.lit("")).alias("text"))
     got = spans(src.select("rid", "text"), length, gram, crowd)
@@ -225,22 +226,24 @@ def dedup(docs: DataFrame, length: int = 200, gram: int = 64, crowd: int = 200,
     joined = src.join(per_doc, "rid", "left").select("doc_id", "text", "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for text, cuts in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                raw = text.encode()
-                lo, hi = merged_spans(cuts or [])
-                keep, last = [], 0
-                for x, y in zip(lo, hi):
-                    keep.append(raw[last:x])
-                    last = y
-                keep.append(raw[last:])
-                kept = b"".join(keep)
-                for col, v in zip(out, (len(raw), len(raw) - len(kept), len(lo), hashlib.sha256(kept).hexdigest(), kept)):
-                    col.append(v)
-            cols = [b.column(0).cast(pa.int64()), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(out[4], pa.binary())] * texts, names=names + ["kept"] * texts)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                out: list[list] = [[], [], [], [], []]
+                for text, cuts in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                    raw = text.encode()
+                    lo, hi = merged_spans(cuts or [])
+                    keep, last = [], 0
+                    for x, y in zip(lo, hi):
+                        keep.append(raw[last:x])
+                        last = y
+                    keep.append(raw[last:])
+                    kept = b"".join(keep)
+                    for col, v in zip(out, (len(raw), len(raw) - len(kept), len(lo), hashlib.sha256(kept).hexdigest(), kept)):
+                        col.append(v)
+                cols = [b.column(0).cast(pa.int64()), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())]
+                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(out[4], pa.binary())] * texts, names=names + ["kept"] * texts)
 
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts)
 
