@@ -9,8 +9,9 @@ sequence is one shingle, without words the set is empty and linked with nothing.
 2. Sizes fall into bands of ratio ``ratio``. A set signs for its own band and, if it is large enough to
    link with a set of the next band, for that one. In a band two linked sets differ in at most k elements,
    k following from the band's largest size. The shingle domain is dealt into n1 = ceil((k + 1) / 2) parts of
-   three; one part holds at most one of the differences, so two of its three thirds are alike. All three
-   subsets of two thirds are enumerated for each part, and a signature is the hash of band, part, subset and
+   ``sub`` pieces (three; two for lower thresholds, where signatures are many); one part holds at most one of
+   the differences, so all its pieces but one are alike. All subsets that leave one piece out are enumerated
+   for each part, and a signature is the hash of band, part, subset and
    of the set's elements there. Linked sets share at least one signature.
 3. A signature held by several classes names its least class as leader. Each class is first verified with
    the least of its leaders (exact intersection of the sets), then with the others that lie in another
@@ -29,7 +30,7 @@ before they are shuffled; full sets are made again only for classes that share a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,7 @@ class Scheme:
     num: int = 90
     den: int = 100
     ratio: float = 1.3
+    sub: int = 3  # pieces of a part; a signature leaves one of them out
     seed: int = 0
 
     def bands(self, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -92,8 +94,8 @@ class Scheme:
         second = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
         inst_band = band[owner] + second
         n1 = parts[inst_band]
-        base = np.cumsum(3 * n1) - 3 * n1
-        cells = int((3 * n1).sum())
+        base = np.cumsum(self.sub * n1) - self.sub * n1
+        cells = int((self.sub * n1).sum())
         # elements of each instance
         flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
         begin = np.cumsum(size) - size
@@ -101,17 +103,17 @@ class Scheme:
         el = flat[np.repeat(begin[owner] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
         inst = np.repeat(np.arange(len(owner)), m)
         part = ((el >> np.uint64(32)) % n1[inst].astype(np.uint64)).astype(np.int64)
-        third = ((el & np.uint64(0xFFFFFFFF)) % np.uint64(3)).astype(np.int64)
-        cell = base[inst] + 3 * part + third
+        third = ((el & np.uint64(0xFFFFFFFF)) % np.uint64(self.sub)).astype(np.int64)
+        cell = base[inst] + self.sub * part + third
         v = K.mix(el + np.uint64(0x51ED270B))
         lo = np.bincount(cell, (v & np.uint64(0xFFFFFFFF)).astype(np.float64), cells).astype(np.uint64)
         hi = np.bincount(cell, (v >> np.uint64(32)).astype(np.float64), cells).astype(np.uint64)
-        t = (lo + (hi << np.uint64(32))).reshape(-1, 3)  # sums modulo 2 ** 64: both halves are exact in doubles
-        whole = t[:, 0] + t[:, 1] + t[:, 2]
-        place = np.arange(cells // 3) - np.repeat(base // 3, n1)
+        t = (lo + (hi << np.uint64(32))).reshape(-1, self.sub)  # sums modulo 2 ** 64: both halves are exact in doubles
+        whole = t.sum(1)
+        place = np.arange(cells // self.sub) - np.repeat(base // self.sub, n1)
         tag = K.mix((np.repeat(inst_band, n1).astype(np.uint64) << np.uint64(40)) + (place.astype(np.uint64) << np.uint64(2)))
-        sig = np.stack([K.mix((whole - t[:, q]) ^ (tag + np.uint64(q))) for q in range(3)], 1).reshape(-1)
-        per = np.bincount(owner, 3 * n1, len(sets)).astype(np.int64)
+        sig = np.stack([K.mix((whole - t[:, q]) ^ (tag + np.uint64(q))) for q in range(self.sub)], 1).reshape(-1)
+        per = np.bincount(owner, self.sub * n1, len(sets)).astype(np.int64)
         return sig, np.concatenate([[0], np.cumsum(per)])
 
     def linked(self):
@@ -183,7 +185,7 @@ def link(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
         classes = base.where("n > 0").groupBy("key").agg(F.min("key2").alias("k2"), F.max("key2").alias("k3"), F.min("rid").alias("rid"))
         if classes.where("k2 <> k3").isEmpty():
             break
-        scheme = Scheme(scheme.n, scheme.num, scheme.den, scheme.ratio, scheme.seed + 1)
+        scheme = replace(scheme, seed=scheme.seed + 1)
 
     sigs = base.where("n > 0").select("key", F.explode("sigs").alias("sig"))
     live = sigs.groupBy("sig").agg(F.min("key").alias("lead"), F.max("key").alias("last")).where("lead <> last").select("sig", "lead")
@@ -255,7 +257,7 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group (five words, similarity 0.8): the one with the smallest doc_id."""
-    kept = link(docs, Scheme(5, 80, 100)).where("represents").select(F.col("rid").alias("_rid"))
+    kept = link(docs, Scheme(5, 80, 100, ratio=1.6, sub=2)).where("represents").select(F.col("rid").alias("_rid"))
     return docs.withColumn("_rid", F.monotonically_increasing_id()).join(kept, "_rid").select(*[f"`{c}`" for c in docs.columns])
 
 
