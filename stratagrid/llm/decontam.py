@@ -175,7 +175,7 @@ def _in_blocks(docs, items, window, keep, max_mb, size) -> DataFrame:
     from .common import cut, ranked
 
     base = cut(docs.select(*[f"`{k}`" for k in keep], "text").withColumn("_rid", F.monotonically_increasing_id()), "decontam")
-    n = -(-size // (max_mb << 20)) + 1
+    n = -(-size // max(1 << 12, max_mb << 20)) + 1
     parts = cut(items.withColumn("_blk", F.pmod(F.xxhash64("item_id"), F.lit(n))), "items")
     spans = None
     for b in range(n):

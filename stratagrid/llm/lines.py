@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkit as K
 from .common import cut, only, schema_of, table
@@ -101,9 +102,7 @@ def deduped(docs: DataFrame, window: int = 2, long_words: int = 8) -> DataFrame:
     spans = later.groupBy(F.col("rid").alias("_rid")).agg(F.collect_list(F.struct("lo", "hi")).alias("_cuts"))
     joined = src.join(spans, "_rid", "left")
     names = list(docs.columns)
-    out = docs.schema
-    for f in schema_of("_lines long, _removed long").fields:
-        out = out.add(f)
+    out = T.StructType([*docs.schema.fields, *schema_of("_lines long, _removed long").fields])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     target, at = to_arrow_schema(out), names.index("text")
