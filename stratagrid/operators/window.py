@@ -53,10 +53,14 @@ def suspicion(pairs: DataFrame) -> DataFrame:
 
 
 def summed_area(df: DataFrame, value: str = "v", key: tuple[str, ...] = ("stack",)) -> DataFrame:
-    """Sum of everything up and left of each pixel, itself included: two running sums."""
+    """Sum of everything up and left of each pixel, itself included: two running sums over the raster of the
+    rows and columns in use (absent pixels add nothing and get no row)."""
     rows = W.partitionBy(*key, "y").orderBy("x").rowsBetween(W.unboundedPreceding, 0)
     cols = W.partitionBy(*key, "x").orderBy("y").rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("_r", F.sum(value).over(rows)).withColumn("sat", F.sum("_r").over(cols)).drop("_r")
+    grid = df.select(*key, "y").distinct().join(df.select(*key, "x").distinct(), list(key))
+    d = grid.join(df.withColumn("_own", F.lit(True)), [*key, "y", "x"], "left")
+    d = d.withColumn("_r", F.sum(F.coalesce(F.col(value), F.lit(0.0))).over(rows)).withColumn("sat", F.sum("_r").over(cols))
+    return d.where("_own").drop("_r", "_own")
 
 
 def box_mean(df: DataFrame, radius: int, value: str = "v", key: tuple[str, ...] = ("stack",), out: str = "mean") -> DataFrame:
