@@ -14,11 +14,11 @@ sequence is one shingle, without words the set is empty and linked with nothing.
    for each part, and a signature is the hash of band, part, subset and
    of the set's elements there. Linked sets share at least one signature.
 3. A signature held by several classes names its least class as leader. Each class is first verified with
-   the least of its leaders (exact intersection of the sets), then with the others that lie in another
+   the least of its leaders within the bounds (exact intersection of the sets), then with the others that lie in another
    component; what still lies outside the largest component of a leader's group is verified with all of the
    group in other components. So no link between components is lost, while a large group of copies costs
    about one verification each and never all its pairs. Before sets are compared, a pair must pass two exact
-   bounds: on the sizes, and on a parity sketch of 256 bits, whose distance never exceeds the sets'.
+   bounds: on the sizes, and on a parity sketch of 2048 bits, whose distance never exceeds the sets'.
 
 Defined cases: null text is empty; a null doc_id has its class's component (null if the class has no id);
 repeated rows are copies; ties don't occur; an empty table gives an empty result; other columns are ignored.
@@ -42,7 +42,7 @@ from .common import cut, only, table
 from .graph import components
 
 SPACE = ~K.byte_class((0x20, 0x20), (0x09, 0x0D))
-SKETCH = 256
+SKETCH = 2048
 
 
 @dataclass(frozen=True)
@@ -143,7 +143,7 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _made(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """doc_id, rid, n, key, key2, sketch s0..s3 and the array of signatures for each row."""
+    """doc_id, rid, n, key, key2, sketch and the array of signatures for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,12 +154,12 @@ def _made(docs: DataFrame, scheme: Scheme) -> DataFrame:
                 sk = sketches(sets)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, j - i).cast(pa.int64()), b.column(1).slice(i, j - i), pa.array([len(x) for x in sets], pa.int64()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))]
-                    + [pa.array(np.ascontiguousarray(sk[:, c])) for c in range(sk.shape[1])]
+                    + [pa.FixedSizeListArray.from_arrays(pa.array(sk.reshape(-1)), sk.shape[1]).cast(pa.list_(pa.int64()))]
                     + [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(sig.view(np.int64)))],
-                    names=["doc_id", "rid", "n", "key", "key2", "s0", "s1", "s2", "s3", "sigs"],
+                    names=["doc_id", "rid", "n", "key", "key2", "sk", "sigs"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, rid long, n long, key long, key2 long, s0 long, s1 long, s2 long, s3 long, sigs array<long>")
+    return docs.mapInArrow(run, "doc_id long, rid long, n long, key long, key2 long, sk array<long>, sigs array<long>")
 
 
 def _sets(docs: DataFrame, scheme: Scheme) -> DataFrame:
@@ -191,41 +191,46 @@ def link(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
     live = sigs.groupBy("sig").agg(F.min("key").alias("lead"), F.max("key").alias("last")).where("lead <> last").select("sig", "lead")
     star = cut(sigs.join(live, "sig").where("key <> lead").select("lead", F.col("key").alias("node")).distinct(), "star")
 
-    meta_cols = ["n", "s0", "s1", "s2", "s3"]
+    meta_cols = ["n", "sk"]
     near = star.select(F.col("lead").alias("key")).unionAll(star.select(F.col("node").alias("key"))).distinct()
     reps = cut(near.join(classes.select("key", "rid"), "key"), "reps")
     meta = cut(base.join(reps.select("rid"), "rid").select("key", *meta_cols), "meta")
-    picked = src.select("rid", "text").join(reps.select("rid"), "rid")
-    sets = cut(_sets(picked, scheme), "sets")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """key and elements of the classes in (a, b), made again from one text of each."""
+        need = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
+        rids = reps.join(need, "key", "left_semi").select("rid")
+        return cut(_sets(src.select("rid", "text").join(rids, "rid"), scheme), "sets")
 
     def side(x: str) -> DataFrame:
         return meta.select(F.col("key").alias(x), *[F.col(c).alias(f"{c}{x}") for c in meta_cols])
 
     def bounds(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that the sizes and the parity sketches allow."""
-        far = sum((F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in meta_cols[1:]), F.lit(0))
+        far = F.aggregate(F.zip_with("ska", "skb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
         most = (scheme.den - scheme.num) * (F.col("na") + F.col("nb"))
         sizes = (F.least("na", "nb") * scheme.den >= F.greatest("na", "nb") * scheme.num) & (far * (scheme.den + scheme.num) <= most)
         return pairs.where(sizes)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Those of (a, b) that link."""
-        if not {"na", "nb"} <= set(pairs.columns):
-            pairs = bounds(pairs.join(side("a"), "a").join(side("b"), "b"))
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Those of (a, b, na, nb) that link."""
         p = pairs.select("a", "b", "na", "nb")
         p = p.join(sets.select(F.col("key").alias("b"), F.col("elements").alias("eb")), "b").join(sets.select(F.col("key").alias("a"), F.col("elements").alias("ea")), "a")
         return p.withColumn("inter", F.size(F.array_intersect("ea", "eb"))).where(scheme.linked()).select("a", "b")
 
-    first = star.groupBy("node").agg(F.min("lead").alias("lead"))
-    edges = cut(verified(first.select(F.col("lead").alias("a"), F.col("node").alias("b"))), "links")
+    near_pairs = star.select(F.col("lead").alias("a"), F.col("node").alias("b")).join(side("a"), "a").join(side("b"), "b")
+    near_pairs = cut(bounds(near_pairs).select("a", "b", "na", "nb"), "pairs")
+    sets = sets_of(near_pairs)
+    first = near_pairs.groupBy("b").agg(F.min_by(F.struct("a", "na", "nb"), "a").alias("f")).select("b", "f.a", "f.na", "f.nb")
+    edges = cut(verified(first, sets), "links")
     root = components(edges)
 
     def rooted(df: DataFrame, x: str, out: str) -> DataFrame:
         r = root.select(F.col("node").alias(x), F.col("root").alias("_r"))
         return df.join(r, x, "left").withColumn(out, F.coalesce("_r", x)).drop("_r")
 
-    rest = star.join(first, ["node", "lead"], "left_anti").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    more = cut(verified(rooted(rooted(rest, "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b")), "links")
+    rest = near_pairs.join(first.select("a", "b"), ["a", "b"], "left_anti")
+    more = cut(verified(rooted(rooted(rest, "a", "ra"), "b", "rb").where("ra <> rb"), sets), "links")
     if not more.isEmpty():
         edges = edges.unionAll(more)
         root = components(edges)
@@ -237,11 +242,12 @@ def link(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
     tops = shares.groupBy("lead").agg(F.max_by("r", F.struct("c", "r")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("lead", "top")
     open_ = cut(group.join(tops, "lead").withColumn("out", F.col("r") != F.col("top")).select("lead", "node", "r", "out").join(meta.withColumnRenamed("key", "node"), "node"), "open")
     x = open_.where("out AND node <> lead").select("lead", F.col("node").alias("a"), F.col("r").alias("ra"), *[F.col(c).alias(f"{c}a") for c in meta_cols])
-    y = open_.where("node <> lead").select("lead", F.col("node").alias("b"), F.col("r").alias("rb"), *[F.col(c).alias(f"{c}b") for c in meta_cols])
-    pairs = bounds(x.join(y, "lead").where("ra <> rb")).select("a", "b", "na", "nb").distinct()
-    last = cut(verified(pairs), "links")
-    if not last.isEmpty():
-        root = components(edges.unionAll(last))
+    y = open_.where("node <> lead").select("lead", F.col("node").alias("b"), F.col("r").alias("rb"), F.col("out").alias("outb"), *[F.col(c).alias(f"{c}b") for c in meta_cols])
+    pairs = cut(bounds(x.join(y, "lead").where("ra <> rb AND (NOT outb OR a < b)")).select("a", "b", "na", "nb").distinct(), "pairs")
+    if not pairs.isEmpty():
+        last = cut(verified(pairs, sets_of(pairs)), "links")
+        if not last.isEmpty():
+            root = components(edges.unionAll(last))
 
     rows = base.select("doc_id", "rid", "n", "key")
     rows = rooted(rows, "key", "_root")
