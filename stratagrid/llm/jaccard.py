@@ -9,7 +9,7 @@ sequence is one shingle, without words the set is empty and linked with nothing.
 2. Sizes fall into bands of ratio ``ratio``. A set signs for its own band and, if it is large enough to
    link with a set of the next band, for that one. In a band two linked sets differ in at most k elements,
    k following from the band's largest size. The shingle domain is dealt into n1 = ceil((k + 1) / 2) parts of
-   ``sub`` pieces (three; two for lower thresholds, where signatures are many); one part holds at most one of
+   ``sub`` pieces (three; two make fewer but far weaker signatures); one part holds at most one of
    the differences, so all its pieces but one are alike. All subsets that leave one piece out are enumerated
    for each part, and a signature is the hash of band, part, subset and
    of the set's elements there. Linked sets share at least one signature.
@@ -263,7 +263,7 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group (five words, similarity 0.8): the one with the smallest doc_id."""
-    kept = link(docs, Scheme(5, 80, 100, ratio=1.6, sub=2)).where("represents").select(F.col("rid").alias("_rid"))
+    kept = link(docs, Scheme(5, 80, 100, ratio=1.6)).where("represents").select(F.col("rid").alias("_rid"))
     return docs.withColumn("_rid", F.monotonically_increasing_id()).join(kept, "_rid").select(*[f"`{c}`" for c in docs.columns])
 
 
