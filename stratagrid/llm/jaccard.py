@@ -86,7 +86,7 @@ class Scheme:
     def signatures(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """All signatures one set after another, and where each set's begin."""
         size = np.array([len(x) for x in sets], np.int64)
-        low, high, parts, below = self.bands(int(size.max(initial=1)) + 1)
+        low, high, parts, below = self.bands(int(size.max(initial=1)) * self.den // self.num + 1)  # sets linked with these may lie elsewhere
         band = np.searchsorted(high, size)
         up = (band + 1 < len(low)) & (size >= below[np.minimum(band + 1, len(low) - 1)])
         each = np.where(size > 0, 1 + up, 0)

@@ -120,6 +120,24 @@ def test_jaccard_equals_brute_force(spark, scheme):
     assert jaccard.link(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("scheme", [jaccard.Scheme(), jaccard.Scheme(5, 80, 100, ratio=1.6)])
+def test_jaccard_links_across_bands_and_partitions(spark, scheme):
+    low, high, _, _ = scheme.bands(3000)
+    docs = []
+    for b in (k for k in range(len(low) - 1) if 20 < high[k] < 1500):
+        small = [f"b{b}w{i}" for i in range(high[b] - 1 + scheme.n - 1)]  # the largest of its partition, below its band's end
+        docs += [small, small + [f"b{b}more{i}" for i in range(2)]]  # in the next band
+    n = [len(w) - scheme.n + 1 for w in docs]
+    assert all(np.searchsorted(high, n[k]) + 1 == np.searchsorted(high, n[k + 1]) and n[k] * scheme.den >= n[k + 1] * scheme.num for k in range(0, len(n), 2)) and len(n) > 4
+    for k in range(0, len(docs), 2):
+        df = spark.createDataFrame(spark.sparkContext.parallelize([(k, " ".join(docs[k])), (k + 1, " ".join(docs[k + 1]))], 2), "doc_id long, text string")
+        sig = [set(scheme.signatures(scheme.sets(d, o))[0].tolist()) for r in df.collect() for d, o in [(np.frombuffer(r["text"].encode(), np.uint8), np.array([0, len(r["text"])]))]]
+        assert sig[0] & sig[1]
+    both = spark.createDataFrame(spark.sparkContext.parallelize([(k, " ".join(w)) for k, w in enumerate(docs)], len(docs)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.link(both, scheme).collect()}
+    assert got == {k: k - k % 2 for k in range(len(docs))}
+
+
 def test_schedule_is_the_heap_s():
     import heapq
 
