@@ -13,7 +13,8 @@ one, for COVER training would otherwise spend itself on what both classes share.
 
 Learning uses a bounded sample of labelled documents (``sample_toxic`` and ``sample_ordinary``, the first by
 a hash of doc_id, of each at most ``sample_words`` distinct words) outside the held-out fold
-crc32(doc_id) mod 5 = 0. Scoring covers every window of every whole text. Lang, source and doc_id are no
+crc32(doc_id) mod 5 = 0; in the logistic each document stands for as many as its class has labels for one
+sampled, so that 0.5 means the same at every number of labels. Scoring covers every window of every whole text. Lang, source and doc_id are no
 inputs of a score.
 
 Defined cases: null, empty and wordless texts have no windows and get the score of a document without toxic
@@ -120,15 +121,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.features(self.counts(texts)) @ self.weights, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 30) -> np.ndarray:
-    """Newton steps on the penalised log likelihood."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 30, times: np.ndarray | float = 1.0) -> np.ndarray:
+    """Newton steps on the penalised log likelihood; each row counts ``times``."""
     w = np.zeros(x.shape[1])
     r = np.full(x.shape[1], ridge)
     r[0] = 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(r)
-        w = w + np.linalg.solve(h, x.T @ (y - p) - r * w)
+        h = (x * (times * p * (1 - p))[:, None]).T @ x + np.diag(r)
+        w = w + np.linalg.solve(h, x.T @ (times * (y - p)) - r * w)
     return w
 
 
@@ -154,9 +155,10 @@ def dictionaries(texts: list[str], y: np.ndarray, window: int, size: int, lift:
     return Model(train(tox, size), train(usl, size), window)
 
 
-def learn(texts: list[str], labels: list[int], window: int = 1, size: int = 8192, lift: float = 8.0, least: int = 3, folds: int = 3) -> Model:
+def learn(texts: list[str], labels: list[int], window: int = 1, size: int = 8192, lift: float = 8.0, least: int = 3, folds: int = 3, stands: tuple[float, float] = (1.0, 1.0)) -> Model:
     """A model from labelled texts. The calibration is cross-fitted: each fold's documents are counted with
-    dictionaries trained on the other folds; the dictionaries that are kept see all."""
+    dictionaries trained on the other folds; the dictionaries that are kept see all. ``stands``: how many labels
+    a sampled ordinary and a sampled toxic document stand for, so that the sample's class ratio is not learned."""
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
         return Model(b"", b"", window, constant=float(y.mean()) if len(y) else 0.0)
@@ -172,7 +174,7 @@ def learn(texts: list[str], labels: list[int], window: int = 1, size: int = 8192
         counts[own] = cross.counts([texts[i] for i in own])
     share = counts[:, 1:] / np.maximum(1, counts[:, :1])
     m.level = LEVELS[int(np.argmax([auc(share[:, k], y) for k in range(len(LEVELS))]))]
-    m.weights = logistic(m.features(counts), y)
+    m.weights = logistic(m.features(counts), y, times=np.array(stands)[y])
     return m
 
 
@@ -180,6 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, window: int = 1, sample_toxic: int =
     """Learn from the bounded sample of labelled documents outside the held-out fold."""
     lab = only(labels, "doc_id", "toxic").where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     lab = lab.where(fold("doc_id", 5) != 0)
+    n = {r["toxic"]: r["count"] for r in lab.groupBy("toxic").count().collect()}
+    stands = tuple(max(1.0, n.get(k, 0) / most) for k, most in ((0, sample_ordinary), (1, sample_toxic)))
     h = F.xxhash64("doc_id")
     pick = [lab.where(c).orderBy(h, "doc_id").limit(n) for c, n in ((F.col("toxic") == 1, sample_toxic), (F.col("toxic") == 0, sample_ordinary))]
     chosen = pick[0].unionAll(pick[1])  # at most sample_toxic + sample_ordinary rows of two numbers
@@ -197,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, window: int = 1, sample_toxic: int =
     rows = only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(shorten, "doc_id long, toxic int, words binary")
     got = sorted({(r["doc_id"], r["toxic"], bytes(r["words"])) for r in rows.collect()})
     got.sort(key=lambda r: hash_order(r[0]))
-    return learn([r[2].decode(errors="replace") for r in got], [r[1] for r in got], window, size, lift)
+    return learn([r[2].decode(errors="replace") for r in got], [r[1] for r in got], window, size, lift, stands=stands)
 
 
 def hash_order(doc_id: int) -> int:

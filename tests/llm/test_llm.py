@@ -241,6 +241,13 @@ def test_toxicity_held_out(spark, edge):
     assert toxicity.learn([], []).score(["x"])[0] == 0.0
 
 
+def test_toxicity_sample_keeps_the_class_ratio(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    ho = docs.join(labels.select("doc_id", "toxic"), "doc_id").where("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0").select("text", "toxic").toPandas()
+    m = toxicity.fit(docs, labels, sample_toxic=200, sample_ordinary=200)  # bound to 1 : 1, the labels are about 1 : 8
+    assert abs(m.score(ho["text"].tolist()).mean() - ho["toxic"].mean()) < 0.03
+
+
 def test_language_held_out(spark, sf, edge):
     docs = table(spark, sf, "documents")
     q = langid.op9_language(spark, sf).join(docs.select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL").toPandas()
