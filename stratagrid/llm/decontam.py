@@ -144,6 +144,10 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[st
     return _scan(docs, groups, keep)
 
 
+def _with_text(keep: tuple[str, ...]) -> tuple[str, ...]:
+    return keep if "text" in keep else (*keep, "text")
+
+
 def _scan(docs: DataFrame, groups: list[Patterns], keep: tuple[str, ...]) -> DataFrame:
     own = [f for f in docs.schema.fields if f.name in keep]
     ddl = docs.select(*[f"`{k}`" for k in keep]).schema
@@ -156,10 +160,11 @@ def _scan(docs: DataFrame, groups: list[Patterns], keep: tuple[str, ...]) -> Dat
 
     target = to_arrow_schema(out)
     assert len(own) == len(keep)
+    cols_in = _with_text(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offs in K.chunks(batch.column(len(keep))):
+            for i, j, data, offs in K.chunks(batch.column(cols_in.index("text"))):
                 n_words, n_hit, hits, *_ = scan_chunk(data, offs, groups)
                 names = [sorted(map(str, h)) for h in hits]
                 cols = [batch.column(k).slice(i, j - i) for k in range(len(keep))]
@@ -167,14 +172,14 @@ def _scan(docs: DataFrame, groups: list[Patterns], keep: tuple[str, ...]) -> Dat
                 cols += [pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]), pa.array(n_hit > 0)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, target)], schema=target)
 
-    return only(docs, *keep, "text").mapInArrow(run, out)
+    return docs.select(*[f"`{k}`" for k in cols_in]).mapInArrow(run, out)
 
 
 def _in_blocks(docs, items, window, keep, max_mb, size) -> DataFrame:
     """A benchmark above the bound: one pass for each block of items; counts of hit words need the spans' union, so spans travel."""
     from .common import cut, ranked
 
-    base = cut(docs.select(*[f"`{k}`" for k in keep], "text").withColumn("_rid", F.monotonically_increasing_id()), "decontam")
+    base = cut(docs.select(*[f"`{k}`" for k in _with_text(keep)]).withColumn("_rid", F.monotonically_increasing_id()), "decontam")
     n = -(-size // max(1 << 12, max_mb << 20)) + 1
     parts = cut(items.withColumn("_blk", F.pmod(F.xxhash64("item_id"), F.lit(n))), "items")
     spans = None
@@ -206,9 +211,9 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, window: int = 10) -> DataFrame:
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, window: int = 10, max_pattern_mb: int = 32) -> DataFrame:
     """Documents without any benchmark window; the columns of ``docs``."""
-    found = find(docs, table(spark, sf_dir, "benchmark"), window, tuple(c for c in docs.columns))
+    found = find(docs, table(spark, sf_dir, "benchmark"), window, tuple(c for c in docs.columns), max_pattern_mb)
     return found.where(~F.col("contaminated")).select(*[f"`{c}`" for c in docs.columns])
 
 

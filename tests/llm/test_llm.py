@@ -229,6 +229,12 @@ def test_decontamination_edges_and_blocks(spark, sf, edge):
     assert sorted(map(tuple, one)) == sorted(map(tuple, two)) and len(one) == docs.count()
 
 
+def test_decontamination_stage_in_blocks(spark, sf):
+    docs = table(spark, sf, "documents")
+    one, two = decontam.stage(spark, docs, sf), decontam.stage(spark, docs, sf, max_pattern_mb=0)
+    assert two.columns == docs.columns and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+
+
 def test_toxicity_held_out(spark, edge):
     docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     m = toxicity.fit(docs, labels)
