@@ -235,7 +235,7 @@ def m12(spark, d):
 
 @book.add("m1_pyramid_fuse")
 def m1(spark, d):
-    image = M.fuse(V.rgb_stack(spark, d, holes=False).where("frame < 6"), 8, 8, n_levels=2)
+    image = M.fuse(V.rgb_stack(spark, d, holes=False), 8, 8, n_levels=2)
     return image.select(*PX, *[r6(F.col(c), 5).alias(c) for c in "rgb"])
 
 

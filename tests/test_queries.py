@@ -1,9 +1,12 @@
 """Each book's queries against their SQL on the smallest tables (a few of each family; the rest run in the correctness gate)."""
 
+import numpy as np
 import pytest
 from compare import same
 
+from stratagrid.operators import pmax
 from stratagrid.plans import catalog
+from stratagrid.sources import views as V
 
 NAMES = [
     "depth_from_focus", "a1_winner", "a1_winner_two_step", "a4_tent_render", "a7_render_gains", "a13_percentiles", "a16_concentration", "a18_weighted_median", "p5_tone", "p8_black_point",
@@ -21,5 +24,13 @@ def test_flagship(spark, sf):
     assert catalog.flagship(spark, sf).count() == 640
 
 
+def test_pyramid_fuse_takes_all_frames(spark, sf):
+    px = V.rgb_stack(spark, sf, holes=False)
+    assert px.where("frame >= 6").count() > 0
+    ref = pmax.fuse(px, 8, 8, n_levels=2).toPandas().sort_values(["stack", "y", "x"])
+    got = catalog.queries()["m1_pyramid_fuse"](spark, sf).toPandas().sort_values(["stack", "y", "x"])
+    assert len(got) == len(ref) and all(np.allclose(got[c], ref[c], atol=1e-4) for c in "rgb")
+
+
 def test_names_agree():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
