@@ -57,9 +57,9 @@ def grams(arr: pa.Array, bits: int) -> Iterator[tuple[int, int, np.ndarray, np.n
 
 
 class Mixture:
-    def __init__(self, langs: list[str], counts: np.ndarray, bits: int, penalty: float = 2.0, alpha: float = 0.5, most: int = 4):
+    def __init__(self, langs: list[str], counts: np.ndarray, bits: int, penalty: float = 2.0, alpha: float = 0.5):
         """counts: languages x buckets."""
-        self.langs, self.bits, self.penalty, self.most = langs, bits, penalty, most
+        self.langs, self.bits, self.penalty = langs, bits, penalty
         p = (counts + alpha) / (counts.sum(1, keepdims=True) + alpha * counts.shape[1])
         self.log = np.ascontiguousarray(np.log(p).T.astype(np.float32))
 
@@ -79,7 +79,7 @@ class Mixture:
         full = self.em(lik, doc, cut, n, np.ones((len(n), lik.shape[1]), np.float32), 8)
         rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1, kind="stable")
         best, value = None, None
-        for k in range(1, min(self.most, lik.shape[1]) + 1):
+        for k in range(1, lik.shape[1] + 1):
             use = (rank < k).astype(np.float32)
             pi = use if k == 1 else self.em(lik, doc, cut, n, use, 5)
             got = ll(np.maximum(pi, 1e-9)) - self.penalty * (k - 1) * np.log(n + 1.0)

@@ -263,6 +263,14 @@ def test_language_held_out(spark, sf, edge):
     assert langid.predicted(edge, langid.learn(docs.limit(0))).count() == len(EDGE)
 
 
+def test_language_sets_of_more_than_four():
+    m = langid.Mixture(list("abcdef"), np.ones((6, 4)), 2)
+    lik = np.full((600, 6), 1e-6, np.float32)
+    lik[np.arange(600), np.minimum(np.arange(600) // 95, 5)] = 1  # six languages, 95 words each, the last 125
+    top, share = m.fit(lik, np.array([600]))
+    assert top[0] == 5 and abs(share[0] - 125 / 600) < 0.01
+
+
 def test_packing_round_trip(spark, sf, edge):
     from tokenizers import Tokenizer
 
