@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,27 +16,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only on a local master, where there is one machine."""
     sc = spark.sparkContext
     named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="stratagrid-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """``df`` written once to the shared folder and read back, so that a lost executor costs a re-read and not the lineage.
 
-    The files go when the driver's JVM ends.
+    The files go with :func:`free`, at the latest when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    fs, p = _path(spark, path)
+    fs.deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def free(*cuts: DataFrame) -> None:
+    """Delete the files of cuts that nothing reads any more."""
+    for df in cuts:
+        fs, p = _path(df.sparkSession, df._cut_at)
+        fs.delete(p, True)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """rid and the whole row as one struct column ``row``, written once: a row's number then stays the same for
+    every reader, and no column of ``docs`` can meet one of an operator's own."""
+    return cut(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "rows")
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:

@@ -8,41 +8,51 @@ sequence is one shingle, without words the set is empty and linked with nothing.
    and the seed changes should two sets ever share a name.
 2. Sizes fall into bands of ratio ``ratio``. A set signs for its own band and, if it is large enough to
    link with a set of the next band, for that one. In a band two linked sets differ in at most k elements,
-   k following from the band's largest size. The shingle domain is dealt into n1 = ceil((k + 1) / 2) parts of
-   ``sub`` pieces (three; two make fewer but far weaker signatures); one part holds at most one of
-   the differences, so all its pieces but one are alike. All subsets that leave one piece out are enumerated
-   for each part, and a signature is the hash of band, part, subset and
-   of the set's elements there. Linked sets share at least one signature.
-3. A signature held by several classes names its least class as leader. Each class is first verified with
-   the least of its leaders within the bounds (exact intersection of the sets), then with the others that lie in another
-   component; what still lies outside the largest component of a leader's group is verified with all of the
-   group in other components. So no link between components is lost, while a large group of copies costs
-   about one verification each and never all its pairs. Before sets are compared, a pair must pass two exact
-   bounds: on the sizes, and on a parity sketch of 2048 bits, whose distance never exceeds the sets'.
+   k following from the band's largest size. The shingle domain is dealt into n1 = k // 2 + g parts of
+   ``sub`` pieces (three; two make fewer but far weaker signatures); at least g parts hold at most one of
+   the differences, so all their pieces but one are alike. All subsets that leave one piece out are enumerated
+   for each part, and a signature is the hash of band, part, subset and of the set's elements there. Linked
+   sets share at least one signature. A subset without elements tells nothing, so a set signs for such
+   subsets only if at least g of its parts have one (in fewer, one of the g alike parts has none).
+3. Signatures travel packed, by bucket: six bytes each beside their class. Classes of one batch that share a
+   signature send it once, under their least; the others follow by a join, which splits where a signature
+   is hot. A signature held by several classes names its least class as leader.
+4. Each class is first verified with the leader nearest by sketch; then, round by round, each pair of components that
+   leaders still connect has its nearest pairs verified. What lies in other components than the largest of a
+   leader's group meets the others in blocks. So no link between components is lost, while a large group of
+   copies costs about one verification each and never all its pairs. Before texts are compared, a pair must
+   pass two exact bounds: on the sizes, and on a parity sketch of 2048 bits, whose distance never exceeds the
+   sets'. Verification compares the shingles themselves, word for word.
 
 Defined cases: null text is empty; a null doc_id has its class's component (null if the class has no id);
 repeated rows are copies; ties don't occur; an empty table gives an empty result; other columns are ignored.
 
-Scale: sets are made where the text is read; signatures (about a quarter of the shingles) are combined
-before they are shuffled; full sets are made again only for classes that share a signature.
+Scale: sets are made where the text is read; the texts of classes that share a signature are shuffled once
+and then again for the pairs that are verified; each intermediate result is deleted after its last reader.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .common import cut, only, table
+from .common import cut, free, numbered, only, table
 from .graph import components
 
 SPACE = ~K.byte_class((0x20, 0x20), (0x09, 0x0D))
+WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 SKETCH = 2048
+UNIT = 1 << 21  # signatures that a task packs at a time
+BUCKET = 1 << 22  # about so many signatures in a bucket
+PASS = 400_000  # words of a text from which its shingles are compared in several passes
 
 
 @dataclass(frozen=True)
@@ -54,8 +64,8 @@ class Scheme:
     sub: int = 3  # pieces of a part; a signature leaves one of them out
     seed: int = 0
 
-    def bands(self, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Least and largest size of each band, its parts, and the size from which the band below signs here."""
+    def bands(self, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Least and largest size of each band, its parts, the alike parts among them, and the size from which the band below signs here."""
         lo, hi = [1], []
         ratio = max(self.ratio, self.den / self.num)
         while True:
@@ -65,7 +75,8 @@ class Scheme:
             lo.append(hi[-1] + 1)
         low, high = np.array(lo, np.int64), np.array(hi, np.int64)
         k = (self.den - self.num) * 2 * high // (self.den + self.num)
-        return low, high, -(-(k + 1) // 2), -(-self.num * low // self.den)
+        alike = 1 + k // 16
+        return low, high, k // 2 + alike, alike, -(-self.num * low // self.den)
 
     def sets(self, data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
         """The sorted set of each document."""
@@ -86,7 +97,7 @@ class Scheme:
     def signatures(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """All signatures one set after another, and where each set's begin."""
         size = np.array([len(x) for x in sets], np.int64)
-        low, high, parts, below = self.bands(int(size.max(initial=1)) * self.den // self.num + 1)  # sets linked with these may lie elsewhere
+        low, high, parts, alike, below = self.bands(int(size.max(initial=1)) * self.den // self.num + 1)  # sets linked with these may lie elsewhere
         band = np.searchsorted(high, size)
         up = (band + 1 < len(low)) & (size >= below[np.minimum(band + 1, len(low) - 1)])
         each = np.where(size > 0, 1 + up, 0)
@@ -94,8 +105,8 @@ class Scheme:
         second = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
         inst_band = band[owner] + second
         n1 = parts[inst_band]
-        base = np.cumsum(self.sub * n1) - self.sub * n1
-        cells = int((self.sub * n1).sum())
+        first = np.cumsum(n1) - n1
+        total = int(n1.sum())
         # elements of each instance
         flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
         begin = np.cumsum(size) - size
@@ -103,22 +114,23 @@ class Scheme:
         el = flat[np.repeat(begin[owner] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
         inst = np.repeat(np.arange(len(owner)), m)
         part = ((el >> np.uint64(32)) % n1[inst].astype(np.uint64)).astype(np.int64)
-        third = ((el & np.uint64(0xFFFFFFFF)) % np.uint64(self.sub)).astype(np.int64)
-        cell = base[inst] + self.sub * part + third
+        piece = ((el & np.uint64(0xFFFFFFFF)) % np.uint64(self.sub)).astype(np.int64)
+        cell = self.sub * (first[inst] + part) + piece
         v = K.mix(el + np.uint64(0x51ED270B))
-        lo = np.bincount(cell, (v & np.uint64(0xFFFFFFFF)).astype(np.float64), cells).astype(np.uint64)
-        hi = np.bincount(cell, (v >> np.uint64(32)).astype(np.float64), cells).astype(np.uint64)
+        lo = np.bincount(cell, (v & np.uint64(0xFFFFFFFF)).astype(np.float64), self.sub * total).astype(np.uint64)
+        hi = np.bincount(cell, (v >> np.uint64(32)).astype(np.float64), self.sub * total).astype(np.uint64)
         t = (lo + (hi << np.uint64(32))).reshape(-1, self.sub)  # sums modulo 2 ** 64: both halves are exact in doubles
         whole = t.sum(1)
-        place = np.arange(cells // self.sub) - np.repeat(base // self.sub, n1)
+        held = np.bincount(cell, minlength=self.sub * total).reshape(-1, self.sub)
+        bare = held.sum(1)[:, None] == held  # the other pieces hold nothing
+        place = np.arange(total) - np.repeat(first, n1)
         tag = K.mix((np.repeat(inst_band, n1).astype(np.uint64) << np.uint64(40)) + (place.astype(np.uint64) << np.uint64(2)))
-        sig = np.stack([K.mix((whole - t[:, q]) ^ (tag + np.uint64(q))) for q in range(self.sub)], 1).reshape(-1)
-        per = np.bincount(owner, self.sub * n1, len(sets)).astype(np.int64)
-        return sig, np.concatenate([[0], np.cumsum(per)])
-
-    def linked(self):
-        """Condition on columns na, nb, inter."""
-        return F.expr(f"{self.den} * inter >= {self.num} * (na + nb - inter)")
+        sig = np.stack([K.mix((whole - t[:, q]) ^ (tag + np.uint64(q))) for q in range(self.sub)], 1)
+        of = np.repeat(np.arange(len(owner)), n1)
+        poor = np.bincount(of, bare.any(1), len(owner)) >= alike[inst_band]
+        keep = ~bare | poor[of][:, None]
+        per = np.bincount(owner[of], keep.sum(1), len(sets)).astype(np.int64)
+        return sig[keep], np.concatenate([[0], np.cumsum(per)])
 
 
 def names(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -143,128 +155,353 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _made(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """doc_id, rid, n, key, key2, sketch and the array of signatures for each row."""
+    """doc_id, rid, n, key, key2 for each row of (doc_id, rid, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, offs in K.chunks(b.column(2)):
                 sets = scheme.sets(data, offs)
-                sig, at = scheme.signatures(sets)
                 k1, k2 = names(sets)
-                sk = sketches(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i).cast(pa.int64()), b.column(1).slice(i, j - i), pa.array([len(x) for x in sets], pa.int64()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))]
-                    + [pa.FixedSizeListArray.from_arrays(pa.array(sk.reshape(-1)), sk.shape[1]).cast(pa.list_(pa.int64()))]
-                    + [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(sig.view(np.int64)))],
-                    names=["doc_id", "rid", "n", "key", "key2", "sk", "sigs"],
+                    [b.column(0).slice(i, j - i).cast(pa.int64()), b.column(1).slice(i, j - i), pa.array([len(x) for x in sets], pa.int64()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))],
+                    names=["doc_id", "rid", "n", "key", "key2"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, rid long, n long, key long, key2 long, sk array<long>, sigs array<long>")
+    return docs.mapInArrow(run, "doc_id long, rid long, n long, key long, key2 long")
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]]))
+
+
+def _packed(docs: DataFrame, scheme: Scheme, buckets: int) -> DataFrame:
+    """Signatures of the texts, packed by bucket: the classes, how many signatures of each follow, and these (47 bits
+    and whether other classes of the unit have it too, as 4 and 2 bytes). Rows with a negative bucket hold what
+    these stand for: leader, class and signature."""
+    ddl = "bucket int, keys binary, counts binary, lo binary, hi binary"
+
+    def flush(keys: list[np.ndarray], sigs: list[np.ndarray], owns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, sig, own = np.sort(np.concatenate(keys)), np.concatenate(sigs), np.concatenate(owns)
+        rank = np.searchsorted(key, own).astype(np.uint32)
+        home = ((sig & np.uint64(0x1FFFF)) % np.uint64(buckets)).astype(np.int64)
+        code = (sig >> np.uint64(17)) << np.uint64(1)
+        by = np.argsort(sig)
+        sig, rank, home, code = sig[by], rank[by], home[by], code[by]
+        at = _runs(sig)
+        n = np.diff(np.concatenate([at, [len(sig)]]))
+        lead = np.minimum.reduceat(rank, at) if len(at) else rank
+        follow = np.flatnonzero((np.repeat(n, n) > 1) & (rank != np.repeat(lead, n)))
+        ident = (code[follow] << np.uint64(16)) | home[follow].astype(np.uint64)
+        leads = np.repeat(lead, n)[follow]
+        for a in range(0, len(follow), 1 << 16):
+            part = slice(a, a + (1 << 16))
+            spread = -1 - int(ident[a] % np.uint64(1 << 20))
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([spread], pa.int32()), "keys": [key[leads[part]].tobytes()], "counts": [b""], "lo": [key[rank[follow[part]]].tobytes()], "hi": [ident[part].tobytes()]})
+        code, home = code[at] | (n > 1).astype(np.uint64), home[at]
+        by = np.lexsort((lead, home))
+        code, home, lead = code[by], home[by], lead[by]
+        edge = _runs(home)
+        out = []
+        for a, z in zip(edge.tolist(), [*edge[1:].tolist(), len(home)]):
+            own_at = _runs(lead[a:z])
+            c = np.diff(np.concatenate([own_at, [z - a]])).astype("<u4")
+            out.append((int(home[a]), key[lead[a:z][own_at]].tobytes(), c.tobytes(), code[a:z].astype("<u4").tobytes(), (code[a:z] >> np.uint64(32)).astype("<u2").tobytes()))
+        for a in range(0, len(out), 500):
+            cols = list(zip(*out[a : a + 500]))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "keys", "counts", "lo", "hi"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, keys, sigs, owns, held = set(), [], [], [], 0
+        for b in batches:
+            for _, _, data, offs in K.chunks(b.column(0)):
+                sets = [x for x in scheme.sets(data, offs) if len(x)]
+                name = names(sets)[0].view(np.int64)
+                fresh = []
+                for i, k in enumerate(name.tolist()):
+                    if k not in seen:
+                        seen.add(k)
+                        fresh.append(i)
+                if not fresh:
+                    continue
+                sig, at = scheme.signatures([sets[i] for i in fresh])
+                keys.append(name[fresh])
+                sigs.append(sig)
+                owns.append(np.repeat(name[fresh], np.diff(at)))
+                held += len(sig)
+                if held >= UNIT:
+                    yield from flush(keys, sigs, owns)
+                    seen, keys, sigs, owns, held = set(), [], [], [], 0
+        if held:
+            yield from flush(keys, sigs, owns)
+
+    return docs.mapInArrow(run, ddl)
+
+
+def _met(packed: DataFrame) -> DataFrame:
+    """(kind, sig, a, b) from packed rows, those of a bucket one after another: 0 leader and class, 1 signature and leader, 2 signature, leader of a unit and class."""
+
+    def out(kind: int, sig: np.ndarray | None, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+        none = pa.nulls(len(a), pa.int64())
+        cols = [none if c is None else pa.array(c.view(np.int64)) for c in (sig, a, b)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *cols], names=["kind", "sig", "a", "b"])
+
+    def solve(bucket: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        key = np.concatenate([np.repeat(np.frombuffer(k, np.int64), np.frombuffer(c, "<u4")) for k, c, _, _ in held])
+        code = np.concatenate([np.frombuffer(lo, "<u4").astype(np.uint64) | (np.frombuffer(hi, "<u2").astype(np.uint64) << np.uint64(32)) for *_, lo, hi in held])
+        flag, code = (code & np.uint64(1)).astype(np.int8), code >> np.uint64(1)
+        by = np.argsort(code)
+        code, key, flag = code[by], key[by], flag[by]
+        at = _runs(code)
+        n = np.diff(np.concatenate([at, [len(code)]]))
+        lead = np.minimum.reduceat(key, at)
+        told = np.maximum.reduceat(flag, at) > 0
+        yield out(1, (code[at][told] << np.uint64(17)) | np.uint64(bucket), lead[told], None)
+        a = np.repeat(lead, n)
+        some = np.flatnonzero(a != key)
+        a, b = a[some], key[some]
+        by = np.lexsort((b, a))
+        a, b = a[by], b[by]
+        new = np.concatenate([np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        yield out(0, None, a[new], b[new])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for b in batches:
+            for k in range(b.num_rows):
+                bucket, *row = (b.column(c)[k].as_py() for c in range(5))
+                if bucket < 0:
+                    yield out(2, np.frombuffer(row[3], np.uint64), np.frombuffer(row[0], np.int64), np.frombuffer(row[2], np.int64))
+                    continue
+                if bucket != at and held:
+                    yield from solve(at, held)
+                    held = []
+                at = bucket
+                held.append(row)
+        if held:
+            yield from solve(at, held)
+
+    return packed.mapInArrow(run, "kind int, sig long, a long, b long")
 
 
-def _sets(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """key and set of each row of (rid, text)."""
+def _sketched(docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """key, n, sk (the sketch) and text of each row of (key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, data, offs in K.chunks(b.column(1)):
+            for i, j, data, offs in K.chunks(b.column(1)):
                 sets = scheme.sets(data, offs)
-                at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-                flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
-                yield pa.RecordBatch.from_arrays([pa.array(names(sets)[0].view(np.int64)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64)))], names=["key", "elements"])
+                sk = sketches(sets)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(i, j - i), pa.array([len(x) for x in sets], pa.int64()), pa.array([r.tobytes() for r in sk], pa.binary()), b.column(1).slice(i, j - i).cast(pa.string())],
+                    names=["key", "n", "sk", "text"],
+                )
+
+    return docs.mapInArrow(run, "key long, n long, sk binary, text string")
+
+
+def words_of(text: str) -> list[bytes]:
+    return WORDS.findall(text.encode().translate(K.LOWER.tobytes()))
+
+
+def shingles(w: list[bytes], n: int, part: int = 0, parts: int = 1) -> set[tuple]:
+    got = zip(*(w[j:] for j in range(n))) if len(w) >= n else [tuple(w)]
+    return set(got) if parts == 1 else {t for t in got if hash(t) % parts == part}
+
 
-    return docs.mapInArrow(run, "key long, elements array<long>")
+def _checked(pairs: DataFrame, scheme: Scheme) -> DataFrame:
+    """a, b, ra, rb of the pairs (a, b, ra, rb, ta, tb) that link; those of one ``a`` follow each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, wa, sa = None, [], set()
+        for b in batches:
+            good = []
+            for k, a in enumerate(b.column(0).to_pylist()):
+                if a != last:
+                    last, wa = a, words_of(b.column(4)[k].as_py())
+                    sa = shingles(wa, scheme.n) if len(wa) <= PASS else None
+                wb = words_of(b.column(5)[k].as_py())
+                if sa is not None and len(wb) <= PASS:
+                    sb = shingles(wb, scheme.n)
+                    na, nb, both = len(sa), len(sb), len(sa & sb)
+                else:  # long texts in several passes, so that few shingles are held at a time
+                    na = nb = both = 0
+                    parts = max(len(wa), len(wb)) // PASS + 1
+                    for p in range(parts):
+                        x, y = shingles(wa, scheme.n, p, parts), shingles(wb, scheme.n, p, parts)
+                        na, nb, both = na + len(x), nb + len(y), both + len(x & y)
+                if scheme.den * both >= scheme.num * (na + nb - both):
+                    good.append(k)
+            yield b.select([0, 1, 2, 3]).take(pa.array(good, pa.int64()))
+
+    return pairs.select("a", "b", "ra", "rb", "ta", "tb").mapInArrow(run, "a long, b long, ra long, rb long")
+
+
+def _met_in_blocks(blocks: DataFrame, scheme: Scheme, take: int) -> DataFrame:
+    """Pairs of two blocks of one group that the bounds allow: for each two components the ``take`` nearest, and whether there are more.
+
+    ``blocks``: x and y, lists of (node, root, n, sk, out); a pair needs a node outside the group's largest component.
+    """
+
+    def columns(rows: list[dict]) -> tuple:
+        num = lambda c: np.array([r[c] for r in rows], np.int64)
+        return num("node"), num("root"), num("n"), np.frombuffer(b"".join(r["sk"] for r in rows), "<u8").reshape(len(rows), -1), np.array([r["out"] for r in rows])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                x, rx, nx, sx, ox = columns(b.column(0)[r].as_py())
+                y, ry, ny, sy, oy = columns(b.column(1)[r].as_py())
+                ok = ox[:, None] & (rx[:, None] != ry) & (~oy | (x[:, None] < y))
+                ok &= np.minimum(nx[:, None], ny) * scheme.den >= np.maximum(nx[:, None], ny) * scheme.num
+                i, j = np.nonzero(ok)
+                far = np.zeros(len(i), np.int64)
+                for q in range(0, sx.shape[1]):
+                    far += np.bitwise_count(sx[i, q] ^ sy[j, q])
+                near = far * (scheme.den + scheme.num) <= (scheme.den - scheme.num) * (nx[i] + ny[j])
+                i, j, far = i[near], j[near], far[near]
+                u, v = np.minimum(rx[i], ry[j]), np.maximum(rx[i], ry[j])
+                by = np.lexsort((y[j], x[i], far, v, u))
+                i, j, far, u, v = i[by], j[by], far[by], u[by], v[by]
+                at = np.flatnonzero(np.concatenate([np.ones(min(1, len(u)), bool), (u[1:] != u[:-1]) | (v[1:] != v[:-1])]))
+                n = np.diff(np.concatenate([at, [len(u)]]))
+                first = np.arange(len(u)) - np.repeat(at, n) < take
+                yield pa.RecordBatch.from_arrays([pa.array(x[i][first]), pa.array(y[j][first]), pa.array(far[first]), pa.array(np.repeat(n > take, n)[first])], names=["a", "b", "far", "more"])
+
+    return blocks.select("x", "y").mapInArrow(run, "a long, b long, far long, more boolean")
 
 
 def link(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
-    """doc_id, rid, n_shingles, component_id, and whether the row is the one that represents its component."""
-    scheme = scheme or Scheme()
-    src = only(docs, "doc_id", "text").select("doc_id", F.monotonically_increasing_id().alias("rid"), "text")
+    """doc_id, n_shingles and component_id of each row."""
+    return link_rows(numbered(only(docs, "doc_id", "text")), scheme or Scheme()).drop("rid", "represents")
+
+
+def link_rows(rows: DataFrame, scheme: Scheme) -> DataFrame:
+    """doc_id, rid, n_shingles, component_id, and whether the row is the one that represents its component; ``rows``: see common.numbered."""
+    src = rows.select(F.col("row.doc_id").alias("doc_id"), "rid", F.col("row.text").alias("text"))
     while True:
-        base = cut(_made(src, scheme), "signed")
+        base = cut(_made(src, scheme), "named")
         classes = base.where("n > 0").groupBy("key").agg(F.min("key2").alias("k2"), F.max("key2").alias("k3"), F.min("rid").alias("rid"))
         if classes.where("k2 <> k3").isEmpty():
             break
+        free(base)
         scheme = replace(scheme, seed=scheme.seed + 1)
+    spark = rows.sparkSession
+    total = base.agg(F.sum("n").alias("n")).first()["n"] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    buckets = min(1 << 16, max(parts, total // BUCKET))
+    packed = _packed(src.select("text").where("text IS NOT NULL"), scheme, buckets)
+    met = cut(_met(packed.repartition(parts, "bucket").sortWithinPartitions("bucket")), "met")
+    lead = met.where("kind = 1").select("sig", F.col("a").alias("lead"))
+    unit = met.where("kind = 2").join(lead, "sig").select("lead", F.col("b").alias("node")).where("lead <> node")
+    star = cut(met.where("kind = 0").select(F.col("a").alias("lead"), F.col("b").alias("node")).unionAll(unit).distinct(), "star")
+    free(met)
 
-    sigs = base.where("n > 0").select("key", F.explode("sigs").alias("sig"))
-    live = sigs.groupBy("sig").agg(F.min("key").alias("lead"), F.max("key").alias("last")).where("lead <> last").select("sig", "lead")
-    star = cut(sigs.join(live, "sig").where("key <> lead").select("lead", F.col("key").alias("node")).distinct(), "star")
-
-    meta_cols = ["n", "sk"]
     near = star.select(F.col("lead").alias("key")).unionAll(star.select(F.col("node").alias("key"))).distinct()
-    reps = cut(near.join(classes.select("key", "rid"), "key"), "reps")
-    meta = cut(base.join(reps.select("rid"), "rid").select("key", *meta_cols), "meta")
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        """key and elements of the classes in (a, b), made again from one text of each."""
-        need = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
-        rids = reps.join(need, "key", "left_semi").select("rid")
-        return cut(_sets(src.select("rid", "text").join(rids, "rid"), scheme), "sets")
+    reps = near.join(classes.select("key", "rid"), "key")
+    cls = cut(_sketched(src.join(reps, "rid").select("key", "text"), scheme), "classes")
+    meta = cls.select("key", "n", "sk")
+    root = cut(cls.select(F.col("key").alias("node"), F.col("key").alias("root")), "roots")
 
     def side(x: str) -> DataFrame:
-        return meta.select(F.col("key").alias(x), *[F.col(c).alias(f"{c}{x}") for c in meta_cols])
-
-    def bounds(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that the sizes and the parity sketches allow."""
-        far = F.aggregate(F.zip_with("ska", "skb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-        most = (scheme.den - scheme.num) * (F.col("na") + F.col("nb"))
-        sizes = (F.least("na", "nb") * scheme.den >= F.greatest("na", "nb") * scheme.num) & (far * (scheme.den + scheme.num) <= most)
-        return pairs.where(sizes)
-
-    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Those of (a, b, na, nb) that link."""
-        p = pairs.select("a", "b", "na", "nb")
-        p = p.join(sets.select(F.col("key").alias("b"), F.col("elements").alias("eb")), "b").join(sets.select(F.col("key").alias("a"), F.col("elements").alias("ea")), "a")
-        return p.withColumn("inter", F.size(F.array_intersect("ea", "eb"))).where(scheme.linked()).select("a", "b")
-
-    near_pairs = star.select(F.col("lead").alias("a"), F.col("node").alias("b")).join(side("a"), "a").join(side("b"), "b")
-    near_pairs = cut(bounds(near_pairs).select("a", "b", "na", "nb"), "pairs")
-    sets = sets_of(near_pairs)
-    first = near_pairs.groupBy("b").agg(F.min_by(F.struct("a", "na", "nb"), "a").alias("f")).select("b", "f.a", "f.na", "f.nb")
-    edges = cut(verified(first, sets), "links")
-    root = components(edges)
+        return meta.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("sk").alias(f"sk{x}"))
+
+    def bounded(pairs: DataFrame) -> DataFrame:
+        """a, b and far (distance of the sketches) of the pairs that the bounds allow."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                na, nb = b.column(2).to_numpy(), b.column(4).to_numpy()
+                sa, sb = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u8").reshape(b.num_rows, -1) for c in (3, 5))
+                far = np.bitwise_count(sa ^ sb).sum(1, dtype=np.int64)
+                ok = (np.minimum(na, nb) * scheme.den >= np.maximum(na, nb) * scheme.num) & (far * (scheme.den + scheme.num) <= (scheme.den - scheme.num) * (na + nb))
+                at = pa.array(np.flatnonzero(ok))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(far[ok])], names=["a", "b", "far"])
+
+        full = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "ska", "nb", "skb")
+        return full.mapInArrow(run, "a long, b long, far long")
 
     def rooted(df: DataFrame, x: str, out: str) -> DataFrame:
-        r = root.select(F.col("node").alias(x), F.col("root").alias("_r"))
-        return df.join(r, x, "left").withColumn(out, F.coalesce("_r", x)).drop("_r")
-
-    rest = near_pairs.join(first.select("a", "b"), ["a", "b"], "left_anti")
-    more = cut(verified(rooted(rooted(rest, "a", "ra"), "b", "rb").where("ra <> rb"), sets), "links")
-    if not more.isEmpty():
-        edges = edges.unionAll(more)
-        root = components(edges)
-
-    # groups of a leader that still hold several components: what is outside the largest meets the others
-    group = star.unionAll(star.select("lead", F.col("lead").alias("node")).distinct())
-    group = cut(rooted(group, "node", "r"), "groups")
-    shares = group.groupBy("lead", "r").agg(F.count(F.lit(1)).alias("c"))
-    tops = shares.groupBy("lead").agg(F.max_by("r", F.struct("c", "r")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("lead", "top")
-    open_ = cut(group.join(tops, "lead").withColumn("out", F.col("r") != F.col("top")).select("lead", "node", "r", "out").join(meta.withColumnRenamed("key", "node"), "node"), "open")
-    x = open_.where("out AND node <> lead").select("lead", F.col("node").alias("a"), F.col("r").alias("ra"), *[F.col(c).alias(f"{c}a") for c in meta_cols])
-    y = open_.where("node <> lead").select("lead", F.col("node").alias("b"), F.col("r").alias("rb"), F.col("out").alias("outb"), *[F.col(c).alias(f"{c}b") for c in meta_cols])
-    pairs = cut(bounds(x.join(y, "lead").where("ra <> rb AND (NOT outb OR a < b)")).select("a", "b", "na", "nb").distinct(), "pairs")
-    if not pairs.isEmpty():
-        last = cut(verified(pairs, sets_of(pairs)), "links")
-        if not last.isEmpty():
-            root = components(edges.unionAll(last))
-
-    rows = base.select("doc_id", "rid", "n", "key")
-    rows = rooted(rows, "key", "_root")
-    heads = rows.where("n > 0").groupBy("_root").agg(F.min("doc_id").alias("_c"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("_h"))
-    rows = rows.join(heads, "_root", "left")
+        return df.join(root.select(F.col("node").alias(x), F.col("root").alias(out)), x)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        text = lambda x: cls.select(F.col("key").alias(x), F.col("text").alias(f"t{x}"))
+        return _checked(pairs.select("a", "b", "ra", "rb").join(text("b"), "b").join(text("a"), "a"), scheme)
+
+    def merge(links: DataFrame) -> None:
+        """Components of the roots that ``links`` (ra, rb) connect become one."""
+        nonlocal root
+        new = components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        if new is None:
+            return
+        old = root
+        root = cut(old.join(new.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select("node", F.coalesce("_to", "root").alias("root")), "roots")
+        free(old, new)
+
+    def settle(pairs: DataFrame) -> None:
+        """Verify pairs (a, b, far) until none is left between different components, the nearest of each two components first."""
+        take = 1
+        while True:
+            open_ = cut(rooted(rooted(pairs, "a", "ra"), "b", "rb").where("ra <> rb"), "between")
+            if open_.isEmpty():
+                free(open_)
+                return
+            place = W.partitionBy(F.least("ra", "rb"), F.greatest("ra", "rb")).orderBy("far", "a", "b")
+            chosen = cut(open_.withColumn("_k", F.row_number().over(place)).where(F.col("_k") <= take).drop("_k"), "chosen")
+            links = cut(verified(chosen), "links")
+            merge(links)
+            pairs = open_.join(chosen.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "far")
+            free(links)
+            take *= 16
+
+    pairs = cut(bounded(star.select(F.col("lead").alias("a"), F.col("node").alias("b"))), "pairs")
+    first = pairs.groupBy("b").agg(F.min(F.struct("far", "a")).alias("f")).select(F.col("f.a").alias("a"), "b", F.col("f.a").alias("ra"), F.col("b").alias("rb"))
+    links = cut(verified(first), "links")
+    merge(links)
+    free(links)
+    settle(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti"))
+    free(pairs)
+
+    # groups of a leader that still hold several components: what is outside the largest meets the others, in blocks
+    take = 4
+    while True:
+        group = cut(rooted(star.unionAll(star.select("lead", F.col("lead").alias("node")).distinct()), "node", "root"), "groups")
+        shares = group.groupBy("lead", "root").agg(F.count(F.lit(1)).alias("c"))
+        tops = shares.groupBy("lead").agg(F.max(F.struct("c", "root")).alias("t"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("size")).where("k > 1").select("lead", F.col("t.root").alias("top"), "size")
+        member = group.join(tops, "lead").join(meta.withColumnRenamed("key", "node"), "node").where("node <> lead")
+        member = member.select("lead", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / 256)).alias("blk"), F.struct("node", "root", "n", "sk", (F.col("root") != F.col("top")).alias("out")).alias("m"))
+        blocks = cut(member.groupBy("lead", "blk").agg(F.collect_list("m").alias("m"), F.max("m.out").alias("out")), "blocks")  # about 256 rows each
+        both = blocks.where("out").select("lead", F.col("m").alias("x")).join(blocks.select("lead", F.col("m").alias("y")), "lead")
+        found = cut(_met_in_blocks(both, scheme, take), "pairs")
+        free(blocks, group)
+        settle(found.groupBy("a", "b").agg(F.min("far").alias("far")))
+        more = not found.where("more").isEmpty()
+        free(found)
+        if not more:
+            break
+        take *= 16
+
+    out = base.select("doc_id", "rid", "n", "key").join(root.select(F.col("node").alias("key"), F.col("root").alias("_r")), "key", "left").withColumn("_root", F.coalesce("_r", "key"))
+    heads = out.where("n > 0").groupBy("_root").agg(F.min("doc_id").alias("_c"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("_h"))
+    out = out.join(heads, "_root", "left")
     alone = F.col("n") == 0
-    return rows.select("doc_id", "rid", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("_c")).alias("component_id"), (alone | (F.col("rid") == F.col("_h.rid"))).alias("represents"))
+    out = cut(out.select("doc_id", "rid", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("_c")).alias("component_id"), (alone | (F.col("rid") == F.col("_h.rid"))).alias("represents")), "linked")
+    free(base, star, cls, root)
+    return out
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return link(table(spark, sf_dir, "documents"))
+
+
+SCHEME = Scheme(5, 80, 100, ratio=1.4)  # of the pipeline: five words, similarity 0.8
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group (five words, similarity 0.8): the one with the smallest doc_id."""
-    kept = link(docs, Scheme(5, 80, 100, ratio=1.6)).where("represents").select(F.col("rid").alias("_rid"))
-    return docs.withColumn("_rid", F.monotonically_increasing_id()).join(kept, "_rid").select(*[f"`{c}`" for c in docs.columns])
+    rows = numbered(docs)
+    kept = link_rows(rows, SCHEME).where("represents").select("rid")
+    return rows.join(kept, "rid", "left_semi").select("row.*")
 
 
 SQL = r"""

@@ -7,7 +7,7 @@ Everything works on the UTF-8 bytes of whole texts; a chunk is a run of whole do
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,8 @@ CHUNK = 2 << 20
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -38,36 +40,33 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@lru_cache(maxsize=2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
-    out = []
-    for base in (int(_P), pow(int(_P), -1, 1 << 64)):
-        p = np.ones(n, np.uint64)
-        k = 1
-        while k < n:
-            p[k : 2 * k] = p[:k] * np.uint64(pow(base, k, 1 << 64))
-            k *= 2
-        out.append(p)
-    return out[0], out[1]
-
-
-def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Running polynomial sums S and inverse powers: bytes [s, e) hash to (S[e] - S[s]) * inv[s], wherever they stand."""
-    n = len(data)
-    p, inv = _powers(max(21, int(n).bit_length()))
-    s = np.empty(n + 1, np.uint64)
-    s[0] = 0
-    v = data.astype(np.uint64)
-    v += np.uint64(1)
-    v *= p[:n]
-    np.cumsum(v, out=s[1:])
-    return s, inv
+LONG = 512  # bytes from which a span is hashed on its own
 
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    s, inv = prefix_hash(data)
-    return mix((s[ends] - s[starts]) * inv[starts])
+    """A hash of the bytes [start, end) of each span, wherever it stands.
+
+    Eight bytes at a time go through a multiply-and-fold round that depends on all before them, so no
+    regular text cancels out as it would in a sum over the bytes; long spans go to BLAKE2.
+    """
+    left = np.asarray(ends - starts, np.int64)
+    h = mix(left.astype(np.uint64) + np.uint64(0x2545F4914F6CDD1D))
+    lanes = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    own = np.flatnonzero(left > LONG)
+    if len(own):
+        raw = data.tobytes()
+        h[own] = [int.from_bytes(blake2b(raw[a:b], digest_size=8).digest(), "little") for a, b in zip(starts[own].tolist(), ends[own].tolist())]
+    live = np.flatnonzero((left > 0) & (left <= LONG))
+    at, left = starts[live], left[live]
+    while len(live):
+        v = lanes[at] & _TAIL[np.minimum(left, 8)]
+        x = (h[live] ^ v) * _P
+        x ^= x >> np.uint64(32)
+        x *= _M1
+        h[live] = x ^ (x >> np.uint64(29))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return mix(h)
 
 
 def text_buffers(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

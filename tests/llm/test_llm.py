@@ -90,7 +90,7 @@ def test_nearest_with_bad_rows_ties_and_lengths(spark):
     assert knn.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("scheme", [jaccard.Scheme(), jaccard.Scheme(5, 80, 100, ratio=1.6, sub=2)])
+@pytest.mark.parametrize("scheme", [jaccard.Scheme(), jaccard.SCHEME, jaccard.Scheme(5, 80, 100, ratio=1.6, sub=2)])
 def test_jaccard_equals_brute_force(spark, scheme):
     rng = random.Random(4)
     base = [[rng.choice("abcdefghijklmnopqrstuvwxyz") + str(rng.randint(0, 99)) for _ in range(n)] for n in (4, 12, 40, 80, 200)]
@@ -120,9 +120,9 @@ def test_jaccard_equals_brute_force(spark, scheme):
     assert jaccard.link(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("scheme", [jaccard.Scheme(), jaccard.Scheme(5, 80, 100, ratio=1.6)])
+@pytest.mark.parametrize("scheme", [jaccard.Scheme(), jaccard.SCHEME, jaccard.Scheme(5, 80, 100, ratio=1.6)])
 def test_jaccard_links_across_bands_and_partitions(spark, scheme):
-    low, high, _, _ = scheme.bands(3000)
+    low, high, *_ = scheme.bands(3000)
     docs = []
     for b in (k for k in range(len(low) - 1) if 20 < high[k] < 1500):
         small = [f"b{b}w{i}" for i in range(high[b] - 1 + scheme.n - 1)]  # the largest of its partition, below its band's end
