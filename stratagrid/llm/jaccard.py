@@ -467,13 +467,18 @@ def link_rows(rows: DataFrame, scheme: Scheme) -> DataFrame:
     while True:
         group = cut(rooted(star.unionAll(star.select("lead", F.col("lead").alias("node")).distinct()), "node", "root"), "groups")
         shares = group.groupBy("lead", "root").agg(F.count(F.lit(1)).alias("c"))
-        tops = shares.groupBy("lead").agg(F.max(F.struct("c", "root")).alias("t"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("size")).where("k > 1").select("lead", F.col("t.root").alias("top"), "size")
+        tops = shares.groupBy("lead").agg(F.max(F.struct("c", "root")).alias("t"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("all")).where("k > 1").select("lead", F.col("t.root").alias("top"), "all", (F.col("all") - F.col("t.c")).alias("rest"))
         member = group.join(tops, "lead").join(meta.withColumnRenamed("key", "node"), "node").where("node <> lead")
-        member = member.select("lead", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / 256)).alias("blk"), F.struct("node", "root", "n", "sk", (F.col("root") != F.col("top")).alias("out")).alias("m"))
-        blocks = cut(member.groupBy("lead", "blk").agg(F.collect_list("m").alias("m"), F.max("m.out").alias("out")), "blocks")  # about 256 rows each
-        both = blocks.where("out").select("lead", F.col("m").alias("x")).join(blocks.select("lead", F.col("m").alias("y")), "lead")
+        member = cut(member.select("lead", "all", "rest", F.struct("node", "root", "n", "sk", (F.col("root") != F.col("top")).alias("out")).alias("m")), "members")
+
+        def blocked(rows: DataFrame, size: str, name: str) -> DataFrame:
+            """Lists of about 256 members of a group."""
+            blk = F.pmod(F.xxhash64("m.node"), F.ceil(F.col(size) / 256))
+            return rows.groupBy("lead", blk.alias("blk")).agg(F.collect_list("m").alias(name)).drop("blk")
+
+        both = blocked(member.where("m.out"), "rest", "x").join(blocked(member, "all", "y"), "lead")
         found = cut(_met_in_blocks(both, scheme, take), "pairs")
-        free(blocks, group)
+        free(member, group)
         settle(found.groupBy("a", "b").agg(F.min("far").alias("far")))
         more = not found.where("more").isEmpty()
         free(found)
