@@ -4,18 +4,20 @@
    bytes, among those after which ``gram`` bytes still lie in the window (the first of equals). Equal windows
    pick the same anchor, and the windows of one anchor are consecutive, so a document is a list of ranges:
    anchor key (hash of the gram) and class (hash of all the bytes that the range's windows cover). A key that
-   stands once in the corpus rules out its windows; a class that stands twice or more settles all of its.
-2. What is left are ranges whose key repeats and whose class doesn't, which is where copies begin, end or
-   differ. Their bytes, with one member of each settled class of the same key, go to one task for each batch
-   of keys: shards of them get a Burrows-Wheeler transform each, the transforms are merged by iterative
-   interleave refinement up to depth ``length``, and the blocks that hold two or more of the windows are the
-   repeated intervals (see ``bwt``). No suffix is sorted across shards.
-3. A key with more than ``crowd`` such ranges would be one large task. Its windows are told apart by 128-bit
-   digests instead, one row for each window, counted with combining before the shuffle.
-4. Spans are gathered for each document and applied to its bytes.
-
-Both hashes of step 1 and the digests are 64 to 128 bits; nothing else is approximate. Matches never cross
-documents; overlaps count; strings are judged on the input. Each repeated window is removed everywhere.
+   stands once in the corpus rules out its windows; ranges of one class are alike, so one of them stands for
+   all, with their number as its weight.
+2. The bytes of these go to one task for each batch of keys: shards of them get a Burrows-Wheeler transform
+   each, the transforms are merged by iterative interleave refinement up to depth ``length``, and the
+   intervals of windows with a common prefix of that length and a weight of two or more are the repeated ones
+   (see ``bwt``). No suffix is sorted across shards. Nothing else decides what goes.
+3. A key with more than ``crowd`` classes would be one large task. Its windows are dealt by where their anchor
+   stands in them, first sixteen places together, then, where that is still a crowd, one: equal windows stay
+   together, and the bytes that all windows of such a part share become part of its key. The parts are
+   classed, weighed and merged like others.
+4. Spans are carried to all ranges of their class, gathered for each document and applied to its bytes.
+
+Keys and classes are 64-bit hashes; nothing else is approximate. Matches never cross documents; overlaps
+count; strings are judged on the input. Each repeated window is removed everywhere.
 
 Defined cases: null text is empty; texts shorter than ``length`` stay whole; repeated rows repeat each other
 and lose all such bytes; doc_id may be null or repeated; an empty table gives an empty result; other columns
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import bwt
 from . import textkit as K
-from .common import cut, only, table
+from .common import cut, numbered, only, table
 
 PIECE = 4 << 20
 BATCH = 1 << 20  # bytes that one merge takes at a time; a key's ranges are at most as many as fill it
@@ -89,7 +91,7 @@ def pieces(data: np.ndarray, offs: np.ndarray, length: int) -> Iterator[tuple[np
 
 
 def _ranges(src: DataFrame, length: int, gram: int) -> DataFrame:
-    """rid, at (first window start << 16 | further windows), key, class of each range."""
+    """rid, at (first window start << 32 | further windows << 16 | from there to the anchor), key, class of each range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -100,33 +102,63 @@ def _ranges(src: DataFrame, length: int, gram: int) -> DataFrame:
                     if not len(s1):
                         continue
                     d = np.searchsorted(o, s1, "right") - 1
-                    at = ((s1 - o[d] + shift[d]) << 16) | (s2 - s1)
-                    s, inv = K.prefix_hash(part)
-                    key = K.mix((s[a + gram] - s[a]) * inv[a])
-                    cls = K.mix((s[s2 + length] - s[s1]) * inv[s1] + np.uint64(1))
+                    at = ((s1 - o[d] + shift[d]) << 32) | ((s2 - s1) << 16) | (a - s1)
+                    key, cls = K.span_hash(part, a, a + gram), K.mix(K.span_hash(part, s1, s2 + length) + (a - s1).astype(np.uint64))
                     yield pa.RecordBatch.from_arrays([pa.array(rid[doc[d]], pa.int64()), pa.array(at, pa.int64()), pa.array(key.view(np.int64)), pa.array(cls.view(np.int64))], names=["rid", "at", "key", "cls"])
 
     return src.mapInArrow(run, "rid long, at long, key long, cls long")
 
 
+BODY = "key long, cls long, rid long, at long, weight long, body binary"
+
+
 def _bytes_of(joined: DataFrame, length: int) -> DataFrame:
-    """rid, key, at, weight and the bytes of each wanted range; ``joined``: rid, text, want (key, at, weight)."""
+    """The bytes of each wanted range; ``joined``: rid, text, want (key, cls, at, weight)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
                 raw = b.column(1)[r].as_py().encode()
                 want = b.column(2)[r].as_py()
-                if want:
-                    at = [w["at"] for w in want]
-                    body = [raw[a >> 16 : (a >> 16) + (a & 0xFFFF) + length] for a in at]
-                    rid = b.column(0)[r].as_py()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([rid] * len(at), pa.int64()), pa.array([w["key"] for w in want], pa.int64()), pa.array(at, pa.int64()), pa.array([w["weight"] for w in want], pa.int64()), pa.array(body, pa.binary())],
-                        names=["rid", "key", "at", "weight", "body"],
-                    )
+                at = [w["at"] for w in want]
+                body = [raw[a >> 32 : (a >> 32) + (a >> 16 & 0xFFFF) + length] for a in at]
+                cols = [[w[c] for w in want] for c in ("key", "cls")] + [[b.column(0)[r].as_py()] * len(at), at, [w["weight"] for w in want]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(body, pa.binary())], names=["key", "cls", "rid", "at", "weight", "body"])
+
+    return joined.mapInArrow(run, BODY)
+
+
+def _parts(bodies: DataFrame, length: int, places: int) -> DataFrame:
+    """Ranges dealt by where the anchor stands in their windows, ``places`` together: key2, cls2, place (as of a range) and bytes of each part, and its first window in the range."""
 
-    return joined.mapInArrow(run, "rid long, key long, at long, weight long, body binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, _, _, at, _, body = (b.column(c).to_pylist() for c in range(6))
+            src, first, own, bytes_, lo, hi, group = [], [], [], [], [], [], []
+            for r, (a, x) in enumerate(zip(at, body)):
+                n, anchor = (a >> 16 & 0xFFFF) + 1, a & 0xFFFF
+                w = 0
+                while w < n:  # windows w to z - 1 have their anchor in one group of places
+                    g = (anchor - w) // places
+                    z = min(n, anchor - g * places + 1)
+                    src.append(r)
+                    first.append(w)
+                    own.append(((a >> 32) + w) << 32 | (z - 1 - w) << 16 | (anchor - w))
+                    bytes_.append(x[w : z - 1 + length])
+                    lo.append(anchor - g * places - w)  # what all windows of the group share begins and ends here
+                    hi.append(anchor - g * places - places + 1 + length - w)
+                    group.append(g)
+                    w = z
+            n = np.array([len(x) for x in bytes_], np.int64)
+            data, begin = np.frombuffer(b"".join(bytes_), np.uint8), np.cumsum(n) - n
+            of = np.array(src, np.int64)
+            h = K.span_hash(data, begin + np.array(lo, np.int64), begin + np.array(hi, np.int64))
+            key2 = K.mix(h ^ K.mix(np.array(key, np.int64)[of].view(np.uint64) + np.array(group, np.uint64)))
+            cls2 = K.mix(K.span_hash(data, begin, begin + n) + np.array(lo, np.int64).astype(np.uint64))
+            cols = [b.column(c).take(pa.array(of)) for c in range(5)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(key2.view(np.int64)), pa.array(cls2.view(np.int64)), pa.array(own, pa.int64()), pa.array(first, pa.int64()), pa.array(bytes_, pa.binary())], names=["key", "cls", "rid", "at", "weight", "key2", "cls2", "at2", "first", "body"])
+
+    return bodies.mapInArrow(run, "key long, cls long, rid long, at long, weight long, key2 long, cls2 long, at2 long, first long, body binary")
 
 
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,90 +168,72 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _merged(rows: DataFrame, length: int, batch: int = BATCH) -> DataFrame:
-    """Spans (rid, lo, hi) that repeated windows cover; rows of one key stand together."""
-
-    def solve(keys, rid, at, weight, body):
-        again = bwt.repeated(body, [(a & 0xFFFF) + 1 for a in at], weight, length)
-        out = [[], [], []]
-        for r, a, w, f in zip(rid, at, weight, again):
-            if w == 1:
-                lo, hi = runs(f)
-                for x, y in zip(lo.tolist(), hi.tolist()):
-                    out[0].append(r)
-                    out[1].append((a >> 16) + x)
-                    out[2].append((a >> 16) + y - 1 + length)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["rid", "lo", "hi"])
+    """key, cls, rid, at, weight and runs s to e - 1 of repeated windows; rows of one key stand together."""
+
+    def solve(key, cls, rid, at, weight, body):
+        again = bwt.repeated(body, [len(x) - length + 1 for x in body], weight, length)
+        src, out = [], [[], []]
+        for k, f in enumerate(again):
+            for col, v in zip(out, runs(f)):
+                col += v.tolist()
+            src += [k] * (len(out[0]) - len(src))
+        cols = [pa.array(np.array(c, np.int64)[src] if src else [], pa.int64()) for c in (key, cls, rid, at, weight)]
+        return pa.RecordBatch.from_arrays(cols + [pa.array(c, pa.int64()) for c in out], names=["key", "cls", "rid", "at", "weight", "s", "e"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], [], []]
+        held: list[list] = [[] for _ in range(6)]
         size = 0
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in (1, 0, 2, 3, 4))):
+            for row in zip(*(b.column(c).to_pylist() for c in range(6))):
                 if size >= batch and row[0] != held[0][-1]:
                     yield solve(*held)
-                    held, size = [[], [], [], [], []], 0
+                    held, size = [[] for _ in range(6)], 0
                 for col, v in zip(held, row):
                     col.append(v)
-                size += len(row[4])
+                size += len(row[5])
         if held[0]:
             yield solve(*held)
 
-    return rows.mapInArrow(run, "rid long, lo long, hi long")
-
+    return rows.mapInArrow(run, "key long, cls long, rid long, at long, weight long, s long, e long")
 
-def _digests(rows: DataFrame, length: int) -> DataFrame:
-    """rid, place, weight and two digests of every window of the ranges."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rid, at, weight = (b.column(c).to_pylist() for c in (0, 2, 3))
-            body = b.column(4).to_pylist()
-            for i in range(0, len(rid), 512):
-                part = range(i, min(i + 512, len(rid)))
-                data = np.frombuffer(b"".join(body[k] for k in part), np.uint8)
-                n = np.array([len(body[k]) for k in part])
-                m = n - length + 1
-                start = np.repeat(np.cumsum(n) - n - (np.cumsum(m) - m), m) + np.arange(m.sum())
-                place = np.repeat(np.array([at[k] >> 16 for k in part]) - (np.cumsum(m) - m), m) + np.arange(m.sum())
-                s, inv = K.prefix_hash(data)
-                d1 = K.mix((s[start + length] - s[start]) * inv[start])
-                s2, _ = K.prefix_hash(data ^ np.uint8(0xA5))
-                half = K.mix((s2[start + length // 2] - s2[start]) * inv[start])
-                d2 = K.mix(half * np.uint64(31) + K.mix((s2[start + length] - s2[start + length // 2]) * inv[start + length // 2]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.array([rid[k] for k in part], np.int64), m)), pa.array(place, pa.int64()), pa.array(np.repeat(np.array([weight[k] for k in part], np.int64), m)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))],
-                    names=["rid", "place", "weight", "d1", "d2"],
-                )
-
-    return rows.mapInArrow(run, "rid long, place long, weight long, d1 long, d2 long")
+def _solved(bodies: DataFrame, length: int, crowd: int, places: tuple[int, ...]) -> DataFrame:
+    """key, cls, rid, at, weight, s and e as of :func:`_merged`, for bodies in any order."""
+    crowds = bodies.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    together = lambda df: _merged(df.repartition("key").sortWithinPartitions("key"), length)
+    if not places:
+        return together(bodies)
+    crowds = cut(crowds.where(F.col("c") > crowd).select("key"), "crowds")
+    if crowds.isEmpty():
+        return together(bodies)
+    parts = cut(_parts(bodies.join(crowds, "key", "left_semi").select(*bodies.columns), length, places[0]), "parts")
+    sums = parts.groupBy("key2", "cls2").agg(F.sum("weight").alias("weight"), F.min(F.struct("rid", "at2")).alias("m"))
+    one = parts.join(sums.select("key2", "cls2", "m", F.col("weight").alias("sum")), ["key2", "cls2"]).where((F.col("rid") == F.col("m.rid")) & (F.col("at2") == F.col("m.at2")))
+    one = cut(one.select(F.col("key2").alias("key"), F.col("cls2").alias("cls"), "rid", F.col("at2").alias("at"), F.col("sum").alias("weight"), "body"), "bodies")
+    got = _solved(one, length, crowd, places[1:]).select(F.col("key").alias("key2"), F.col("cls").alias("cls2"), "s", "e")
+    back = parts.drop("body").join(got, ["key2", "cls2"]).select("key", "cls", "rid", "at", "weight", (F.col("first") + F.col("s")).alias("s"), (F.col("first") + F.col("e")).alias("e"))
+    return together(bodies.join(crowds, "key", "left_anti").select(*bodies.columns)).unionAll(back)
 
 
 def spans(src: DataFrame, length: int = 200, gram: int = 64, crowd: int = 3000) -> DataFrame:
     """(rid, lo, hi): spans whose union is what repeated ``length``-byte strings cover; ``src``: rid, text."""
     rows = _ranges(src, length, gram)
-    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("total"), F.min("cls").alias("c1"), F.max("cls").alias("c2")).where("total > 1")
-    hit = cut(rows.join(keys.select("key", (F.col("c1") == F.col("c2")).alias("one")), "key"), "ranges")
-    whole = lambda df: df.select("rid", F.shiftright("at", 16).alias("lo"), (F.shiftright("at", 16) + F.col("at").bitwiseAND(0xFFFF) + length).alias("hi"))
-    mixed = hit.where("NOT one")
-    classes = mixed.groupBy("key", "cls").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("rid", "at")).alias("m"))
-    classes = cut(classes, "classes")
-    settled = mixed.join(classes.where("weight > 1").select("key", "cls"), ["key", "cls"], "left_semi")
-    # one member of each class, with how often the class stands: single members are open
-    want = classes.select("key", "weight", F.col("m.rid").alias("rid"), F.col("m.at").alias("at"))
-    per_doc = want.groupBy("rid").agg(F.collect_list(F.struct("key", "at", "weight")).alias("want"))  # a document's own ranges
+    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("key")
+    hit = cut(rows.join(keys, "key"), "ranges")
+    want = hit.groupBy("key", "cls").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("rid", "at")).alias("m"))
+    want = want.select("key", "cls", "weight", F.col("m.rid").alias("rid"), F.col("m.at").alias("at"))  # one range of each class
+    per_doc = want.groupBy("rid").agg(F.collect_list(F.struct("key", "cls", "at", "weight")).alias("want"))  # a document's own ranges
     bodies = cut(_bytes_of(src.join(per_doc, "rid").select("rid", "text", "want"), length), "bodies")
-    crowds = bodies.groupBy("key").agg(F.count(F.lit(1)).alias("c")).withColumn("big", F.col("c") > crowd).select("key", "big")
-    split = bodies.join(crowds, "key").select("rid", "key", "at", "weight", "body", "big")
-    found = _merged(split.where("NOT big").drop("big").repartition("key").sortWithinPartitions("key"), length)
-    dig = cut(_digests(split.where("big").drop("big"), length), "digests")
-    twice = dig.groupBy("d1", "d2").agg(F.sum("weight").alias("n")).where("n > 1").select("d1", "d2")
-    counted = dig.where("weight = 1").join(twice, ["d1", "d2"], "left_semi").select("rid", F.col("place").alias("lo"), (F.col("place") + length).alias("hi"))
-    return whole(hit.where("one")).unionAll(whole(settled)).unionAll(found).unionAll(counted)
+    found = cut(_solved(bodies, length, crowd, (16, 1)), "found")
+    start = lambda at: F.shiftright(at, 32)
+    span = lambda df: df.select("rid", (start("at") + F.col("s")).alias("lo"), (start("at") + F.col("e") - 1 + length).alias("hi"))
+    all_of = hit.join(found.where("weight > 1").select("key", "cls", "s", "e"), ["key", "cls"])
+    return span(found.where("weight = 1")).unionAll(span(all_of))
 
 
 def dedup(docs: DataFrame, length: int = 200, gram: int = 64, crowd: int = 3000, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row; with ``texts`` also what is kept, as bytes."""
-    src = only(docs, "doc_id", "text").select("doc_id", F.monotonically_increasing_id().alias("rid"), F.coalesce("text", F.lit("")).alias("text"))
+    src = numbered(only(docs, "doc_id", "text")).select(F.col("row.doc_id").alias("doc_id"), "rid", F.coalesce("row.text", F.lit("")).alias("text"))
     got = spans(src.select("rid", "text"), length, gram, crowd)
     # at most a span for each of a document's ranges and windows runs
     per_doc = got.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts"))
