@@ -4,10 +4,13 @@ A document is its lines (split at line feeds) and each line stands as one unit,
 ``long_words`` words or more. Of every ``window`` consecutive units the least hash is selected (the last of
 equals); the selected positions are the fingerprints, and any two documents that share ``window`` units in a
 row share one (with the production window of 2: two lines, or one long line). Fingerprints that stand once
-are dropped; at the others the match is extended both ways, not against each partner but through the
-windows that overlap it: a window has its content's hash as key, and the first place in order of
-(doc_id, row, line) that a key has stays. Lines that a later window covers are deleted, so exactly the later
-repeats of a run of units go, the first stays whole, and no pair of documents is ever listed.
+are dropped. The positions of the others are joined, each with the first place in order of (doc_id, row,
+line) that holds the same units around the fingerprint, so a popular line costs one row for each of its
+places and never their pairs. Joined positions at one distance between the same two documents are
+extended both ways, through the windows that touch, to maximal runs, and the lines of a run go from the later
+document. So exactly the later repeats of a run of units go, and the first stays whole.
+
+Units are compared by 128-bit BLAKE2 digests of their bytes.
 
 Defined cases: null text stays null and has no lines; an empty text is one empty line; empty lines are
 units like others; a null doc_id comes last; repeated rows are later copies and lose their runs; a document
@@ -20,22 +23,24 @@ joined back by key, where AQE splits hot keys; spans are gathered for each docum
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import textkit as K
-from .common import cut, only, schema_of, table
+from .common import cut, numbered, only, schema_of, table
 
 NOT_LF = ~K.byte_class((10, 10))
 SPACE = ~K.byte_class((0x20, 0x20), (0x09, 0x0D))
 
 
 def units(data: np.ndarray, offs: np.ndarray, long_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unit hashes, their lines in the document, and where each document's units begin."""
+    """Digests of the units (two numbers each), their lines in the document, and where each document's units begin."""
     n_docs = len(offs) - 1
     feeds = np.flatnonzero(data == 10)
     d = np.searchsorted(offs, feeds, "right") - 1
@@ -46,7 +51,8 @@ def units(data: np.ndarray, offs: np.ndarray, long_words: int) -> tuple[np.ndarr
     starts, owner = starts[by], owner[by]
     last = np.concatenate([owner[1:] != owner[:-1], [True]]) if len(owner) else np.zeros(0, bool)
     ends = np.where(last, offs[1:][owner], np.concatenate([starts[1:], [0]])[: len(starts)] - 1)
-    h = K.span_hash(data, starts, ends)
+    raw = data.tobytes()
+    h = np.frombuffer(b"".join([blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(starts.tolist(), ends.tolist())]), "<u8").reshape(-1, 2)
     w, _, _ = K.word_spans(data, offs, SPACE)
     words = np.searchsorted(w, ends) - np.searchsorted(w, starts)
     first = np.searchsorted(owner, np.arange(n_docs + 1))
@@ -54,12 +60,12 @@ def units(data: np.ndarray, offs: np.ndarray, long_words: int) -> tuple[np.ndarr
     twice = 1 + (words >= long_words)
     at = np.repeat(np.arange(len(h)), twice)
     second = np.concatenate([[False], at[1:] == at[:-1]]) if len(at) else np.zeros(0, bool)
-    u = np.where(second, K.mix(h[at] + np.uint64(0xABCDEF)), h[at])
+    u = np.where(second[:, None], K.mix(h[at] + np.uint64(0xABCDEF)), h[at])
     return u, line[at], np.concatenate([[0], np.cumsum(twice)])[first]
 
 
-def winnow(u: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start of each window, its selected place, its document, hash of its units)."""
+def winnow(u: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start of each window, its selected place, its document)."""
     n = np.diff(first) - window + 1
     own = np.flatnonzero(n > 0)
     c = n[own]
@@ -69,84 +75,93 @@ def winnow(u: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, n
         v = u[start + j]
         up = v <= low
         pick, low = np.where(up, start + j, pick), np.where(up, v, low)
-    return start, pick, np.repeat(own, c), K.gram_hash(u, window)[start] if len(start) else np.zeros(0, np.uint64)
+    return start, pick, np.repeat(own, c)
 
 
 def _windows(src: DataFrame, window: int, long_words: int) -> DataFrame:
-    """rid, doc_id, lo, hi (first and last line of each window), print (selected unit), at (its place), key."""
+    """rid, doc_id, lo, hi (first and last line of each window), print (selected unit), at (its place), key and key2 (digest of its units)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, data, offs in K.chunks(b.column(2)):
                 u, line, first = units(data, offs, long_words)
-                s, p, d, g = winnow(u, first, window)
+                s, p, d = winnow(u[:, 0], first, window)
+                keys = [K.gram_hash(np.ascontiguousarray(u[:, k]), window)[s].view(np.int64) if len(s) else np.zeros(0, np.int64) for k in (0, 1)]
+                own = pa.array(d)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i).take(pa.array(d)), b.column(1).slice(i, j - i).cast(pa.int64()).take(pa.array(d)), pa.array(line[s], pa.int64()), pa.array(line[s + window - 1] if len(s) else s, pa.int64()), pa.array(u[p].view(np.int64)), pa.array(p - first[d], pa.int64()), pa.array(g.view(np.int64))],
-                    names=["rid", "doc_id", "lo", "hi", "print", "at", "key"],
+                    [b.column(0).slice(i, j - i).take(own), b.column(1).slice(i, j - i).cast(pa.int64()).take(own), pa.array(line[s], pa.int32()), pa.array(line[s + window - 1] if len(s) else s, pa.int32()), pa.array(u[p, 0].view(np.int64)), pa.array(p - first[d], pa.int64()), *map(pa.array, keys)],
+                    names=["rid", "doc_id", "lo", "hi", "print", "at", "key", "key2"],
                 )
 
-    return src.mapInArrow(run, "rid long, doc_id long, lo long, hi long, print long, at long, key long")
+    return src.mapInArrow(run, "rid long, doc_id long, lo int, hi int, print long, at long, key long, key2 long")
 
 
-def deduped(docs: DataFrame, window: int = 2, long_words: int = 8) -> DataFrame:
-    """The rows of ``docs`` with later repeated runs gone from ``text``, and columns _lines, _removed (numbers of lines)."""
-    src = docs.withColumn("_rid", F.monotonically_increasing_id())
-    w = _windows(src.where("text IS NOT NULL").select(F.col("_rid").alias("rid"), "doc_id", "text"), window, long_words)
+def extended(matches: list[dict]) -> list[tuple[int, int]]:
+    """First and last lines of the maximal runs that joined positions (lo, hi, from_rid, from_lo) make up."""
+    out: list[tuple[int, int]] = []
+    at = None
+    for side, lo, hi in sorted(((m["from_rid"], m["lo"] - m["from_lo"]), m["lo"], m["hi"]) for m in matches):
+        if side == at and lo <= out[-1][1] + 1:
+            out[-1] = out[-1][0], max(hi, out[-1][1])
+        else:
+            out.append((lo, hi))
+        at = side
+    return out
+
+
+def dedup_rows(rows: DataFrame, window: int = 2, long_words: int = 8) -> DataFrame:
+    """row (its text without the later repeated runs), n_lines and n_removed (numbers of lines); ``rows``: see common.numbered."""
+    src = rows.select("rid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text")).where("text IS NOT NULL")
+    w = _windows(src, window, long_words)
     # fingerprints that stand in more than one place; several windows may select one place
     ends = [f(c).alias(f"{n}{c}") for n, f in (("lo_", F.min), ("hi_", F.max)) for c in ("rid", "at")]
     prints = w.groupBy("print").agg(*ends).where("lo_rid <> hi_rid OR lo_at <> hi_at").select("print")
     near = cut(w.join(prints, "print", "left_semi").drop("print", "at"), "windows")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "rid", "lo")
-    heads = near.groupBy("key").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "head")
-    later = near.join(heads, "key").where((F.col("rid") != F.col("head.rid")) | (F.col("lo") != F.col("head.lo")))
-    spans = later.groupBy(F.col("rid").alias("_rid")).agg(F.collect_list(F.struct("lo", "hi")).alias("_cuts"))
-    joined = src.join(spans, "_rid", "left")
-    names = list(docs.columns)
-    out = T.StructType([*docs.schema.fields, *schema_of("_lines long, _removed long").fields])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    target, at = to_arrow_schema(out), names.index("text")
+    heads = near.groupBy("key", "key2").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "key2", "head")
+    later = near.join(heads, ["key", "key2"]).where((F.col("rid") != F.col("head.rid")) | (F.col("lo") != F.col("head.lo")))
+    spans = later.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi", F.col("head.rid").alias("from_rid"), F.col("head.lo").alias("from_lo"))).alias("matches"))
+    kind = T.StructType([rows.schema["row"], *schema_of("n_lines long, n_removed long").fields])
+    target = to_arrow_schema(kind)
+    names = rows.schema["row"].dataType.names
+    text_at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            fields = b.column(0).flatten()
             texts, n_lines, n_gone = [], [], []
-            for text, cuts in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist()):
-                if text is None:
-                    n_lines.append(0)
-                    n_gone.append(0)
-                    texts.append(None)
-                    continue
-                lines = text.split("\n")
+            for text, matches in zip(fields[text_at].to_pylist(), b.column(1).to_pylist()):
+                lines = [] if text is None else text.split("\n")
                 n_lines.append(len(lines))
-                if cuts:
-                    gone = np.zeros(len(lines) + 1, np.int64)
-                    for c in cuts:
-                        gone[c["lo"]] += 1
-                        gone[c["hi"] + 1] -= 1
-                    gone = np.cumsum(gone[:-1]) > 0
-                    text = "\n".join(x for x, g in zip(lines, gone) if not g)
-                    n_gone.append(int(gone.sum()))
-                else:
-                    n_gone.append(0)
-                texts.append(text)
-            cols = [pa.array(texts, target[at].type) if k == at else b.column(k) for k in range(len(names))]
-            cols += [pa.array(n_lines, pa.int64()), pa.array(n_gone, pa.int64())]
+                gone = np.zeros(len(lines), bool)
+                for lo, hi in extended(matches or []):
+                    gone[lo : hi + 1] = True
+                n_gone.append(int(gone.sum()))
+                texts.append("\n".join(x for x, g in zip(lines, gone) if not g) if n_gone[-1] else text)
+            fields[text_at] = pa.array(texts, fields[text_at].type)
+            cols = [pa.StructArray.from_arrays(fields, names=names), pa.array(n_lines, pa.int64()), pa.array(n_gone, pa.int64())]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, target)], schema=target)
 
-    return joined.select(*[f"`{c}`" for c in names], "_cuts").mapInArrow(run, out)
+    return rows.join(spans, "rid", "left").select("row", "matches").mapInArrow(run, kind)
+
+
+def deduped(docs: DataFrame, window: int = 2, long_words: int = 8) -> DataFrame:
+    """The rows of ``docs`` with later repeated runs gone from ``text``."""
+    return dedup_rows(numbered(docs), window, long_words).select("row.*")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = deduped(only(table(spark, sf_dir, "documents"), "doc_id", "text"))
-    return got.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    got = dedup_rows(numbered(only(table(spark, sf_dir, "documents"), "doc_id", "text")))
+    return got.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.col("row.text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without later repeats of runs of lines; n_chars follows where there is such a column."""
-    out = deduped(docs)
+    got = dedup_rows(numbered(docs))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+        chars = F.when(F.col("n_removed") > 0, F.length("row.text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+        got = got.withColumn("row", F.col("row").withField("n_chars", chars))
+    return got.select("row.*")
 
 
 SQL = r"""
