@@ -12,15 +12,16 @@ trained on the words of toxic documents whose document frequency is at least ``l
 one, for COVER training would otherwise spend itself on what both classes share.
 
 Learning uses a bounded sample of labelled documents (``sample_toxic`` and ``sample_ordinary``, the first by
-a hash of doc_id, of each at most ``sample_words`` distinct words) outside the held-out fold
+a hash of doc_id among those of at most ``sample_bytes`` bytes, each as a whole) outside the held-out fold
 crc32(doc_id) mod 5 = 0; in the logistic each document stands for as many as its class has labels for one
 sampled, so that 0.5 means the same at every number of labels. Scoring covers every window of every whole text. Lang, source and doc_id are no
 inputs of a score.
 
 Defined cases: null, empty and wordless texts have no windows and get the score of a document without toxic
 windows; null labels and labels of absent documents are ignored; a doc_id labelled twice counts with its
-larger label; with no toxic or no ordinary sample every score is the label's share; repeated documents are
-scored row by row; other columns are ignored.
+larger label, and rows of one labelled doc_id and text are learned from once; with no toxic or no ordinary
+sample every score is the label's share (0 without labels); repeated documents are scored row by row, so ties
+are equal rows; an empty table gives an empty result; other columns are ignored.
 
 Scale: scoring is one narrow pass, no shuffle; a worker keeps the gains of words met before in a table of
 bounded size, so that a word is compressed once and not at each occurrence.
@@ -178,7 +179,7 @@ def learn(texts: list[str], labels: list[int], window: int = 1, size: int = 8192
     return m
 
 
-def fit(docs: DataFrame, labels: DataFrame, window: int = 1, sample_toxic: int = 2000, sample_ordinary: int = 4000, sample_words: int = 20_000, size: int = 8192, lift: float = 8.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, window: int = 1, sample_toxic: int = 2000, sample_ordinary: int = 4000, sample_bytes: int = 1 << 15, size: int = 8192, lift: float = 8.0) -> Model:
     """Learn from the bounded sample of labelled documents outside the held-out fold."""
     lab = only(labels, "doc_id", "toxic").where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     lab = lab.where(fold("doc_id", 5) != 0)
@@ -187,21 +188,11 @@ def fit(docs: DataFrame, labels: DataFrame, window: int = 1, sample_toxic: int =
     h = F.xxhash64("doc_id")
     pick = [lab.where(c).orderBy(h, "doc_id").limit(n) for c, n in ((F.col("toxic") == 1, sample_toxic), (F.col("toxic") == 0, sample_ordinary))]
     chosen = pick[0].unionAll(pick[1])  # at most sample_toxic + sample_ordinary rows of two numbers
-
-    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for t in b.column(2).to_pylist():
-                w = words_of(t)
-                if len(w) > sample_words:  # a bound for the sample only
-                    w = w[:sample_words]
-                out.append(b" ".join(w))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), pa.array(out, pa.binary())], names=["doc_id", "toxic", "words"])
-
-    rows = only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(shorten, "doc_id long, toxic int, words binary")
-    got = sorted({(r["doc_id"], r["toxic"], bytes(r["words"])) for r in rows.collect()})
-    got.sort(key=lambda r: hash_order(r[0]))
-    return learn([r[2].decode(errors="replace") for r in got], [r[1] for r in got], window, size, lift, stands=stands)
+    short = only(docs, "doc_id", "text").where(F.octet_length("text") <= sample_bytes)
+    rows = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))  # one text for each label
+    got = [(r["doc_id"], r["toxic"], r["text"]) for r in rows.collect()]
+    got.sort(key=lambda r: (hash_order(r[0]), r[0]))
+    return learn([r[2] for r in got], [r[1] for r in got], window, size, lift, stands=stands)
 
 
 def hash_order(doc_id: int) -> int:
@@ -237,7 +228,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are not predicted toxic; the columns of ``docs``."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return scored(docs, model, tuple(docs.columns)).where("predicted = 0").select(*[f"`{c}`" for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return scored(rows, model, ("row",)).where("predicted = 0").select("row.*")
 
 
 QUERIES = {"op8_toxicity": op8_toxicity}
