@@ -8,11 +8,11 @@ logistic of the mean weight of a document's tokens and token shapes, so the scor
 labeller names. Given labels (of quality) are not used; they serve to measure.
 
 Bounds: the pattern table has at most 3 ** labellers rows; the scorer learns from ``sample`` documents, the
-first by a hash of doc_id and text length.
+first by a hash of doc_id and text among those of at most ``sample_bytes`` bytes; equal rows count once.
 
 Defined cases: null, empty and wordless texts are voted bad by the length labeller and get the scorer's
-value for a text without tokens; repeated documents are scored row by row; a null doc_id is scored like any;
-with an empty table nothing is learned and nothing returned; other columns are ignored.
+value for a text without tokens; repeated documents are scored row by row, so ties are equal texts; a null
+doc_id is scored like any and has its share of the sample; with an empty table nothing is learned and nothing returned; other columns are ignored.
 
 Scale: two narrow passes over whole texts (votes with their pattern counts; scores), no shuffle but that of
 the pattern counts.
@@ -230,7 +230,7 @@ def voted(docs: DataFrame, bits: int = 15) -> DataFrame:
     return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, votes long, n_votes int")
 
 
-def train(docs: DataFrame, sample: int = 6000, bits: int = 15) -> tuple[LabelModel | None, Scorer]:
+def train(docs: DataFrame, sample: int = 6000, bits: int = 15, sample_bytes: int = 1 << 15) -> tuple[LabelModel | None, Scorer]:
     """The label model from all documents' votes, and the scorer from the posteriors of a bounded sample."""
     seen = voted(docs).groupBy("votes").agg(F.count(F.lit(1)).alias("n")).toArrow()  # at most 3 ** labellers rows
     scorer = Scorer(bits)
@@ -238,22 +238,26 @@ def train(docs: DataFrame, sample: int = 6000, bits: int = 15) -> tuple[LabelMod
         return None, scorer
     model = em(pattern(seen["votes"].to_numpy(), len(LABELLERS)), seen["n"].to_numpy().astype(float))
     size = F.coalesce(F.octet_length("text"), F.lit(0))
-    ranked = only(docs, "doc_id", "text").select("doc_id", "text", F.xxhash64("doc_id", size).alias("_h"))
-    edge = ranked.select("_h").orderBy("_h").limit(sample).agg(F.max("_h").alias("h")).first()["h"]  # one number
-    chosen = ranked.where(F.col("_h") <= edge).select("text")
+    hashed = only(docs, "doc_id", "text").where(size <= sample_bytes).select("text", F.xxhash64("doc_id", "text").alias("_h"))
+    edge = hashed.select("_h").distinct().orderBy("_h").limit(sample).agg(F.max("_h").alias("h")).first()["h"]  # one number; null if all texts are longer
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            for _, _, data, offs in K.chunks(b.column(0)):
+            for i, j, data, offs in K.chunks(b.column(0)):
                 k, first = scorer.buckets(data, offs)
                 p = model.posterior(votes(data, offs))
                 rows = []
-                for a, z in zip(first[:-1].tolist(), first[1:].tolist()):
-                    col, n = np.unique(k[a:z].reshape(-1), return_counts=True)
-                    rows.append((col.astype("<i4").tobytes(), (n / max(1, z - a)).astype("<f4").tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array(p)], names=["c", "v", "p"])
-
-    got = chosen.mapInArrow(run, "c binary, v binary, p double").collect()  # `sample` rows, but for equal hashes, of at most 2 ** bits buckets
+                for h, a, z, q in zip(b.column(1).slice(i, j - i).to_pylist(), first[:-1].tolist(), first[1:].tolist(), p.tolist()):
+                    if h not in seen:
+                        seen.add(h)
+                        col, n = np.unique(k[a:z].reshape(-1), return_counts=True)
+                        rows.append((h, col.astype("<i4").tobytes(), (n / max(1, z - a)).astype("<f4").tobytes(), q))
+                cols = list(zip(*rows)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.float64()))], names=["h", "c", "v", "p"])
+
+    chosen = hashed.where(F.col("_h") <= F.lit(edge)).mapInArrow(run, "h long, c binary, v binary, p double")
+    got = chosen.dropDuplicates(["h"]).collect()  # at most `sample` rows, each of at most sample_bytes buckets
     got = sorted((bytes(r["c"]), bytes(r["v"]), r["p"]) for r in got)
     scorer.fit([(np.frombuffer(c, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for c, v, _ in got], np.array([p for *_, p in got]))
     return model, scorer
