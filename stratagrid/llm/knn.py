@@ -4,18 +4,21 @@ Vectors are quantised to int8 with a scale and a residual norm each. Candidates
 rows, queries in blocks of ``query_block``; a tile is one candidate block with one query block. A tile's
 int8 products give the distance of the quantised vectors, and the residual norms bound the true distance
 from both sides (triangle inequality). Pairs whose lower bound is above the query's k-th smallest upper
-bound, or above the k-th distance that its heap already holds, can't be answers; the rest are recomputed
+bound, or above the k-th distance known so far, can't be answers; the rest are recomputed
 on the original components in double precision and enter the query's heap of k (distance, id). Heaps of
 all tasks are merged at the end. No answer is lost, so recall is 1.
 
+The queries meet each other first, which bounds each query's k-th distance before it meets all rows.
+
 Defined cases: vectors that are null, zero, of length 0 or hold null or non-finite components, and rows
 with a null id, take no part; vectors of different lengths are not compared; rows with one id are one
 candidate at its smallest distance, and a repeated query id is answered once, from its first vector by
 value; a query has fewer rows if there are fewer candidates; ties go to the smaller id.
 
-Scale: candidate blocks are packed once from the scan's own partitions. Each meets every query block,
-which is the stated query set against all rows; the tiles are dealt over all tasks, a task keeps a heap of
-k for each query of its tiles, and per query only k rows for each task are shuffled.
+Scale: candidate blocks are packed once from the scan's own partitions and stay there. The queries go round
+in lots of at most ``lot`` rows, each broadcast to a pass over the candidates, so that what is sent is bounded
+and what is read is the table once for each lot; candidates are never shuffled. A task keeps a heap of k for
+each query of a lot, and of these only rows within the query's bound are shuffled.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, only, table
 
-BLOCK = "dim int, blk int, ids binary, vecs binary"
+BLOCK = "dim int, blk int, ids binary, vecs binary, bounds binary"
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,37 +56,48 @@ def int_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Row-wise Euclidean distances, components added in their order."""
-    s = np.zeros(len(q))
-    for j in range(q.shape[1]):
-        d = q[:, j] - c[:, j]
-        s += d * d
-    return np.sqrt(s)
+    with np.errstate(over="ignore"):
+        s = np.zeros(len(q))
+        for j in range(q.shape[1]):
+            d = q[:, j] - c[:, j]
+            s += d * d
+        out = np.sqrt(s)
+        odd = np.flatnonzero(~((out < 1e154) & (out > 1e-150)))  # squares that overflow or vanish are taken of scaled differences
+        if len(odd):
+            d = np.abs(q[odd] - c[odd])
+            top = d.max(1)
+            by = np.where((top > 0) & np.isfinite(top), top, 1.0)
+            out[odd] = np.where(np.isfinite(top), by * np.sqrt(((d / by[:, None]) ** 2).sum(1)), top)
+    return out
 
 
 class Heaps:
     """A heap of the k nearest (distance, id) for each query of one block."""
 
-    def __init__(self, k: int, ids: np.ndarray, x: np.ndarray):
-        self.k, self.ids, self.x = k, ids, x
+    def __init__(self, k: int, ids: np.ndarray, x: np.ndarray, bound: np.ndarray):
+        self.k, self.ids, self.x, self.bound = k, ids, x, bound
         self.codes, self.scale, self.rest = quantise(x)
         self.sq = self.scale**2 * (self.codes.astype(np.float64) ** 2).sum(1)
         self.heap: list[list[tuple[float, int]]] = [[] for _ in ids]
-        self.worst = np.full(len(ids), np.inf)
+        self.worst = bound.copy()
 
+    @np.errstate(over="ignore", invalid="ignore")
     def tile(self, ids: np.ndarray, x: np.ndarray, parts: tuple) -> None:
         codes, scale, rest, sq = parts
         cross = int_products(self.codes, codes) * (self.scale[:, None] * scale)
         mid = np.sqrt(np.maximum(self.sq[:, None] + sq - 2 * cross, 0))
-        slack = self.rest[:, None] + rest + 1e-9 * (np.sqrt(self.sq)[:, None] + np.sqrt(sq)) + 1e-300
+        slack = self.rest[:, None] + rest + 1e-9 * (np.sqrt(self.sq)[:, None] + np.sqrt(sq)) + 1e-150
         own = self.ids[:, None] == ids
-        upper = np.where(own, np.inf, mid + slack)
+        upper = np.where(own | np.isnan(mid), np.inf, mid + slack)
         n = min(self.k, len(ids)) - 1
         kth = np.partition(upper, n, axis=1)[:, n] if len(ids) > self.k else np.full(len(self.ids), np.inf)
-        live = (mid - slack <= np.minimum(kth, self.worst)[:, None]) & ~own
+        live = ~(mid - slack > np.minimum(kth, self.worst)[:, None]) & ~own  # what overflows bounds nothing
         r, c = np.nonzero(live)
         for lo in range(0, len(r), 1 << 18):
             i, j = r[lo : lo + (1 << 18)], c[lo : lo + (1 << 18)]
             d = exact(self.x[i], x[j])
+            close = d <= self.bound[i]
+            i, j, d = i[close], j[close], d[close]
             order = np.lexsort((ids[j], d, i))
             i, d, v = i[order], d[order], ids[j][order]
             first = np.concatenate([[True], i[1:] != i[:-1]])
@@ -105,7 +119,7 @@ class Heaps:
             heapq.heappush(h, item)
         elif item > h[0]:
             heapq.heapreplace(h, item)
-        self.worst[q] = -h[0][0] if len(h) == self.k else np.inf
+        self.worst[q] = -h[0][0] if len(h) == self.k else self.bound[q]
 
     def rows(self) -> Iterator[tuple[int, int, float]]:
         for q, h in zip(self.ids.tolist(), self.heap):
@@ -123,30 +137,29 @@ def fine_on(col: str):
     return F.forall(col, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False))) & F.coalesce(F.exists(col, lambda x: x != 0), F.lit(False))
 
 
-def blocks(vecs: DataFrame, rows: int, salt: int) -> DataFrame:
-    """One row for each block: ids and components as packed binaries. Ids within a block are unique."""
+def blocks(vecs: DataFrame, rows: int) -> DataFrame:
+    """One row for each block: ids, components and, if there, the column ``bound``, as packed binaries. Ids within a block are unique."""
+    bounded = "bound" in vecs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, dict[int, list]] = {}
+        held: dict[int, dict[int, tuple]] = {}
         made = 0
 
         def out(dim: int):
             nonlocal made
             ids, v = zip(*sorted(held.pop(dim).items()))
             made += 1
-            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "blk": pa.array([made], pa.int32()), "ids": [np.array(ids, "<i8").tobytes()], "vecs": [np.array(v, "<f8").tobytes()]})
+            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "blk": pa.array([made], pa.int32()), "ids": [np.array(ids, "<i8").tobytes()], "vecs": [np.array([x for x, _ in v], "<f8").tobytes()], "bounds": [np.array([y for _, y in v], "<f8").tobytes()]})
 
         for batch in batches:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            far = batch.column(2).to_pylist() if bounded else [np.inf] * batch.num_rows
+            for i, v, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), far):
                 part = held.setdefault(len(v), {})
-                if i in part:
-                    part[i] = min(part[i], v) if salt else part[i]
-                    if not salt and part[i] != v:
-                        yield out(len(v))
-                        held[len(v)] = {i: v}
-                else:
-                    part[i] = v
-                if len(held[len(v)]) >= rows:
+                if i in part and part[i][0] != v:
+                    yield out(len(v))
+                    part = held.setdefault(len(v), {})
+                part[i] = v, y
+                if len(part) >= rows:
                     yield out(len(v))
         for dim in list(held):
             yield out(dim)
@@ -154,44 +167,60 @@ def blocks(vecs: DataFrame, rows: int, salt: int) -> DataFrame:
     return vecs.mapInArrow(run, BLOCK)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vec: str = "embedding", block: int = 4096, query_block: int = 256) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` nearest rows of ``vectors`` for each row of ``queries``."""
-    spark = vectors.sparkSession
-    q0 = sound(queries, key, vec).groupBy("id").agg(F.min("v").alias("v"))
-    qb = cut(blocks(q0, query_block, 1).withColumn("qb", F.monotonically_increasing_id()), "queries")
-    n_q = [r["qb"] for r in qb.select("qb").collect()]  # one number for each block of queries
-    cand = cut(blocks(sound(vectors, key, vec), block, 0).withColumn("cb", F.monotonically_increasing_id()), "candidates")
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # a tile for each (candidate block, query block): every query is stated to meet every row
-    meets = F.explode(F.array(*[F.lit(x) for x in n_q]).cast("array<long>"))
-    tiles = cand.select(F.col("dim").alias("cdim"), "cb", F.col("ids").alias("cids"), F.col("vecs").alias("cvecs"), meets.alias("qb")).join(qb, "qb").where("dim = cdim")
-    tiles = tiles.select("qb", "dim", "ids", "vecs", "cb", "cids", "cvecs").repartition(tasks, "qb", "cb").sortWithinPartitions("qb", "cb")
+def _heaped(tiles: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score of each task's heaps; ``tiles``: dim, qb, ids, vecs, bounds, cids, cvecs, those of one candidate block together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, heaps = None, None
-
-        def out():
-            rows = list(heaps.rows())
-            cols = list(zip(*rows)) or [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "score"])
-
+        heaps: dict[int, Heaps] = {}
+        last, parts, x, i = None, (), None, None
         for batch in batches:
             for r in range(batch.num_rows):
-                qb_, dim, ids_, vecs, _, cids, cvecs = (batch.column(c)[r].as_py() for c in range(7))
-                if qb_ != at:
-                    if heaps is not None:
-                        yield out()
-                    at, heaps = qb_, Heaps(k, np.frombuffer(ids_, "<i8"), np.frombuffer(vecs, "<f8").reshape(-1, dim))
-                x, i = np.frombuffer(cvecs, "<f8").reshape(-1, dim), np.frombuffer(cids, "<i8")
-                codes, scale, rest = quantise(x)
-                heaps.tile(i, x, (codes, scale, rest, scale**2 * (codes.astype(np.float64) ** 2).sum(1)))
-        if heaps is not None:
-            yield out()
-
-    found = tiles.mapInArrow(run, "query_id long, vec_id long, score double")
+                dim, qb, cids, cvecs = (batch.column(c)[r].as_py() for c in (0, 1, 5, 6))
+                if qb not in heaps:
+                    ids, vecs, bounds = (batch.column(c)[r].as_py() for c in (2, 3, 4))
+                    heaps[qb] = Heaps(k, np.frombuffer(ids, "<i8"), np.frombuffer(vecs, "<f8").reshape(-1, dim), np.frombuffer(bounds, "<f8"))
+                if cids != last:
+                    last, x, i = cids, np.frombuffer(cvecs, "<f8").reshape(-1, dim), np.frombuffer(cids, "<i8")
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        codes, scale, rest = quantise(x)
+                        parts = codes, scale, rest, scale**2 * (codes.astype(np.float64) ** 2).sum(1)
+                heaps[qb].tile(i, x, parts)
+        for h in heaps.values():
+            cols = list(zip(*h.rows())) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "score"])
+
+    return tiles.mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     one = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    best = W.partitionBy("query_id").orderBy("score", "vec_id")  # at most k rows for each task of a query
-    return one.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    place = W.partitionBy("query_id").orderBy("score", "vec_id")  # at most k rows for each task of a query, and those within its bound
+    return one.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vec: str = "embedding", block: int = 4096, query_block: int = 256, lot: int = 16_384) -> DataFrame:
+    """query_id, rank, vec_id, score: the ``k`` nearest rows of ``vectors`` for each row of ``queries``."""
+    q0 = cut(sound(queries, key, vec).groupBy("id").agg(F.min("v").alias("v")).withColumn("lot", F.pmod(F.xxhash64("id"), F.lit(1 << 20))), "queries")
+    lots = max(1, -(-q0.count() // lot))
+    cand = cut(blocks(sound(vectors, key, vec), block), "candidates").select("dim", F.col("ids").alias("cids"), F.col("vecs").alias("cvecs"))
+
+    def meet(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+        """Each candidate block with each block of the queries ``rows``: a lot of bounded size, so it is broadcast; lengths must agree."""
+        qb = blocks(rows.select("id", "v", *(["bound"] if "bound" in rows.columns else [])).coalesce(1), query_block).select("dim", F.col("blk").alias("qb"), "ids", "vecs", "bounds")
+        tiles = candidates.join(F.broadcast(qb), "dim").select("dim", "qb", "ids", "vecs", "bounds", "cids", "cvecs")
+        return _heaped(tiles, k)
+
+    own = None
+    parts = []
+    for n in range(lots):
+        mine = q0.where((F.col("lot") % lots) == n)
+        others = blocks(mine.select("id", "v"), block).select("dim", F.col("ids").alias("cids"), F.col("vecs").alias("cvecs"))
+        near = _best(meet(mine, others), k).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
+        bounded = cut(mine.join(near, "id", "left").select("id", "v", F.coalesce("bound", F.lit(float("inf"))).alias("bound")), "bounds")
+        parts.append(meet(bounded, cand))
+    for x in parts:
+        own = x if own is None else own.unionAll(x)
+    return _best(own, k)
 
 
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
