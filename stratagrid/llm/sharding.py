@@ -4,7 +4,9 @@ Documents with equal texts form a group that stays together. Groups, largest fir
 loaded shard; a heap holds the loads. Groups of one size are interchangeable for this schedule, so the
 driver schedules the histogram of group sizes: for c groups of size s it takes the c least values of
 load + i * s (what the heap would pop), the bulk by a threshold and the last ones from the heap itself.
-The result, so many groups of a size to each shard, is handed out by rank within the size.
+The histogram comes to the driver in slices of ``slice_sizes`` sizes, largest first, and only the loads are
+carried from one to the next. The result, so many groups of a size to each shard, is written as a table and
+handed out by rank within the size.
 
 Defined cases: a null text has no bytes, so its document weighs 8, and null texts are one group, apart
 from empty ones; repeated rows are shards' rows like others; ties of load go to the smaller shard number;
@@ -19,17 +21,19 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterable
+from itertools import batched
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_len, cut, only, ranked, table
+from .common import byte_len, cut, free, only, ranked, table
 
 
-def schedule(sizes: Iterable[tuple[int, int]], shards: int) -> list[tuple[int, np.ndarray]]:
-    """For each (size, count), largest size first: how many go to each shard."""
-    load = np.zeros(shards, np.int64)
+def schedule(sizes: Iterable[tuple[int, int]], shards: int, load: np.ndarray | None = None) -> list[tuple[int, np.ndarray]]:
+    """For each (size, count), largest size first: how many go to each shard. ``load``: what the shards hold already, and then hold."""
+    load = np.zeros(shards, np.int64) if load is None else load
     out = []
     for size, count in sorted(sizes, reverse=True):
         take = np.zeros(shards, np.int64)
@@ -53,12 +57,8 @@ def schedule(sizes: Iterable[tuple[int, int]], shards: int) -> list[tuple[int, n
     return out
 
 
-def assign(docs: DataFrame, shards: int = 24, overhead: int = 8, max_sizes: int = 100_000) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard (null: the law is ``bytes``).
-
-    Above ``max_sizes`` distinct group sizes the histogram is made coarser (sizes rounded up to a step), so
-    that what reaches the driver stays bounded; loads then differ by at most a step more.
-    """
+def assign(docs: DataFrame, shards: int = 24, overhead: int = 8, slice_sizes: int = 50_000) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard (null: the law is ``bytes``)."""
     spark = docs.sparkSession
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     base = cut(
@@ -69,24 +69,23 @@ def assign(docs: DataFrame, shards: int = 24, overhead: int = 8, max_sizes: int
         "sizes",
     )
     groups = cut(base.groupBy("_g").agg(F.sum("size").alias("_s")), "groups")
-    step, distinct = 1, groups.select("_s").distinct().count()
-    while distinct > max_sizes:
-        step *= 2 if distinct < 4 * max_sizes else 16
-        distinct = groups.select(F.ceil(F.col("_s") / step)).distinct().count()
-    groups = groups.select("_g", (F.ceil(F.col("_s") / step) * step).cast("long").alias("_s"))
-    sizes = [(r["_s"], r["n"]) for r in groups.groupBy("_s").agg(F.count(F.lit(1)).alias("n")).collect()]  # at most max_sizes rows
-    where = {s: np.cumsum(take) for s, take in schedule(sizes, shards)}
-    sent = spark.sparkContext.broadcast(where)  # at most max_sizes x shards numbers
-
-    @F.pandas_udf("int")
-    def shard_of(size, rank):
-        import pandas as pd
-
-        ends = sent.value
-        return pd.Series([int(np.searchsorted(ends[s], r, "right")) for s, r in zip(size.tolist(), rank.tolist())], dtype="int32")
-
-    placed = ranked(groups, ["_s"], ["_g"], "_r").select("_g", shard_of("_s", "_r").alias("shard"))
+    histogram = cut(groups.groupBy("_s").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("_s")), "histogram")
+    load = np.zeros(shards, np.int64)
+    ends = []
+    for part in batched(histogram.orderBy(F.desc("_s")).toLocalIterator(), slice_sizes):
+        took = schedule([(r["_s"], r["n"]) for r in part], shards, load)
+        sums = np.cumsum([take for _, take in took], axis=1)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, shards), pa.int32()), pa.array(sums.reshape(-1)))
+        ends.append(cut(spark.createDataFrame(pa.table({"_s": pa.array([s for s, _ in took], pa.int64()), "_ends": lists})), "ends"))
+    if not ends:  # no documents
+        ends = [spark.createDataFrame([], "_s long, _ends array<long>")]
+    where = ends[0]
+    for x in ends[1:]:
+        where = where.unionAll(x)
+    shard = F.size(F.filter("_ends", lambda e: e <= F.col("_r"))).cast("int")
+    placed = ranked(groups, ["_s"], ["_g"], "_r").join(where, "_s").select("_g", shard.alias("shard"))
     rows = cut(base.join(placed, "_g").drop("_g"), "placed")
+    free(base, groups, histogram)
     out = ranked(rows, ["shard"], ["doc_id", "text_crc32", "size"], "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
