@@ -13,8 +13,9 @@ no part; rows of one item_id are one item, the union of their windows; repeated
 row by row; other columns of either table are ignored.
 
 Scale: one narrow pass over the documents, no shuffle. The patterns travel in the task closure only while
-they stay under ``max_pattern_mb``; a larger benchmark is searched in blocks of items, and the per-row
-partial hits (spans, not texts) of the blocks are merged.
+they stay under ``max_pattern_mb`` of text (about forty times that in the driver and in each worker); a larger
+benchmark is searched in blocks of items, and the per-row partial hits (spans, not texts) of the blocks are
+merged.
 """
 
 from __future__ import annotations
@@ -134,7 +135,7 @@ def scan_chunk(data: np.ndarray, offs: np.ndarray, groups: list[Patterns]):
     return np.diff(first), np.diff(run[first]), hits, run, first, s, e
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[str, ...] = ("doc_id",), max_pattern_mb: int = 32) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[str, ...] = ("doc_id",), max_pattern_mb: int = 4) -> DataFrame:
     """``keep`` columns, n_words, n_hit, n_items, items (sorted as strings), items_sha256 and contaminated for each document row."""
     items = only(benchmark, "item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
@@ -211,10 +212,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, window: int = 10, max_pattern_mb: int = 32) -> DataFrame:
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, window: int = 10, max_pattern_mb: int = 4) -> DataFrame:
     """Documents without any benchmark window; the columns of ``docs``."""
-    found = find(docs, table(spark, sf_dir, "benchmark"), window, tuple(c for c in docs.columns), max_pattern_mb)
-    return found.where(~F.col("contaminated")).select(*[f"`{c}`" for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return find(rows, table(spark, sf_dir, "benchmark"), window, ("row",), max_pattern_mb).where(~F.col("contaminated")).select("row.*")
 
 
 SQL = r"""
