@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def label(mask: DataFrame, width: int, rounds: int = 10_000) -> DataFrame:
+def label(mask: DataFrame, width: int) -> DataFrame:
     """4-connected components of ``m``: stack, y, x, label (from 1, in raster order of first pixels; 0 outside).
 
     Least-place propagation: row runs collapse first (one window), then every run takes the least name of the
@@ -24,7 +27,7 @@ def label(mask: DataFrame, width: int, rounds: int = 10_000) -> DataFrame:
     e = runs.join(below, ["stack", "y", "x"]).select("stack", F.col("run").alias("a"), F.col("other").alias("b")).distinct()
     e = cut(e.unionAll(e.select("stack", F.col("b").alias("a"), F.col("a").alias("b"))))
     names = cut(runs.select("stack", "run", F.col("run").alias("name")).distinct())
-    for _ in range(rounds):
+    while True:
         near = e.join(names.select("stack", F.col("run").alias("b"), "name"), ["stack", "b"]).groupBy("stack", F.col("a").alias("run")).agg(F.min("name").alias("_n"))
         step = names.join(near, ["stack", "run"], "left").select("stack", "run", "name", F.least("name", F.coalesce("_n", "name")).alias("new"))
         # the name is itself a run: jump to where that run already points
@@ -40,13 +43,17 @@ def label(mask: DataFrame, width: int, rounds: int = 10_000) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Lineage cut in the shared checkpoint folder."""
-    import tempfile
+    """Lineage cut in the shared checkpoint folder; a temporary one only on a local master, where there is one machine.
 
+    Spark deletes a checkpoint's files with its last reader where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="stratagrid-"))
+        if not named:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            named = tempfile.mkdtemp(prefix="stratagrid-")
+        sc.setCheckpointDir(named)
     return df.checkpoint()
 
 

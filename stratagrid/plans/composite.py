@@ -177,9 +177,9 @@ def f9(spark, d):
     return M.sharp_mask(fx, 50, governance=True)
 
 
-@book.add("m2_select", with_views("rgb", f"f4 AS (SELECT stack, frame, y, x, abs(r) + abs(g) + abs(b) AS v FROM rgb WHERE frame < 6), {lines('f4', [(k - 3, w) for k, w in enumerate(P.gaussian_kernel(1.0))], 'x', 'h1')}, {lines('h1', [(k - 3, w) for k, w in enumerate(P.gaussian_kernel(1.0))], 'y', 'h2')}, w AS (SELECT stack, y, x, arg_max(frame, (v, -frame)) AS frame FROM h2 GROUP BY stack, y, x) SELECT stack, y, x, frame, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b FROM w JOIN rgb USING (stack, frame, y, x)", cte=True))
+@book.add("m2_select", with_views("rgb", f"f4 AS MATERIALIZED (SELECT stack, frame, y, x, abs(r) + abs(g) + abs(b) AS v FROM rgb), {lines('f4', [(k - 3, w) for k, w in enumerate(P.gaussian_kernel(1.0))], 'x', 'h1')}, {lines('h1', [(k - 3, w) for k, w in enumerate(P.gaussian_kernel(1.0))], 'y', 'h2')}, w AS (SELECT stack, y, x, arg_max(frame, (v, -frame)) AS frame FROM h2 GROUP BY stack, y, x) SELECT stack, y, x, frame, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b FROM w JOIN rgb USING (stack, frame, y, x)", cte=True))
 def m2(spark, d):
-    s = M.select(V.rgb_stack(spark, d, holes=False).where("frame < 6"), 1.0)
+    s = M.select(V.rgb_stack(spark, d, holes=False), 1.0)
     return s.select(*PX, "frame", *[r6(F.col(c)).alias(c) for c in "rgb"])
 
 
@@ -214,12 +214,12 @@ def m9(spark, d):
     return M.merge(t, m).select(*PX, *[r6(F.col(c)).alias(c) for c in "rgb"])
 
 
-CLAMP = "bd AS (SELECT stack, frame, y, x, r - 0.5 AS r, g - 0.5 AS g, b - 0.5 AS b FROM rgb WHERE frame < 5), o AS (SELECT stack, y, x, 1.5 * sum(r) AS r, 1.5 * sum(g) AS g, 1.5 * sum(b) AS b FROM bd GROUP BY stack, y, x), tp AS (SELECT stack, cy, cx, max(e) AS t FROM (SELECT stack, frame, y // 4 AS cy, x // 4 AS cx, avg(r * r + g * g + b * b) AS e FROM bd GROUP BY ALL) GROUP BY stack, cy, cx), ow AS (SELECT stack, y // 4 AS cy, x // 4 AS cx, avg(r * r + g * g + b * b) AS w FROM o GROUP BY ALL) SELECT o.stack, o.y, o.x, round(r * k, 6) + 0.0 AS r, round(g * k, 6) + 0.0 AS g, round(b * k, 6) + 0.0 AS b FROM o JOIN (SELECT stack, cy, cx, CASE WHEN w > t THEN sqrt(t / greatest(w, 1e-12)) ELSE 1 END AS k FROM tp JOIN ow USING (stack, cy, cx)) c ON c.stack = o.stack AND c.cy = o.y // 4 AND c.cx = o.x // 4"
+CLAMP = "bd AS (SELECT stack, frame, y, x, r - 0.5 AS r, g - 0.5 AS g, b - 0.5 AS b FROM rgb), o AS (SELECT stack, y, x, 1.5 * sum(r) AS r, 1.5 * sum(g) AS g, 1.5 * sum(b) AS b FROM bd GROUP BY stack, y, x), tp AS (SELECT stack, cy, cx, max(e) AS t FROM (SELECT stack, frame, y // 4 AS cy, x // 4 AS cx, avg(r * r + g * g + b * b) AS e FROM bd GROUP BY ALL) GROUP BY stack, cy, cx), ow AS (SELECT stack, y // 4 AS cy, x // 4 AS cx, avg(r * r + g * g + b * b) AS w FROM o GROUP BY ALL) SELECT o.stack, o.y, o.x, round(r * k, 6) + 0.0 AS r, round(g * k, 6) + 0.0 AS g, round(b * k, 6) + 0.0 AS b FROM o JOIN (SELECT stack, cy, cx, CASE WHEN w > t THEN sqrt(t / greatest(w, 1e-12)) ELSE 1 END AS k FROM tp JOIN ow USING (stack, cy, cx)) c ON c.stack = o.stack AND c.cy = o.y // 4 AND c.cx = o.x // 4"
 
 
 @book.add("m11_envelope_clamp", with_views("rgb", CLAMP, cte=True))
 def m11(spark, d):
-    b = V.rgb_stack(spark, d).where("frame < 5").select("stack", "frame", "y", "x", *[(F.col(c) - 0.5).alias(c) for c in "rgb"])
+    b = V.rgb_stack(spark, d).select("stack", "frame", "y", "x", *[(F.col(c) - 0.5).alias(c) for c in "rgb"])
     o = b.groupBy(*PX).agg(*[(F.sum(c) * 1.5).alias(c) for c in "rgb"])
     return M.envelope_clamp(o, b, 4).select(*PX, *[r6(F.col(c)).alias(c) for c in "rgb"])
 
@@ -239,7 +239,15 @@ def m1(spark, d):
     return image.select(*PX, *[r6(F.col(c), 5).alias(c) for c in "rgb"])
 
 
-@book.add("m10_texture_veto")
+VETO = """cl AS (SELECT stack, frame, y // 2 AS y, x // 2 AS x, avg((r - 0.5) * (r - 0.5)) AS v FROM rgb GROUP BY ALL),
+ce AS (SELECT stack, y, x, max(v) AS hi, min(v) AS lo FROM cl GROUP BY ALL),
+el AS (SELECT *, sqrt(hi / greatest(lo, 1e-12)) AS q, row_number() OVER (PARTITION BY stack ORDER BY hi) - 1 AS k, count(*) OVER (PARTITION BY stack) AS n FROM ce WHERE NOT (y <= 1 AND x <= 1)),
+fl AS (SELECT stack, max(CASE WHEN k = CAST(floor((n - 1) * 0.9) AS BIGINT) THEN hi END) * 0.01 AS f FROM el GROUP BY stack),
+t AS (SELECT stack, y, x, CASE WHEN lo > f AND hi > 5.5e-6 THEN least(greatest((q - (1 + 0.25 * sqrt(2 * ln(50)))) / (0.2 * sqrt(2 * ln(50))), 0), 1) ELSE 0 END AS t FROM el JOIN fl USING (stack))
+SELECT stack, y, x, round(coalesce(t * t * (3 - 2 * t), 0), 6) + 0.0 AS v FROM ce LEFT JOIN t USING (stack, y, x)"""
+
+
+@book.add("m10_texture_veto", with_views("rgb", VETO, cte=True))
 def m10(spark, d):
     px = V.rgb_stack(spark, d, holes=False).withColumn("v", (F.col("r") - 0.5) ** 2)
     c = A.box_down(px, 2).groupBy(*PX).agg(F.max("v").alias("env_max"), F.min("v").alias("env_min")).withColumn("sharp", F.col("y") + F.col("x") == 0)
@@ -255,7 +263,7 @@ def m8(spark, d):
     return M.clean_field(lo, bg, 2, 8, 8).select(*PX, r6(F.col("v")).alias("v"))
 
 
-RES = "pr AS (SELECT stack, frame, frame + 1 AS other, abs(embedding[1]) * 20 + CASE WHEN frame % 9 = 4 THEN 40 ELSE 0 END AS residual FROM frames WHERE (stack, frame + 1) IN (SELECT stack, frame FROM frames)), k AS (SELECT *, row_number() OVER (PARTITION BY stack ORDER BY residual) - 1 AS r, count(*) OVER (PARTITION BY stack) AS n FROM pr), md AS (SELECT stack, greatest(max(CASE WHEN r = n // 2 THEN residual END), 0.25) AS m FROM k GROUP BY stack), bd AS (SELECT stack, frame, other, residual / m AS ratio FROM pr JOIN md USING (stack) WHERE residual > greatest(3 * m, 4))"
+RES = "pr AS (SELECT stack, frame, frame + 1 AS other, abs(CAST(embedding[1] AS DOUBLE)) * 20 + CASE WHEN frame % 9 = 4 THEN 40 ELSE 0 END AS residual FROM frames WHERE (stack, frame + 1) IN (SELECT stack, frame FROM frames)), k AS (SELECT *, row_number() OVER (PARTITION BY stack ORDER BY residual) - 1 AS r, count(*) OVER (PARTITION BY stack) AS n FROM pr), md AS (SELECT stack, greatest(max(CASE WHEN r = n // 2 THEN residual END), 0.25) AS m FROM k GROUP BY stack), bd AS (SELECT stack, frame, other, residual / m AS ratio FROM pr JOIN md USING (stack) WHERE residual > greatest(3 * m, 4))"
 
 
 def residuals(spark, d):
@@ -275,14 +283,14 @@ def r6_blame(spark, d):
     return R.blame(V.emb_frames(spark, d).select("stack", "frame"), bad)
 
 
-@book.add("r4_identity_gate", with_views("emb", "SELECT stack, frame, round(CASE WHEN r > i * 1.02 THEN i ELSE r END, 6) AS residual, CASE WHEN r > i * 1.02 THEN 1.0 ELSE 2.0 END::DOUBLE AS h0 FROM (SELECT stack, frame, abs(embedding[1]) * 20 AS r, abs(embedding[2]) * 20 AS i FROM frames)"))
+@book.add("r4_identity_gate", with_views("emb", "SELECT stack, frame, round(CASE WHEN r > i * 1.02 THEN i ELSE r END, 6) AS residual, CASE WHEN r > i * 1.02 THEN 1.0 ELSE 2.0 END::DOUBLE AS h0 FROM (SELECT stack, frame, abs(CAST(embedding[1] AS DOUBLE)) * 20 AS r, abs(CAST(embedding[2] AS DOUBLE)) * 20 AS i FROM frames)"))
 def r4(spark, d):
     q = lambda k: F.abs(F.element_at("embedding", k).cast("double")) * 20
     p = V.emb_frames(spark, d).select("stack", "frame", (F.col("frame") + 1).alias("other"), q(1).alias("residual"), q(2).alias("identity_residual"), F.array(*[F.lit(v) for v in (2.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)]).alias("h"))
     return R.gated(p).select("stack", "frame", r6(F.col("residual")).alias("residual"), F.element_at("h", 1).alias("h0"))
 
 
-@book.add("w5_transform_chain")
+@book.add("w5_transform_chain", with_views("emb", "SELECT stack, frame, round((n // 2 - frame) * 0.25, 6) + 0.0 AS tx, round((frame - n // 2) * 0.5, 6) + 0.0 AS ty FROM frames JOIN (SELECT stack, count(*) AS n FROM frames GROUP BY stack) USING (stack)"))
 def w5(spark, d):
     f = V.emb_frames(spark, d).select("stack", "frame")
     p = J.adjacent_pairs(f).withColumn("h", F.array(*[F.lit(v) for v in (1.0, 0.0, 0.25, 0.0, 1.0, -0.5, 0.0, 0.0, 1.0)]))

@@ -252,12 +252,12 @@ def j7(spark, d):
     return J.nearest_survivor(f, f.where((F.col("frame") % 5).isin(1, 4)))
 
 
-@book.add("j8_from_grid", with_views("emb", """g AS (SELECT stack, frame, y // 2 AS y, x // 2 AS x, avg(v) AS v FROM emb WHERE frame < 3 GROUP BY ALL),
-p AS (SELECT stack, frame, y, x, least(greatest((y + 0.5) / 2 - 0.5, 0), 3) AS gy, least(greatest((x + 0.5) / 2 - 0.5, 0), 3) AS gx FROM emb WHERE frame < 3),
+@book.add("j8_from_grid", with_views("emb", """g AS (SELECT stack, frame, y // 2 AS y, x // 2 AS x, avg(v) AS v FROM emb GROUP BY ALL),
+p AS (SELECT stack, frame, y, x, least(greatest((y + 0.5) / 2 - 0.5, 0), 3) AS gy, least(greatest((x + 0.5) / 2 - 0.5, 0), 3) AS gx FROM emb),
 t AS (SELECT p.*, CAST(floor(gy) AS INTEGER) + i AS ty, CAST(floor(gx) AS INTEGER) + j AS tx, (CASE WHEN i = 1 THEN gy - floor(gy) ELSE 1 - (gy - floor(gy)) END) * (CASE WHEN j = 1 THEN gx - floor(gx) ELSE 1 - (gx - floor(gx)) END) AS w FROM p, range(2) a(i), range(2) b(j))
 SELECT t.stack, t.frame, t.y, t.x, round(sum(w * g.v), 6) + 0.0 AS v FROM t JOIN g ON g.stack = t.stack AND g.frame = t.frame AND g.y = least(t.ty, 3) AND g.x = least(t.tx, 3) GROUP BY t.stack, t.frame, t.y, t.x""", cte=True))
 def j8(spark, d):
-    e = V.emb_stack(spark, d).where("frame < 3")
+    e = V.emb_stack(spark, d)
     g = A.box_down(e, 2)
     px = e.select("stack", "frame", "y", "x")
     return J.from_grid(px, g, 2, 4, 4, key=("stack", "frame")).select("stack", "frame", "y", "x", r6(F.col("v")).alias("v"))
@@ -313,9 +313,9 @@ def w7(spark, d):
     return W.summed_area(V.li_stack(spark, d), key=("stack", "frame")).select("frame", "y", "x", r6(F.col("sat")).alias("sat"))
 
 
-@book.add("w8_box_mean", with_views("emb", "SELECT a.stack, a.frame, a.y, a.x, round(avg(b.v), 6) + 0.0 AS mean FROM emb a JOIN emb b ON a.stack = b.stack AND a.frame = b.frame AND b.y BETWEEN a.y - 2 AND a.y + 2 AND b.x BETWEEN a.x - 2 AND a.x + 2 WHERE a.frame < 5 GROUP BY ALL"))
+@book.add("w8_box_mean", with_views("emb", "SELECT a.stack, a.frame, a.y, a.x, round(avg(b.v), 6) + 0.0 AS mean FROM emb a JOIN emb b ON a.stack = b.stack AND a.frame = b.frame AND b.y BETWEEN a.y - 2 AND a.y + 2 AND b.x BETWEEN a.x - 2 AND a.x + 2 GROUP BY ALL"))
 def w8(spark, d):
-    e = V.emb_stack(spark, d).where("frame < 5")
+    e = V.emb_stack(spark, d)
     return W.box_mean(e, 2, key=("stack", "frame")).select("stack", "frame", "y", "x", r6(F.col("mean")).alias("mean"))
 
 
@@ -331,9 +331,9 @@ def u1(spark, d):
     return E.stamp(e.where("frame = 0").drop("frame"), e.where("frame = 1"), 3, 4, 3.0).select("stack", "y", "x", r6(F.col("v")).alias("v"))
 
 
-@book.add("u3_replay", with_views("emb", "SELECT stack, y, x, round(coalesce(arg_max(CASE WHEN frame > 0 THEN v END, frame) FILTER (WHERE frame > 0 AND frame % 4 <> 3 AND (x + y + frame) % 3 = 0), max(CASE WHEN frame = 0 THEN v END)), 6) + 0.0 AS v FROM emb WHERE frame < 9 GROUP BY stack, y, x"))
+@book.add("u3_replay", with_views("emb", "SELECT stack, y, x, round(coalesce(arg_max(CASE WHEN frame > 0 THEN v END, frame) FILTER (WHERE frame > 0 AND frame % 4 <> 3 AND (x + y + frame) % 3 = 0), max(CASE WHEN frame = 0 THEN v END)), 6) + 0.0 AS v FROM emb GROUP BY stack, y, x"))
 def u3(spark, d):
-    e = V.emb_stack(spark, d).where("frame < 9")
+    e = V.emb_stack(spark, d)
     log = e.where("frame > 0 AND (x + y + frame) % 3 = 0").select(F.col("frame").alias("edit"), (F.col("frame") % 4 == 3).alias("undone"), "stack", "y", "x", "v")
     return E.replay(e.where("frame = 0").drop("frame"), log).select("stack", "y", "x", r6(F.col("v")).alias("v"))
 

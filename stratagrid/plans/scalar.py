@@ -12,7 +12,7 @@ from .base import Book, r6, with_views
 book = Book()
 TONE = P.Tone(0.5, 30, -40, 25, 10, -15)
 TONE_SQL = """
-t0 AS (SELECT stack, frame, y, x, least(greatest(v + 0.5, 0), 1) AS v FROM emb WHERE frame < 4),
+t0 AS (SELECT stack, frame, y, x, least(greatest(v + 0.5, 0), 1) AS v FROM emb),
 t1 AS (SELECT *, (CASE WHEN v <= 0.04045 THEN v / 12.92 ELSE pow((v + 0.055) / 1.055, 2.4) END) * pow(2, 0.5) AS l FROM t0),
 t2 AS (SELECT stack, frame, y, x, least(greatest(CASE WHEN l <= 0.0031308 THEN l * 12.92 ELSE 1.055 * pow(l, 1 / 2.4) - 0.055 END, 0), 1) AS v FROM t1),
 t3 AS (SELECT stack, frame, y, x, v + (v * v * (3 - 2 * v) - v) * 0.3 AS v FROM t2),
@@ -48,13 +48,13 @@ def p4(spark, d):
 
 @book.add("p5_tone", with_views("emb", f"{TONE_SQL} SELECT stack, frame, y, x, round(v, 6) AS v FROM t7", cte=True))
 def p5(spark, d):
-    e = V.emb_stack(spark, d).where("frame < 4").withColumn("v", V.unit(F.col("v")))
+    e = V.emb_stack(spark, d).withColumn("v", V.unit(F.col("v")))
     return e.select("stack", "frame", "y", "x", r6(P.tone(F.col("v"), TONE)).alias("v"))
 
 
 @book.add("p6_tone_table", with_views("emb", f"{TONE_SQL} SELECT stack, frame, y, x, round(v, 3) AS v FROM t7", cte=True))
 def p6(spark, d):
-    e = V.emb_stack(spark, d).where("frame < 4").withColumn("v", V.unit(F.col("v")))
+    e = V.emb_stack(spark, d).withColumn("v", V.unit(F.col("v")))
     t = F.array(*[F.lit(v) for v in P.tone_table(TONE)])
     return e.withColumn("_t", t).select("stack", "frame", "y", "x", (F.round(P.lookup(F.col("v"), F.col("_t"), 4096), 3) + 0.0).alias("v"))
 
@@ -130,7 +130,14 @@ def p18(spark, d):
     return e.where("frame = 0").join(b, ["stack", "y", "x"]).select("stack", "y", "x", r6(P.clamp(F.abs(F.col("v") - F.col("w")) * 4)).alias("v"))
 
 
-@book.add("p19_hash_noise")
+def hashed(seed: int, out: str) -> str:
+    """SQL of the hash of column id to 0..1: 64-bit products taken in 128 bits."""
+    times = lambda a, m: f"CAST(CAST({a} AS UHUGEINT) * {m} % 18446744073709551616 AS UBIGINT)"
+    first = seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+    return f"{out}a AS (SELECT id, {times(f'xor(CAST({first} AS UBIGINT), CAST(id AS UBIGINT))', 0xBF58476D1CE4E5B9)} AS h FROM ids), {out}b AS (SELECT id, {times('xor(h, h >> 29)', 0x94D049BB133111EB)} AS h FROM {out}a), {out} AS (SELECT id, CAST(xor(h, h >> 32) >> 11 AS DOUBLE) / 9007199254740992.0 AS u FROM {out}b)"
+
+
+@book.add("p19_hash_noise", f"WITH ids AS (SELECT CAST(i AS BIGINT) AS id FROM range(1000) t(i)), {hashed(42, 'ua')}, {hashed(43, 'va')} SELECT id, round(ua.u, 9) AS u, round(sqrt(-2 * ln(greatest(ua.u, 1e-12))) * cos(2 * pi() * va.u), 9) AS n FROM ua JOIN va USING (id)")
 def p19(spark, d):
     import numpy as np
     import pandas as pd
@@ -170,9 +177,9 @@ def f10(spark, d):
     return V.emb_stack(spark, d).where((F.col("y") * 8 + F.col("x")) % 7 == 0).select("stack", "frame", "y", "x", r6(F.col("v")).alias("v"))
 
 
-@book.add("k2_linear_negative", with_views("rgb", "SELECT stack, y, x, CAST(floor(least(greatest((CASE WHEN r <= 0.04045 THEN r / 12.92 ELSE pow((r + 0.055) / 1.055, 2.4) END) * 0.5, 0), 1) * 65535 + 0.5) AS INTEGER) AS r, CAST(floor((CASE WHEN g <= 0.04045 THEN g / 12.92 ELSE pow((g + 0.055) / 1.055, 2.4) END) * 65535 + 0.5) AS INTEGER) AS g, CAST(floor((CASE WHEN b <= 0.04045 THEN b / 12.92 ELSE pow((b + 0.055) / 1.055, 2.4) END) * 0.8 * 65535 + 0.5) AS INTEGER) AS b FROM rgb WHERE frame = 2"))
+@book.add("k2_linear_negative", with_views("rgb", "SELECT stack, frame, y, x, CAST(floor(least(greatest((CASE WHEN r <= 0.04045 THEN r / 12.92 ELSE pow((r + 0.055) / 1.055, 2.4) END) * 0.5, 0), 1) * 65535 + 0.5) AS INTEGER) AS r, CAST(floor((CASE WHEN g <= 0.04045 THEN g / 12.92 ELSE pow((g + 0.055) / 1.055, 2.4) END) * 65535 + 0.5) AS INTEGER) AS g, CAST(floor((CASE WHEN b <= 0.04045 THEN b / 12.92 ELSE pow((b + 0.055) / 1.055, 2.4) END) * 0.8 * 65535 + 0.5) AS INTEGER) AS b FROM rgb"))
 def k2(spark, d):
-    return project.linear_negative(V.rgb_stack(spark, d).where("frame = 2"), (0.5, 1.0, 0.8))
+    return project.linear_negative(V.rgb_stack(spark, d), (0.5, 1.0, 0.8))
 
 
 @book.add("k8_stored", with_views("emb", "SELECT stack, frame, y, x, CAST(floor(least(greatest(v * 64, 0), 65535) + 0.5) AS INTEGER) AS v FROM emb"))

@@ -17,15 +17,11 @@ book = Book()
 KEY = ("stack", "frame", "y", "x")
 
 
-def few(spark, d, n=4):
-    return V.emb_stack(spark, d).where(F.col("frame") < n)
-
-
 def lines(src: str, taps: list[tuple[int, float]], along: str, name: str, size: int = 8) -> str:
     """SQL of one edge-clamped convolution."""
     ks = ", ".join(f"({k}, {w!r})" for k, w in taps)
     other = "x" if along == "y" else "y"
-    return f"{name} AS (SELECT a.stack, a.frame, a.y, a.x, sum(b.v * w) AS v FROM {src} a, (VALUES {ks}) t(k, w), {src} b WHERE b.stack = a.stack AND b.frame = a.frame AND b.{other} = a.{other} AND b.{along} = least(greatest(a.{along} + k, 0), {size - 1}) GROUP BY a.stack, a.frame, a.y, a.x)"
+    return f"{name} AS MATERIALIZED (SELECT a.stack, a.frame, a.y, a.x, sum(b.v * w) AS v FROM {src} a, (VALUES {ks}) t(k, w), {src} b WHERE b.stack = a.stack AND b.frame = a.frame AND b.{other} = a.{other} AND b.{along} = least(greatest(a.{along} + k, 0), {size - 1}) GROUP BY a.stack, a.frame, a.y, a.x)"
 
 
 def out6(df, *cols, value="v"):
@@ -33,17 +29,17 @@ def out6(df, *cols, value="v"):
 
 
 G15 = [(i - 5, w) for i, w in enumerate(P.gaussian_kernel(1.5))]
-FEW = "f4 AS (SELECT * FROM emb WHERE frame < 4)"
+ALL = "f4 AS MATERIALIZED (SELECT * FROM emb)"
 
 
-@book.add("n1_gaussian", with_views("emb", f"{FEW}, {lines('f4', G15, 'x', 'g1')}, {lines('g1', G15, 'y', 'g2')} SELECT stack, frame, y, x, round(v, 6) + 0.0 AS v FROM g2", cte=True))
+@book.add("n1_gaussian", with_views("emb", f"{ALL}, {lines('f4', G15, 'x', 'g1')}, {lines('g1', G15, 'y', 'g2')} SELECT stack, frame, y, x, round(v, 6) + 0.0 AS v FROM g2", cte=True))
 def n1(spark, d):
-    return out6(S.gaussian(few(spark, d), 1.5), *KEY)
+    return out6(S.gaussian(V.emb_stack(spark, d), 1.5), *KEY)
 
 
-@book.add("n1_gaussian_tiles", with_views("emb", f"{FEW}, {lines('f4', G15, 'x', 'g1')}, {lines('g1', G15, 'y', 'g2')} SELECT stack, frame, y, x, round(v, 6) + 0.0 AS v FROM g2", cte=True))
+@book.add("n1_gaussian_tiles", with_views("emb", f"{ALL}, {lines('f4', G15, 'x', 'g1')}, {lines('g1', G15, 'y', 'g2')} SELECT stack, frame, y, x, round(v, 6) + 0.0 AS v FROM g2", cte=True))
 def n1t(spark, d):
-    t = S.to_tiles(few(spark, d), 4, 5, 8, 8)
+    t = S.to_tiles(V.emb_stack(spark, d), 4, 5, 8, 8)
     return out6(S.map_tiles(t, S.kernel_gaussian(1.5), 4), *KEY)
 
 
@@ -55,21 +51,21 @@ def n2(spark, d):
     return out6(S.laplacian_energy(V.emb_stack(spark, d)), *KEY, value="e")
 
 
-@book.add("n2_laplacian_tiles", with_views("emb", f"lp AS ({LAP.format(src='emb')}) SELECT stack, frame, y, x, round(e, 6) AS e FROM lp WHERE frame < 4", cte=True))
+@book.add("n2_laplacian_tiles", with_views("emb", f"lp AS ({LAP.format(src='emb')}) SELECT stack, frame, y, x, round(e, 6) AS e FROM lp", cte=True))
 def n2t(spark, d):
-    t = S.to_tiles(few(spark, d), 4, 1, 8, 8)
+    t = S.to_tiles(V.emb_stack(spark, d), 4, 1, 8, 8)
     return out6(S.map_tiles(t, S.kernel_laplacian, 4, "e"), *KEY, value="e")
 
 
 GATHER = """{name}t AS (SELECT a.*, CAST(floor(py) AS INTEGER) + i AS ty, CAST(floor(px) AS INTEGER) + j AS tx, (CASE WHEN i = 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END) * (CASE WHEN j = 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END) AS w FROM {at} a, range(2) p(i), range(2) q(j)),
 {name} AS (SELECT t.stack, t.frame, t.y, t.x, sum(w * s.v) AS v FROM {name}t t JOIN {src} s ON s.stack = t.stack AND s.frame = t.frame AND s.y = least(ty, {h} - 1) AND s.x = least(tx, {w} - 1) GROUP BY t.stack, t.frame, t.y, t.x)"""
 G1 = [(i - 3, w) for i, w in enumerate(P.gaussian_kernel(1.0))]
-GRID = f"{FEW}, dn AS (SELECT stack, frame, y // 4 AS y, x // 4 AS x, avg(v) AS v FROM f4 GROUP BY ALL), {lines('dn', G1, 'x', 'b1', 2)}, {lines('b1', G1, 'y', 'b2', 2)}, pt AS (SELECT stack, frame, y, x, least(greatest((y + 0.5) / 4 - 0.5, 0), 1) AS py, least(greatest((x + 0.5) / 4 - 0.5, 0), 1) AS px FROM f4), {GATHER.format(name='up', at='pt', src='b2', h=2, w=2)} SELECT stack, frame, y, x, round(v, 6) + 0.0 AS v FROM up"
+GRID = f"{ALL}, dn AS (SELECT stack, frame, y // 4 AS y, x // 4 AS x, avg(v) AS v FROM f4 GROUP BY ALL), {lines('dn', G1, 'x', 'b1', 2)}, {lines('b1', G1, 'y', 'b2', 2)}, pt AS (SELECT stack, frame, y, x, least(greatest((y + 0.5) / 4 - 0.5, 0), 1) AS py, least(greatest((x + 0.5) / 4 - 0.5, 0), 1) AS px FROM f4), {GATHER.format(name='up', at='pt', src='b2', h=2, w=2)} SELECT stack, frame, y, x, round(v, 6) + 0.0 AS v FROM up"
 
 
 @book.add("n3_energy_grid", with_views("emb", GRID, cte=True))
 def n3(spark, d):
-    return out6(S.energy_grid(few(spark, d), 8, 8, 4.0, "v"), *KEY)
+    return out6(S.energy_grid(V.emb_stack(spark, d), 8, 8, 4.0, "v"), *KEY)
 
 
 @book.add("n4_half", with_views("emb", "SELECT stack, frame, y // 2 AS y, x // 2 AS x, round(avg(v), 6) + 0.0 AS v FROM emb WHERE y < 6 GROUP BY stack, frame, y // 2, x // 2"))
@@ -77,44 +73,44 @@ def n4(spark, d):
     return out6(S.half(V.emb_stack(spark, d).where("y < 7"), 7, 8), *KEY)
 
 
-RES = f"{FEW}, pt AS (SELECT stack, frame, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, least(greatest((y + 0.5) * (8 / 5.0) - 0.5, 0), 7) AS py, least(greatest((x + 0.5) * (8 / 12.0) - 0.5, 0), 7) AS px FROM (SELECT DISTINCT stack, frame FROM f4), range(5) p(y), range(12) q(x)), {GATHER.format(name='up', at='pt', src='f4', h=8, w=8)} SELECT stack, frame, y, x, round(v, 6) + 0.0 AS v FROM up"
+RES = f"{ALL}, pt AS (SELECT stack, frame, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, least(greatest((y + 0.5) * (8 / 5.0) - 0.5, 0), 7) AS py, least(greatest((x + 0.5) * (8 / 12.0) - 0.5, 0), 7) AS px FROM (SELECT DISTINCT stack, frame FROM f4), range(5) p(y), range(12) q(x)), {GATHER.format(name='up', at='pt', src='f4', h=8, w=8)} SELECT stack, frame, y, x, round(v, 6) + 0.0 AS v FROM up"
 
 
 @book.add("n5_resize", with_views("emb", RES, cte=True))
 def n5(spark, d):
-    return out6(S.resize(few(spark, d), 8, 8, 5, 12), *KEY)
+    return out6(S.resize(V.emb_stack(spark, d), 8, 8, 5, 12), *KEY)
 
 
 H = [1.01, 0.02, -0.3, -0.015, 0.99, 0.4, 0.0005, -0.0004, 1.0]
 LZ = "CASE WHEN abs({t}) < 1e-6 THEN 1.0 WHEN abs({t}) >= 3 THEN 0.0 ELSE 3 * sin(pi() * ({t})) * sin(pi() * ({t}) / 3) / (pi() * ({t}) * pi() * ({t})) END"
-WARP = f"""{FEW}, m AS (SELECT *, (1.01 * x + 0.02 * y - 0.3) / (0.0005 * x - 0.0004 * y + 1) AS sx, (-0.015 * x + 0.99 * y + 0.4) / (0.0005 * x - 0.0004 * y + 1) AS sy FROM f4),
+WARP = f"""{ALL}, m AS (SELECT *, (1.01 * x + 0.02 * y - 0.3) / (0.0005 * x - 0.0004 * y + 1) AS sx, (-0.015 * x + 0.99 * y + 0.4) / (0.0005 * x - 0.0004 * y + 1) AS sy FROM f4),
 t AS (SELECT m.stack, m.frame, m.y, m.x, CASE WHEN sy BETWEEN -0.5 AND 7.5 AND sx BETWEEN -0.5 AND 7.5 THEN 1.0 ELSE 0.0 END AS a, i, j, floor(sy) + i AS ty, floor(sx) + j AS tx, ({LZ.format(t='sy - floor(sy) - i')}) * ({LZ.format(t='sx - floor(sx) - j')}) AS w FROM m, range(-2, 4) p(i), range(-2, 4) q(j))
 SELECT t.stack, t.frame, t.y, t.x, round(least(greatest(sum(w * s.v) / sum(w), min(CASE WHEN i IN (0, 1) AND j IN (0, 1) THEN s.v END)), max(CASE WHEN i IN (0, 1) AND j IN (0, 1) THEN s.v END)), 5) + 0.0 AS v, any_value(a)::DOUBLE AS a FROM t JOIN f4 s ON s.stack = t.stack AND s.frame = t.frame AND s.y = least(greatest(ty, 0), 7) AND s.x = least(greatest(tx, 0), 7) GROUP BY t.stack, t.frame, t.y, t.x"""
 
 
 @book.add("n6_lanczos_warp", with_views("emb", WARP, cte=True))
 def n6(spark, d):
-    e = few(spark, d)
+    e = V.emb_stack(spark, d)
     return J.warp_gather(e, e, H, 8, 8).select(*KEY, r6(F.col("v"), 5).alias("v"), "a")
 
 
-BIL = f"{FEW}, pt AS (SELECT stack, frame, y, x, least(greatest((-0.015 * x + 0.99 * y + 0.4) / (0.0005 * x - 0.0004 * y + 1), 0), 7) AS py, least(greatest((1.01 * x + 0.02 * y - 0.3) / (0.0005 * x - 0.0004 * y + 1), 0), 7) AS px FROM f4), {GATHER.format(name='up', at='pt', src='f4', h=8, w=8)} SELECT stack, frame, y, x, round(v, 6) + 0.0 AS v FROM up"
+BIL = f"{ALL}, pt AS (SELECT stack, frame, y, x, least(greatest((-0.015 * x + 0.99 * y + 0.4) / (0.0005 * x - 0.0004 * y + 1), 0), 7) AS py, least(greatest((1.01 * x + 0.02 * y - 0.3) / (0.0005 * x - 0.0004 * y + 1), 0), 7) AS px FROM f4), {GATHER.format(name='up', at='pt', src='f4', h=8, w=8)} SELECT stack, frame, y, x, round(v, 6) + 0.0 AS v FROM up"
 
 
 @book.add("n7_bilinear_warp", with_views("emb", BIL, cte=True))
 def n7(spark, d):
-    e = few(spark, d)
+    e = V.emb_stack(spark, d)
     sx, sy = P.project(H, F.col("x"), F.col("y"))
     at = e.select(*KEY).withColumn("sy", sy).withColumn("sx", sx)
     return out6(J.gather(at, e, "sy", "sx", 8, 8, key=("stack", "frame")), *KEY)
 
 
-SOBEL = f"{FEW}, g AS (SELECT a.stack, a.frame, a.y, a.x, sum(b.v * kx) AS gx, sum(b.v * ky) AS gy FROM f4 a, (VALUES (-1,-1,-1,-1),(-1,0,0,-2),(-1,1,1,-1),(0,-1,-2,0),(0,1,2,0),(1,-1,-1,1),(1,0,0,2),(1,1,1,1)) t(i, j, kx, ky), f4 b WHERE b.stack = a.stack AND b.frame = a.frame AND b.y = least(greatest(a.y + i, 0), 7) AND b.x = least(greatest(a.x + j, 0), 7) GROUP BY a.stack, a.frame, a.y, a.x) SELECT stack, frame, y, x, round(CASE WHEN y IN (0, 7) OR x IN (0, 7) THEN 0 ELSE abs(gx) + abs(gy) END, 6) AS g FROM g"
+SOBEL = f"{ALL}, g AS (SELECT a.stack, a.frame, a.y, a.x, sum(b.v * kx) AS gx, sum(b.v * ky) AS gy FROM f4 a, (VALUES (-1,-1,-1,-1),(-1,0,0,-2),(-1,1,1,-1),(0,-1,-2,0),(0,1,2,0),(1,-1,-1,1),(1,0,0,2),(1,1,1,1)) t(i, j, kx, ky), f4 b WHERE b.stack = a.stack AND b.frame = a.frame AND b.y = least(greatest(a.y + i, 0), 7) AND b.x = least(greatest(a.x + j, 0), 7) GROUP BY a.stack, a.frame, a.y, a.x) SELECT stack, frame, y, x, round(CASE WHEN y IN (0, 7) OR x IN (0, 7) THEN 0 ELSE abs(gx) + abs(gy) END, 6) AS g FROM g"
 
 
 @book.add("n8_sobel", with_views("emb", SOBEL, cte=True))
 def n8(spark, d):
-    return out6(S.sobel(few(spark, d), 8, 8), *KEY, value="g")
+    return out6(S.sobel(V.emb_stack(spark, d), 8, 8), *KEY, value="g")
 
 
 @book.add("n9_rescale_box", with_views("li", "SELECT frame, y * 7 // 16 AS y, x * 5 // 16 AS x, round(avg(v), 6) AS v FROM li GROUP BY frame, y * 7 // 16, x * 5 // 16"))
@@ -180,29 +176,29 @@ def expanded(src: str, name: str, size: int) -> str:
     return f"{step(src, name + 'x', 'x', 'y')}, {step(name + 'x', name, 'y', 'x')}"
 
 
-@book.add("n14_expand", with_views("emb", f"{FEW}, {expanded('f4', 'ex', 8)} SELECT stack, frame, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round(v, 6) + 0.0 AS v FROM ex", cte=True))
+@book.add("n14_expand", with_views("emb", f"{ALL}, {expanded('f4', 'ex', 8)} SELECT stack, frame, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round(v, 6) + 0.0 AS v FROM ex", cte=True))
 def n14(spark, d):
-    return out6(S.expand(few(spark, d), 16, 16), *KEY)
+    return out6(S.expand(V.emb_stack(spark, d), 16, 16), *KEY)
 
 
-@book.add("n15_decimate", with_views("emb", f"{FEW}, {decimated('f4', 'dc', 8)} SELECT stack, frame, y, x, round(v, 6) + 0.0 AS v FROM dc", cte=True))
+@book.add("n15_decimate", with_views("emb", f"{ALL}, {decimated('f4', 'dc', 8)} SELECT stack, frame, y, x, round(v, 6) + 0.0 AS v FROM dc", cte=True))
 def n15(spark, d):
-    return out6(S.decimate(few(spark, d)), *KEY)
+    return out6(S.decimate(V.emb_stack(spark, d)), *KEY)
 
 
-@book.add("n16_laplacian_band", with_views("emb", f"{FEW}, {decimated('f4', 'dc', 8)}, {expanded('dc', 'ex', 4)} SELECT a.stack, a.frame, a.y, a.x, round(a.v - e.v, 6) + 0.0 AS v FROM f4 a JOIN ex e ON e.stack = a.stack AND e.frame = a.frame AND e.y = a.y AND e.x = a.x", cte=True))
+@book.add("n16_laplacian_band", with_views("emb", f"{ALL}, {decimated('f4', 'dc', 8)}, {expanded('dc', 'ex', 4)} SELECT a.stack, a.frame, a.y, a.x, round(a.v - e.v, 6) + 0.0 AS v FROM f4 a JOIN ex e ON e.stack = a.stack AND e.frame = a.frame AND e.y = a.y AND e.x = a.x", cte=True))
 def n16(spark, d):
-    return out6(S.pyramid(few(spark, d), 8, 8, 2)[0][0], *KEY)
+    return out6(S.pyramid(V.emb_stack(spark, d), 8, 8, 2)[0][0], *KEY)
 
 
-@book.add("n16_collapse", with_views("emb", f"{FEW} SELECT stack, frame, y, x, round(v, 6) + 0.0 AS v FROM f4", cte=True))
+@book.add("n16_collapse", with_views("emb", f"{ALL} SELECT stack, frame, y, x, round(v, 6) + 0.0 AS v FROM f4", cte=True))
 def n16c(spark, d):
-    return out6(S.collapse(S.pyramid(few(spark, d), 8, 8, 2)), *KEY)
+    return out6(S.collapse(S.pyramid(V.emb_stack(spark, d), 8, 8, 2)), *KEY)
 
 
-@book.add("n17_smooth3", with_views("emb", "SELECT a.stack, a.frame, a.y, a.x, round(avg(b.v), 6) + 0.0 AS v FROM emb a JOIN emb b ON a.stack = b.stack AND a.frame = b.frame AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 WHERE a.frame < 4 GROUP BY ALL"))
+@book.add("n17_smooth3", with_views("emb", "SELECT a.stack, a.frame, a.y, a.x, round(avg(b.v), 6) + 0.0 AS v FROM emb a JOIN emb b ON a.stack = b.stack AND a.frame = b.frame AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL"))
 def n17(spark, d):
-    return out6(S.smooth3(few(spark, d), key=("stack", "frame")), *KEY)
+    return out6(S.smooth3(V.emb_stack(spark, d), key=("stack", "frame")), *KEY)
 
 
 PARA = """im AS (SELECT stack, 0 AS frame, y, x, v FROM emb WHERE frame = 0), dp AS (SELECT stack, y, x, v AS d FROM emb WHERE frame = 1),

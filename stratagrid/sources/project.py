@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from ..functions import pixel as P
 
@@ -25,22 +27,33 @@ def restored(df: DataFrame, scale: float, values: tuple[str, ...]) -> DataFrame:
 
 
 def save(spark: SparkSession, path: str, image: DataFrame, depth: DataFrame, settings: dict | None = None) -> None:
-    """Planes by stack, then the manifest: a folder without a manifest is no project, so a broken save is never read."""
-    stored(image, SCALES["image"], ("r", "g", "b")).write.mode("overwrite").partitionBy("stack").parquet(f"{path}/image")
-    stored(depth, SCALES["depth"], ("d",)).write.mode("overwrite").partitionBy("stack").parquet(f"{path}/depth")
-    text = json.dumps({"version": VERSION, "space": SPACE, "settings": settings or {}})
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    """Planes by stack into a folder of this save, then a manifest line that names it: what a broken save leaves is
+    never read, and the last whole save stays."""
+    own = f"save-{uuid.uuid4().hex}"
+    stored(image, SCALES["image"], ("r", "g", "b")).write.partitionBy("stack").parquet(f"{path}/{own}/image")
+    stored(depth, SCALES["depth"], ("d",)).write.partitionBy("stack").parquet(f"{path}/{own}/depth")
+    try:
+        number = load_manifest(spark, path)["number"] + 1
+    except AnalysisException:  # no project yet
+        number = 0
+    text = json.dumps({"version": VERSION, "space": SPACE, "number": number, "planes": own, "settings": settings or {}})
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("append").text(f"{path}/manifest")
+
+
+def load_manifest(spark: SparkSession, path: str) -> dict:
+    """The manifest of the last whole save: one line for each save."""
+    return max((json.loads(r["value"]) for r in spark.read.text(f"{path}/manifest").collect()), key=lambda m: m.get("number", 0))
 
 
 def load(spark: SparkSession, path: str) -> tuple[dict, DataFrame, DataFrame]:
     """(manifest, image, depth); another version or colour space is refused, missing optional keys default."""
-    m = json.loads("".join(r["value"] for r in spark.read.text(f"{path}/manifest").collect()))  # one line
+    m = load_manifest(spark, path)
     if m.get("version") != VERSION:
         raise ValueError(f"project version {m.get('version')}")
     if m.get("space", SPACE) != SPACE:
         raise ValueError(f"working space {m['space']}")
     m.setdefault("settings", {})
-    return m, restored(spark.read.parquet(f"{path}/image"), SCALES["image"], ("r", "g", "b")), restored(spark.read.parquet(f"{path}/depth"), SCALES["depth"], ("d",))
+    return m, restored(spark.read.parquet(f"{path}/{m['planes']}/image"), SCALES["image"], ("r", "g", "b")), restored(spark.read.parquet(f"{path}/{m['planes']}/depth"), SCALES["depth"], ("d",))
 
 
 def xmp(settings: P.Tone) -> str:
@@ -52,7 +65,7 @@ def xmp(settings: P.Tone) -> str:
 
 def linear_negative(image: DataFrame, neutral: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
     """16-bit linear samples with the white balance taken out: linearised, times the neutral of each channel."""
-    return image.select("stack", "y", "x", *[(P.clamp(P.srgb_linearize(F.greatest(c, F.lit(0.0))) * n) * 65535 + 0.5).cast("int").alias(c) for c, n in zip("rgb", neutral)])
+    return image.select(*[c for c in ("stack", "frame", "y", "x") if c in image.columns], *[(P.clamp(P.srgb_linearize(F.greatest(c, F.lit(0.0))) * n) * 65535 + 0.5).cast("int").alias(c) for c, n in zip("rgb", neutral)])
 
 
 def preview(df: DataFrame, height: int, width: int, to_h: int, to_w: int) -> DataFrame:

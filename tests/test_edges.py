@@ -138,3 +138,30 @@ def test_stream_equals_batch_with_late_frames(spark, tmp_path):
     got = sorted((r["x"], r["frame"], r["energy"]) for r in spark.table("live").collect())
     ref = sorted((r["x"], r["frame"], r["energy"]) for r in A.winner(spark.createDataFrame(rows, schema), "e").collect())
     assert got == ref
+
+
+def test_order_statistics_of_groups_of_any_size(spark):
+    from stratagrid.operators import aggregate as A
+
+    rng = np.random.default_rng(0)
+    groups = {}
+    for n in (1, 2, 3, 64, 999, 4999, 5000, 5001, 30000):
+        v = np.round(rng.standard_normal(n), 3)
+        v[rng.random(n) < 0.3] = 0.0
+        groups[n] = v
+    df = spark.createDataFrame([(n, float(x)) for n, v in groups.items() for x in v] + [(1, None)], "stack int, v double").repartition(5)
+    for p in (0.02, 0.5, 0.95, 0.98):
+        for how in ("count", "gap"):
+            got = {r["stack"]: r["q"] for r in A.order_statistic(df, "v", p, ["stack"], how).collect()}
+            assert got == {n: np.sort(v)[min(int(n * p), n - 1) if how == "count" else int((n - 1) * p)] for n, v in groups.items()}
+
+
+def test_a_second_save_replaces_the_first(spark, tmp_path):
+    from stratagrid.sources import project
+
+    img = lambda v: spark.createDataFrame([(0, 0, 0, v, v, v)], "stack int, y int, x int, r double, g double, b double")
+    dep = spark.createDataFrame([(0, 0, 0, 1.0)], "stack int, y int, x int, d double")
+    for v in (0.25, 0.5):
+        project.save(spark, str(tmp_path / "p"), img(v), dep, {"v": v})
+    m, i, _ = project.load(spark, str(tmp_path / "p"))
+    assert m["settings"] == {"v": 0.5} and abs(i.first()["r"] - 0.5) < 1e-4
