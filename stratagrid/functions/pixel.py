@@ -139,12 +139,17 @@ def mat_mul(a: list[float], b: list[float]) -> list[float]:
     return [sum(a[3 * i + k] * b[3 * k + j] for k in range(3)) for i in range(3) for j in range(3)]
 
 
-def mat_inverse(m: list[float]) -> list[float]:
+def adjugate(m: list) -> list:
+    """The inverse times the determinant: as a homography, the inverse itself (numbers or columns)."""
     a, b, c, d, e, f, g, h, i = m
-    det = a * (e * i - f * h) - b * (d * i - f * g) + c * (d * h - e * g)
+    return [e * i - f * h, c * h - b * i, b * f - c * e, f * g - d * i, a * i - c * g, c * d - a * f, d * h - e * g, b * g - a * h, a * e - b * d]
+
+
+def mat_inverse(m: list[float]) -> list[float]:
+    adj = adjugate(m)
+    det = m[0] * adj[0] + m[1] * adj[3] + m[2] * adj[6]
     if det == 0:
         raise ValueError("singular transform")
-    adj = [e * i - f * h, c * h - b * i, b * f - c * e, f * g - d * i, a * i - c * g, c * d - a * f, d * h - e * g, b * g - a * h, a * e - b * d]
     return [v / det for v in adj]
 
 

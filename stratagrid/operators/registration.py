@@ -33,6 +33,23 @@ def pair_residual(px: DataFrame, shifts: DataFrame, stride: int = 1, least: int
     return shifts.select("stack", "frame", "other").join(g, ["stack", "frame", "other"], "left").select("stack", "frame", "other", F.when(F.col("n") > least, F.col("r")).otherwise(F.lit(float("inf"))).alias("residual"))
 
 
+def warp_residual(px: DataFrame, pairs: DataFrame, height: int, width: int, stride: int = 1, least: int = 100, value: str = "v", h: str = "h") -> DataFrame:
+    """``pairs`` with residual: mean |fixed - moved| in byte units over every ``stride``-th pixel, the moving frame taken
+    bilinearly where ``h`` (fixed place -> moving place) points; infinite with up to ``least`` samples inside.
+
+    ``pairs``: stack, frame (fixed), other (moving), h."""
+    from .join import gather
+
+    m = [F.element_at(h, i + 1) for i in range(9)]
+    sx, sy = P.project(m, F.col("x").cast("double"), F.col("y").cast("double"))
+    a = px.where((F.col("y") % stride == 0) & (F.col("x") % stride == 0)).join(pairs.select("stack", "frame", "other", h), ["stack", "frame"])
+    a = a.select("stack", "frame", "other", "y", "x", F.col(value).alias("_a"), sy.alias("_py"), sx.alias("_px"))
+    a = a.where((F.col("_py") >= 0) & (F.col("_px") >= 0) & (F.col("_py") < height - 1) & (F.col("_px") < width - 1))
+    g = gather(a, px.withColumnRenamed("frame", "other"), "_py", "_px", height, width, value, ("stack", "other"), "_b")
+    g = g.groupBy("stack", "frame", "other").agg(F.count(F.lit(1)).alias("_n"), (F.avg(F.abs(F.col("_a") - F.col("_b"))) * 255).alias("_r"))
+    return pairs.join(g, ["stack", "frame", "other"], "left").withColumn("residual", F.when(F.col("_n") > least, F.col("_r")).otherwise(F.lit(float("inf")))).drop("_n", "_r")
+
+
 def exposure_outliers(means: DataFrame) -> DataFrame:
     """stack, frame, kind, magnitude: mean luminance below half or above twice the stack's upper median (at least 0.25)."""
     med = A.upper_median(means, "lum_mean", ["stack"]).select("stack", F.greatest("q", F.lit(0.25)).alias("_m"))
@@ -60,18 +77,27 @@ def residual_outliers(pairs: DataFrame, failed: str | None = None) -> DataFrame:
     return d.where(bad).select("stack", "frame", "other", F.when(lost, F.lit(float("inf"))).otherwise(F.col("residual") / F.col("_m")).alias("ratio"))
 
 
-def blame(frames: DataFrame, bad: DataFrame) -> DataFrame:
+def blame(frames: DataFrame, bad: DataFrame, bridges: DataFrame | None = None) -> DataFrame:
     """stack, frame, kind: a frame with two bad pairs is misaligned; a single bad pair blames the end frame it holds;
-    a failed pair inside the stack blames its later frame. Other lone bad pairs blame nobody (a scene change).
+    a failed pair inside the stack blames the frame that the chain can bridge around: its later frame if the
+    neighbours of that register with each other, else its earlier one. Other lone bad pairs blame nobody (a scene change).
 
-    ``frames``: stack, frame; ``bad``: stack, frame, other, ratio."""
+    ``frames``: stack, frame; ``bad``: stack, frame, other, ratio; ``bridges``: stack, frame, other of pairs two places apart
+    that register (without it the later frame is blamed)."""
     w = W.partitionBy("stack").orderBy("frame")
     f = frames.select("stack", "frame").withColumn("pos", F.row_number().over(w) - 1).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("stack")))
     b = bad.join(f.select("stack", "frame", "pos", "n"), ["stack", "frame"])
     hits = b.select("stack", "pos").unionAll(b.select("stack", (F.col("pos") + 1).alias("pos"))).groupBy("stack", "pos").agg(F.count(F.lit(1)).alias("k"))
     twice = hits.where("k >= 2").select("stack", "pos")
     lone = b.join(twice.select("stack", F.col("pos")), ["stack", "pos"], "left_anti").join(twice.select("stack", (F.col("pos") - 1).alias("pos")), ["stack", "pos"], "left_anti").where("n > 2")
-    who = F.when(F.col("pos") == 0, F.lit(0)).when(F.col("pos") + 1 == F.col("n") - 1, F.col("n") - 1).when(F.col("ratio") == float("inf"), F.col("pos") + 1)
+    inner = F.col("pos") + 1
+    if bridges is not None:
+        over = bridges.join(f.select("stack", "frame", F.col("pos").alias("_at")), ["stack", "frame"]).select("stack", "_at").distinct()
+        later = over.select("stack", F.col("_at").alias("pos"), F.lit(True).alias("_later"))  # around pos + 1
+        earlier = over.select("stack", (F.col("_at") + 1).alias("pos"), F.lit(True).alias("_earlier"))  # around pos
+        lone = lone.join(later, ["stack", "pos"], "left").join(earlier, ["stack", "pos"], "left")
+        inner = F.when(F.col("_later"), F.col("pos") + 1).when(F.col("_earlier"), F.col("pos"))
+    who = F.when(F.col("pos") == 0, F.lit(0)).when(F.col("pos") + 1 == F.col("n") - 1, F.col("n") - 1).when(F.col("ratio") == float("inf"), inner)
     named = lone.select("stack", who.cast("int").alias("pos")).where("pos IS NOT NULL")
     out = twice.select("stack", F.col("pos").cast("int").alias("pos")).unionAll(named).distinct()
     return out.join(f.select("stack", "pos", "frame"), ["stack", "pos"]).select("stack", "frame", F.lit("misaligned").alias("kind"))
@@ -161,6 +187,56 @@ def transforms(frames: DataFrame, pairs: DataFrame, survivors: DataFrame) -> Dat
     return j.groupBy("stack").applyInPandas(run, "stack int, frame int, h array<double>")  # a row for each frame
 
 
+def register_stacks(px: DataFrame, height: int, width: int, stride: int = 1, scales: bool = False, value: str = "v") -> tuple[DataFrame, DataFrame]:
+    """(frames: stack, frame, h, nearest; issues: stack, frame, kind) of every stack: exposure outliers go first, neighbours
+    of the rest are registered and gated, bad pairs blame frames, the survivors' chain gives the transforms (frame ->
+    middle survivor), and a flagged frame is registered onto its nearest survivor as well as that goes.
+
+    All pairs of all stacks are registered in parallel; between the steps only tables with a row for each frame or pair are kept."""
+    from .components import cut
+    from .join import adjacent_pairs, nearest_survivor
+
+    px = px.select("stack", "frame", "y", "x", value)
+    one = F.array(*[F.lit(float(v)) for v in IDENTITY])
+    means = cut(gray_stats(px, value))
+    frames = means.select("stack", "frame")
+    dark = cut(exposure_outliers(means).select("stack", "frame", "kind"))
+    kept = frames.join(dark, ["stack", "frame"], "left_anti")
+
+    def registered(pairs: DataFrame) -> DataFrame:
+        """h and residual of pairs, warps that are no better than none replaced by the identity."""
+        h = cut(register_pairs(px, pairs, height, width, value, scales))
+        plain = warp_residual(px, h.select("stack", "frame", "other", one.alias("h")), height, width, stride, value=value)
+        full = warp_residual(px, h, height, width, stride, value=value)
+        return cut(gated(full.join(plain.select("stack", "frame", "other", F.col("residual").alias("identity_residual")), ["stack", "frame", "other"])))
+
+    pairs = registered(cut(adjacent_pairs(kept)))
+    bad = cut(residual_outliers(pairs.withColumn("_lost", F.col("residual") == float("inf")), "_lost"))
+    w = W.partitionBy("stack").orderBy("frame")
+    lost = bad.where(F.col("ratio") == float("inf"))
+    two = kept.select("stack", "frame", F.lead("frame", 2).over(w).alias("other"), F.lead("frame", 1).over(w).alias("_m")).where("other IS NOT NULL")
+    near = two.join(lost.select("stack", F.col("frame").alias("_f"), F.col("other").alias("_o")), "stack").where((F.col("frame") == F.col("_f")) | (F.col("_m") == F.col("_f")))
+    bridges = registered(cut(near.select("stack", "frame", "other").distinct())).where(F.col("residual") < float("inf"))
+    off = cut(blame(kept, bad, bridges.select("stack", "frame", "other")))
+    issues = dark.unionAll(off)
+    survivors = cut(kept.join(off, ["stack", "frame"], "left_anti"))
+    chain = cut(adjacent_pairs(survivors))
+    have = chain.join(pairs.unionByName(bridges).select("stack", "frame", "other", "h"), ["stack", "frame", "other"], "left")
+    fresh = registered(cut(have.where("h IS NULL").select("stack", "frame", "other")))
+    steps = cut(have.where("h IS NOT NULL").unionByName(fresh.select("stack", "frame", "other", "h")))
+    base = cut(transforms(frames, steps, survivors))
+    spurs = nearest_survivor(frames, survivors).where("frame <> nearest")
+    spur = registered(cut(spurs.select("stack", F.col("nearest").alias("frame"), F.col("frame").alias("other")))).where(F.col("residual") < float("inf"))
+
+    def onto(h, s) -> list:
+        a, b = [h[i] for i in range(9)], P.adjugate([s[i] for i in range(9)])
+        m = [a[3 * r] * b[c] + a[3 * r + 1] * b[3 + c] + a[3 * r + 2] * b[6 + c] for r in range(3) for c in range(3)]
+        return [v / m[8] for v in m]
+
+    j = base.join(spur.select("stack", F.col("other").alias("frame"), F.col("h").alias("_s")), ["stack", "frame"], "left")
+    return j.select("stack", "frame", F.when(F.col("_s").isNull(), F.col("h")).otherwise(F.array(*onto(F.col("h"), F.col("_s")))).alias("h")), issues
+
+
 def strict(frames: DataFrame, issues: DataFrame) -> DataFrame:
     """The frames, or an error when any of them has an issue."""
     if not issues.isEmpty():

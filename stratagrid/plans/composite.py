@@ -307,6 +307,19 @@ def r1(spark, d):
     return h.select("stack", "frame", "other", r6(F.element_at("h", 3), 3).alias("dx"), r6(F.element_at("h", 6), 3).alias("dy"))
 
 
+@book.add("r2_registration")
+def r2(spark, d):
+    """A sabotaged stack: frame 2 misfired, frame 7 shows another scene; the others drift by known shifts."""
+    good = synth.Synth(frames=11, height=48, width=64, jitter=2.0, blur=2.0)
+    other = synth.Synth(frames=11, height=48, width=64, blur=0.0, seed=977)
+    px = synth.pixels(spark, {0: good}).withColumn("v", P.luminance(F.col("r"), F.col("g"), F.col("b")))
+    alien = synth.pixels(spark, {0: other}).where("frame = 7").withColumn("v", P.luminance(F.col("b"), F.col("r"), F.col("g")))
+    px = px.where("frame <> 7").unionByName(alien).withColumn("v", F.when(F.col("frame") == 2, F.col("v") * 0.1).otherwise(F.col("v")))
+    frames, issues = R.register_stacks(px, 48, 64)
+    out = frames.join(issues, ["stack", "frame"], "left")
+    return out.select("stack", "frame", F.coalesce("kind", F.lit("")).alias("kind"), r6(F.element_at("h", 3), 2).alias("tx"), r6(F.element_at("h", 6), 2).alias("ty"))
+
+
 @book.add("s9_synth_fuse_psnr")
 def s9(spark, d):
     s = {k: synth.Synth(scene=n, frames=7, height=48, width=64, blur=4.0) for k, n in enumerate(synth.SCENES)}

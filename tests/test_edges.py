@@ -165,3 +165,13 @@ def test_a_second_save_replaces_the_first(spark, tmp_path):
         project.save(spark, str(tmp_path / "p"), img(v), dep, {"v": v})
     m, i, _ = project.load(spark, str(tmp_path / "p"))
     assert m["settings"] == {"v": 0.5} and abs(i.first()["r"] - 0.5) < 1e-4
+
+
+def test_registration_names_sabotaged_frames(spark):
+    from stratagrid.plans import catalog
+
+    got = {r["frame"]: r for r in catalog.queries()["r2_registration"](spark, "").collect()}
+    assert {k: r["kind"] for k, r in got.items() if r["kind"]} == {2: "exposureOutlier", 7: "misaligned"}
+    p = synth.frame_params(synth.Synth(frames=11, height=48, width=64, jitter=2.0, blur=2.0)).set_index("frame")
+    for k in (0, 1, 2, 3, 4, 5, 6, 8, 9, 10):
+        assert abs(got[k]["tx"] - p["jx"][k]) < 0.4 and abs(got[k]["ty"] - p["jy"][k]) < 0.4
