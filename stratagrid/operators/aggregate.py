@@ -73,6 +73,15 @@ def render_gains(gains: DataFrame, least: float = 0.001) -> DataFrame:
     return gains.join(F.broadcast(g), "stack").select("stack", "frame", *[F.when(F.col("_s") < least, F.lit(1.0)).otherwise(F.col(c) / F.col(f"_m{c}")).alias(c) for c in cs])
 
 
+def normalized(px: DataFrame, width: int) -> DataFrame:
+    """Frames with the exposure chain's gains multiplied in: each against frame 0, re-anchored to the geometric mean.
+
+    ``px``: stack, frame, y, x, r, g, b, a."""
+    gains = render_gains(exposure_gain(channel_means(px, 7, width)).drop("gain"))
+    j = px.join(gains, ["stack", "frame"])
+    return j.select(*[(F.col(c) * F.col(f"gain_{c}")).alias(c) if c in ("r", "g", "b") else F.col(c) for c in px.columns])
+
+
 def box_down(df: DataFrame, factor: int, value: str = "v", how: str = "avg", extra: tuple[str, ...] = ("stack", "frame")) -> DataFrame:
     """Cells of ``factor`` by ``factor`` pixels, clipped at the edges: their mean, or their maximum from 0 on."""
     agg = F.avg(value) if how == "avg" else F.greatest(F.max(value), F.lit(0.0))

@@ -26,6 +26,9 @@ class Options:
     threshold: float = 0.07
     smoothed_selection: bool = True
     textured_base: bool = False
+    governance_block: int = 0  # cells of a governed block; 0 is off
+    normalize_exposure: bool = True
+    cell: int = 32  # pixels of an envelope cell
 
 
 def levels(height: int, width: int) -> int:
@@ -141,6 +144,38 @@ def envelope_clamp(out: DataFrame, bands: DataFrame, cell: int, factor: float =
     return j.select(*A.PIXEL, *[(F.col(c) * k).alias(c) for c in RGB])
 
 
+def debloom_masks(lum_min: DataFrame, veto: DataFrame | None, bg: DataFrame | None, levels_: range) -> tuple[dict[int, DataFrame], dict[int, DataFrame]]:
+    """By level: mask (near black, less what the texture veto says is alive, or open background) and bg (open background
+    that near black doesn't claim), each the greatest over the pixels of a coarse one: stack, y, x, m and stack, y, x, bg.
+
+    ``veto``: stack, y, x, v by pixel; ``bg``: stack, y, x, m by pixel."""
+    m = near_black(lum_min)
+    if veto is not None:
+        m = m.join(veto, A.PIXEL, "left").select(*A.PIXEL, (F.col("m") * (1 - F.coalesce("v", F.lit(0.0)))).alias("m"))
+    open_ = F.lit(False)
+    if bg is not None:
+        m = m.join(bg.select(*A.PIXEL, F.col("m").alias("_o")), A.PIXEL, "left")
+        open_ = F.coalesce("_o", F.lit(False))
+    m = C.cut(m.select(*A.PIXEL, F.when(open_, F.lit(1.0)).otherwise(F.col("m")).alias("m"), F.when(open_ & (F.col("m") < 0.5), 1.0).otherwise(0.0).alias("bg")))
+    pool = lambda lv, c: A.box_down(m, 1 << lv, c, "max", ("stack",))
+    return {lv: pool(lv, "m") for lv in levels_}, {lv: pool(lv, "bg") for lv in levels_}
+
+
+def clamped_image(image: DataFrame, bands: DataFrame, height: int, width: int, cell: int) -> DataFrame:
+    """The fused image with the finest band of it held within the frames' envelope, cell by cell.
+
+    ``bands``: the frames' finest bands."""
+    out = None
+    fine: DataFrame | None = None
+    for c in RGB:
+        band = S.pyramid(image.select("stack", F.lit(0).alias("frame"), "y", "x", F.col(c).alias("v")), height, width, 1)[0][0].drop("frame").withColumnRenamed("v", c)
+        fine = band if fine is None else fine.join(band, A.PIXEL)
+    fine = C.cut(fine)
+    held = envelope_clamp(fine, bands, cell).select(*A.PIXEL, *[F.col(c).alias(f"_h{c}") for c in RGB])
+    out = image.join(fine.select(*A.PIXEL, *[F.col(c).alias(f"_f{c}") for c in RGB]), A.PIXEL).join(held, A.PIXEL)
+    return out.select(*A.PIXEL, *[(F.col(c) + F.col(f"_h{c}") - F.col(f"_f{c}")).alias(c) for c in RGB])
+
+
 def govern(win: DataFrame, mask: DataFrame, block: int = 8, hysteresis: float = 0.85, k: int = 8) -> DataFrame:
     """Background pixels follow one frame for each block of cells: the dominant frame (of the stack's top ``k``) with the
     most energy there, unless the pixel's own frame holds at least ``hysteresis`` of that; ties to the smaller frame.
@@ -171,28 +206,85 @@ def texture_winner(px: DataFrame, key: tuple[str, ...] = ("stack", "frame"), val
 
 
 def fuse(px: DataFrame, height: int, width: int, o: Options | None = None, n_levels: int | None = None) -> DataFrame:
-    """The fused image of every stack (stack, y, x, r, g, b); ``px``: stack, frame, y, x, r, g, b aligned frames.
+    """The fused image of every stack (stack, y, x, r, g, b); ``px``: stack, frame, y, x, r, g, b, a aligned frames.
 
-    Finest level: energy blurred by sigma 1; other levels: as they are, smoothed if so set; base: mean of the frames.
+    Finest level: energy blurred by sigma 1; other levels: as they are, smoothed if so set. With ``coarse_levels`` the
+    coarsest levels keep four tracks, merged by the near-black and open-background masks, and the base is the
+    darkest frame's; without, the base is the mean of the frames (or the most textured frame's, if so set). Smoothed selection brings
+    the texture veto and the clamp to the frames' envelope with it; governance replaces background by single frames.
     """
     o = o or Options()
+    if o.normalize_exposure:
+        px = C.cut(A.normalized(px, width))
     n = min(n_levels or levels(height, width), max(1, int(math.log2(max(2, min(height, width))))))
     per = {c: S.pyramid(px.withColumnRenamed(c, "v"), height, width, n) for c in RGB}
-    fused: dict[str, list] = {c: [] for c in RGB}
     key = ["stack", "frame", "y", "x"]
+    gray = [px.select(*key, P.luminance(F.col("r"), F.col("g"), F.col("b")).alias("v"))]  # luminance by level
+    for _ in range(n if o.coarse_levels or o.textured_base else 0):
+        gray.append(C.cut(S.decimate(gray[-1])))
+
+    def band(lv: int) -> DataFrame:
+        out = per["r"][lv][0].withColumnRenamed("v", "r")
+        for c in ("g", "b"):
+            out = out.join(per[c][lv][0].withColumnRenamed("v", c), key)
+        return out
+
+    finest = band(0)
+    gated = range(max(1, n - o.coarse_levels), n) if o.coarse_levels else range(0)
+    masks: dict = {}
+    bgs: dict = {}
+    energy = bg = clean = None
+    if o.coarse_levels or o.governance_block:
+        finest = C.cut(finest)
+        energy = C.cut(S.gaussian(band_energy(finest), 1.0, "e").select(*key, "e"))
+        lum = gray[0]
+        frames = px.agg(F.countDistinct("frame").alias("n")).first()["n"]  # one number
+        fx = C.cut(A.extremes(energy, "e").select(*A.PIXEL, "hi", "lo"))
+        lum_min = C.cut(A.extremes(lum, "v").select(*A.PIXEL, F.col("lo").alias("v")))
+        veto = None
+        if o.smoothed_selection:
+            e2 = finest.select(*key, sum((F.col(c) ** 2 for c in RGB), F.lit(0.0)).alias("v"))
+            sharp = A.box_down(sharp_mask(fx, frames).select(*A.PIXEL, F.col("m").cast("double").alias("v")), o.cell, "v", "max", ("stack",)).select(*A.PIXEL, (F.col("v") > 0).alias("sharp"))
+            cells = A.box_down(e2, o.cell, "v").groupBy(*A.PIXEL).agg(F.max("v").alias("env_max"), F.min("v").alias("env_min")).join(sharp, A.PIXEL)
+            v = texture_veto(C.cut(cells), frames)
+            at = px.select(*A.PIXEL).distinct().withColumn("_cy", F.floor(F.col("y") / o.cell).cast("int")).withColumn("_cx", F.floor(F.col("x") / o.cell).cast("int"))
+            veto = at.join(v.select("stack", F.col("y").alias("_cy"), F.col("x").alias("_cx"), "v"), ["stack", "_cy", "_cx"]).select(*A.PIXEL, "v")
+        bg = C.cut(open_background(fx, lum_min, frames, height, width))
+        masks, bgs = debloom_masks(lum_min, veto, bg, gated)
+        clean = C.cut(clean_field(lum_min, bg, 8, height, width))
+    fused: dict[str, list] = {c: [] for c in RGB}
     for lv in range(n + 1):
         _, h, w = per["r"][lv]
-        band = per["r"][lv][0].withColumnRenamed("v", "r")
-        for c in ("g", "b"):
-            band = band.join(per[c][lv][0].withColumnRenamed("v", c), key)
         if lv == n:
-            out = band.groupBy(*A.PIXEL).agg(*[F.avg(c).alias(c) for c in RGB])
+            base = band(lv)
+            if o.textured_base:
+                best = texture_winner(gray[lv]).select(*A.PIXEL, "frame")
+                out = base.join(best, key)
+            elif o.coarse_levels:
+                out = base.groupBy(*A.PIXEL).agg(F.min_by(F.struct(*RGB), F.struct(P.luminance(F.col("r"), F.col("g"), F.col("b")), F.col("frame"))).alias("_w")).select(*A.PIXEL, *[F.col(f"_w.{c}").alias(c) for c in RGB])
+            else:
+                out = base.groupBy(*A.PIXEL).agg(*[F.avg(c).alias(c) for c in RGB])
+        elif lv in gated:
+            low = gray[lv].select(*key, F.col("v").alias("lum"))
+            focus = A.box_down(energy, 1 << lv, "e").select(*key, F.col("e").alias("focus"))
+            t = tracks(band(lv).join(low, key).join(focus, key), o.threshold)
+            where = masks[lv].join(bgs[lv], A.PIXEL).withColumnRenamed("m", "mask")
+            gh, gw = -(-height // 8), -(-width // 8)
+            grid = S.resize(clean.withColumn("frame", F.lit(0)), gh, gw, h, w).drop("frame").withColumnRenamed("v", "clean")
+            out = merge(t, where.join(grid, A.PIXEL))
         else:
-            out = select(band, 1.0 if lv == 0 or o.smoothed_selection else 0.0)
+            out = select(finest if lv == 0 else band(lv), 1.0 if lv == 0 or o.smoothed_selection else 0.0)
         for c in RGB:
             fused[c].append((out.select(*A.PIXEL, F.col(c).alias("v")), h, w))
     image = None
     for c in RGB:
         plane = S.collapse(fused[c], "v", ("stack",)).withColumnRenamed("v", c)
         image = plane if image is None else image.join(plane, A.PIXEL)
+    if o.coarse_levels and o.smoothed_selection:
+        image = clamped_image(C.cut(image), finest, height, width, o.cell)
+    if o.governance_block:
+        win = A.winner(energy, "e")
+        frame = govern(win, bg, o.governance_block * 8).withColumnRenamed("frame", "_f")
+        own = px.join(frame.join(bg, A.PIXEL).where("m"), A.PIXEL).where("frame = _f").select(*A.PIXEL, *[F.col(c).alias(f"_g{c}") for c in RGB])
+        image = image.join(own, A.PIXEL, "left").select(*A.PIXEL, *[F.coalesce(f"_g{c}", c).alias(c) for c in RGB])
     return image

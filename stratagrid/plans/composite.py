@@ -235,10 +235,18 @@ def m12(spark, d):
 
 @book.add("m1_pyramid_fuse")
 def m1(spark, d):
-    image = M.fuse(V.rgb_stack(spark, d, holes=False), 8, 8, n_levels=2)
+    image = M.fuse(V.rgb_stack(spark, d, holes=False), 8, 8, M.Options(coarse_levels=0, normalize_exposure=False), n_levels=2)
     return image.select(*PX, *[r6(F.col(c), 5).alias(c) for c in "rgb"])
 
 
+@book.add("m1_debloomed_fuse")
+def m1d(spark, d):
+    """A synthetic stack with exposure flicker, fused with tracks, masks, veto and clamp: PSNR against the truth."""
+    s = {0: synth.Synth(scene="object", frames=5, height=32, width=48, blur=3.0, flicker=0.02)}
+    image = M.fuse(synth.pixels(spark, s), 32, 48, M.Options(cell=8), n_levels=3)
+    return A.psnr(image, synth.truth(spark, s), 4, 32, 48).select("stack", r6(F.col("psnr"), 2).alias("psnr"))
+
+
 VETO = """cl AS (SELECT stack, frame, y // 2 AS y, x // 2 AS x, avg((r - 0.5) * (r - 0.5)) AS v FROM rgb GROUP BY ALL),
 ce AS (SELECT stack, y, x, max(v) AS hi, min(v) AS lo FROM cl GROUP BY ALL),
 el AS (SELECT *, sqrt(hi / greatest(lo, 1e-12)) AS q, row_number() OVER (PARTITION BY stack ORDER BY hi) - 1 AS k, count(*) OVER (PARTITION BY stack) AS n FROM ce WHERE NOT (y <= 1 AND x <= 1)),
