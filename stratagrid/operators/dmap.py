@@ -167,12 +167,19 @@ def blend(px: DataFrame, coeff: DataFrame, scale: DataFrame, frames: DataFrame,
 
 
 def fuse(px: DataFrame, height: int, width: int, o: Options | None = None, regularize: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(image, depth) of every stack; ``px``: stack, frame, y, x, r, g, b, a aligned frames with gains applied."""
+    """(image, depth) of every stack; ``px``: stack, frame, y, x, r, g, b, a aligned frames. Focus is measured on
+    luminance levelled to frame 0, and what is rendered is levelled to the geometric mean, unless the option is off."""
     o = (o or Options()).resolved(width, height)
     f = o.downsample
     rows, cols = -(-height // f), -(-width // f)
     lum = px.withColumn("v", P.luminance(F.col("r"), F.col("g"), F.col("b")))
-    e = focus_energy(lum, "v", 0.0, 0.0, height, width)
+    if o.normalize_exposure:
+        gains = A.exposure_gain(A.channel_means(px, 7, width)).select("stack", "frame", "gain")
+        lum = lum.join(gains, ["stack", "frame"]).withColumn("v", F.col("v") * F.col("gain")).drop("gain")
+        px = C.cut(A.normalized(px, width))
+    e = focus_energy(lum, "v", o.focus_pre_sigma, o.sharpness_sigma, height, width)
+    if o.sharpness_sigma >= 4:  # the quarter grid gives back energies only
+        e = e.select("stack", "frame", "y", "x", "e").join(lum.select("stack", "frame", "y", "x", "v", "a"), ["stack", "frame", "y", "x"])
     win = A.winner(e, F.col("e") * F.col("a"), {"g": "v"})
     frames = px.groupBy("stack").agg(F.countDistinct("frame").alias("n"))
     win = C.cut(win)  # one pass over the frames; the stages below reread its pixels several times

@@ -137,7 +137,7 @@ def d5g(spark, d):
 def d5(spark, d):
     """All five tiers and the blend: depth of every stack (no SQL: the push-pull prior is iterative)."""
     px = V.rgb_stack(spark, d, holes=False)
-    _, depth = D.fuse(px, 8, 8, D.Options(downsample=2, median_radius=2, guided_radius=4.0))
+    _, depth = D.fuse(px, 8, 8, D.Options(sharpness_sigma=0.0, focus_pre_sigma=0.0, normalize_exposure=False, downsample=2, median_radius=2, guided_radius=4.0))
     return depth.select(*PX, r6(F.col("d"), 4).alias("d"))
 
 
@@ -331,7 +331,7 @@ def r2(spark, d):
 @book.add("s9_synth_fuse_psnr")
 def s9(spark, d):
     s = {k: synth.Synth(scene=n, frames=7, height=48, width=64, blur=4.0) for k, n in enumerate(synth.SCENES)}
-    image, _ = D.fuse(synth.pixels(spark, s), 48, 64, D.Options(median_radius=4), regularize=False)
+    image, _ = D.fuse(synth.pixels(spark, s), 48, 64, D.Options(sharpness_sigma=1.0, median_radius=4), regularize=False)
     return A.psnr(image, synth.truth(spark, s), 4, 48, 64).select("stack", r6(F.col("psnr"), 3).alias("psnr"))
 
 
