@@ -17,12 +17,13 @@ sequence is one shingle, without words the set is empty and linked with nothing.
 3. Signatures travel packed, by bucket: six bytes each beside their class. Classes of one batch that share a
    signature send it once, under their least; the others follow by a join, which splits where a signature
    is hot. A signature held by several classes names its least class as leader.
-4. Each class is first verified with the leader nearest by sketch; then, round by round, each pair of components that
-   leaders still connect has its nearest pairs verified. What lies in other components than the largest of a
-   leader's group meets the others in blocks. So no link between components is lost, while a large group of
-   copies costs about one verification each and never all its pairs. Before texts are compared, a pair must
-   pass two exact bounds: on the sizes, and on a parity sketch of 2048 bits, whose distance never exceeds the
-   sets'. Verification compares the shingles themselves, word for word.
+4. A leader's classes, with their sizes and parity sketches, meet in blocks. Two exact bounds say which pairs may link:
+   on the sizes, and on the sketches, whose distance never exceeds the sets'. In a group of one block a spanning
+   forest of such pairs is verified; in a larger group each class is verified with the leader, and then what lies in other
+   components than the largest meets the others, block by block. Where a pair fails, the group's components are
+   verified with each other again, nearest pairs first, until nothing is left. So no link between
+   components is lost, while a large group of copies costs about one verification each and never all its pairs.
+   Verification compares the shingles themselves, word for word.
 
 Defined cases: null text is empty; a null doc_id has its class's component (null if the class has no id);
 repeated rows are copies; ties don't occur; an empty table gives an empty result; other columns are ignored.
@@ -49,9 +50,10 @@ from .graph import components
 
 SPACE = ~K.byte_class((0x20, 0x20), (0x09, 0x0D))
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
-SKETCH = 2048
+SKETCH, SHORT = 512, 600  # bits of the parity sketch of a set of up to so many elements; four times as many for four times the set
 UNIT = 1 << 21  # signatures that a task packs at a time
 BUCKET = 1 << 22  # about so many signatures in a bucket
+BLOCK = 256  # about so many classes in a block
 PASS = 400_000  # words of a text from which its shingles are compared in several passes
 
 
@@ -145,13 +147,20 @@ def names(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """Parity of the elements that fall on each of SKETCH bits, as longs."""
-    size = [len(x) for x in sets]
-    flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
-    bit = (K.mix(flat) & np.uint64(SKETCH - 1)).astype(np.int64) + SKETCH * np.repeat(np.arange(len(sets)), size)
-    odd = (np.bincount(bit, minlength=SKETCH * len(sets)) & 1).astype(np.uint8).reshape(len(sets), SKETCH)
-    return np.packbits(odd, axis=1).view("<i8").reshape(len(sets), SKETCH // 64)
+def sketches(sets: list[np.ndarray]) -> list[bytes]:
+    """Parity of the elements that fall on each bit; the exclusive or of its quarters is the sketch of a quarter of the bits."""
+    size = np.array([len(x) for x in sets], np.int64)
+    level = np.ceil(np.log(np.maximum(size, SHORT) / SHORT) / np.log(4) - 1e-9).astype(np.int64)
+    out = [b""] * len(sets)
+    for k in np.unique(level).tolist():
+        own = np.flatnonzero(level == k).tolist()
+        bits = SKETCH << (2 * k)
+        flat = np.concatenate([sets[i] for i in own])
+        bit = (K.mix(flat) & np.uint64(bits - 1)).astype(np.int64) + bits * np.repeat(np.arange(len(own)), size[own])
+        odd = (np.bincount(bit, minlength=bits * len(own)) & 1).astype(np.uint8).reshape(len(own), bits)
+        for i, row in zip(own, np.packbits(odd, axis=1)):
+            out[i] = row.tobytes()
+    return out
 
 
 def _made(docs: DataFrame, scheme: Scheme) -> DataFrame:
@@ -239,7 +248,8 @@ def _packed(docs: DataFrame, scheme: Scheme, buckets: int) -> DataFrame:
 
 
 def _met(packed: DataFrame) -> DataFrame:
-    """(kind, sig, a, b) from packed rows, those of a bucket one after another: 0 leader and class, 1 signature and leader, 2 signature, leader of a unit and class."""
+    """(kind, sig, a, b) from packed rows, those of a bucket one after another: 0 leader and class (sig: 1 where the signature
+    has three classes or more, else 0), 1 signature and leader, 2 signature, leader of a unit and class."""
 
     def out(kind: int, sig: np.ndarray | None, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
         none = pa.nulls(len(a), pa.int64())
@@ -257,13 +267,13 @@ def _met(packed: DataFrame) -> DataFrame:
         lead = np.minimum.reduceat(key, at)
         told = np.maximum.reduceat(flag, at) > 0
         yield out(1, (code[at][told] << np.uint64(17)) | np.uint64(bucket), lead[told], None)
-        a = np.repeat(lead, n)
+        a, many = np.repeat(lead, n), np.repeat((n > 2) | told, n)
         some = np.flatnonzero(a != key)
-        a, b = a[some], key[some]
-        by = np.lexsort((b, a))
-        a, b = a[by], b[by]
+        a, b, many = a[some], key[some], many[some]
+        by = np.lexsort((~many, b, a))
+        a, b, many = a[by], b[by], many[by]
         new = np.concatenate([np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        yield out(0, None, a[new], b[new])
+        yield out(0, many[new].astype(np.int64), a[new], b[new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -291,13 +301,12 @@ def _sketched(docs: DataFrame, scheme: Scheme) -> DataFrame:
         for b in batches:
             for i, j, data, offs in K.chunks(b.column(1)):
                 sets = scheme.sets(data, offs)
-                sk = sketches(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array([len(x) for x in sets], pa.int64()), pa.array([r.tobytes() for r in sk], pa.binary()), b.column(1).slice(i, j - i).cast(pa.string())],
+                    [b.column(0).slice(i, j - i), pa.array([len(x) for x in sets], pa.int32()), pa.array(sketches(sets), pa.binary()), b.column(1).slice(i, j - i).cast(pa.string())],
                     names=["key", "n", "sk", "text"],
                 )
 
-    return docs.mapInArrow(run, "key long, n long, sk binary, text string")
+    return docs.mapInArrow(run, "key long, n int, sk binary, text string")
 
 
 def words_of(text: str) -> list[bytes]:
@@ -337,38 +346,93 @@ def _checked(pairs: DataFrame, scheme: Scheme) -> DataFrame:
     return pairs.select("a", "b", "ra", "rb", "ta", "tb").mapInArrow(run, "a long, b long, ra long, rb long")
 
 
-def _met_in_blocks(blocks: DataFrame, scheme: Scheme, take: int) -> DataFrame:
-    """Pairs of two blocks of one group that the bounds allow: for each two components the ``take`` nearest, and whether there are more.
-
-    ``blocks``: x and y, lists of (node, root, n, sk, out); a pair needs a node outside the group's largest component.
-    """
+class Block:
+    """Classes of one leader as columns: node, root, n, whether in a signature of three classes or more, sketches."""
 
-    def columns(rows: list[dict]) -> tuple:
+    def __init__(self, rows: list[dict]):
         num = lambda c: np.array([r[c] for r in rows], np.int64)
-        return num("node"), num("root"), num("n"), np.frombuffer(b"".join(r["sk"] for r in rows), "<u8").reshape(len(rows), -1), np.array([r["out"] for r in rows])
+        self.node, self.root, self.n, self.many = num("node"), num("root"), num("n"), num("many") > 0
+        self.sketch = [np.frombuffer(r["sk"], "<u8") for r in rows]
+        self.words = np.array([len(x) for x in self.sketch], np.int64)
+
+    def folded(self, i: int, words: int) -> np.ndarray:
+        x = self.sketch[i]
+        while len(x) > words:
+            x = np.bitwise_xor.reduce(x.reshape(4, -1))
+        return x
+
+
+def candidates(x: Block, y: Block, ok: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in x and in y, and distance of the sketches, of the pairs of ``ok`` that sizes and sketches allow."""
+    ok = ok & (np.minimum(x.n[:, None], y.n) * scheme.den >= np.maximum(x.n[:, None], y.n) * scheme.num) & (x.root[:, None] != y.root)
+    i, j = np.nonzero(ok)
+    far = np.zeros(len(i), np.int64)
+    for least in (True, False):  # all by the smallest sketch first, then what passes by the finest that both have
+        fine = np.full(len(i), SKETCH // 64) if least else np.minimum(x.words[i], y.words[j])
+        for words in np.unique(fine[fine > SKETCH // 64] if not least else fine).tolist():
+            own = np.flatnonzero(fine == words)
+            u, p = np.unique(i[own], return_inverse=True)
+            v, q = np.unique(j[own], return_inverse=True)
+            a, b = np.stack([x.folded(k, words) for k in u.tolist()]), np.stack([y.folded(k, words) for k in v.tolist()])
+            d = np.zeros(len(own), np.int64)
+            for w in range(words):
+                d += np.bitwise_count(a[p, w] ^ b[q, w])
+            far[own] = d
+        near = far * (scheme.den + scheme.num) <= (scheme.den - scheme.num) * (x.n[i] + y.n[j])
+        i, j, far = i[near], j[near], far[near]
+    return i, j, far
+
+
+def forest(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Places of the edges (a, b) of a shortest spanning forest."""
+    up: dict[int, int] = {}
+
+    def top(v: int) -> int:
+        while up.get(v, v) != v:
+            up[v] = up.get(up[v], up[v])
+            v = up[v]
+        return v
+
+    kept = []
+    for k in np.lexsort((b, a, far)).tolist():
+        s, t = top(int(a[k])), top(int(b[k]))
+        if s != t:
+            up[s] = t
+            kept.append(k)
+    return np.array(kept, np.int64)
+
+
+def nearest(u: np.ndarray, v: np.ndarray, far: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ``take`` shortest edges of each pair of components (u, v), and whether that pair has more."""
+    lo, hi = np.minimum(u, v), np.maximum(u, v)
+    by = np.lexsort((far, hi, lo))
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(by)), bool), (lo[by][1:] != lo[by][:-1]) | (hi[by][1:] != hi[by][:-1])]))
+    n = np.diff(np.concatenate([at, [len(by)]]))
+    first = np.arange(len(by)) - np.repeat(at, n) < take
+    return by[first], np.repeat(n > take, n)[first]
+
+
+def _met_in_blocks(blocks: DataFrame, scheme: Scheme, take: int) -> DataFrame:
+    """Pairs a, b of classes that the bounds allow, with far, lead and more; ``blocks``: lead, x and y (null: x with itself),
+    lists of (node, root, n, sk, many). With ``take`` 0 a spanning forest of the pairs, else the nearest of each two components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                x, rx, nx, sx, ox = columns(b.column(0)[r].as_py())
-                y, ry, ny, sy, oy = columns(b.column(1)[r].as_py())
-                ok = ox[:, None] & (rx[:, None] != ry) & (~oy | (x[:, None] < y))
-                ok &= np.minimum(nx[:, None], ny) * scheme.den >= np.maximum(nx[:, None], ny) * scheme.num
-                i, j = np.nonzero(ok)
-                far = np.zeros(len(i), np.int64)
-                for q in range(0, sx.shape[1]):
-                    far += np.bitwise_count(sx[i, q] ^ sy[j, q])
-                near = far * (scheme.den + scheme.num) <= (scheme.den - scheme.num) * (nx[i] + ny[j])
-                i, j, far = i[near], j[near], far[near]
-                u, v = np.minimum(rx[i], ry[j]), np.maximum(rx[i], ry[j])
-                by = np.lexsort((y[j], x[i], far, v, u))
-                i, j, far, u, v = i[by], j[by], far[by], u[by], v[by]
-                at = np.flatnonzero(np.concatenate([np.ones(min(1, len(u)), bool), (u[1:] != u[:-1]) | (v[1:] != v[:-1])]))
-                n = np.diff(np.concatenate([at, [len(u)]]))
-                first = np.arange(len(u)) - np.repeat(at, n) < take
-                yield pa.RecordBatch.from_arrays([pa.array(x[i][first]), pa.array(y[j][first]), pa.array(far[first]), pa.array(np.repeat(n > take, n)[first])], names=["a", "b", "far", "more"])
-
-    return blocks.select("x", "y").mapInArrow(run, "a long, b long, far long, more boolean")
+                lead, x = b.column(0)[r].as_py(), Block(b.column(1)[r].as_py())
+                other = b.column(2)[r].as_py()
+                y = x if other is None else Block(other)
+                ok = (x.many[:, None] & y.many) | (x.node == lead)[:, None] | (y.node == lead)
+                ok &= x.node[:, None] < y.node if other is None else x.node[:, None] != y.node
+                i, j, far = candidates(x, y, ok, scheme)
+                if take:
+                    pick, more = nearest(x.root[i], y.root[j], far, take)
+                else:
+                    pick = forest(x.node[i], y.node[j], far)
+                    more = np.zeros(len(pick), bool)
+                yield pa.RecordBatch.from_arrays([pa.array(x.node[i][pick]), pa.array(y.node[j][pick]), pa.array(far[pick]), pa.array(more), pa.array(np.full(len(pick), lead, np.int64))], names=["a", "b", "far", "more", "lead"])
+
+    return blocks.select("lead", "x", "y").mapInArrow(run, "a long, b long, far long, more boolean, lead long")
 
 
 def link(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
@@ -393,34 +457,16 @@ def link_rows(rows: DataFrame, scheme: Scheme) -> DataFrame:
     packed = _packed(src.select("text").where("text IS NOT NULL"), scheme, buckets)
     met = cut(_met(packed.repartition(parts, "bucket").sortWithinPartitions("bucket")), "met")
     lead = met.where("kind = 1").select("sig", F.col("a").alias("lead"))
-    unit = met.where("kind = 2").join(lead, "sig").select("lead", F.col("b").alias("node")).where("lead <> node")
-    star = cut(met.where("kind = 0").select(F.col("a").alias("lead"), F.col("b").alias("node")).unionAll(unit).distinct(), "star")
+    unit = met.where("kind = 2").join(lead, "sig").select("lead", F.col("b").alias("node"), F.lit(1).cast("long").alias("many")).where("lead <> node")
+    star = met.where("kind = 0").select(F.col("a").alias("lead"), F.col("b").alias("node"), F.col("sig").alias("many")).unionAll(unit)
+    star = cut(star.groupBy("lead", "node").agg(F.max("many").alias("many")), "star")
     free(met)
 
     near = star.select(F.col("lead").alias("key")).unionAll(star.select(F.col("node").alias("key"))).distinct()
     reps = near.join(classes.select("key", "rid"), "key")
     cls = cut(_sketched(src.join(reps, "rid").select("key", "text"), scheme), "classes")
-    meta = cls.select("key", "n", "sk")
     root = cut(cls.select(F.col("key").alias("node"), F.col("key").alias("root")), "roots")
 
-    def side(x: str) -> DataFrame:
-        return meta.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("sk").alias(f"sk{x}"))
-
-    def bounded(pairs: DataFrame) -> DataFrame:
-        """a, b and far (distance of the sketches) of the pairs that the bounds allow."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                na, nb = b.column(2).to_numpy(), b.column(4).to_numpy()
-                sa, sb = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u8").reshape(b.num_rows, -1) for c in (3, 5))
-                far = np.bitwise_count(sa ^ sb).sum(1, dtype=np.int64)
-                ok = (np.minimum(na, nb) * scheme.den >= np.maximum(na, nb) * scheme.num) & (far * (scheme.den + scheme.num) <= (scheme.den - scheme.num) * (na + nb))
-                at = pa.array(np.flatnonzero(ok))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(far[ok])], names=["a", "b", "far"])
-
-        full = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "ska", "nb", "skb")
-        return full.mapInArrow(run, "a long, b long, far long")
-
     def rooted(df: DataFrame, x: str, out: str) -> DataFrame:
         return df.join(root.select(F.col("node").alias(x), F.col("root").alias(out)), x)
 
@@ -454,37 +500,43 @@ def link_rows(rows: DataFrame, scheme: Scheme) -> DataFrame:
             free(links)
             take *= 16
 
-    pairs = cut(bounded(star.select(F.col("lead").alias("a"), F.col("node").alias("b"))), "pairs")
-    first = pairs.groupBy("b").agg(F.min(F.struct("far", "a")).alias("f")).select(F.col("f.a").alias("a"), "b", F.col("f.a").alias("ra"), F.col("b").alias("rb"))
-    links = cut(verified(first), "links")
-    merge(links)
-    free(links)
-    settle(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti"))
-    free(pairs)
-
-    # groups of a leader that still hold several components: what is outside the largest meets the others, in blocks
-    take = 4
-    while True:
-        group = cut(rooted(star.unionAll(star.select("lead", F.col("lead").alias("node")).distinct()), "node", "root"), "groups")
-        shares = group.groupBy("lead", "root").agg(F.count(F.lit(1)).alias("c"))
-        tops = shares.groupBy("lead").agg(F.max(F.struct("c", "root")).alias("t"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("all")).where("k > 1").select("lead", F.col("t.root").alias("top"), "all", (F.col("all") - F.col("t.c")).alias("rest"))
-        member = group.join(tops, "lead").join(meta.withColumnRenamed("key", "node"), "node").where("node <> lead")
-        member = cut(member.select("lead", "all", "rest", F.struct("node", "root", "n", "sk", (F.col("root") != F.col("top")).alias("out")).alias("m")), "members")
-
-        def blocked(rows: DataFrame, size: str, name: str) -> DataFrame:
-            """Lists of about 256 members of a group."""
-            blk = F.pmod(F.xxhash64("m.node"), F.ceil(F.col(size) / 256))
-            return rows.groupBy("lead", blk.alias("blk")).agg(F.collect_list("m").alias(name)).drop("blk")
-
-        both = blocked(member.where("m.out"), "rest", "x").join(blocked(member, "all", "y"), "lead")
+    def members(ties: DataFrame) -> DataFrame:
+        """lead, size (of its group) and m, a class of it as a row of a block; the leader is one of its own."""
+        rows = ties.unionAll(ties.select("lead").distinct().select("lead", F.col("lead").alias("node"), F.lit(1).cast("long").alias("many")))
+        rows = rooted(rows, "node", "root").join(cls.select(F.col("key").alias("node"), "n", "sk"), "node")
+        return rows.select("lead", F.struct("node", "root", "n", "sk", "many").alias("m"))
+
+    def blocked(rows: DataFrame, size: str, name: str) -> DataFrame:
+        """Lists of about BLOCK members of a group."""
+        blk = F.pmod(F.xxhash64("m.node"), F.ceil(F.col(size) / BLOCK))
+        return rows.groupBy("lead", "size", blk.alias("blk")).agg(F.collect_list("m").alias(name)).drop("blk")
+
+    sizes = star.groupBy("lead").agg((F.count(F.lit(1)) + 1).alias("size"))
+    blocks = cut(blocked(members(star).join(sizes, "lead"), "size", "m"), "blocks")
+    none = F.lit(None).cast(blocks.schema["m"].dataType)
+    alone = blocks.where(F.col("size") <= BLOCK).select("lead", F.col("m").alias("x"), none.alias("y"))
+    head = cls.select(F.col("key").alias("lead"), F.array(F.struct(F.col("key").alias("node"), F.col("key").alias("root"), "n", "sk", F.lit(1).cast("long").alias("many"))).alias("x"))
+    large = blocks.where(F.col("size") > BLOCK).join(head, "lead").select("lead", "x", F.col("m").alias("y"))
+    found = cut(_met_in_blocks(alone.unionAll(large), scheme, 0), "pairs")
+    free(blocks)
+    settle(found.groupBy("a", "b").agg(F.min("far").alias("far")))
+    failed = rooted(rooted(found, "a", "ra"), "b", "rb").where("ra <> rb").select("lead")
+    again = cut(failed.unionAll(sizes.where(F.col("size") > BLOCK).select("lead")).distinct(), "leads")
+    free(found)
+    take = 16
+    while not again.isEmpty():
+        rows = members(star.join(again, "lead", "left_semi"))
+        shares = rows.groupBy("lead", F.col("m.root").alias("root")).agg(F.count(F.lit(1)).alias("c"))
+        tops = shares.groupBy("lead").agg(F.max(F.struct("c", "root")).alias("t"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("size")).where("k > 1").select("lead", F.col("t.root").alias("top"), "size", (F.col("size") - F.col("t.c")).alias("rest"))
+        rows = cut(rows.join(tops, "lead"), "members")
+        both = blocked(rows.where(F.col("m.root") != F.col("top")), "rest", "x").drop("size").join(blocked(rows, "size", "y").drop("size"), "lead")
         found = cut(_met_in_blocks(both, scheme, take), "pairs")
-        free(member, group)
         settle(found.groupBy("a", "b").agg(F.min("far").alias("far")))
-        more = not found.where("more").isEmpty()
-        free(found)
-        if not more:
-            break
+        more = cut(found.where("more").select("lead").distinct(), "leads")
+        free(rows, found, again)
+        again = more
         take *= 16
+    free(again)
 
     out = base.select("doc_id", "rid", "n", "key").join(root.select(F.col("node").alias("key"), F.col("root").alias("_r")), "key", "left").withColumn("_root", F.coalesce("_r", "key"))
     heads = out.where("n > 0").groupBy("_root").agg(F.min("doc_id").alias("_c"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("_h"))
