@@ -11,6 +11,7 @@ from ..operators import join as J
 from ..operators import pmax as M
 from ..operators import registration as R
 from ..operators import stencil as S
+from ..operators import tiles as T
 from ..sources import synth
 from ..sources import views as V
 from .base import Book, r6, with_views
@@ -44,6 +45,13 @@ def slice_zero(spark, d):
     return out.select(*PX, F.col("frame").alias("depth"), r6(F.col("energy")).alias("energy"), r6(F.col("v")).alias("v"), r6(P.depth_visual(F.col("frame"), F.col("n"))).alias("depth_visual"))
 
 
+@book.add("depth_from_focus_tiles")
+def slice_tiles(spark, d):
+    """Depth from focus of a synthetic stack on packed tiles."""
+    s = {0: synth.Synth(frames=7, height=96, width=128, blur=4.0)}
+    return T.pixels(T.fuse_tiles(synth.tiles(spark, s, 40), 96, 128, 40)).select(*PX, *[r6(F.col(c), 4).alias(c) for c in ("r", "g", "b", "d")])
+
+
 @book.add("d2_resolved_options", "SELECT * FROM (VALUES (900, 600, 2, 14.157), (4240, 2832, 10, 66.733), (8256, 5504, 20, 128.0), (16, 16, 1, 1.0)) t(w, h, median_radius, guided_radius)")
 def d2(spark, d):
     rows = [(w, h, o.median_radius, round(o.guided_radius, 3)) for w, h in ((900, 600), (4240, 2832), (8256, 5504), (16, 16)) for o in [D.Options().resolved(w, h)]]

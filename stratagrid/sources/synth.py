@@ -143,6 +143,22 @@ def pixels(spark: SparkSession, scenes: dict[int, Synth]) -> DataFrame:
     return df.mapInPandas(run, "stack int, frame int, y int, x int, r double, g double, b double, a double")
 
 
+def tiles(spark: SparkSession, scenes: dict[int, Synth], tile: int = 128) -> DataFrame:
+    """The frames as packed tiles with a halo of one pixel: see operators.tiles."""
+    from ..operators.tiles import RGB_TILE, cut_frame
+
+    rows = [(k, int(p.frame), float(p.focus), float(p.scale), float(p.jx), float(p.jy), float(p.gain)) for k, s in scenes.items() for p in frame_params(s).itertuples()]
+    df = spark.createDataFrame(rows, "stack int, frame int, focus double, scale double, jx double, jy double, gain double").repartition(len(rows), "stack", "frame")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for p in part.itertuples():
+                cuts = list(cut_frame(frame_pixels(scenes[p.stack], p), tile))
+                yield pd.DataFrame([(p.stack, p.frame, *c) for c in cuts], columns=["stack", "frame", "ty", "tx", "y0", "x0", "h", "w", "px"])
+
+    return df.mapInPandas(run, RGB_TILE)
+
+
 def truth(spark: SparkSession, scenes: dict[int, Synth]) -> DataFrame:
     """stack, y, x, r, g, b, d: what a perfect fuse shows, and depth in frames."""
     df = spark.createDataFrame([(k,) for k in scenes], "stack int").repartition(len(scenes), "stack")
