@@ -78,6 +78,11 @@ def merge_depth(base: DataFrame, edited: DataFrame) -> DataFrame:
     return base.join(edited.select(*A.PIXEL, F.col("d").alias("_d")), A.PIXEL, "left").select(*A.PIXEL, F.coalesce("_d", "d").alias("d"))
 
 
+def revert_depth(edited: DataFrame, region: DataFrame) -> DataFrame:
+    """The edits without those inside a region (stack, y, x): merged again, the base shows there."""
+    return edited.join(region.select(*A.PIXEL), A.PIXEL, "left_anti")
+
+
 def settings_hash(settings: dict, frames: list[str]) -> str:
     """Changes whenever a setting or the list of frames does."""
     return hashlib.sha256(json.dumps([settings, frames], sort_keys=True).encode()).hexdigest()

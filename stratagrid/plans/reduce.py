@@ -343,6 +343,57 @@ def u4(spark, d):
     return E.sharpest(pos(spark, d), 3, 4, 2.0).select("stack", "frame", r6(F.col("score")).alias("score"))
 
 
+def plane(spark, d, frame, name="v"):
+    return V.emb_stack(spark, d).where(F.col("frame") == frame).select("stack", "y", "x", F.col("v").alias(name))
+
+
+@book.add("j1_pixel_join", with_views("emb", "SELECT a.stack, a.y, a.x, round(a.v, 6) + 0.0 AS v, round(b.v, 6) + 0.0 AS w FROM emb a JOIN emb b USING (stack, y, x) WHERE a.frame = 0 AND b.frame = 1"))
+def j1(spark, d):
+    return J.pixel_join(plane(spark, d, 0), plane(spark, d, 1, "w")).select("stack", "y", "x", r6(F.col("v")).alias("v"), r6(F.col("w")).alias("w"))
+
+
+@book.add("j2_frame_params", with_views("emb", "SELECT stack, frame, y, x, round(v * (1 + frame * 0.01), 6) + 0.0 AS v FROM emb"))
+def j2(spark, d):
+    params = V.emb_frames(spark, d).select("stack", "frame", (1 + F.col("frame") * 0.01).alias("gain"))
+    return J.with_frame_params(V.emb_stack(spark, d), params).select("stack", "frame", "y", "x", r6(F.col("v") * F.col("gain")).alias("v"))
+
+
+@book.add("j9_label_stats", with_views("emb", "l AS (SELECT stack, y, x, v, (y // 4) * 2 + x // 4 + 1 AS label FROM emb WHERE frame = 0), s AS (SELECT stack, label, count(*) AS cells, avg(v) AS mean FROM l GROUP BY stack, label) SELECT stack, y, x, CAST(label AS INTEGER) AS label, cells, round(mean, 6) + 0.0 AS mean FROM l JOIN s USING (stack, label)", cte=True))
+def j9(spark, d):
+    lab = plane(spark, d, 0).withColumn("label", (F.floor(F.col("y") / 4) * 2 + F.floor(F.col("x") / 4) + 1).cast("int"))
+    stats = lab.groupBy("stack", "label").agg(F.count(F.lit(1)).alias("cells"), F.avg("v").alias("mean"))
+    return J.with_label_stats(lab.drop("v"), stats).select("stack", "y", "x", "label", "cells", r6(F.col("mean")).alias("mean"))
+
+
+@book.add("u5_merge_depth", with_views("emb", "SELECT a.stack, a.y, a.x, round(CASE WHEN (a.x + a.y) % 3 = 0 AND a.y < 4 THEN b.v ELSE a.v END, 6) + 0.0 AS d FROM emb a JOIN emb b USING (stack, y, x) WHERE a.frame = 0 AND b.frame = 1"))
+def u5(spark, d):
+    """Every third pixel edited, the lower half reverted."""
+    edited = plane(spark, d, 1, "d").where("(x + y) % 3 = 0")
+    left = E.revert_depth(edited, edited.where("y >= 4"))
+    return E.merge_depth(plane(spark, d, 0, "d"), left).select("stack", "y", "x", r6(F.col("d")).alias("d"))
+
+
+@book.add("u7_stale", with_views("emb", "s AS (SELECT DISTINCT stack FROM frames) SELECT stack, stack % 4 = 0 OR stack % 2 = 1 AS stale FROM s", cte=True))
+def u7(spark, d):
+    s = V.emb_frames(spark, d).select("stack").distinct()
+    stored = s.where("stack % 4 <> 0").select("stack", F.md5(F.col("stack").cast("string")).alias("hash"))
+    return E.stale(stored, s.select("stack", F.md5((F.col("stack") + F.col("stack") % 2).cast("string")).alias("hash")))
+
+
+@book.add("u8_batch", with_views("emb", "SELECT stack, y, x, round(max(v), 6) + 0.0 AS hi FROM emb WHERE stack % 2 = 0 GROUP BY stack, y, x"))
+def u8(spark, d):
+    e = V.emb_stack(spark, d)
+    stacks = V.emb_frames(spark, d).select("stack").distinct().withColumn("enabled", F.col("stack") % 2 == 0)
+    return E.batch(e, stacks, A.extremes).select("stack", "y", "x", r6(F.col("hi")).alias("hi"))
+
+
+@book.add("u9_admitted", "SELECT c_custkey AS stack, CAST(c_custkey * 13 % 9000 AS BIGINT) * (c_custkey * 7 % 9000) * 150 + 2147483648 <= 4294967296 AS admitted FROM customer")
+def u9(spark, d):
+    c = V.load(spark, d, "customer")
+    s = c.select(F.col("c_custkey").alias("stack"), (F.col("c_custkey") * 13 % 9000).cast("int").alias("height"), (F.col("c_custkey") * 7 % 9000).cast("int").alias("width"))
+    return E.admitted(s, 4 << 30).select("stack", "admitted")
+
+
 @book.add("a31_status_counts", "SELECT count(*) FILTER (WHERE o_orderstatus <> 'F' AND NOT o_orderpriority = '1-URGENT') AS pending, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS fused FROM orders")
 def a31(spark, d):
     o = V.load(spark, d, "orders").select((F.col("o_orderstatus") != "F").alias("enabled"), (F.col("o_orderpriority") == "1-URGENT").alias("fused"))
