@@ -190,3 +190,42 @@ def test_tiles_equal_the_long_form(spark):
     same = got["d"].to_numpy() == ref["d"].to_numpy()
     assert len(got) == 37 * 50 and same.mean() > 0.999  # 32-bit energies may tie otherwise
     assert all(np.allclose(got[c].to_numpy()[same], ref[c].to_numpy()[same], atol=1e-4) for c in "rgb")
+
+
+def test_rasters_of_more_kinds(spark, tmp_path):
+    import struct
+    import zlib
+
+    rng = np.random.default_rng(0)
+    img = rng.random((7, 9, 3))
+    for bits in (8, 16):
+        assert np.allclose(raster.decode(raster.encode_png(img, bits))[..., :3], img, atol=1 / 255)
+    # every PNG filter, by hand
+    v = (img * 255 + 0.5).astype(np.uint8)
+    rows, prev = [], np.zeros((9, 3), int)
+    for y in range(7):
+        cur = v[y].astype(int)
+        left, corner = np.vstack([np.zeros((1, 3), int), cur[:-1]]), np.vstack([np.zeros((1, 3), int), prev[:-1]])
+        p = left + prev - corner
+        pa, pb, pc = abs(p - left), abs(p - prev), abs(p - corner)
+        guess = [0 * cur, left, prev, (left + prev) // 2, np.where((pa <= pb) & (pa <= pc), left, np.where(pb <= pc, prev, corner))][y % 5]
+        rows.append(bytes([y % 5]) + ((cur - guess) % 256).astype(np.uint8).tobytes())
+        prev = cur
+    chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 9, 7, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(rows))) + chunk(b"IEND", b"")
+    assert (raster.decode(png)[..., :3] * 255 + 0.5).astype(int).tolist() == v.tolist()
+    # deflated TIFF with horizontal differences and a date
+    d = v.astype(int)
+    d[:, 1:] -= v[:, :-1].astype(int)
+    body, date = zlib.compress((d % 256).astype(np.uint8).tobytes()), b"2024:05:06 07:08:09\0"
+    tags = [(256, 4, 1, 9), (257, 4, 1, 7), (258, 3, 1, 8), (259, 3, 1, 8), (273, 4, 1, 8 + 2 + 12 * 9 + 4 + 20), (277, 3, 1, 3), (279, 4, 1, len(body)), (306, 2, 20, 8 + 2 + 12 * 9 + 4), (317, 3, 1, 2)]
+    ifd = struct.pack("<H", 9) + b"".join(struct.pack("<HHI", t, k, n) + (struct.pack("<HH", x, 0) if k == 3 else struct.pack("<I", x)) for t, k, n, x in tags) + bytes(4)
+    (tmp_path / "a.tif").write_bytes(b"II*\0" + struct.pack("<I", 8) + ifd + date + body)
+    (tmp_path / "b.png").write_bytes(png)
+    raster.register(spark)
+    meta = {r["name"]: r for r in spark.read.format("stack_frames").option("path", str(tmp_path)).load().collect()}
+    assert meta["a.tif"]["captured_at"] == "2024:05:06 07:08:09" and (meta["b.png"]["width"], meta["b.png"]["height"]) == (9, 7)
+    px = spark.read.format("stack_px").option("path", str(tmp_path)).load().toPandas()
+    for name in ("a.tif", "b.png"):
+        got = px[px["path"].str.endswith(name)].sort_values(["y", "x"])
+        assert (got[["r", "g", "b"]].to_numpy() * 255 + 0.5).astype(int).tolist() == v.reshape(-1, 3).tolist()
