@@ -44,7 +44,7 @@ def tent_render(px: DataFrame, depth: DataFrame, radius: float, channels: tuple[
     """
     r = max(radius, 0.75)
     span = depth.groupBy("stack").agg((F.min("d") - r).alias("_lo"), (F.max("d") + r).alias("_hi"))
-    j = px.join(F.broadcast(span), "stack").where((F.col("frame") > F.col("_lo")) & (F.col("frame") < F.col("_hi"))).join(depth.select(*PIXEL, "d"), PIXEL)
+    j = px.join(span, "stack").where((F.col("frame") > F.col("_lo")) & (F.col("frame") < F.col("_hi"))).join(depth.select(*PIXEL, "d"), PIXEL)
     w = (F.greatest(1 - F.abs(F.col("frame") - F.col("d")) / r, F.lit(0.0)) + floor) * F.col("a")
     sums = j.withColumn("_w", w).groupBy(*PIXEL).agg(F.sum("_w").alias("_w"), *[F.sum(F.col("_w") * F.col(c)).alias(c) for c in channels])
     lit = F.col("_w") > 1e-7
@@ -63,14 +63,14 @@ def exposure_gain(means: DataFrame) -> DataFrame:
     first = means.where("frame = 0").select("stack", *[F.col(c).alias(f"{c}0") for c in "rgb"])
     g = lambda ref, own: F.when(own > 1e-6, P.clamp(ref / F.when(own > 1e-6, own), 0.5, 2.0)).otherwise(F.lit(1.0))
     luma = lambda s: P.luminance(F.col(f"r{s}"), F.col(f"g{s}"), F.col(f"b{s}"))
-    return means.join(F.broadcast(first), "stack").select("stack", "frame", *[g(F.col(f"{c}0"), F.col(c)).alias(f"gain_{c}") for c in "rgb"], g(luma("0"), luma("")).alias("gain"))
+    return means.join(first, "stack").select("stack", "frame", *[g(F.col(f"{c}0"), F.col(c)).alias(f"gain_{c}") for c in "rgb"], g(luma("0"), luma("")).alias("gain"))
 
 
 def render_gains(gains: DataFrame, least: float = 0.001) -> DataFrame:
     """Gains over their geometric mean, for each channel; 1 for all where a stack's gains spread less than ``least``."""
     cs = [c for c in gains.columns if c.startswith("gain_")]
     g = gains.groupBy("stack").agg(*[F.exp(F.avg(F.log(F.greatest(c, F.lit(1e-6))))).alias(f"_m{c}") for c in cs], F.greatest(*[F.max(c) - F.min(c) for c in cs]).alias("_s"))
-    return gains.join(F.broadcast(g), "stack").select("stack", "frame", *[F.when(F.col("_s") < least, F.lit(1.0)).otherwise(F.col(c) / F.col(f"_m{c}")).alias(c) for c in cs])
+    return gains.join(g, "stack").select("stack", "frame", *[F.when(F.col("_s") < least, F.lit(1.0)).otherwise(F.col(c) / F.col(f"_m{c}")).alias(c) for c in cs])
 
 
 def normalized(px: DataFrame, width: int) -> DataFrame:
@@ -161,7 +161,7 @@ def weighted_median(df: DataFrame, bins: DataFrame, radius: int, height: int, wi
     at = df.select(*key, "y", "x", F.explode(d).alias("o"))
     near = at.select(*key, "y", "x", P.clamp(F.col("y") + F.col("o.dy"), 0, height - 1).cast("int").alias("_y"), P.clamp(F.col("x") + F.col("o.dx"), 0, width - 1).cast("int").alias("_x"))
     src = df.select(*key, F.col("y").alias("_y"), F.col("x").alias("_x"), F.col(value).alias("_v"), F.col(weight).alias("_w")).where("_w > 1e-3")
-    h = near.join(src, [*key, "_y", "_x"]).join(F.broadcast(bins.select("stack", "n")), "stack")
+    h = near.join(src, [*key, "_y", "_x"]).join(bins.select("stack", "n"), "stack")
     h = h.withColumn("bin", F.least(F.greatest(F.floor(F.col("_v") + 0.5), F.lit(0)), F.col("n") - 1).cast("int"))
     h = h.groupBy(*key, "y", "x", "n", "bin").agg(F.sum("_w").alias("w"))
     # a histogram has at most one entry for each frame of the stack
@@ -286,6 +286,6 @@ def black_point(image: DataFrame, intensity: float = 1.0, lo: float = 0.02, hi:
     enc = F.greatest(*[P.srgb_encode(F.col(f"veil_{c}")) for c in "rgb"])
     gate = 1 - P.smoothstep(lo, hi, enc)
     v = v.withColumn("_amount", F.when(gate > 0.001, gate * P.clamp(F.lit(intensity))).otherwise(F.lit(0.0)))
-    j = image.join(F.broadcast(v), "stack")
+    j = image.join(v, "stack")
     new = lambda c: P.srgb_encode(F.greatest(P.srgb_linearize(F.greatest(c, F.lit(0.0))) - F.col(f"veil_{c}") * F.col("_amount"), F.lit(0.0)))
     return j.select("stack", "y", "x", *[F.when(F.col("_amount") > 0, new(c)).otherwise(F.col(c)).alias(c) for c in "rgb"])

@@ -58,7 +58,7 @@ def confidence(best: DataFrame, conc: DataFrame | None, o: Options, factor: int,
     ``best``: stack, y, x, energy. The floor is noise_floor times the 95th percentile (sorted[min(int(n p), n - 1)])."""
     p95 = A.order_statistic(best, "energy", 0.95, ["stack"])
     half = F.greatest(F.lit(1e-6), F.col("q") * o.noise_floor) / 2
-    d = best.join(F.broadcast(p95), "stack").withColumn("_h", half)
+    d = best.join(p95, "stack").withColumn("_h", half)
     es = F.greatest(F.col("energy") - F.col("_h"), F.lit(0.0))
     d = d.withColumn("c", es * es / (es * es + F.col("_h") * F.col("_h"))).drop("q", "_h")
     if conc is None or o.peak_concentration <= 0:
@@ -79,7 +79,7 @@ def lit_extremes(lum: DataFrame) -> DataFrame:
     95th percentile of lmax the squared cuts dark2 and eps2."""
     e = A.extremes(lum).select("stack", "y", "x", F.col("hi").alias("lmax"), "span", F.col("darkest").alias("ds"))
     ref = A.order_statistic(e, "lmax", 0.95, ["stack"]).select("stack", F.greatest("q", F.lit(1e-6)).alias("_r"))
-    e = e.join(F.broadcast(ref), "stack")
+    e = e.join(ref, "stack")
     return e.withColumn("dark2", (F.col("_r") * DARK) ** 2).withColumn("eps2", (F.col("_r") * 0.002) ** 2).drop("_r")
 
 
@@ -137,7 +137,7 @@ def guided(cells: DataFrame, o: Options, factor: int) -> DataFrame:
     mg, mv = F.col("_g") / F.col("_w"), F.col("_v") / F.col("_w")
     c = c.withColumn("_mg", mg).withColumn("_mv", mv).withColumn("_var", F.greatest(F.col("_gg") / F.col("_w") - mg * mg, F.lit(0.0))).withColumn("_cov", F.col("_gv") / F.col("_w") - mg * mv)
     inv = c.groupBy("stack").agg(F.avg(1 / (F.col("_var") + LAMBDA)).alias("_inv"))
-    c = c.join(F.broadcast(inv), "stack")
+    c = c.join(inv, "stack")
     c = c.withColumn("a", F.col("_cov") / (F.col("_var") + o.guided_eps / ((F.col("_var") + LAMBDA) * F.col("_inv")))).withColumn("b", F.col("_mv") - F.col("a") * F.col("_mg"))
     for n in ("a", "b"):
         c = box_mean(c, r, n, ("stack",), f"_{n}bar").withColumn(n, F.col(f"_{n}bar")).drop(f"_{n}bar")
@@ -154,7 +154,7 @@ def blend(px: DataFrame, coeff: DataFrame, scale: DataFrame, frames: DataFrame,
     d = px
     for n in ("a", "b", "ss", "ds"):
         d = J.from_grid(d, coeff.withColumn("_val", F.col(n).cast("double")), factor, rows, cols, "_val", out=f"_{n}")
-    d = d.join(F.broadcast(scale), "stack").join(F.broadcast(frames.select("stack", "n")), "stack")
+    d = d.join(scale, "stack").join(frames.select("stack", "n"), "stack")
     cf = F.greatest("c", F.col("consensus") * F.col("consensus")) * (1 - F.col("_ss"))
     d = d.withColumn("_cf", cf).withColumn("_reg", F.col("_a") * F.col("gs") * F.col("g") + F.col("_b"))
     d = d.withColumn("_reg", F.col("_reg") + F.col("_ss") * (1 - F.col("_cf")) * (F.col("_ds") - F.col("_reg")))
@@ -200,17 +200,17 @@ def fuse(px: DataFrame, height: int, width: int, o: Options | None = None, regul
         cells = measured(c, f)
         cells = C.cut(cells.join(neighbour_curves(cube, cells, o), A.PIXEL).join(lit_extremes(lcube), A.PIXEL))
         cells = C.cut(spill(regional(cube, cells, cols)))
-        cells = combined(cells, rows, cols).join(g0, A.PIXEL).join(F.broadcast(gs), "stack").withColumn("g", F.col("g0") * F.col("gs"))
+        cells = combined(cells, rows, cols).join(g0, A.PIXEL).join(gs, "stack").withColumn("g", F.col("g0") * F.col("gs"))
         depth = C.cut(blend(c, C.cut(guided(C.cut(cells), o, f)), gs, frames, f, rows, cols))
     return A.tent_render(px, depth, o.blend_radius), depth
 
 
 def depth_image(depth: DataFrame, frames: DataFrame) -> DataFrame:
     """stack, y, x, v: near is white."""
-    return depth.join(F.broadcast(frames.select("stack", "n")), "stack").select("stack", "y", "x", P.depth_visual(F.col("d"), F.col("n")).alias("v"))
+    return depth.join(frames.select("stack", "n"), "stack").select("stack", "y", "x", P.depth_visual(F.col("d"), F.col("n")).alias("v"))
 
 
 def pruned(px: DataFrame, depth: DataFrame, radius: float) -> DataFrame:
     """Frames that some pixel can use: least depth - radius < frame < greatest depth + radius."""
     span = depth.groupBy("stack").agg((F.min("d") - radius).alias("_lo"), (F.max("d") + radius).alias("_hi"))
-    return px.join(F.broadcast(span), "stack").where((F.col("frame") > F.col("_lo")) & (F.col("frame") < F.col("_hi"))).drop("_lo", "_hi")
+    return px.join(span, "stack").where((F.col("frame") > F.col("_lo")) & (F.col("frame") < F.col("_hi"))).drop("_lo", "_hi")

@@ -62,7 +62,7 @@ def undo(log: DataFrame, keep: int = 20) -> DataFrame:
     """The log with its last live edit undone; edits older than the last ``keep`` cannot be."""
     live = log.where(~F.col("undone")).groupBy("stack").agg(F.max("edit").alias("_last"))
     top = log.groupBy("stack").agg(F.max("edit").alias("_top"))
-    j = log.join(F.broadcast(live.join(top, "stack")), "stack", "left")
+    j = log.join(live.join(top, "stack"), "stack", "left")
     return j.withColumn("undone", F.col("undone") | ((F.col("edit") == F.col("_last")) & (F.col("edit") > F.col("_top") - keep))).select(*log.columns)
 
 
@@ -100,7 +100,7 @@ def status_counts(stacks: DataFrame) -> DataFrame:
 
 def batch(px: DataFrame, stacks: DataFrame, fuse: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """One job over all enabled stacks: the stack is a key of every operator."""
-    return fuse(px.join(F.broadcast(stacks.where("enabled").select("stack")), "stack", "left_semi"))
+    return fuse(px.join(stacks.where("enabled").select("stack"), "stack", "left_semi"))
 
 
 def admitted(stacks: DataFrame, memory: int, per_pixel: int = 150, fixed: int = 2 << 30) -> DataFrame:

@@ -85,7 +85,7 @@ def merge(t: DataFrame, masks: DataFrame) -> DataFrame:
 def near_black(lum_min: DataFrame, lo: float = 0.15, hi: float = 0.35) -> DataFrame:
     """1 - smoothstep(lo s, hi s, lum_min), s the 99th percentile of the stack's least luminances; ``lum_min``: stack, y, x, v."""
     s = A.order_statistic(lum_min, "v", 0.99, ["stack"]).select("stack", F.greatest("q", F.lit(1e-6)).alias("_s"))
-    d = lum_min.join(F.broadcast(s), "stack")
+    d = lum_min.join(s, "stack")
     t = P.clamp((F.col("v") - F.col("_s") * lo) / (F.col("_s") * (hi - lo)))
     return d.select(*A.PIXEL, (1 - t * t * (3 - 2 * t)).alias("m"))
 
@@ -94,7 +94,7 @@ def sharp_mask(focus: DataFrame, frames: int, alpha: float = 0.15, governance: b
     """stack, y, x, m: greatest focus above alpha times its 99th percentile (and, for governance, above the never-focus
     cut times the least). ``focus``: stack, y, x, hi, lo."""
     s = A.order_statistic(focus, "hi", 0.99, ["stack"]).select("stack", (F.greatest("q", F.lit(1e-6)) * alpha).alias("_t"))
-    d = focus.join(F.broadcast(s), "stack")
+    d = focus.join(s, "stack")
     m = F.col("hi") > F.col("_t")
     if governance:
         m = m & (F.col("hi") > F.greatest("lo", F.lit(1e-6)) * never_focus_cut(frames))
@@ -111,7 +111,7 @@ def texture_veto(cells: DataFrame, frames: int) -> DataFrame:
     q = A.order_statistic(el, "env_max", 0.9, ["stack"], "gap").select("stack", (F.col("q") * 0.01).alias("_f"))
     ok = (F.col("env_min") > F.col("_f")) & (F.col("env_max") > 5.5e-6)
     v = F.when(ok, P.smoothstep(1 + 0.25 * spread, 1 + 0.45 * spread, F.col("_r"))).otherwise(F.lit(0.0))
-    return cells.select(*A.PIXEL).join(el.join(F.broadcast(q), "stack").select(*A.PIXEL, v.alias("v")), A.PIXEL, "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    return cells.select(*A.PIXEL).join(el.join(q, "stack").select(*A.PIXEL, v.alias("v")), A.PIXEL, "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
 
 
 def open_background(focus: DataFrame, lum: DataFrame, frames: int, height: int, width: int, radius: int | None = None, least: int = 16) -> DataFrame:
@@ -187,7 +187,7 @@ def govern(win: DataFrame, mask: DataFrame, block: int = 8, hysteresis: float =
 
     j = win.join(mask, A.PIXEL)
     top = top_frames(j.where("m"), "energy", k).select("stack", "frame")
-    b = j.where("m").join(F.broadcast(top), ["stack", "frame"]).groupBy("stack", "frame", F.floor(F.col("y") / block).cast("int").alias("by"), F.floor(F.col("x") / block).cast("int").alias("bx")).agg(F.round(F.sum("energy"), 9).alias("mass"))
+    b = j.where("m").join(top, ["stack", "frame"]).groupBy("stack", "frame", F.floor(F.col("y") / block).cast("int").alias("by"), F.floor(F.col("x") / block).cast("int").alias("bx")).agg(F.round(F.sum("energy"), 9).alias("mass"))
     w = W.partitionBy("stack", "by", "bx")
     best = b.withColumn("_r", F.row_number().over(w.orderBy(F.desc("mass"), "frame"))).where("_r = 1").select("stack", "by", "bx", F.col("frame").alias("_bf"), F.col("mass").alias("_bm"))
     j = j.withColumn("by", F.floor(F.col("y") / block).cast("int")).withColumn("bx", F.floor(F.col("x") / block).cast("int"))

@@ -53,7 +53,7 @@ def warp_residual(px: DataFrame, pairs: DataFrame, height: int, width: int, stri
 def exposure_outliers(means: DataFrame) -> DataFrame:
     """stack, frame, kind, magnitude: mean luminance below half or above twice the stack's upper median (at least 0.25)."""
     med = A.upper_median(means, "lum_mean", ["stack"]).select("stack", F.greatest("q", F.lit(0.25)).alias("_m"))
-    d = means.join(F.broadcast(med), "stack").withColumn("magnitude", F.col("lum_mean") / F.col("_m"))
+    d = means.join(med, "stack").withColumn("magnitude", F.col("lum_mean") / F.col("_m"))
     return d.where((F.col("magnitude") < 0.5) | (F.col("magnitude") > 2)).select("stack", "frame", F.lit("exposureOutlier").alias("kind"), "magnitude")
 
 
@@ -71,7 +71,7 @@ def residual_outliers(pairs: DataFrame, failed: str | None = None) -> DataFrame:
     an infinite ratio for failed pairs."""
     fine = F.col("residual") < float("inf")
     med = A.upper_median(pairs.where(fine), "residual", ["stack"]).select("stack", F.greatest("q", F.lit(0.25)).alias("_m"))
-    d = pairs.join(F.broadcast(med), "stack")
+    d = pairs.join(med, "stack")
     lost = F.col(failed) if failed else F.lit(False)
     bad = lost | (F.col("residual") > F.greatest(3 * F.col("_m"), F.lit(4.0)))
     return d.where(bad).select("stack", "frame", "other", F.when(lost, F.lit(float("inf"))).otherwise(F.col("residual") / F.col("_m")).alias("ratio"))
@@ -261,7 +261,7 @@ def coverage_crop(frames: DataFrame, height: int, width: int, least: int = 16) -
 
 def cropped(df: DataFrame, box: DataFrame) -> DataFrame:
     """Pixels inside each stack's rectangle, re-based to its corner."""
-    j = df.join(F.broadcast(box), "stack").where((F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")))
+    j = df.join(box, "stack").where((F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")))
     return j.withColumn("x", (F.col("x") - F.col("x0")).cast("int")).withColumn("y", (F.col("y") - F.col("y0")).cast("int")).select(*df.columns)
 
 

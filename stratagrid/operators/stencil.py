@@ -164,7 +164,7 @@ def parallax(image: DataFrame, depth: DataFrame, height: int, width: int, shift:
 
     lo = order_statistic(depth, "d", 0.02, ["stack"], "gap").withColumnRenamed("q", "_lo")
     hi = order_statistic(depth, "d", 0.98, ["stack"], "gap").withColumnRenamed("q", "_hi")
-    d = depth.join(F.broadcast(lo.join(hi, "stack")), "stack")
+    d = depth.join(lo.join(hi, "stack"), "stack")
     span = F.col("_hi") - F.col("_lo")
     disp = F.when(span > 1e-3, P.clamp((F.col("d") - F.col("_lo")) / F.when(span > 1e-3, span)) - 0.5).otherwise(F.lit(0.0))
     at = d.select("stack", "y", "x", F.col("y").cast("double").alias("_py"), (F.col("x") + disp * shift).alias("_px"))

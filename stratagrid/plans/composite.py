@@ -41,7 +41,7 @@ def slice_zero(spark, d):
     depth = win.select(*PX, F.col("frame").cast("double").alias("d"))
     image = A.tent_render(px.withColumn("a", F.lit(1.0)), depth, 1.0, ("v",))
     n = V.emb_frames(spark, d).groupBy("stack").agg((F.max("frame") + 1).alias("n"))
-    out = win.join(image, PX).join(F.broadcast(n), "stack")  # a row for each stack
+    out = win.join(image, PX).join(n, "stack")  # a row for each stack
     return out.select(*PX, F.col("frame").alias("depth"), r6(F.col("energy")).alias("energy"), r6(F.col("v")).alias("v"), r6(P.depth_visual(F.col("frame"), F.col("n"))).alias("depth_visual"))
 
 

@@ -50,8 +50,8 @@ def a2(spark, d):
 @book.add("a3_quantized_winner", with_views("emb", "SELECT stack, y, x, max(q) AS q, CASE WHEN max(q) > 0 THEN arg_max(frame, (q, -frame)) ELSE 0 END AS frame FROM (SELECT *, CAST(floor(least(greatest(v * 65535 / pk, 0), 65535) + 0.5) AS INTEGER) AS q FROM emb, (SELECT max(v) AS pk FROM emb)) GROUP BY stack, y, x"))
 def a3(spark, d):
     e = V.emb_stack(spark, d)
-    peak = e.agg(F.max("v").alias("_pk"))  # one row
-    q = e.join(F.broadcast(peak)).withColumn("q", P.quantize(F.col("v"), F.col("_pk")))
+    peak = e.agg(F.max("v").alias("pk")).first()["pk"]  # one number
+    q = e.withColumn("q", P.quantize(F.col("v"), F.lit(peak).cast("double")))
     return A.winner(q, "q").select("stack", "y", "x", F.col("energy").cast("int").alias("q"), "frame")
 
 
