@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stratagrid.llm import decontam, jaccard, lines, packing, toxicity
-from stratagrid.llm.common import cut, table
+from stratagrid.llm.common import cut, free, table
 
 STAGES = [
     ("toxicity", toxicity.stage),
@@ -33,6 +33,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    held = None
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if held is not None:
+            free(held)
+        held = docs
     return STAGES[-1][1](spark, docs, sf_dir)
