@@ -470,9 +470,17 @@ def link_rows(rows: DataFrame, scheme: Scheme) -> DataFrame:
     def rooted(df: DataFrame, x: str, out: str) -> DataFrame:
         return df.join(root.select(F.col("node").alias(x), F.col("root").alias(out)), x)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        text = lambda x: cls.select(F.col("key").alias(x), F.col("text").alias(f"t{x}"))
-        return _checked(pairs.select("a", "b", "ra", "rb").join(text("b"), "b").join(text("a"), "a"), scheme)
+    def verified(pairs: DataFrame, few: bool) -> DataFrame:
+        """``few``: most texts are not needed, so those that are get picked by a table of keys that Spark may broadcast."""
+        texts = cls.select("key", "text")
+        if few:
+            need = cut(pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct(), "keys")
+            texts = texts.join(need, "key", "left_semi")
+        text = lambda x: texts.select(F.col("key").alias(x), F.col("text").alias(f"t{x}"))
+        links = cut(_checked(pairs.select("a", "b", "ra", "rb").join(text("b"), "b").join(text("a"), "a"), scheme), "links")
+        if few:
+            free(need)
+        return links
 
     def merge(links: DataFrame) -> None:
         """Components of the roots that ``links`` (ra, rb) connect become one."""
@@ -484,7 +492,7 @@ def link_rows(rows: DataFrame, scheme: Scheme) -> DataFrame:
         root = cut(old.join(new.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select("node", F.coalesce("_to", "root").alias("root")), "roots")
         free(old, new)
 
-    def settle(pairs: DataFrame) -> None:
+    def settle(pairs: DataFrame, few: bool = True) -> None:
         """Verify pairs (a, b, far) until none is left between different components, the nearest of each two components first."""
         take = 1
         while True:
@@ -494,10 +502,11 @@ def link_rows(rows: DataFrame, scheme: Scheme) -> DataFrame:
                 return
             place = W.partitionBy(F.least("ra", "rb"), F.greatest("ra", "rb")).orderBy("far", "a", "b")
             chosen = cut(open_.withColumn("_k", F.row_number().over(place)).where(F.col("_k") <= take).drop("_k"), "chosen")
-            links = cut(verified(chosen), "links")
+            links = verified(chosen, few)
             merge(links)
             pairs = open_.join(chosen.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "far")
             free(links)
+            few = True
             take *= 16
 
     def members(ties: DataFrame) -> DataFrame:
@@ -519,7 +528,7 @@ def link_rows(rows: DataFrame, scheme: Scheme) -> DataFrame:
     large = blocks.where(F.col("size") > BLOCK).join(head, "lead").select("lead", "x", F.col("m").alias("y"))
     found = cut(_met_in_blocks(alone.unionAll(large), scheme, 0), "pairs")
     free(blocks)
-    settle(found.groupBy("a", "b").agg(F.min("far").alias("far")))
+    settle(found.groupBy("a", "b").agg(F.min("far").alias("far")), few=False)
     failed = rooted(rooted(found, "a", "ra"), "b", "rb").where("ra <> rb").select("lead")
     again = cut(failed.unionAll(sizes.where(F.col("size") > BLOCK).select("lead")).distinct(), "leads")
     free(found)
@@ -557,8 +566,8 @@ SCHEME = Scheme(5, 80, 100, ratio=1.4)  # of the pipeline: five words, similarit
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group (five words, similarity 0.8): the one with the smallest doc_id."""
     rows = numbered(docs)
-    kept = link_rows(rows, SCHEME).where("represents").select("rid")
-    return rows.join(kept, "rid", "left_semi").select("row.*")
+    gone = cut(link_rows(rows, SCHEME).where("NOT represents").select("rid"), "gone")  # few against the rows, as a rule: then no text is shuffled
+    return rows.join(gone, "rid", "left_anti").select("row.*")
 
 
 SQL = r"""
