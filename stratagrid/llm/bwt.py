@@ -19,16 +19,24 @@ def order(text: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for j in range(8):
         key = (key << np.uint64(8)) | ring[j : j + n]
+    by = np.argsort(key)
+    start = np.flatnonzero(np.concatenate([[True], key[by][1:] != key[by][:-1]]))
+    rank = np.empty(n, np.int64)  # the place at which a rotation's group begins
+    rank[by] = np.repeat(start, np.diff(np.append(start, n)))
     h = 8
-    while True:
-        by = np.argsort(key)
-        k = key[by]
-        rank = np.empty(n, np.int64)
-        rank[by] = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
-        if h >= depth or rank[by[-1]] == n - 1:
-            return by
-        key = rank.astype(np.uint64) * np.uint64(n + 1) + np.roll(rank, -h).astype(np.uint64)
+    while h < depth:
+        size = np.bincount(rank, minlength=n)
+        tied = np.flatnonzero(size[rank[by]] > 1)  # only groups of several are looked at again
+        if not len(tied):
+            break
+        at = by[tied]
+        key = rank[at].astype(np.uint64) * np.uint64(n + 1) + rank[(at + h) % n].astype(np.uint64)
+        move = np.argsort(key)
+        by[tied], key = at[move], key[move]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        rank[by[tied]] = np.repeat(tied[start], np.diff(np.append(start, len(tied))))
         h *= 2
+    return by
 
 
 def step_of(depth: int) -> int:
@@ -51,26 +59,30 @@ def stable(symbol: np.ndarray) -> np.ndarray:
     return by
 
 
-def merge(transforms: list[np.ndarray], back: list[np.ndarray], begin: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+def merge(transforms: list[np.ndarray], back: list[np.ndarray], begin: list[np.ndarray], weight: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleave (numbers of rotations, counted through all shards in their orders) and the block of each place.
 
     ``back``: for each rotation of a shard, in order, the number in that order of the rotation one symbol
-    earlier (the LF mapping). ``begin``: the rotations that the walk starts from, in order; it ends ``depth``
-    bytes earlier, so only rotations whose prefixes are asked for need to be walked. Places of one block have
-    rotations that agree on their first ``depth`` bytes.
+    earlier (the LF mapping). ``begin``: the rotations that the walk starts from, in order, and ``weight`` how often each
+    stands; it ends ``depth`` bytes earlier, so only rotations whose prefixes are asked for need to be walked. Places
+    of one block have rotations that agree on their first ``depth`` bytes. A block that holds a single rotation that
+    stands once is left out as soon as it appears: a longer prefix can't be repeated where a part of it isn't.
     """
     _, flow = np.unique(np.concatenate(transforms), return_inverse=True)  # symbols in order, as small numbers
     flow = flow.astype(np.uint32)
     shift = np.cumsum([0, *map(len, transforms)])[:-1]
     lf = np.concatenate([b + s for b, s in zip(back, shift)])
-    z = np.concatenate([b + s for b, s in zip(begin, shift)])
-    block = np.zeros(len(z), np.int32)
+    z, times = np.concatenate([b + s for b, s in zip(begin, shift)]), np.concatenate(weight)
+    block = np.zeros(len(z), np.int64)
     for _ in range(depth // step_of(depth)):
         symbol = flow[z]
         move = stable(symbol)
-        z, block, s = lf[z[move]], block[move], symbol[move]
-        fresh = (block[1:] != block[:-1]) | (s[1:] != s[:-1])
-        block = np.concatenate([np.zeros(1, np.int32), np.cumsum(fresh, dtype=np.int32)])
+        z, block, times, s = lf[z[move]], block[move], times[move], symbol[move]
+        at = np.flatnonzero(np.concatenate([np.ones(min(1, len(z)), bool), (block[1:] != block[:-1]) | (s[1:] != s[:-1])]))
+        n = np.diff(np.append(at, len(z)))
+        live = np.add.reduceat(times, at) >= 2 if len(at) else np.zeros(0, bool)
+        keep = np.repeat(live, n)
+        z, times, block = z[keep], times[keep], np.repeat(np.arange(int(live.sum())), n[live])
     return z, block
 
 
@@ -103,14 +115,16 @@ def repeated(texts: list[bytes], starts: list[int], weights: list[int], depth: i
         number[by] = np.arange(len(by))
         transforms.append(transform(text, by, step))
         back.append(number[(by - step) % len(by)])
-        begin.append(np.sort(number[(np.flatnonzero(w) + depth) % len(text)]))
+        asked = np.flatnonzero(w)
+        ends = number[(asked + depth) % len(text)]
+        in_order = np.argsort(ends)
+        begin.append(ends[in_order])
         places.append(by + first)
-        counts.append(w)
-    z, block = merge(transforms, back, begin, depth)
-    at, weight = np.concatenate(places), np.concatenate(counts)
-    total = np.bincount(block, weight[at[z]])
+        counts.append(w[asked[in_order]])
+    z, _ = merge(transforms, back, begin, counts, depth)  # the intervals of repeated windows
+    at = np.concatenate(places)
     again = np.zeros(len(at), bool)
-    again[at[z]] = total[block] >= 2
+    again[at[z]] = True
     out: list[np.ndarray] = [np.zeros(0, bool)] * len(texts)
     for i, o in home:
         out[i] = again[o : o + starts[i]]

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import bwt
 from . import textkit as K
-from .common import cut, numbered, only, table
+from .common import cut, free, numbered, only, table
 
 PIECE = 4 << 20
 BATCH = 1 << 20  # bytes that one merge takes at a time; a key's ranges are at most as many as fill it
@@ -217,9 +217,10 @@ def _solved(bodies: DataFrame, length: int, crowd: int, places: tuple[int, ...])
 
 def spans(src: DataFrame, length: int = 200, gram: int = 64, crowd: int = 3000) -> DataFrame:
     """(rid, lo, hi): spans whose union is what repeated ``length``-byte strings cover; ``src``: rid, text."""
-    rows = _ranges(src, length, gram)
+    rows = cut(_ranges(src, length, gram), "windows")
     keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("total")).where("total > 1").select("key")
     hit = cut(rows.join(keys, "key"), "ranges")
+    free(rows)
     want = hit.groupBy("key", "cls").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("rid", "at")).alias("m"))
     want = want.select("key", "cls", "weight", F.col("m.rid").alias("rid"), F.col("m.at").alias("at"))  # one range of each class
     per_doc = want.groupBy("rid").agg(F.collect_list(F.struct("key", "cls", "at", "weight")).alias("want"))  # a document's own ranges
