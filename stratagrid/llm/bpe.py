@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from . import textkit as K
 from .common import only, table
 
-CACHE = 400_000
+CACHE = 150_000
 KEEP = 64  # bytes up to which a piece is remembered
 
 # Unicode white space, and the pre-tokens of byte-level BPE.
