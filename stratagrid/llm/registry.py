@@ -1,8 +1,8 @@
 """The queries and SQL of this subpackage, gathered from its modules."""
 
-from . import bpe, decontam, jaccard, knn, langid, lines, packing, quality, repeats, sharding, toxicity
+from . import bpe, colloc, decontam, jaccard, knn, langid, lines, negatives, packing, quality, repeats, sharding, toxicity
 
-MODULES = (bpe, decontam, jaccard, knn, langid, lines, packing, quality, repeats, sharding, toxicity)
+MODULES = (bpe, colloc, decontam, jaccard, knn, langid, lines, negatives, packing, quality, repeats, sharding, toxicity)
 
 
 def queries() -> dict:
