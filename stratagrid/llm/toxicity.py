@@ -39,7 +39,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, only, schema_of, table
+from .common import cut, fold, free, only, schema_of, table
 
 FRAME, TAIL = bytes(range(200, 232)), bytes(range(232, 248))
 LEVELS = (3, 4, 5, 6)  # gains that may become the threshold
@@ -180,9 +180,12 @@ def learn(texts: list[str], labels: list[int], window: int = 1, size: int = 8192
 
 
 def fit(docs: DataFrame, labels: DataFrame, window: int = 1, sample_toxic: int = 2000, sample_ordinary: int = 4000, sample_bytes: int = 1 << 15, size: int = 8192, lift: float = 8.0) -> Model:
-    """Learn from the bounded sample of labelled documents outside the held-out fold."""
+    """Learn from the bounded sample of labelled documents outside the held-out fold.
+
+    Only labels whose document is there, with a text of at most ``sample_bytes`` bytes, are sampled and counted."""
     lab = only(labels, "doc_id", "toxic").where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    lab = lab.where(fold("doc_id", 5) != 0)
+    there = only(docs, "doc_id", "text").where(F.octet_length("text") <= sample_bytes).select("doc_id")
+    lab = cut(lab.where(fold("doc_id", 5) != 0).join(there, "doc_id", "left_semi"), "labelled")
     n = {r["toxic"]: r["count"] for r in lab.groupBy("toxic").count().collect()}
     stands = tuple(max(1.0, n.get(k, 0) / most) for k, most in ((0, sample_ordinary), (1, sample_toxic)))
     h = F.xxhash64("doc_id")
@@ -191,6 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, window: int = 1, sample_toxic: int =
     short = only(docs, "doc_id", "text").where(F.octet_length("text") <= sample_bytes)
     rows = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))  # one text for each label
     got = [(r["doc_id"], r["toxic"], r["text"]) for r in rows.collect()]
+    free(lab)
     got.sort(key=lambda r: (hash_order(r[0]), r[0]))
     return learn([r[2] for r in got], [r[1] for r in got], window, size, lift, stands=stands)
 

@@ -179,6 +179,22 @@ def test_toxicity_labels(spark):
     assert toxicity.scored(docs.limit(0), m).count() == 0
 
 
+def test_toxicity_learns_beside_foreign_labels_and_long_texts(spark):
+    """Labels of absent documents, and documents above the sample's size, take no place in the sample and don't count."""
+    fine, awful = [f"fine words number {k}" for k in range(60)], [f"awful{k % 3} thing awful{k % 3}" for k in range(60)]
+    docs = docs_of(spark, [*fine, *awful, *["long " * 900] * 40])
+    schema = "doc_id long, toxic int"
+    own = [(k, int(k >= 60)) for k in range(120)]
+    alone = toxicity.fit(docs.where("doc_id < 120"), spark.createDataFrame(own, schema), sample_toxic=20, sample_ordinary=30)
+    more = own + [(10_000 + k, k % 2) for k in range(4000)] + [(120 + k, k % 2) for k in range(40)]
+    m = toxicity.fit(docs, spark.createDataFrame(more, schema), sample_toxic=20, sample_ordinary=30, sample_bytes=1000)
+    probe = ["fine words number 7", "awful1 thing awful1", "long " * 900]
+    assert m.score(probe).tolist() == alone.score(probe).tolist()
+    assert m.score(probe)[1] > 0.5 > m.score(probe)[0]
+    none = toxicity.fit(docs, spark.createDataFrame([(10_000 + k, k % 2) for k in range(40)], schema))
+    assert none.score(probe).tolist() == [0.0] * 3
+
+
 def test_language_ties_and_empty_table(spark):
     docs = spark.createDataFrame([("aaa bbb", "z"), ("aaa bbb", "y")], "text string, lang string")
     m = langid.learn(docs)
