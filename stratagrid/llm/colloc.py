@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import textkit as K
 from .common import cut, free, table
 
-CHUNK = 8 << 20
+CHUNK = 3 << 20
 SHARE = 500_000
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
