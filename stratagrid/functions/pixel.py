@@ -25,10 +25,15 @@ def affine(x: Column, scale: Column | float, offset: Column | float = 0.0) -> Co
     return x * scale + offset
 
 
-def smoothstep(e0: float, e1: float, x: Column) -> Column:
+def smoothstep(e0: Column | float, e1: Column | float, x: Column) -> Column:
     """Cubic step between the edges; a hard step at ``e0`` where they don't ascend."""
+    hard = F.when(x < e0, F.lit(0.0)).otherwise(F.lit(1.0))
+    if isinstance(e0, Column) or isinstance(e1, Column):
+        e0, e1 = (e if isinstance(e, Column) else F.lit(e) for e in (e0, e1))
+        t = clamp((x - e0) / F.when(e1 > e0, e1 - e0))
+        return F.when(e1 > e0, t * t * (3 - 2 * t)).otherwise(hard)
     if e1 <= e0:
-        return F.when(x < e0, F.lit(0.0)).otherwise(F.lit(1.0))
+        return hard
     t = clamp((x - e0) / (e1 - e0))
     return t * t * (3 - 2 * t)
 

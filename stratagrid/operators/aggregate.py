@@ -59,8 +59,8 @@ def channel_means(px: DataFrame, stride: int = 7, width: int = 8) -> DataFrame:
 
 
 def exposure_gain(means: DataFrame) -> DataFrame:
-    """Gain of each frame against frame 0, by channel and by luminance of the means, within 0.5..2."""
-    first = means.where("frame = 0").select("stack", *[F.col(c).alias(f"{c}0") for c in "rgb"])
+    """Gain of each frame against its stack's first frame, by channel and by luminance of the means, within 0.5..2."""
+    first = means.groupBy("stack").agg(*[F.min_by(c, "frame").alias(f"{c}0") for c in "rgb"])
     g = lambda ref, own: F.when(own > 1e-6, P.clamp(ref / F.when(own > 1e-6, own), 0.5, 2.0)).otherwise(F.lit(1.0))
     luma = lambda s: P.luminance(F.col(f"r{s}"), F.col(f"g{s}"), F.col(f"b{s}"))
     return means.join(first, "stack").select("stack", "frame", *[g(F.col(f"{c}0"), F.col(c)).alias(f"gain_{c}") for c in "rgb"], g(luma("0"), luma("")).alias("gain"))
@@ -74,12 +74,31 @@ def render_gains(gains: DataFrame, least: float = 0.001) -> DataFrame:
 
 
 def normalized(px: DataFrame, width: int) -> DataFrame:
-    """Frames with the exposure chain's gains multiplied in: each against frame 0, re-anchored to the geometric mean.
-
-    ``px``: stack, frame, y, x, r, g, b, a."""
+    """Frames with the exposure chain's gains multiplied in: each against its stack's first, re-anchored to the geometric
+    mean; a frame without a sampled pixel stays as it is. ``px``: stack, frame, y, x, r, g, b, a."""
     gains = render_gains(exposure_gain(channel_means(px, 7, width)).drop("gain"))
-    j = px.join(gains, ["stack", "frame"])
-    return j.select(*[(F.col(c) * F.col(f"gain_{c}")).alias(c) if c in ("r", "g", "b") else F.col(c) for c in px.columns])
+    j = px.join(gains, ["stack", "frame"], "left")
+    return j.select(*[(F.col(c) * F.coalesce(f"gain_{c}", F.lit(1.0))).alias(c) if c in ("r", "g", "b") else F.col(c) for c in px.columns])
+
+
+def dense_frames(px: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The frames that are there, numbered from 0 within their stack in their order, and (stack, frame, kept): the
+    new number and the one it had. Fusion counts frames by place, so what was excluded must leave no gap."""
+    from pyspark.sql import Window as W
+
+    # one row for each frame of a stack
+    index = px.select("stack", F.col("frame").alias("kept")).distinct().withColumn("frame", F.row_number().over(W.partitionBy("stack").orderBy("kept")) - 1)
+    j = px.withColumnRenamed("frame", "kept").join(index, ["stack", "kept"])
+    return j.select(*px.columns), index.select("stack", "frame", "kept")
+
+
+def kept_depth(depth: DataFrame, index: DataFrame, value: str = "d") -> DataFrame:
+    """Depths by place among the kept frames as depths by the frames' own numbers, linear in between."""
+    own = index.groupBy("stack").agg(F.array_sort(F.collect_list(F.struct("frame", "kept"))).alias("_k"))  # one entry for each frame
+    lo = F.floor(value).cast("int")
+    at = lambda i: F.element_at("_k", F.least(i + 1, F.size("_k")).cast("int"))["kept"]
+    d = depth.join(own, "stack").withColumn("_d", at(lo) + (F.col(value) - lo) * (at(lo + 1) - at(lo)))
+    return d.withColumn(value, F.col("_d")).drop("_k", "_d")
 
 
 def box_down(df: DataFrame, factor: int, value: str = "v", how: str = "avg", extra: tuple[str, ...] = ("stack", "frame")) -> DataFrame:

@@ -168,14 +168,17 @@ def blend(px: DataFrame, coeff: DataFrame, scale: DataFrame, frames: DataFrame,
 
 def fuse(px: DataFrame, height: int, width: int, o: Options | None = None, regularize: bool = True) -> tuple[DataFrame, DataFrame]:
     """(image, depth) of every stack; ``px``: stack, frame, y, x, r, g, b, a aligned frames. Focus is measured on
-    luminance levelled to frame 0, and what is rendered is levelled to the geometric mean, unless the option is off."""
+    luminance levelled to the first frame, and what is rendered is levelled to the geometric mean, unless the option is off.
+
+    Frames that were excluded may leave gaps or no frame 0: the others are numbered from 0 by themselves, and depth is a
+    place among them (:func:`aggregate.kept_depth` turns it into their own numbers)."""
     o = (o or Options()).resolved(width, height)
+    px = A.dense_frames(px)[0]
     f = o.downsample
-    rows, cols = -(-height // f), -(-width // f)
     lum = px.withColumn("v", P.luminance(F.col("r"), F.col("g"), F.col("b")))
     if o.normalize_exposure:
         gains = A.exposure_gain(A.channel_means(px, 7, width)).select("stack", "frame", "gain")
-        lum = lum.join(gains, ["stack", "frame"]).withColumn("v", F.col("v") * F.col("gain")).drop("gain")
+        lum = lum.join(gains, ["stack", "frame"], "left").withColumn("v", F.col("v") * F.coalesce("gain", F.lit(1.0))).drop("gain")
         px = C.cut(A.normalized(px, width))
     e = focus_energy(lum, "v", o.focus_pre_sigma, o.sharpness_sigma, height, width)
     if o.sharpness_sigma >= 4:  # the quarter grid gives back energies only
@@ -185,26 +188,35 @@ def fuse(px: DataFrame, height: int, width: int, o: Options | None = None, regul
     win = C.cut(win)  # one pass over the frames; the stages below reread its pixels several times
     depth = win.select("stack", "y", "x", F.col("frame").cast("double").alias("d"))
     if regularize:
-        cube = C.cut(A.box_down(e, f, "e").withColumnRenamed("e", "v"))
-        lcube = C.cut(A.box_down(lum, f, "v"))
-        conc = C.cut(A.curve_stats(cube))
-        c = confidence(win.select("stack", "y", "x", "energy", "g", F.col("frame").cast("double").alias("d")), conc, o, f, rows, cols)
-        if o.median_radius > 0:
-            m = A.weighted_median(c, frames, o.median_radius, height, width)
-            c = c.drop("d").join(m, A.PIXEL)
-        else:
-            c = c.withColumn("consensus", F.lit(0.0))
-        c = C.cut(c)
-        g0 = c.groupBy("stack", F.floor(F.col("y") / f).cast("int").alias("y"), F.floor(F.col("x") / f).cast("int").alias("x")).agg(F.avg("g").alias("g0"))
-        gs = guide_scale(g0)
-        cells = measured(c, f)
-        cells = C.cut(cells.join(neighbour_curves(cube, cells, o), A.PIXEL).join(lit_extremes(lcube), A.PIXEL))
-        cells = C.cut(spill(regional(cube, cells, cols)))
-        cells = combined(cells, rows, cols).join(g0, A.PIXEL).join(gs, "stack").withColumn("g", F.col("g0") * F.col("gs"))
-        depth = C.cut(blend(c, C.cut(guided(C.cut(cells), o, f)), gs, frames, f, rows, cols))
+        depth = regularized(win, A.box_down(e, f, "e").withColumnRenamed("e", "v"), A.box_down(lum, f, "v"), frames, height, width, o)
     return A.tent_render(px, depth, o.blend_radius), depth
 
 
+def regularized(win: DataFrame, cube: DataFrame, lcube: DataFrame, frames: DataFrame, height: int, width: int, o: Options) -> DataFrame:
+    """stack, y, x, d: confidence, weighted median, the grid fit and the blend with it; ``o`` with its radii resolved.
+
+    ``win``: stack, y, x, energy, frame, g of the winners; ``cube``, ``lcube``: stack, frame, y, x, v, cell means of energy and
+    of luminance; ``frames``: stack, n."""
+    f = o.downsample
+    rows, cols = -(-height // f), -(-width // f)
+    cube, lcube = C.cut(cube), C.cut(lcube)
+    conc = C.cut(A.curve_stats(cube))
+    c = confidence(win.select("stack", "y", "x", "energy", "g", F.col("frame").cast("double").alias("d")), conc, o, f, rows, cols)
+    if o.median_radius > 0:
+        m = A.weighted_median(c, frames, o.median_radius, height, width)
+        c = c.drop("d").join(m, A.PIXEL)
+    else:
+        c = c.withColumn("consensus", F.lit(0.0))
+    c = C.cut(c)
+    g0 = c.groupBy("stack", F.floor(F.col("y") / f).cast("int").alias("y"), F.floor(F.col("x") / f).cast("int").alias("x")).agg(F.avg("g").alias("g0"))
+    gs = guide_scale(g0)
+    cells = measured(c, f)
+    cells = C.cut(cells.join(neighbour_curves(cube, cells, o), A.PIXEL).join(lit_extremes(lcube), A.PIXEL))
+    cells = C.cut(spill(regional(cube, cells, cols)))
+    cells = combined(cells, rows, cols).join(g0, A.PIXEL).join(gs, "stack").withColumn("g", F.col("g0") * F.col("gs"))
+    return C.cut(blend(c, C.cut(guided(C.cut(cells), o, f)), gs, frames, f, rows, cols))
+
+
 def depth_image(depth: DataFrame, frames: DataFrame) -> DataFrame:
     """stack, y, x, v: near is white."""
     return depth.join(frames.select("stack", "n"), "stack").select("stack", "y", "x", P.depth_visual(F.col("d"), F.col("n")).alias("v"))

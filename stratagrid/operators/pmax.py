@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pixel as P
@@ -35,9 +35,15 @@ def levels(height: int, width: int) -> int:
     return max(3, int(math.log2(min(width, height) / 16))) if min(width, height) >= 16 else 3
 
 
-def never_focus_cut(frames: int) -> float:
+def never_focus_cut(frames: Column | str) -> Column:
     """Ratio of greatest to least focus above which a pixel has been in focus: clamp(3 log2 n, 6, 32)."""
-    return min(max(3 * math.log2(max(frames, 1)), 6.0), 32.0) if frames > 1 else 6.0
+    n = F.col(frames) if isinstance(frames, str) else frames
+    return F.least(F.greatest(3 * F.log2(F.greatest(n, F.lit(1)).cast("double")), F.lit(6.0)), F.lit(32.0))
+
+
+def frame_counts(px: DataFrame) -> DataFrame:
+    """stack, n: the frames of each stack, whatever other stacks hold."""
+    return px.groupBy("stack").agg(F.countDistinct("frame").alias("n"))
 
 
 def band_energy(band: DataFrame) -> DataFrame:
@@ -90,31 +96,32 @@ def near_black(lum_min: DataFrame, lo: float = 0.15, hi: float = 0.35) -> DataFr
     return d.select(*A.PIXEL, (1 - t * t * (3 - 2 * t)).alias("m"))
 
 
-def sharp_mask(focus: DataFrame, frames: int, alpha: float = 0.15, governance: bool = False) -> DataFrame:
+def sharp_mask(focus: DataFrame, frames: DataFrame, alpha: float = 0.15, governance: bool = False) -> DataFrame:
     """stack, y, x, m: greatest focus above alpha times its 99th percentile (and, for governance, above the never-focus
-    cut times the least). ``focus``: stack, y, x, hi, lo."""
+    cut times the least). ``focus``: stack, y, x, hi, lo; ``frames``: stack, n."""
     s = A.order_statistic(focus, "hi", 0.99, ["stack"]).select("stack", (F.greatest("q", F.lit(1e-6)) * alpha).alias("_t"))
     d = focus.join(s, "stack")
     m = F.col("hi") > F.col("_t")
     if governance:
-        m = m & (F.col("hi") > F.greatest("lo", F.lit(1e-6)) * never_focus_cut(frames))
+        d = d.join(frames.select("stack", F.col("n").alias("_n")), "stack")
+        m = m & (F.col("hi") > F.greatest("lo", F.lit(1e-6)) * never_focus_cut("_n"))
     return d.select(*A.PIXEL, m.alias("m"))
 
 
-def texture_veto(cells: DataFrame, frames: int) -> DataFrame:
+def texture_veto(cells: DataFrame, frames: DataFrame) -> DataFrame:
     """stack, y, x, v: 0..1, where the greatest band energy of a cell exceeds the least by more than noise would, away
-    from sharp cells. ``cells``: stack, y, x, env_max, env_min, sharp."""
-    spread = math.sqrt(2 * math.log(max(frames, 2)))
+    from sharp cells. ``cells``: stack, y, x, env_max, env_min, sharp; ``frames``: stack, n."""
+    spread = F.sqrt(2 * F.log(F.greatest("n", F.lit(2)).cast("double")))
     ring = F.explode(F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     near = cells.where("sharp").withColumn("o", ring).select("stack", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).distinct()
     el = cells.join(near, A.PIXEL, "left_anti").withColumn("_r", F.sqrt(F.col("env_max") / F.greatest("env_min", F.lit(1e-12))))
     q = A.order_statistic(el, "env_max", 0.9, ["stack"], "gap").select("stack", (F.col("q") * 0.01).alias("_f"))
     ok = (F.col("env_min") > F.col("_f")) & (F.col("env_max") > 5.5e-6)
     v = F.when(ok, P.smoothstep(1 + 0.25 * spread, 1 + 0.45 * spread, F.col("_r"))).otherwise(F.lit(0.0))
-    return cells.select(*A.PIXEL).join(el.join(q, "stack").select(*A.PIXEL, v.alias("v")), A.PIXEL, "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    return cells.select(*A.PIXEL).join(el.join(q, "stack").join(frames.select("stack", "n"), "stack").select(*A.PIXEL, v.alias("v")), A.PIXEL, "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
 
 
-def open_background(focus: DataFrame, lum: DataFrame, frames: int, height: int, width: int, radius: int | None = None, least: int = 16) -> DataFrame:
+def open_background(focus: DataFrame, lum: DataFrame, frames: DataFrame, height: int, width: int, radius: int | None = None, least: int = 16) -> DataFrame:
     """stack, y, x, m: components, outside the closed sharp mask, that reach the border and hold at least ``least`` pixels."""
     r = radius if radius is not None else max(4, int(0.0031 * min(width, height) + 0.5))
     closed = S.erode(S.dilate(sharp_mask(focus, frames), r), r)
@@ -238,7 +245,7 @@ def fuse(px: DataFrame, height: int, width: int, o: Options | None = None, n_lev
         finest = C.cut(finest)
         energy = C.cut(S.gaussian(band_energy(finest), 1.0, "e").select(*key, "e"))
         lum = gray[0]
-        frames = px.agg(F.countDistinct("frame").alias("n")).first()["n"]  # one number
+        frames = C.cut(frame_counts(px))
         fx = C.cut(A.extremes(energy, "e").select(*A.PIXEL, "hi", "lo"))
         lum_min = C.cut(A.extremes(lum, "v").select(*A.PIXEL, F.col("lo").alias("v")))
         veto = None

@@ -187,14 +187,16 @@ def transforms(frames: DataFrame, pairs: DataFrame, survivors: DataFrame) -> Dat
     return j.groupBy("stack").applyInPandas(run, "stack int, frame int, h array<double>")  # a row for each frame
 
 
-def register_stacks(px: DataFrame, height: int, width: int, stride: int = 1, scales: bool = False, value: str = "v") -> tuple[DataFrame, DataFrame]:
+def register_stacks(px: DataFrame, height: int, width: int, stride: int = 1, scales: bool = False, value: str = "v", features: bool = False) -> tuple[DataFrame, DataFrame]:
     """(frames: stack, frame, h, nearest; issues: stack, frame, kind) of every stack: exposure outliers go first, neighbours
     of the rest are registered and gated, bad pairs blame frames, the survivors' chain gives the transforms (frame ->
     middle survivor), and a flagged frame is registered onto its nearest survivor as well as that goes.
 
-    All pairs of all stacks are registered in parallel; between the steps only tables with a row for each frame or pair are kept."""
+    With ``features`` pairs are registered by matched keypoints, which finds any homography and loses pairs without enough
+    matches, else by phase correlation. All pairs of all stacks are registered in parallel; between the steps only tables with a row for each frame or pair are kept."""
     from .components import cut
     from .join import adjacent_pairs, nearest_survivor
+    from .matching import register_features
 
     px = px.select("stack", "frame", "y", "x", value)
     one = F.array(*[F.lit(float(v)) for v in IDENTITY])
@@ -205,10 +207,16 @@ def register_stacks(px: DataFrame, height: int, width: int, stride: int = 1, sca
 
     def registered(pairs: DataFrame) -> DataFrame:
         """h and residual of pairs, warps that are no better than none replaced by the identity."""
-        h = cut(register_pairs(px, pairs, height, width, value, scales))
+        if features:
+            got = pairs.select("stack", "frame", "other").join(register_features(px, pairs, height, width, value), ["stack", "frame", "other"], "left")
+            h = cut(got.select("stack", "frame", "other", F.coalesce("h", one).alias("h"), F.col("h").isNull().alias("_lost")))
+        else:
+            h = cut(register_pairs(px, pairs, height, width, value, scales).withColumn("_lost", F.lit(False)))
         plain = warp_residual(px, h.select("stack", "frame", "other", one.alias("h")), height, width, stride, value=value)
-        full = warp_residual(px, h, height, width, stride, value=value)
-        return cut(gated(full.join(plain.select("stack", "frame", "other", F.col("residual").alias("identity_residual")), ["stack", "frame", "other"])))
+        full = warp_residual(px, h.drop("_lost"), height, width, stride, value=value)
+        kept = gated(full.join(plain.select("stack", "frame", "other", F.col("residual").alias("identity_residual")), ["stack", "frame", "other"]))
+        lost = h.select("stack", "frame", "other", "_lost")
+        return cut(kept.join(lost, ["stack", "frame", "other"]).withColumn("residual", F.when(F.col("_lost"), F.lit(float("inf"))).otherwise(F.col("residual"))).drop("_lost"))
 
     pairs = registered(cut(adjacent_pairs(kept)))
     bad = cut(residual_outliers(pairs.withColumn("_lost", F.col("residual") == float("inf")), "_lost"))

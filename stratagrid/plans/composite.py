@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import pixel as P
@@ -25,6 +27,11 @@ def energy(spark, d):
     return S.laplacian_energy(V.emb_stack(spark, d))
 
 
+def fifty(df):
+    """Every stack of ``df`` as one of 50 frames, so that a cut is a constant of the SQL."""
+    return df.select("stack").distinct().withColumn("n", F.lit(50))
+
+
 EN = f"lp AS ({LAP.format(src='emb')})"
 BEST = f"{EN}, bs AS (SELECT stack, y, x, max(e) AS energy, CASE WHEN max(e) > 0 THEN arg_max(frame, (e, -frame)) ELSE 0 END AS frame FROM lp GROUP BY stack, y, x)"
 SLICE = f"""{BEST}, nf AS (SELECT stack, count(*) AS n FROM frames GROUP BY stack), sp AS (SELECT stack, min(frame) - 1.0 AS lo, max(frame) + 1.0 AS hi FROM bs GROUP BY stack),
@@ -179,10 +186,10 @@ def f7(spark, d):
     return M.near_black(lo).select(*PX, r6(F.col("m")).alias("m"))
 
 
-@book.add("f9_sharp_mask", with_views("emb", f"{EN}, fx AS (SELECT stack, y, x, max(e) AS hi, min(e) AS lo FROM lp GROUP BY stack, y, x), s AS (SELECT stack, 0.15 * greatest(max(CASE WHEN r = least(CAST(floor(n * 0.99) AS BIGINT), n - 1) THEN hi END), 1e-6) AS t FROM (SELECT *, row_number() OVER (PARTITION BY stack ORDER BY hi) - 1 AS r, count(*) OVER (PARTITION BY stack) AS n FROM fx) GROUP BY stack) SELECT stack, y, x, hi > t AND hi > 17.0 * greatest(lo, 1e-6) AS m FROM fx JOIN s USING (stack)".replace("17.0", str(M.never_focus_cut(50))), cte=True))
+@book.add("f9_sharp_mask", with_views("emb", f"{EN}, fx AS (SELECT stack, y, x, max(e) AS hi, min(e) AS lo FROM lp GROUP BY stack, y, x), s AS (SELECT stack, 0.15 * greatest(max(CASE WHEN r = least(CAST(floor(n * 0.99) AS BIGINT), n - 1) THEN hi END), 1e-6) AS t FROM (SELECT *, row_number() OVER (PARTITION BY stack ORDER BY hi) - 1 AS r, count(*) OVER (PARTITION BY stack) AS n FROM fx) GROUP BY stack) SELECT stack, y, x, hi > t AND hi > 17.0 * greatest(lo, 1e-6) AS m FROM fx JOIN s USING (stack)".replace("17.0", str(min(max(3 * math.log2(50), 6.0), 32.0))), cte=True))
 def f9(spark, d):
     fx = A.extremes(energy(spark, d), "e").select(*PX, "hi", "lo")
-    return M.sharp_mask(fx, 50, governance=True)
+    return M.sharp_mask(fx, fifty(fx), governance=True)
 
 
 @book.add("m2_select", with_views("rgb", f"f4 AS MATERIALIZED (SELECT stack, frame, y, x, abs(r) + abs(g) + abs(b) AS v FROM rgb), {lines('f4', [(k - 3, w) for k, w in enumerate(P.gaussian_kernel(1.0))], 'x', 'h1')}, {lines('h1', [(k - 3, w) for k, w in enumerate(P.gaussian_kernel(1.0))], 'y', 'h2')}, w AS (SELECT stack, y, x, arg_max(frame, (v, -frame)) AS frame FROM h2 GROUP BY stack, y, x) SELECT stack, y, x, frame, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b FROM w JOIN rgb USING (stack, frame, y, x)", cte=True))
@@ -267,14 +274,14 @@ SELECT stack, y, x, round(coalesce(t * t * (3 - 2 * t), 0), 6) + 0.0 AS v FROM c
 def m10(spark, d):
     px = V.rgb_stack(spark, d, holes=False).withColumn("v", (F.col("r") - 0.5) ** 2)
     c = A.box_down(px, 2).groupBy(*PX).agg(F.max("v").alias("env_max"), F.min("v").alias("env_min")).withColumn("sharp", F.col("y") + F.col("x") == 0)
-    return M.texture_veto(c, 50).select(*PX, r6(F.col("v")).alias("v"))
+    return M.texture_veto(c, fifty(c)).select(*PX, r6(F.col("v")).alias("v"))
 
 
 @book.add("m8_open_background")
 def m8(spark, d):
     px = V.emb_stack(spark, d).withColumn("v", V.unit(F.col("v")))
     fx = A.extremes(energy(spark, d), "e").select(*PX, "hi", "lo")
-    bg = M.open_background(fx, px, 50, 8, 8, radius=1, least=2)
+    bg = M.open_background(fx, px, fifty(fx), 8, 8, radius=1, least=2)
     lo = px.groupBy(*PX).agg(F.min("v").alias("v"))
     return M.clean_field(lo, bg, 2, 8, 8).select(*PX, r6(F.col("v")).alias("v"))
 
