@@ -275,6 +275,47 @@ def best_offset_psnr(a: DataFrame, b: DataFrame, reach: int, height: int, width:
     return best.select("stack", "dy", "dx", F.when(F.col("mse") > 0, -10 * F.log10(F.when(F.col("mse") > 0, F.col("mse")))).otherwise(F.lit(float("inf"))).alias("psnr"))
 
 
+def offset_errors(a: DataFrame, b: DataFrame, offsets: DataFrame, step: int, height: int, width: int, margin: int = 0, least: int = 64, value: str = "v") -> DataFrame:
+    """stack, dy, dx, mse over every ``step``-th pixel, both ways, of where the shifted rasters overlap: ``b`` at (y, x) against
+    ``a`` at (y + dy, x + dx). Offsets whose overlap has up to ``least`` places a side are left out.
+
+    ``offsets``: stack, dy, dx; the samples of ``b``, which begin at the overlap's corner, are what is exploded."""
+    y0, x0 = F.greatest(-F.col("dy"), F.lit(0)) + margin, F.greatest(-F.col("dx"), F.lit(0)) + margin
+    y1, x1 = F.least(F.lit(height), height - F.col("dy")) - margin, F.least(F.lit(width), width - F.col("dx")) - margin
+    o = offsets.withColumn("_y0", y0).withColumn("_x0", x0).withColumn("_y1", y1).withColumn("_x1", x1).where((F.col("_y1") - F.col("_y0") > least) & (F.col("_x1") - F.col("_x0") > least))
+    # samples of b by their residue, so that an offset meets only the pixels of its own lattice
+    at = b.select("stack", "y", "x", F.col(value).alias("_b"), (F.col("y") % step).alias("_ry"), (F.col("x") % step).alias("_rx"))
+    o = o.withColumn("_ry", F.col("_y0") % step).withColumn("_rx", F.col("_x0") % step)
+    s = at.join(o, ["stack", "_ry", "_rx"]).where((F.col("y") >= F.col("_y0")) & (F.col("y") < F.col("_y1")) & (F.col("x") >= F.col("_x0")) & (F.col("x") < F.col("_x1")))
+    s = s.select("stack", "dy", "dx", "_b", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"))
+    return s.join(a.select("stack", "y", "x", F.col(value).alias("_a")), PIXEL).groupBy("stack", "dy", "dx").agg(F.round(F.avg((F.col("_b") - F.col("_a")) ** 2), 12).alias("mse"))
+
+
+def searched_offset(a: DataFrame, b: DataFrame, height: int, width: int, reach: int = 32, coarse: int = 16, fine: int = 4, around: int = 2, margin: int = 0, least: int = 64, value: str = "v") -> DataFrame:
+    """stack, dy, dx, mse: the offset of ``b`` in ``a`` by a coarse and a fine search. All offsets within ``reach`` are compared on
+    every ``coarse``-th pixel both ways, those ``around`` the best of these on every ``fine``-th, ranked among themselves; the first of
+    equals in raster order. About (2 reach + 1)**2 / coarse**2 + (2 around + 1)**2 / fine**2 rows a pixel."""
+    span = lambda lo, hi: F.explode(F.sequence(F.lit(lo), F.lit(hi)))
+    stacks = b.select("stack").distinct()
+    every = stacks.withColumn("dy", span(-reach, reach)).withColumn("dx", span(-reach, reach))
+    best = lambda d: d.groupBy("stack").agg(F.min(F.struct("mse", "dy", "dx")).alias("m")).select("stack", "m.dy", "m.dx", "m.mse")
+    found = best(offset_errors(a, b, every, coarse, height, width, margin, least, value)).select("stack", F.col("dy").alias("_y"), F.col("dx").alias("_x"))
+    start = stacks.join(found, "stack", "left").select("stack", F.coalesce("_y", F.lit(0)).alias("_y"), F.coalesce("_x", F.lit(0)).alias("_x"))
+    near = start.withColumn("_i", span(-around, around)).withColumn("_j", span(-around, around)).select("stack", (F.col("_y") + F.col("_i")).alias("dy"), (F.col("_x") + F.col("_j")).alias("dx"))
+    return best(offset_errors(a, b, near, fine, height, width, margin, least, value))
+
+
+def intersection_psnr(a: DataFrame, b: DataFrame, height: int, width: int, channels: tuple[str, ...] = ("r", "g", "b"), **search) -> DataFrame:
+    """stack, dy, dx, psnr: two images of which neither holds the other, compared where they overlap at the offset that
+    :func:`searched_offset` finds on their luminance."""
+    lum = lambda d: d.select(*PIXEL, P.luminance(F.col("r"), F.col("g"), F.col("b")).alias("v"))
+    at = searched_offset(lum(a), lum(b), height, width, **search).select("stack", "dy", "dx")
+    moved = b.join(at, "stack").select("stack", "dy", "dx", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), *[F.col(c).alias(f"_{c}") for c in channels])
+    se = sum(((F.col(c) - F.col(f"_{c}")) ** 2 for c in channels), F.lit(0.0)) / len(channels)
+    g = moved.join(a, PIXEL).groupBy("stack", "dy", "dx").agg(F.avg(se).alias("mse"))
+    return g.select("stack", "dy", "dx", F.when(F.col("mse") > 0, -10 * F.log10(F.when(F.col("mse") > 0, F.col("mse")))).otherwise(F.lit(float("inf"))).alias("psnr"))
+
+
 def histogram_percentile(df: DataFrame, value: str, p: float, bins: int, top: float, key: list[str]) -> DataFrame:
     """Bin value at which the count from the top down first exceeds (1 - p) of all."""
     from pyspark.sql import Window as W

@@ -66,6 +66,34 @@ def undo(log: DataFrame, keep: int = 20) -> DataFrame:
     return j.withColumn("undone", F.col("undone") | ((F.col("edit") == F.col("_last")) & (F.col("edit") > F.col("_top") - keep))).select(*log.columns)
 
 
+def redo(log: DataFrame) -> DataFrame:
+    """The log with the edit that was undone last live again: the first of those after the last live one."""
+    live = log.groupBy("stack").agg(F.max(F.when(~F.col("undone"), F.col("edit"))).alias("_last"))
+    j = log.join(live, "stack")
+    after = F.col("undone") & (F.col("edit") > F.coalesce("_last", F.lit(-1)))
+    first = j.where(after).groupBy("stack").agg(F.min("edit").alias("_first"))
+    return j.join(first, "stack", "left").withColumn("undone", F.col("undone") & F.coalesce(F.col("edit") != F.col("_first"), F.lit(True))).select(*log.columns)
+
+
+def recorded(log: DataFrame, stroke: DataFrame) -> DataFrame:
+    """The log after a new edit, which ends what could be redone: edits undone before it are dropped."""
+    return log.where(~F.col("undone")).unionByName(stroke.withColumn("undone", F.lit(False)))
+
+
+def undoable(log: DataFrame, strokes: int = 20, budget: int = 256 << 20, tile: int = 256, pixel_bytes: int = 16) -> DataFrame:
+    """stack, edit, bytes, kept: what each live edit's undo holds (the tiles it touched) and whether it still can be undone.
+
+    From the newest edit on, ``strokes`` are kept and no more than ``budget`` bytes, the newest always: a running sum,
+    evicting the oldest. An evicted edit stays in the image."""
+    from pyspark.sql import Window as W
+
+    tiles = log.where(~F.col("undone")).select("stack", "edit", F.floor(F.col("y") / tile).alias("_ty"), F.floor(F.col("x") / tile).alias("_tx")).distinct()
+    size = tiles.groupBy("stack", "edit").agg((F.count(F.lit(1)) * (tile * tile * pixel_bytes)).cast("long").alias("bytes"))
+    back = W.partitionBy("stack").orderBy(F.desc("edit")).rowsBetween(W.unboundedPreceding, 0)  # a row for each edit of a stack
+    d = size.withColumn("_n", F.count(F.lit(1)).over(back)).withColumn("_b", F.sum("bytes").over(back))
+    return d.select("stack", "edit", "bytes", ((F.col("_n") == 1) | ((F.col("_n") <= strokes) & (F.col("_b") <= budget))).alias("kept"))
+
+
 def sharpest(energy: DataFrame, cy: float, cx: float, radius: float, value: str = "v") -> DataFrame:
     """stack, frame, score of the sharpest frame under a disk; none where the best score is 0; ties to the first."""
     s = A.region_scores(energy, cy, cx, radius, value).withColumn("score", F.round("score", 12))

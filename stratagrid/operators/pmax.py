@@ -121,22 +121,71 @@ def texture_veto(cells: DataFrame, frames: DataFrame) -> DataFrame:
     return cells.select(*A.PIXEL).join(el.join(q, "stack").join(frames.select("stack", "n"), "stack").select(*A.PIXEL, v.alias("v")), A.PIXEL, "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
 
 
-def open_background(focus: DataFrame, lum: DataFrame, frames: DataFrame, height: int, width: int, radius: int | None = None, least: int = 16) -> DataFrame:
-    """stack, y, x, m: components, outside the closed sharp mask, that reach the border and hold at least ``least`` pixels."""
-    r = radius if radius is not None else max(4, int(0.0031 * min(width, height) + 0.5))
-    closed = S.erode(S.dilate(sharp_mask(focus, frames), r), r)
-    lab = C.label(closed.withColumn("m", ~F.col("m")), width)
-    st = A.component_stats(lab, height, width).where(F.col("border") & (F.col("cells") >= least)).select("stack", "label", F.lit(True).alias("_o"))
-    return lab.join(st, ["stack", "label"], "left").select("stack", "y", "x", F.coalesce("_o", F.lit(False)).alias("m"))
+# Least pixels and clean pixels of an open component, the light ranges of clean and of wholly contaminated pixels,
+# the greatest flatness, the least weight of an anchor cell.
+OPEN_CELLS, OPEN_CLEAN, CLEAN_RANGE, DIRTY_RANGE, FLAT, ANCHOR = 1000, 100, 0.02, 0.04, 0.0035, 8.0
+RATIO_BINS, BINS_PER_OCTAVE = 64, 4
+
+
+def open_field(focus: DataFrame, lum: DataFrame, frames: DataFrame, height: int, width: int, radius: int | None = None, alpha: float = 0.15, least: int = OPEN_CELLS, clean: int = OPEN_CLEAN, clean_range: float = CLEAN_RANGE) -> tuple[DataFrame, DataFrame]:
+    """(labels: stack, y, x, label; components: stack, label, cells, border, clean, bin, candidate) of what lies outside the closed sharp mask.
 
+    A component is a candidate for open background if it holds ``least`` pixels, reaches the border, has ``clean`` pixels whose light
+    moves by no more than ``clean_range`` over the frames, and the median of its pixels' ratio of greatest to least focus, in bins
+    of a quarter octave, is below the never-focus cut. ``focus``, ``lum``: stack, y, x, hi, lo over the frames; ``frames``: stack, n."""
+    from pyspark.sql import Window as W
 
-def clean_field(lum_min: DataFrame, bg: DataFrame, factor: int, height: int, width: int) -> DataFrame:
-    """Background light by cell, filled over the rest of the grid: stack, y, x, v."""
+    r = radius if radius is not None else max(4, int(0.0031 * min(width, height) + 0.5))
+    closed = S.erode(S.dilate(sharp_mask(focus, frames, alpha), r), r)
+    lab = C.cut(C.label(closed.withColumn("m", ~F.col("m")), width))
+    ratio = F.col("hi") / F.greatest("lo", F.lit(1e-6))
+    bins = F.least(F.floor(F.log2(F.greatest(ratio, F.lit(1.0))) * BINS_PER_OCTAVE), F.lit(RATIO_BINS - 1)).cast("int")
+    edge = (F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == height - 1) | (F.col("x") == width - 1)
+    own = lab.where("label > 0").join(focus.select(*A.PIXEL, bins.alias("bin")), A.PIXEL).join(lum.select(*A.PIXEL, (F.col("hi") - F.col("lo") <= clean_range).cast("long").alias("_c")), A.PIXEL)
+    # one row for each bin of a component
+    h = own.groupBy("stack", "label", "bin").agg(F.count(F.lit(1)).alias("_n"), F.sum("_c").alias("_c"), F.max(edge).alias("_e"))
+    w = W.partitionBy("stack", "label")
+    h = h.withColumn("_up", F.sum("_n").over(w.orderBy("bin"))).withColumn("_all", F.sum("_n").over(w))
+    st = h.groupBy("stack", "label").agg(F.sum("_n").alias("cells"), F.max("_e").alias("border"), F.sum("_c").alias("clean"), F.min(F.when(F.col("_up") * 2 >= F.col("_all"), F.col("bin"))).alias("bin"))
+    st = st.join(frames.select("stack", "n"), "stack")
+    ok = (F.col("cells") >= least) & F.col("border") & (F.col("clean") >= clean) & (F.col("bin") / BINS_PER_OCTAVE < F.log2(never_focus_cut("n")))
+    return lab, st.select("stack", "label", "cells", "border", "clean", "bin", ok.alias("candidate"))
+
+
+def clean_anchors(lab: DataFrame, components: DataFrame, lum: DataFrame, height: int, width: int, factor: int = 8, ranges: tuple[float, float] = (CLEAN_RANGE, DIRTY_RANGE)) -> DataFrame:
+    """stack, y, x, vw, w, label for every cell of ``factor`` pixels: the light of its candidate pixels, in the middle of its range over
+    the frames, weighed down as it moves, and the component of the last of them (0: no anchor)."""
     rows, cols = -(-height // factor), -(-width // factor)
-    d = lum_min.join(bg, A.PIXEL)
-    g = d.groupBy("stack", F.floor(F.col("y") / factor).cast("int").alias("y"), F.floor(F.col("x") / factor).cast("int").alias("x"))
-    own = F.when(F.col("m"), 1.0).otherwise(0.0)
-    return C.push_pull(g.agg(F.avg(own * F.col("v")).alias("vw"), F.avg(own).alias("w")), rows, cols)
+    own = lab.join(components.where("candidate").select("stack", "label"), ["stack", "label"]).join(lum, A.PIXEL)
+    own = own.withColumn("w", 1 - P.smoothstep(*ranges, F.col("hi") - F.col("lo"))).where("w > 0")
+    cell = own.groupBy("stack", F.floor(F.col("y") / factor).cast("int").alias("y"), F.floor(F.col("x") / factor).cast("int").alias("x"))
+    got = cell.agg(F.sum((F.col("lo") + F.col("hi")) * 0.5 * F.col("w")).alias("vw"), F.sum("w").alias("w"), F.max_by("label", F.col("y") * width + F.col("x")).alias("label"))
+    grid = lab.select("stack").distinct().select("stack", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("y")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
+    return grid.join(got, A.PIXEL, "left").select(*A.PIXEL, F.coalesce("vw", F.lit(0.0)).alias("vw"), F.coalesce("w", F.lit(0.0)).alias("w"), F.coalesce("label", F.lit(0)).alias("label"))
+
+
+def flat_components(anchors: DataFrame, flat: float = FLAT, least: int = 30, weight: float = ANCHOR, radius: int = 4) -> DataFrame:
+    """stack, label, anchors, sigma, flat: the deviation of a component's anchor cells from the 9 x 9 box about them (infinite with fewer than
+    ``least``), and whether it is below ``flat``. ``anchors``: as :func:`clean_anchors` gives them, every cell."""
+    from .window import box_mean
+
+    a = box_mean(anchors, radius, "vw", ("stack",), "_v")
+    a = box_mean(a, radius, "w", ("stack",), "_w").where((F.col("label") > 0) & (F.col("w") >= weight))
+    a = a.withColumn("_d", F.col("vw") / F.col("w") - F.col("_v") / F.col("_w"))
+    st = a.groupBy("stack", "label").agg(F.count(F.lit(1)).alias("anchors"), F.when(F.count(F.lit(1)) >= least, F.stddev_pop("_d")).otherwise(F.lit(float("inf"))).alias("sigma"))
+    return st.withColumn("flat", F.col("sigma") < flat)
+
+
+def open_background(focus: DataFrame, lum: DataFrame, frames: DataFrame, height: int, width: int, factor: int = 8, flat: float = FLAT, anchors: int = 30, weight: float = ANCHOR, ranges: tuple[float, float] = (CLEAN_RANGE, DIRTY_RANGE), **gates) -> tuple[DataFrame, DataFrame]:
+    """(stack, y, x, m: open background; stack, y, x, v: the clean field's light by cell): the flat candidates of :func:`open_field`, and
+    their anchors alone filled over the rest of the grid."""
+    lab, st = open_field(focus, lum, frames, height, width, clean_range=ranges[0], **gates)
+    a = C.cut(clean_anchors(lab, C.cut(st), lum, height, width, factor, ranges))
+    keep = C.cut(flat_components(a, flat, anchors, weight).where("flat").select("stack", "label", F.lit(True).alias("_k")))
+    bg = lab.join(keep, ["stack", "label"], "left").select(*A.PIXEL, F.coalesce("_k", F.lit(False)).alias("m"))
+    own = a.join(keep, ["stack", "label"], "left").withColumn("_k", F.coalesce("_k", F.lit(False)))
+    field = own.select(*A.PIXEL, F.when(F.col("_k"), F.col("vw")).otherwise(0.0).alias("vw"), F.when(F.col("_k"), F.col("w")).otherwise(0.0).alias("w"))
+    return bg, C.push_pull(field, -(-height // factor), -(-width // factor))
 
 
 def envelope_clamp(out: DataFrame, bands: DataFrame, cell: int, factor: float = 1.0) -> DataFrame:
@@ -247,7 +296,8 @@ def fuse(px: DataFrame, height: int, width: int, o: Options | None = None, n_lev
         lum = gray[0]
         frames = C.cut(frame_counts(px))
         fx = C.cut(A.extremes(energy, "e").select(*A.PIXEL, "hi", "lo"))
-        lum_min = C.cut(A.extremes(lum, "v").select(*A.PIXEL, F.col("lo").alias("v")))
+        lx = C.cut(A.extremes(lum, "v").select(*A.PIXEL, "hi", "lo"))
+        lum_min = lx.select(*A.PIXEL, F.col("lo").alias("v"))
         veto = None
         if o.smoothed_selection:
             e2 = finest.select(*key, sum((F.col(c) ** 2 for c in RGB), F.lit(0.0)).alias("v"))
@@ -256,9 +306,8 @@ def fuse(px: DataFrame, height: int, width: int, o: Options | None = None, n_lev
             v = texture_veto(C.cut(cells), frames)
             at = px.select(*A.PIXEL).distinct().withColumn("_cy", F.floor(F.col("y") / o.cell).cast("int")).withColumn("_cx", F.floor(F.col("x") / o.cell).cast("int"))
             veto = at.join(v.select("stack", F.col("y").alias("_cy"), F.col("x").alias("_cx"), "v"), ["stack", "_cy", "_cx"]).select(*A.PIXEL, "v")
-        bg = C.cut(open_background(fx, lum_min, frames, height, width))
+        bg, clean = (C.cut(t) for t in open_background(fx, lx, frames, height, width))
         masks, bgs = debloom_masks(lum_min, veto, bg, gated)
-        clean = C.cut(clean_field(lum_min, bg, 8, height, width))
     fused: dict[str, list] = {c: [] for c in RGB}
     for lv in range(n + 1):
         _, h, w = per["r"][lv]

@@ -340,8 +340,8 @@ def collapse_round(bands: DataFrame, low: DataFrame, g: Grid, level: int, taken:
 
 
 def planes(tiles: DataFrame, g: Grid, cell: int) -> DataFrame:
-    """Planes of a stack, by square: of kind ``plane`` hi, lo (blurred energy of the finest band over the frames) and least
-    luminance, of kind ``cells`` greatest and least mean squared band of ``cell`` x ``cell`` pixels over the frames."""
+    """Planes of a stack, by square: of kind ``plane`` hi, lo (blurred energy of the finest band over the frames), least and
+    greatest luminance, of kind ``cells`` greatest and least mean squared band of ``cell`` x ``cell`` pixels over the frames."""
     taken = g.rounds()[0][1]
 
     def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
@@ -349,16 +349,16 @@ def planes(tiles: DataFrame, g: Grid, cell: int) -> DataFrame:
         y0, y1, x0, x1 = g.square(0, ty, tx, margin=g.halo(taken))
         a, b, c, d = g.square(0, ty, tx)
         own = slice(a - y0, b - y0), slice(c - x0, d - x0)
-        hi = lo = low = top = least = None
+        hi = lo = low = high = top = least = None
         for _, lows, _ in each_frame(p, g, y0, y1, x0, x1, 0, 1):
             band = band_of(lows, 0)
             e = blurred(energy_of(band), 1.0)[own]
             lum = luma(lows[0])[own]
             sq = pooled((band[(..., *own)].astype(np.float64) ** 2).sum(0), cell) / pooled(np.ones(e.shape), cell)
-            hi, lo, low = (e, e, lum) if hi is None else (np.maximum(hi, e), np.minimum(lo, e), np.minimum(low, lum))
+            hi, lo, low, high = (e, e, lum, lum) if hi is None else (np.maximum(hi, e), np.minimum(lo, e), np.minimum(low, lum), np.maximum(high, lum))
             top, least = (sq, sq) if top is None else (np.maximum(top, sq), np.minimum(least, sq))
         at = (a // cell, c // cell)
-        rows = [(stack, ty, tx, "plane", 0, -1, a, c, b - a, d - c, np.stack([hi, lo, low]).astype(g.dtype).tobytes()), (stack, ty, tx, "cells", 0, -1, *at, *top.shape, np.stack([top, least]).astype(g.dtype).tobytes())]
+        rows = [(stack, ty, tx, "plane", 0, -1, a, c, b - a, d - c, np.stack([hi, lo, low, high]).astype(g.dtype).tobytes()), (stack, ty, tx, "cells", 0, -1, *at, *top.shape, np.stack([top, least]).astype(g.dtype).tobytes())]
         return pd.DataFrame(rows, columns=COLUMNS)
 
     return tiles.groupBy(*_KEY).applyInPandas(run, TILES)
@@ -449,9 +449,9 @@ def clamped(image: DataFrame, seen: DataFrame, g: Grid, cell: int) -> DataFrame:
 
 def background(tiles: DataFrame, seen: DataFrame, g: Grid, o: M.Options) -> dict[int, DataFrame]:
     """By gated level stack, y, x, mask, bg, clean: the long form's masks on planes of one value a pixel."""
-    px = C.cut(long_form(seen.where("kind = 'plane'"), ["hi", "lo", "v"], g.dtype).drop("frame"))
+    px = C.cut(long_form(seen.where("kind = 'plane'"), ["hi", "lo", "v", "_h"], g.dtype).drop("frame"))
     frames = C.cut(M.frame_counts(tiles.select("stack", "frame")))
-    lum_min, fx = px.select(*A.PIXEL, "v"), px.select(*A.PIXEL, "hi", "lo")
+    lum_min, fx, lx = px.select(*A.PIXEL, "v"), px.select(*A.PIXEL, "hi", "lo"), px.select(*A.PIXEL, F.col("_h").alias("hi"), F.col("v").alias("lo"))
     veto = None
     if o.smoothed_selection:
         sharp = A.box_down(M.sharp_mask(fx, frames).select(*A.PIXEL, F.col("m").cast("double").alias("v")), o.cell, "v", "max", ("stack",)).select(*A.PIXEL, (F.col("v") > 0).alias("sharp"))
@@ -459,10 +459,9 @@ def background(tiles: DataFrame, seen: DataFrame, g: Grid, o: M.Options) -> dict
         v = M.texture_veto(C.cut(env.join(sharp, A.PIXEL)), frames)
         at = px.select(*A.PIXEL, F.floor(F.col("y") / o.cell).cast("int").alias("_cy"), F.floor(F.col("x") / o.cell).cast("int").alias("_cx"))
         veto = at.join(v.select("stack", F.col("y").alias("_cy"), F.col("x").alias("_cx"), "v"), ["stack", "_cy", "_cx"]).select(*A.PIXEL, "v")
-    bg = C.cut(M.open_background(fx, lum_min, frames, g.height, g.width))
+    bg, clean = (C.cut(t) for t in M.open_background(fx, lx, frames, g.height, g.width))
     gated = range(max(1, g.levels - o.coarse_levels), g.levels)
     ms, bgs = M.debloom_masks(lum_min, veto, bg, gated)
-    clean = C.cut(M.clean_field(lum_min, bg, 8, g.height, g.width))
     out = {}
     for lv in gated:
         h, w = g.size(lv)

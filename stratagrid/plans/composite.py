@@ -16,7 +16,7 @@ from ..operators import stencil as S
 from ..operators import tiles as T
 from ..sources import synth
 from ..sources import views as V
-from .base import Book, r6, with_views
+from .base import Book, r6, taps, with_views
 from .spatial import LAP, lines
 
 book = Book()
@@ -192,7 +192,12 @@ def f9(spark, d):
     return M.sharp_mask(fx, fifty(fx), governance=True)
 
 
-@book.add("m2_select", with_views("rgb", f"f4 AS MATERIALIZED (SELECT stack, frame, y, x, abs(r) + abs(g) + abs(b) AS v FROM rgb), {lines('f4', [(k - 3, w) for k, w in enumerate(P.gaussian_kernel(1.0))], 'x', 'h1')}, {lines('h1', [(k - 3, w) for k, w in enumerate(P.gaussian_kernel(1.0))], 'y', 'h2')}, w AS (SELECT stack, y, x, arg_max(frame, (v, -frame)) AS frame FROM h2 GROUP BY stack, y, x) SELECT stack, y, x, frame, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b FROM w JOIN rgb USING (stack, frame, y, x)", cte=True))
+M2 = f"""pl AS (SELECT stack, frame, array_agg(abs(r) + abs(g) + abs(b) ORDER BY y, x) AS v FROM rgb GROUP BY stack, frame), e1 AS MATERIALIZED (SELECT stack, frame, {taps('v', P.gaussian_kernel(1.0), 'x')} AS t FROM pl),
+e2 AS MATERIALIZED (SELECT stack, frame, {taps('t', P.gaussian_kernel(1.0), 'y')} AS e FROM e1), w AS (SELECT stack, CAST(i // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS x, arg_max(frame, (e[i + 1], -frame)) AS frame FROM e2, range(64) t(i) GROUP BY stack, i)
+SELECT stack, y, x, frame, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b FROM w JOIN rgb USING (stack, frame, y, x)"""
+
+
+@book.add("m2_select", with_views("rgb", M2, cte=True))
 def m2(spark, d):
     s = M.select(V.rgb_stack(spark, d, holes=False), 1.0)
     return s.select(*PX, "frame", *[r6(F.col(c)).alias(c) for c in "rgb"])
@@ -277,13 +282,41 @@ def m10(spark, d):
     return M.texture_veto(c, fifty(c)).select(*PX, r6(F.col("v")).alias("v"))
 
 
+FIELD = """lx AS (SELECT stack, y, x, min(least(greatest(v + 0.5, 0), 1)) AS lo, max(least(greatest(v + 0.5, 0), 1)) AS hi FROM emb GROUP BY stack, y, x),
+fx AS (SELECT stack, y, x, max(e) + 0.1 AS hi, min(e) + 0.1 AS lo FROM lp GROUP BY stack, y, x),
+sh AS (SELECT stack, 0.45 * greatest(max(CASE WHEN r = least(CAST(floor(n * 0.99) AS BIGINT), n - 1) THEN hi END), 1e-6) AS t FROM (SELECT *, row_number() OVER (PARTITION BY stack ORDER BY hi) - 1 AS r, count(*) OVER (PARTITION BY stack) AS n FROM fx) GROUP BY stack),
+op AS MATERIALIZED (SELECT stack, y, x, y * 8 + x AS i FROM fx JOIN sh USING (stack) WHERE NOT hi > t),
+r(stack, y, x, c) AS (SELECT stack, y, x, i FROM op UNION SELECT o.stack, o.y, o.x, r.c FROM r JOIN op o ON o.stack = r.stack AND abs(o.y - r.y) + abs(o.x - r.x) = 1 WHERE r.c < o.i),
+nm AS (SELECT stack, y, x, min(c) AS c FROM r GROUP BY stack, y, x), lb AS (SELECT *, dense_rank() OVER (PARTITION BY stack ORDER BY c) AS label FROM nm),
+px AS (SELECT lb.stack, y, x, label, CAST(least(floor(log2(greatest(f.hi / greatest(f.lo, 1e-6), 1)) * 4), 63) AS INTEGER) AS bin, CAST(l.hi - l.lo <= 0.75 AS INTEGER) AS c, y IN (0, 7) OR x IN (0, 7) AS e FROM lb JOIN fx f USING (stack, y, x) JOIN lx l USING (stack, y, x)),
+st AS (SELECT stack, label, count(*) AS cells, bool_or(e) AS border, sum(c) AS clean, quantile_disc(bin, 0.5) AS bin FROM px GROUP BY stack, label)
+SELECT stack, CAST(label AS INTEGER) AS label, cells, border, CAST(clean AS BIGINT) AS clean, bin, cells >= 3 AND border AND clean >= 2 AND bin / 4.0 < log2(least(greatest(3 * log2(n), 6), 32)) AS candidate FROM st JOIN (SELECT stack, count(*) AS n FROM frames GROUP BY stack) USING (stack)"""
+
+
+def floored(spark, d):
+    """Greatest and least energy of each pixel above a floor of noise."""
+    return A.extremes(energy(spark, d), "e").select(*PX, (F.col("hi") + 0.1).alias("hi"), (F.col("lo") + 0.1).alias("lo"))
+
+
+def light(spark, d):
+    """Greatest and least light of each pixel."""
+    return A.extremes(V.emb_stack(spark, d).withColumn("v", V.unit(F.col("v")))).select(*PX, "hi", "lo")
+
+
+@book.add("m8_open_field", with_views("emb", f"{EN}, {FIELD}", cte=True, recursive=True))
+def m8_field(spark, d):
+    """Components outside the sharp mask and the gates that make one open background: size, border, clean pixels, median ratio."""
+    fx = floored(spark, d)
+    n = M.frame_counts(V.emb_frames(spark, d))
+    _, st = M.open_field(fx, light(spark, d), n, 8, 8, radius=0, alpha=0.45, least=3, clean=2, clean_range=0.75)
+    return st.select("stack", F.col("label").cast("int").alias("label"), "cells", "border", "clean", "bin", "candidate")
+
+
 @book.add("m8_open_background")
 def m8(spark, d):
-    px = V.emb_stack(spark, d).withColumn("v", V.unit(F.col("v")))
-    fx = A.extremes(energy(spark, d), "e").select(*PX, "hi", "lo")
-    bg = M.open_background(fx, px, fifty(fx), 8, 8, radius=1, least=2)
-    lo = px.groupBy(*PX).agg(F.min("v").alias("v"))
-    return M.clean_field(lo, bg, 2, 8, 8).select(*PX, r6(F.col("v")).alias("v"))
+    fx = floored(spark, d)
+    _, clean = M.open_background(fx, light(spark, d), M.frame_counts(V.emb_frames(spark, d)), 8, 8, 2, flat=1.0, anchors=1, weight=0.1, ranges=(0.75, 1.0), radius=0, alpha=0.45, least=3, clean=2)
+    return clean.select(*PX, r6(F.col("v")).alias("v"))
 
 
 RES = "pr AS (SELECT stack, frame, frame + 1 AS other, abs(CAST(embedding[1] AS DOUBLE)) * 20 + CASE WHEN frame % 9 = 4 THEN 40 ELSE 0 END AS residual FROM frames WHERE (stack, frame + 1) IN (SELECT stack, frame FROM frames)), k AS (SELECT *, row_number() OVER (PARTITION BY stack ORDER BY residual) - 1 AS r, count(*) OVER (PARTITION BY stack) AS n FROM pr), md AS (SELECT stack, greatest(max(CASE WHEN r = n // 2 THEN residual END), 0.25) AS m FROM k GROUP BY stack), bd AS (SELECT stack, frame, other, residual / m AS ratio FROM pr JOIN md USING (stack) WHERE residual > greatest(3 * m, 4))"

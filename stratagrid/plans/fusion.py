@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from ..functions import pixel as P
 from ..operators import aggregate as A
 from ..operators import dmap as D
+from ..operators import edits as E
 from ..operators import matching as MT
 from ..operators import pmax as M
 from ..operators import pyramid_tiles as PT
 from ..operators import stencil as S
 from ..sources import views as V
-from .base import Book, r6, with_views
+from .base import Book, r6, taps, with_views
 from .spatial import LAP
 
 book = Book()
@@ -51,13 +52,6 @@ def f2(spark, d):
     return out.select(*PX, F.col("d").cast("int").alias("d"), "kept", *[r6(F.col(c)).alias(c) for c in "rgb"])
 
 
-def taps(col: str, weights: list[float], along: str, side: int = 8) -> str:
-    """A plane kept as a list, convolved along an axis with its edge repeated."""
-    r = len(weights) // 2
-    at = lambda o: f"(i // {side}) * {side} + least(greatest(i % {side} + {o}, 0), {side - 1}) + 1" if along == "x" else f"least(greatest(i // {side} + {o}, 0), {side - 1}) * {side} + i % {side} + 1"
-    return f"list_transform(range({side * side}), lambda i: " + " + ".join(f"{w!r} * {col}[{at(k - r)}]" for k, w in enumerate(weights)) + ")"
-
-
 def doubled(col: str) -> tuple[str, str]:
     """A 4 x 4 list to 4 x 8, and 4 x 8 (named ``t``) to 8 x 8."""
     x = f"list_transform(range(32), lambda i: CASE WHEN i % 2 = 0 THEN {col}[(i // 8) * 4 + greatest(i % 8 // 2 - 1, 0) + 1] / 8 + 0.75 * {col}[(i // 8) * 4 + i % 8 // 2 + 1] + {col}[(i // 8) * 4 + least(i % 8 // 2 + 1, 3) + 1] / 8 ELSE ({col}[(i // 8) * 4 + i % 8 // 2 + 1] + {col}[(i // 8) * 4 + least(i % 8 // 2 + 1, 3) + 1]) / 2 END)"
@@ -127,3 +121,35 @@ def r1_consensus(spark, d):
     m = m.withColumn("fx", fx + off * (40 + F.col("_q"))).withColumn("fy", fy - off * (20 + F.col("_q") * 2))
     got = MT.consensus(m.select(*MT.PAIR, "id", "my", "mx", "fy", "fx"), 100)
     return got.select("stack", "n", *[r6(F.element_at("h", k + 1)).alias(f"h{k}") for k in range(9)])
+
+
+SEARCH = """a AS MATERIALIZED (SELECT stack, y, x, max(v) AS v FROM emb WHERE frame % 2 = 0 GROUP BY stack, y, x), b AS MATERIALIZED (SELECT stack, y, x, max(v) AS v FROM emb WHERE frame % 2 = 1 GROUP BY stack, y, x),
+st AS (SELECT DISTINCT stack FROM b),
+co AS (SELECT stack, CAST(i AS INTEGER) AS dy, CAST(j AS INTEGER) AS dx FROM st, range(-3, 4) p(i), range(-3, 4) q(j)),
+ce AS (SELECT stack, dy, dx, round(avg(pow(b.v - a.v, 2)), 12) AS mse FROM co o JOIN b USING (stack) JOIN a USING (stack) WHERE b.y >= greatest(-dy, 0) AND b.x >= greatest(-dx, 0) AND b.y < least(8, 8 - dy) AND b.x < least(8, 8 - dx) AND (b.y - greatest(-dy, 0)) % 3 = 0 AND (b.x - greatest(-dx, 0)) % 3 = 0 AND a.y = b.y + dy AND a.x = b.x + dx GROUP BY stack, dy, dx),
+cb AS (SELECT stack, arg_min(dy, (mse, dy, dx)) AS y0, arg_min(dx, (mse, dy, dx)) AS x0 FROM ce GROUP BY stack),
+fo AS (SELECT stack, CAST(y0 + i AS INTEGER) AS dy, CAST(x0 + j AS INTEGER) AS dx FROM cb, range(-1, 2) p(i), range(-1, 2) q(j)),
+fe AS (SELECT stack, dy, dx, round(avg(pow(b.v - a.v, 2)), 12) AS mse FROM fo o JOIN b USING (stack) JOIN a USING (stack) WHERE b.y >= greatest(-dy, 0) AND b.x >= greatest(-dx, 0) AND b.y < least(8, 8 - dy) AND b.x < least(8, 8 - dx) AND least(8, 8 - dy) - greatest(-dy, 0) > 3 AND least(8, 8 - dx) - greatest(-dx, 0) > 3 AND (b.y - greatest(-dy, 0)) % 2 = 0 AND (b.x - greatest(-dx, 0)) % 2 = 0 AND a.y = b.y + dy AND a.x = b.x + dx GROUP BY stack, dy, dx)
+SELECT stack, arg_min(dy, (mse, dy, dx)) AS dy, arg_min(dx, (mse, dy, dx)) AS dx, round(min(mse), 9) AS mse FROM fe GROUP BY stack"""
+
+
+@book.add("a25_searched_offset", with_views("emb", SEARCH, cte=True))
+def a25_search(spark, d):
+    """Coarse and fine search of the offset between the brightest values of even and of odd frames."""
+    e = V.emb_stack(spark, d)
+    side = lambda k: e.where(F.col("frame") % 2 == k).groupBy(*PX).agg(F.max("v").alias("v"))
+    got = A.searched_offset(side(0), side(1), 8, 8, reach=3, coarse=3, fine=2, around=1, least=3)
+    return got.select("stack", "dy", "dx", r6(F.col("mse"), 9).alias("mse"))
+
+
+UNDO = """l AS (SELECT DISTINCT stack, frame AS edit, y // 2 AS ty, x // 2 AS tx FROM emb WHERE frame % 4 <> 3 AND (x + y * 3 + frame) % 5 = 0 AND x <= frame % 8),
+s AS (SELECT stack, edit, count(*) * 64 AS bytes FROM l GROUP BY stack, edit), k AS (SELECT *, row_number() OVER (PARTITION BY stack ORDER BY edit DESC) AS n, sum(bytes) OVER (PARTITION BY stack ORDER BY edit DESC) AS b FROM s)
+SELECT stack, edit, bytes, n = 1 OR (n <= 12 AND b <= 4000) AS kept FROM k"""
+
+
+@book.add("u3_undoable", with_views("emb", UNDO, cte=True))
+def u3_undoable(spark, d):
+    """The live edits of a log that both limits, of strokes and of bytes, still let undo."""
+    e = V.emb_stack(spark, d).where("(x + y * 3 + frame) % 5 = 0 AND x <= frame % 8")
+    log = e.select(F.col("frame").alias("edit"), (F.col("frame") % 4 == 3).alias("undone"), "stack", "y", "x", "v")
+    return E.undoable(log, 12, 4000, 2, 16)
