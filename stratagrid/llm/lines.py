@@ -8,7 +8,9 @@ are dropped. The positions of the others are joined, each with the first place i
 line) that holds the same units around the fingerprint, so a popular line costs one row for each of its
 places and never their pairs. Joined positions at one distance between the same two documents are
 extended both ways, through the windows that touch, to maximal runs, and the lines of a run go from the later
-document. So exactly the later repeats of a run of units go, and the first stays whole.
+document. So exactly the later repeats of a run of units go, and the first stays whole. Since every window of
+a repeated run is itself joined, a run is the union of its windows: extension puts them together, it finds
+no line that no window holds.
 
 Units are compared by 128-bit BLAKE2 digests of their bytes.
 

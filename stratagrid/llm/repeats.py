@@ -9,11 +9,14 @@
 2. The bytes of these go to one task for each batch of keys: shards of them get a Burrows-Wheeler transform
    each, the transforms are merged by iterative interleave refinement up to depth ``length``, and the
    intervals of windows with a common prefix of that length and a weight of two or more are the repeated ones
-   (see ``bwt``). No suffix is sorted across shards. Nothing else decides what goes.
+   (see ``bwt``). No suffix is sorted across shards. Where one class stands more than once, its hash has already
+   grouped the equal ranges, and the merge gives its windows their weight; windows that only ranges of
+   different classes share (about a fifth of the ranges on the test data) are found by the merge alone.
 3. A key with more than ``crowd`` classes would be one large task. Its windows are dealt by where their anchor
    stands in them, first sixteen places together, then, where that is still a crowd, one: equal windows stay
    together, and the bytes that all windows of such a part share become part of its key. The parts are
-   classed, weighed and merged like others.
+   classed, weighed and merged like others; at one place a part is a single window, so there its class alone
+   counts and the merge has nothing to add.
 4. Spans are carried to all ranges of their class, gathered for each document and applied to its bytes.
 
 Keys and classes are 64-bit hashes; nothing else is approximate. Matches never cross documents; overlaps
