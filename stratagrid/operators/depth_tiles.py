@@ -50,7 +50,7 @@ def gained(tiles: DataFrame, g: PT.Grid, on: bool) -> DataFrame:
     s = tiles.mapInPandas(sums, "stack int, frame int, n long, a double, r double, g double, b double").groupBy("stack", "frame").agg(*[F.sum(c).alias(c) for c in ("n", "a", "r", "g", "b")])
     mean = lambda c: F.when(F.col("a") > 0, F.col(c) / F.when(F.col("a") > 0, F.col("a"))).otherwise(F.lit(0.0)).alias(c)
     gain = A.exposure_gain(s.where("n > 0").select("stack", "frame", *[mean(c) for c in "rgb"]))
-    both = gain.select("stack", "frame", "gain").join(A.render_gains(gain.drop("gain")), ["stack", "frame"])
+    both = C.cut(gain.select("stack", "frame", "gain").join(A.render_gains(gain.drop("gain")), ["stack", "frame"]))  # a row for each frame
     return tiles.join(both, ["stack", "frame"], "left").select(*PT.COLUMNS, *[F.coalesce(c, F.lit(1.0)).alias(c) for c in GAINS])
 
 
@@ -140,7 +140,7 @@ def rendered(tiles: DataFrame, depth: DataFrame, g: PT.Grid, o: D.Options, floor
 
 def dense(tiles: DataFrame) -> DataFrame:
     """The tiles with the frames of each stack numbered from 0 in their order."""
-    index = A.dense_frames(tiles.select("stack", "frame"))[1]
+    index = C.cut(A.dense_frames(tiles.select("stack", "frame"))[1])  # a row for each frame
     j = tiles.withColumnRenamed("frame", "kept").join(index, ["stack", "kept"])
     return j.select(*PT.COLUMNS)
 
@@ -157,13 +157,13 @@ def fuse(tiles: DataFrame, g: PT.Grid, o: D.Options | None = None, regularize: b
     o = (o or D.Options()).resolved(g.width, g.height)
     if g.tile % 8 or g.tile % o.downsample:
         raise ValueError("a tile's side must be a multiple of 8 and of the grid's factor")
-    tiles = C.cut(gained(dense(tiles), g, o.normalize_exposure))
+    tiles = gained(dense(tiles), g, o.normalize_exposure)
     seen = C.cut(measured(tiles, g, o))
     win = C.cut(PT.long_form(seen.where("kind = 'best'"), ["energy", "_f", "g"], g.dtype).select(*A.PIXEL, "energy", F.col("_f").cast("int").alias("frame"), "g"))
     depth = win.select(*A.PIXEL, F.col("frame").cast("double").alias("d"))
     if regularize:
         cube = C.cut(PT.long_form(seen.where("kind = 'cube'"), ["e", "l"], g.dtype))
-        frames = tiles.groupBy("stack").agg(F.countDistinct("frame").alias("n"))
+        frames = C.cut(tiles.groupBy("stack").agg(F.countDistinct("frame").alias("n")))
         key = ["stack", "frame", "y", "x"]
         depth = D.regularized(win, cube.select(*key, F.col("e").alias("v")), cube.select(*key, F.col("l").alias("v")), frames, g.height, g.width, o)
     return rendered(tiles, depth, g, o), depth

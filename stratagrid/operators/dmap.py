@@ -226,3 +226,17 @@ def pruned(px: DataFrame, depth: DataFrame, radius: float) -> DataFrame:
     """Frames that some pixel can use: least depth - radius < frame < greatest depth + radius."""
     span = depth.groupBy("stack").agg((F.min("d") - radius).alias("_lo"), (F.max("d") + radius).alias("_hi"))
     return px.join(span, "stack").where((F.col("frame") > F.col("_lo")) & (F.col("frame") < F.col("_hi"))).drop("_lo", "_hi")
+
+
+def noise_preview(cube: DataFrame, lcube: DataFrame, guide: DataFrame, o: Options, rows: int, cols: int, fit: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(stack, y, x, energy, frame, c of the grid's winners; stack, y, x, d: the depth that a noise floor gives), on the grid alone.
+
+    What a finished fuse keeps is enough: ``cube`` and ``lcube`` (stack, frame, y, x, v: cell means of energy and light) and ``guide``
+    (stack, y, x, g: cell means of the result's luminance). The fit runs on a grid half as fine, as it does below the full raster."""
+    small = replace(o, downsample=2, median_radius=max(1, round(o.median_radius / 8)) if o.median_radius > 0 else 0, guided_radius=max(1.0, o.guided_radius / 8))
+    win = C.cut(A.winner(cube, "v").join(guide.select(*A.PIXEL, "g"), A.PIXEL))
+    sure = confidence(win, None, small, 2, -(-rows // 2), -(-cols // 2)).select(*A.PIXEL, "energy", "frame", "c")
+    if not fit:
+        return sure, win.select(*A.PIXEL, F.col("frame").cast("double").alias("d"))
+    frames = cube.groupBy("stack").agg(F.countDistinct("frame").alias("n"))
+    return sure, regularized(win, A.box_down(cube, 2), A.box_down(lcube, 2), frames, rows, cols, small)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,11 +38,12 @@ def gather(df: DataFrame, src: DataFrame, sy: str, sx: str, height: int, width:
     return e.join(s, [*key, "_sy", "_sx"]).groupBy(*df.columns).agg(F.sum(F.col("_w") * F.col("_v")).alias(out))
 
 
-def warp_gather(out: DataFrame, src: DataFrame, h: list[float], height: int, width: int, value: str = "v", key: tuple[str, ...] = ("stack", "frame")) -> DataFrame:
+def warp_gather(out: DataFrame, src: DataFrame, h: list[float] | list[Column], height: int, width: int, value: str = "v", key: tuple[str, ...] = ("stack", "frame")) -> DataFrame:
     """Lanczos-3 warp: for each output pixel the 6 x 6 source pixels about its mapped place, weights normalised,
-    the result held within the least and greatest of the inner 2 x 2; alpha 0 outside by more than half a pixel."""
+    the result held within the least and greatest of the inner 2 x 2; alpha 0 outside by more than half a pixel.
+    ``h`` (output place -> source place) may be columns of ``out``."""
     sx, sy = P.project(h, F.col("x").cast("double"), F.col("y").cast("double"))
-    d = out.select(*key, "y", "x").withColumn("_sy", sy).withColumn("_sx", sx)
+    d = out.select(*key, "y", "x", sy.alias("_sy"), sx.alias("_sx"))
     inside = (F.col("_sy") >= -0.5) & (F.col("_sy") <= height - 0.5) & (F.col("_sx") >= -0.5) & (F.col("_sx") <= width - 0.5)
     d = d.withColumn("a", F.when(inside, 1.0).otherwise(0.0)).withColumn("_iy", F.floor("_sy").cast("int")).withColumn("_ix", F.floor("_sx").cast("int"))
     taps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 4) for j in range(-2, 4)]))

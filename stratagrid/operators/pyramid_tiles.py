@@ -35,6 +35,7 @@ ROUND = 3
 TILES = "stack int, ty int, tx int, kind string, level int, frame int, y0 int, x0 int, h int, w int, px binary"
 COLUMNS = [c.split()[0] for c in TILES.split(", ")]
 _KEY = ["stack", "ty", "tx"]
+GAINS = ["gain_r", "gain_g", "gain_b"]
 
 
 @dataclass(frozen=True)
@@ -125,9 +126,9 @@ def luma(a: np.ndarray) -> np.ndarray:
     return a[0] * a.dtype.type(P.LUMA[0]) + a[1] * a.dtype.type(P.LUMA[1]) + a[2] * a.dtype.type(P.LUMA[2])
 
 
-def cut_frames(image: np.ndarray, g: Grid, stack: int, frame: int) -> Iterator[tuple]:
-    """Rows of a frame (3 x height x width), with the halo that the first round needs."""
-    halo = g.halo(g.rounds()[0][1])
+def cut_frames(image: np.ndarray, g: Grid, stack: int, frame: int, halo: int | None = None) -> Iterator[tuple]:
+    """Rows of a frame (planes x height x width), with the halo that the first round needs if no other is given."""
+    halo = g.halo(g.rounds()[0][1]) if halo is None else halo
     for ty in range(-(-g.height // g.tile)):
         for tx in range(-(-g.width // g.tile)):
             a, b, c, d = g.square(0, ty, tx, margin=halo)
@@ -194,7 +195,10 @@ def each_frame(p: pd.DataFrame, g: Grid, y0: int, y1: int, x0: int, x1: int, lev
     """(frame, low-passes of colours, the blurred energy of the finest band of all, summed by place of ``level``)."""
     for frame, own in p[p["kind"] == "frame"].groupby("frame", sort=True):
         a = pasted(own, g, y0, y1, x0, x1)
-        lows = [a[:3]]
+        low = a[:3]
+        if GAINS[0] in own.columns:
+            low = low * own[GAINS].iloc[0].to_numpy().astype(a.dtype)[:, None, None]
+        lows = [low]
         for _ in range(taken):
             lows.append(low_pass(lows[-1]))
         yield int(frame), lows, a[3] if len(a) > 3 else None
@@ -399,8 +403,8 @@ def mask_tiles(masks: dict[int, DataFrame], g: Grid) -> DataFrame:
 
 
 def levelled(tiles: DataFrame, g: Grid) -> DataFrame:
-    """The exposure chain on tiles: channel sums of every seventh pixel by square, gains in long form (a row for each frame), and
-    the frames times their gains. Frames count as wholly covered."""
+    """The tiles with the exposure chain's gains of their frame, one for each channel: from channel sums of every seventh pixel
+    by square, a row for each frame. Frames count as wholly covered."""
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -413,16 +417,8 @@ def levelled(tiles: DataFrame, g: Grid) -> DataFrame:
             yield pd.DataFrame(out, columns=["stack", "frame", "n", "r", "g", "b"])
 
     s = tiles.mapInPandas(sums, "stack int, frame int, n double, r double, g double, b double").groupBy("stack", "frame").agg(*[F.sum(c).alias(c) for c in ("n", "r", "g", "b")])
-    gains = A.render_gains(A.exposure_gain(s.where("n > 0").select("stack", "frame", *[(F.col(c) / F.col("n")).alias(c) for c in "rgb"])).drop("gain"))
-    j = tiles.join(gains, ["stack", "frame"], "left")
-
-    def scaled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            k = batch[["gain_r", "gain_g", "gain_b"]].fillna(1.0).to_numpy().astype(g.dtype)
-            batch["px"] = [(np.frombuffer(px, g.dtype).reshape(3, -1) * k[i][:, None]).tobytes() for i, px in enumerate(batch["px"])]
-            yield batch[COLUMNS]
-
-    return j.select(*COLUMNS, "gain_r", "gain_g", "gain_b").mapInPandas(scaled, TILES)
+    gains = C.cut(A.render_gains(A.exposure_gain(s.where("n > 0").select("stack", "frame", *[(F.col(c) / F.col("n")).alias(c) for c in "rgb"])).drop("gain")))
+    return tiles.join(gains, ["stack", "frame"], "left").select(*COLUMNS, *[F.coalesce(c, F.lit(1.0)).alias(c) for c in GAINS])
 
 
 def clamped(image: DataFrame, seen: DataFrame, g: Grid, cell: int) -> DataFrame:
@@ -478,7 +474,7 @@ def fuse(tiles: DataFrame, g: Grid, o: M.Options | None = None) -> DataFrame:
     if g.tile % (1 << ROUND) or (o.coarse_levels and g.tile % o.cell):
         raise ValueError("a tile's side must be a multiple of 8 and of an envelope cell")
     if o.normalize_exposure:
-        tiles = C.cut(levelled(tiles, g))
+        tiles = levelled(tiles, g)
     seen = C.cut(planes(tiles, g, o.cell)) if o.coarse_levels else None
     masks = mask_tiles(background(tiles, seen, g, o), g) if o.coarse_levels else None
     parts, done = tiles, []

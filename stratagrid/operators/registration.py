@@ -273,6 +273,22 @@ def cropped(df: DataFrame, box: DataFrame) -> DataFrame:
     return j.withColumn("x", (F.col("x") - F.col("x0")).cast("int")).withColumn("y", (F.col("y") - F.col("y0")).cast("int")).select(*df.columns)
 
 
+def aligned(px: DataFrame, frames: DataFrame, height: int, width: int, channels: tuple[str, ...] = ("r", "g", "b"), crop: bool = True, least: int = 16) -> DataFrame:
+    """stack, frame, y, x, the channels and a: every frame as fusion sees it, warped onto the reference and cut to what all frames cover.
+
+    ``frames``: stack, frame, h (frame -> reference); alpha is 0 where a frame has nothing to show."""
+    from .join import warp_gather
+
+    back = P.adjugate([F.element_at("h", i + 1) for i in range(9)])
+    at = px.select("stack", "frame", "y", "x").join(frames.select("stack", "frame", "h"), ["stack", "frame"])
+    out = None
+    for c in channels:
+        one = warp_gather(at, px, back, height, width, c)
+        out = one if out is None else out.join(one.drop("a"), ["stack", "frame", "y", "x"])
+    out = out.select("stack", "frame", "y", "x", *channels, "a")
+    return cropped(out, coverage_crop(frames, height, width, least)) if crop else out
+
+
 def rotated_crop(image: DataFrame, height: int, width: int, out_h: int, out_w: int, cy: float, cx: float, angle: float, value: str = "v", nearest: bool = False) -> DataFrame:
     """A turned rectangle about (cy, cx): bilinear for images, nearest for depths; edge-clamped."""
     from math import cos, sin

@@ -11,6 +11,7 @@ from ..operators import edits as E
 from ..operators import matching as MT
 from ..operators import pmax as M
 from ..operators import pyramid_tiles as PT
+from ..operators import registration as R
 from ..operators import stencil as S
 from ..sources import views as V
 from .base import Book, r6, taps, with_views
@@ -153,3 +154,31 @@ def u3_undoable(spark, d):
     e = V.emb_stack(spark, d).where("(x + y * 3 + frame) % 5 = 0 AND x <= frame % 8")
     log = e.select(F.col("frame").alias("edit"), (F.col("frame") % 4 == 3).alias("undone"), "stack", "y", "x", "v")
     return E.undoable(log, 12, 4000, 2, 16)
+
+
+@book.add("k5_aligned_frames", with_views("emb", """s AS (SELECT *, frame % 3 - 1 AS dx, frame % 2 AS dy FROM emb), b AS (SELECT stack, max(dx) AS x0, max(dy) AS y0, 8 + min(dx) AS x1, 8 + min(dy) AS y1 FROM s GROUP BY stack)
+SELECT stack, frame, CAST(y + dy - greatest(y0, 0) AS INTEGER) AS y, CAST(x + dx - greatest(x0, 0) AS INTEGER) AS x, round(v, 6) + 0.0 AS v, 1.0::DOUBLE AS a FROM s JOIN b USING (stack) WHERE x + dx >= greatest(x0, 0) AND x + dx < least(x1, 8) AND y + dy >= greatest(y0, 0) AND y + dy < least(y1, 8)""", cte=True))
+def k5(spark, d):
+    """Frames moved by known shifts, brought onto one canvas and cut to what all cover."""
+    e = V.emb_stack(spark, d)
+    one, nil = F.lit(1.0), F.lit(0.0)
+    h = F.array(one, nil, (F.col("frame") % 3 - 1).cast("double"), nil, one, (F.col("frame") % 2).cast("double"), nil, nil, one)
+    frames = V.emb_frames(spark, d).select("stack", "frame", h.alias("h"))
+    return R.aligned(e, frames, 8, 8, ("v",), least=2).select("stack", "frame", "y", "x", r6(F.col("v")).alias("v"), "a")
+
+
+PREVIEW = f"""lp AS ({LAP.format(src='emb')}), cb AS (SELECT stack, frame, y // 2 AS y, x // 2 AS x, avg(e) AS v FROM lp GROUP BY ALL),
+bs AS (SELECT stack, y, x, max(v) AS energy, CASE WHEN max(v) > 0 THEN arg_max(frame, (v, -frame)) ELSE 0 END AS frame FROM cb GROUP BY stack, y, x),
+fl AS (SELECT stack, greatest(1e-6, 0.2 * max(CASE WHEN r = least(CAST(floor(n * 0.95) AS BIGINT), n - 1) THEN energy END)) / 2 AS h FROM (SELECT *, row_number() OVER (PARTITION BY stack ORDER BY energy) - 1 AS r, count(*) OVER (PARTITION BY stack) AS n FROM bs) GROUP BY stack)
+SELECT stack, y, x, frame, round(energy, 6) AS energy, round(pow(greatest(energy - h, 0), 2) / (pow(greatest(energy - h, 0), 2) + h * h), 6) AS c FROM bs JOIN fl USING (stack)"""
+
+
+@book.add("u6_noise_preview", with_views("emb", PREVIEW, cte=True))
+def u6(spark, d):
+    """What a noise floor of 0.2 makes of the grid's winners."""
+    e = V.emb_stack(spark, d)
+    cube = A.box_down(S.laplacian_energy(e), 2, "e").withColumnRenamed("e", "v")
+    light = A.box_down(e, 2)
+    guide = light.groupBy(*PX).agg(F.avg("v").alias("g"))
+    sure, _ = D.noise_preview(cube, light, guide, D.Options(noise_floor=0.2), 4, 4, fit=False)
+    return sure.select(*PX, F.col("frame").cast("int").alias("frame"), r6(F.col("energy")).alias("energy"), r6(F.col("c")).alias("c"))

@@ -260,6 +260,16 @@ def encoded(image: DataFrame, extension: str, bits: int = 16, key: str = "stack"
     return image.groupBy(key).applyInPandas(run, f"{key} string, name string, content binary")
 
 
+def aligned_files(px: DataFrame, frames: DataFrame, height: int, width: int, extension: str = "png", bits: int = 16) -> DataFrame:
+    """key, name, content: one encoded file for each aligned frame, named by stack and frame; all of a stack lie on one canvas.
+
+    ``px``: stack, frame, y, x, r, g, b; ``frames``: stack, frame, h (frame -> reference)."""
+    from ..operators.registration import aligned
+
+    a = aligned(px, frames, height, width)
+    return encoded(a.withColumn("key", F.concat_ws("-", F.col("stack"), F.lpad(F.col("frame").cast("string"), 5, "0"), F.lit("aligned"))), extension, bits, "key")
+
+
 def write_images(image: DataFrame, folder: str, extension: str = "png", bits: int = 16) -> None:
     """Files in a folder that driver and executors share."""
 

@@ -159,6 +159,23 @@ def tiles(spark: SparkSession, scenes: dict[int, Synth], tile: int = 128) -> Dat
     return df.mapInPandas(run, RGB_TILE)
 
 
+def squares(spark: SparkSession, scenes: dict[int, Synth], grid, halo: int | None = None, alpha: bool = False) -> DataFrame:
+    """The frames as tiles of planes: see operators.pyramid_tiles."""
+    from ..operators.pyramid_tiles import COLUMNS, TILES, cut_frames
+
+    rows = [(k, int(p.frame), float(p.focus), float(p.scale), float(p.jx), float(p.jy), float(p.gain)) for k, s in scenes.items() for p in frame_params(s).itertuples()]
+    df = spark.createDataFrame(rows, "stack int, frame int, focus double, scale double, jx double, jy double, gain double").repartition(len(rows), "stack", "frame")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for p in part.itertuples():
+                a = np.moveaxis(frame_pixels(scenes[p.stack], p), 2, 0)
+                a = np.concatenate([a, np.ones((1, *a.shape[1:]))]) if alpha else a
+                yield pd.DataFrame(list(cut_frames(a, grid, p.stack, p.frame, halo)), columns=COLUMNS)
+
+    return df.mapInPandas(run, TILES)
+
+
 def truth(spark: SparkSession, scenes: dict[int, Synth]) -> DataFrame:
     """stack, y, x, r, g, b, d: what a perfect fuse shows, and depth in frames."""
     df = spark.createDataFrame([(k,) for k in scenes], "stack int").repartition(len(scenes), "stack")
