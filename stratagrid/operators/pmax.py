@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import pixel as P
 from . import aggregate as A
 from . import components as C
+from . import lit as L
 from . import stencil as S
 
 RGB = ("r", "g", "b")
@@ -27,6 +28,7 @@ class Options:
     smoothed_selection: bool = True
     textured_base: bool = False
     governance_block: int = 0  # cells of a governed block; 0 is off
+    lit: L.Lit | None = None  # lit regions that no frame has in focus take one frame each; none is off
     normalize_exposure: bool = True
     cell: int = 32  # pixels of an envelope cell
 
@@ -267,7 +269,8 @@ def fuse(px: DataFrame, height: int, width: int, o: Options | None = None, n_lev
     Finest level: energy blurred by sigma 1; other levels: as they are, smoothed if so set. With ``coarse_levels`` the
     coarsest levels keep four tracks, merged by the near-black and open-background masks, and the base is the
     darkest frame's; without, the base is the mean of the frames (or the most textured frame's, if so set). Smoothed selection brings
-    the texture veto and the clamp to the frames' envelope with it; governance replaces background by single frames.
+    the texture veto and the clamp to the frames' envelope with it; governance replaces background by single frames, and its lit
+    tier blends lit regions that no frame has in focus towards one of the first frames.
     """
     o = o or Options()
     if o.normalize_exposure:
@@ -290,13 +293,14 @@ def fuse(px: DataFrame, height: int, width: int, o: Options | None = None, n_lev
     masks: dict = {}
     bgs: dict = {}
     energy = bg = clean = None
-    if o.coarse_levels or o.governance_block:
+    if o.coarse_levels or o.governance_block or o.lit:
         finest = C.cut(finest)
         energy = C.cut(S.gaussian(band_energy(finest), 1.0, "e").select(*key, "e"))
         lum = gray[0]
         frames = C.cut(frame_counts(px))
         fx = C.cut(A.extremes(energy, "e").select(*A.PIXEL, "hi", "lo"))
         lx = C.cut(A.extremes(lum, "v").select(*A.PIXEL, "hi", "lo"))
+    if o.coarse_levels or o.governance_block:
         lum_min = lx.select(*A.PIXEL, F.col("lo").alias("v"))
         veto = None
         if o.smoothed_selection:
@@ -343,4 +347,8 @@ def fuse(px: DataFrame, height: int, width: int, o: Options | None = None, n_lev
         frame = govern(win, bg, o.governance_block * 8).withColumnRenamed("frame", "_f")
         own = px.join(frame.join(bg, A.PIXEL).where("m"), A.PIXEL).where("frame = _f").select(*A.PIXEL, *[F.col(c).alias(f"_g{c}") for c in RGB])
         image = image.join(own, A.PIXEL, "left").select(*A.PIXEL, *[F.coalesce(f"_g{c}", c).alias(c) for c in RGB])
+    if o.lit:
+        rows, cols = -(-height // 8), -(-width // 8)
+        lit, blocks = L.lit_cells(L.cells(A.dense_frames(energy)[0], lx), L.knee(lx), frames, rows, cols, o.lit)
+        image = L.composite(C.cut(image), A.dense_frames(px)[0], lit, blocks, height, width, 8, o.lit)
     return image

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import composite, fusion, reduce, scalar, spatial
+from . import composite, fusion, governance, reduce, scalar, spatial
 
-BOOKS = (scalar.book, reduce.book, spatial.book, composite.book, fusion.book)
+BOOKS = (scalar.book, reduce.book, spatial.book, composite.book, fusion.book, governance.book)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,14 @@ def emb_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("stack", "frame", F.floor(F.col("i") / SIDE).cast("int").alias("y"), (F.col("i") % SIDE).alias("x"), F.col("f").cast("double").alias("v"))
 
 
+def emb_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """stack, frame, y, x, v: planes of 32 x 32 of 16 embeddings each, 16 planes a stack, all by vec_id."""
+    e = load(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "f"))
+    tile = F.col("vec_id") % 16
+    y, x = F.floor(tile / 4) * SIDE + F.floor(F.col("i") / SIDE), tile % 4 * SIDE + F.col("i") % SIDE
+    return e.select(F.floor(F.col("vec_id") / 256).cast("int").alias("stack"), (F.floor(F.col("vec_id") / 16) % 16).cast("int").alias("frame"), y.cast("int").alias("y"), x.cast("int").alias("x"), F.col("f").cast("double").alias("v"))
+
+
 def unit(x: Column) -> Column:
     return F.least(F.greatest(x + 0.5, F.lit(0.0)), F.lit(1.0))
 
@@ -75,6 +83,8 @@ rgb AS (SELECT stack, frame, y, x,
   least(greatest(CAST(embedding[(7 - y) * 8 + x + 1] AS DOUBLE) + 0.5, 0), 1) AS b,
   CASE WHEN (frame + x + y) % 11 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS a
   FROM frames, (SELECT CAST(i // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS x FROM range(64) t(i)))""",
+    "mosaic": """
+mosaic AS (SELECT CAST(vec_id // 256 AS INTEGER) AS stack, CAST(vec_id // 16 % 16 AS INTEGER) AS frame, CAST(vec_id % 16 // 4 * 8 + i // 8 AS INTEGER) AS y, CAST(vec_id % 4 * 8 + i % 8 AS INTEGER) AS x, CAST(embedding[i + 1] AS DOUBLE) AS v FROM embeddings, range(64) t(i))""",
     "li": """
 li AS (SELECT 0 AS stack, CAST(l_linenumber - 1 AS INTEGER) AS frame, CAST(l_suppkey % 16 AS INTEGER) AS y, CAST(l_partkey % 16 AS INTEGER) AS x, avg(l_quantity) / 50 AS v
   FROM lineitem WHERE l_linenumber IS NOT NULL GROUP BY 2, 3, 4)""",
