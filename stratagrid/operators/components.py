@@ -22,17 +22,17 @@ def label(mask: DataFrame, width: int) -> DataFrame:
     w = W.partitionBy("stack", "y").orderBy("x")
     fresh = F.when(F.col("x") - F.lag("x").over(w) == 1, 0).otherwise(1)
     runs = open_.withColumn("_f", fresh).withColumn("_g", F.sum("_f").over(w)).withColumn("run", F.min("i").over(W.partitionBy("stack", "y", "_g"))).select("stack", "y", "x", "i", "run")
-    runs = cut(runs)
+    runs = settle(runs)
     below = runs.select("stack", (F.col("y") - 1).alias("y"), "x", F.col("run").alias("other"))
     e = runs.join(below, ["stack", "y", "x"]).select("stack", F.col("run").alias("a"), F.col("other").alias("b")).distinct()
-    e = cut(e.unionAll(e.select("stack", F.col("b").alias("a"), F.col("a").alias("b"))))
-    names = cut(runs.select("stack", "run", F.col("run").alias("name")).distinct())
+    e = settle(e.unionAll(e.select("stack", F.col("b").alias("a"), F.col("a").alias("b"))))
+    names = settle(runs.select("stack", "run", F.col("run").alias("name")).distinct())
     while True:
         near = e.join(names.select("stack", F.col("run").alias("b"), "name"), ["stack", "b"]).groupBy("stack", F.col("a").alias("run")).agg(F.min("name").alias("_n"))
         step = names.join(near, ["stack", "run"], "left").select("stack", "run", "name", F.least("name", F.coalesce("_n", "name")).alias("new"))
         # the name is itself a run: jump to where that run already points
         jump = step.select("stack", F.col("run").alias("new"), F.col("new").alias("_j"))
-        nxt = cut(step.join(jump, ["stack", "new"], "left").select("stack", "run", F.col("name").alias("old"), F.least("new", F.coalesce("_j", "new")).alias("name")))
+        nxt = settle(step.join(jump, ["stack", "new"], "left").select("stack", "run", F.col("name").alias("old"), F.least("new", F.coalesce("_j", "new")).alias("name")))
         done = nxt.where("old <> name").isEmpty()
         names = nxt.drop("old")
         if done:
@@ -57,6 +57,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """:func:`cut` without the planner's size estimate. A checkpoint keeps the estimate of its plan, joins multiply estimates, and
+    in a loop the number's digits double with every round until planning takes longer than the work."""
+    done, spark = cut(df), df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(done._jdf.javaRDD(), done._jdf.schema()), spark)
+
+
 def reach(mask: DataFrame, seeds: DataFrame, radius: int) -> DataFrame:
     """Cells of ``m`` that an 8-connected walk inside the mask reaches from a seed within ``radius`` steps: stack, y, x, steps, origin.
 

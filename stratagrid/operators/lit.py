@@ -74,11 +74,11 @@ def regions(member: DataFrame, rows: int, cols: int, o: Lit) -> DataFrame:
 
     A hole is a component of the other cells that doesn't touch the border and has at most ``hole`` cells; only those of its
     cells that may be surroundings are filled, so what comes into focus stays out."""
-    rest = C.cut(C.label(member.select(*CELL, (~F.col("core")).alias("m")), cols))
+    rest = C.settle(C.label(member.select(*CELL, (~F.col("core")).alias("m")), cols))
     hole = A.component_stats(rest, rows, cols).where((~F.col("border")) & (F.col("cells") <= o.hole)).select("stack", "label", F.lit(True).alias("_h"))
     fill = rest.join(hole, ["stack", "label"]).select(*CELL, "_h")
     m = member.join(fill, CELL, "left").select(*CELL, (F.col("core") | (F.coalesce("_h", F.lit(False)) & F.col("wide"))).alias("m"))
-    lab = C.cut(C.label(m, cols).where("label > 0"))
+    lab = C.settle(C.label(m, cols).where("label > 0"))
     keep = lab.groupBy("stack", "label").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= o.least).select("stack", "label")
     return lab.join(keep, ["stack", "label"]).select(*CELL, "label")
 
@@ -127,14 +127,14 @@ def walk(seeds: DataFrame, open_: DataFrame, enter: Column, rounds: int | None =
     a cell again but at its last two frontiers, so a round touches only those and the cells about them."""
     ring = F.explode(F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i, j in _RING]))
     key = ["stack", "label", "y", "x"]
-    edge = C.cut(seeds.select(*CELL, "label", "ref", F.lit(0).alias("steps")))
+    edge = C.settle(seeds.select(*CELL, "label", "ref", F.lit(0).alias("steps")))
     out, before, k = edge, edge, 0
     while rounds is None or k < rounds:
         k += 1
         near = edge.withColumn("_o", ring).select("stack", (F.col("y") + F.col("_o.dy")).alias("y"), (F.col("x") + F.col("_o.dx")).alias("x"), "label", "ref").distinct()
         nxt = near.join(open_, CELL).where(enter).select(*CELL, "label", "ref")
         nxt = nxt.join(edge.select(*key).unionAll(before.select(*key)), key, "left_anti")
-        nxt = C.cut(nxt.select(*CELL, "label", "ref", F.lit(k).alias("steps")))
+        nxt = C.settle(nxt.select(*CELL, "label", "ref", F.lit(k).alias("steps")))
         if nxt.isEmpty():
             break
         before, edge, out = edge, nxt, out.unionAll(nxt)
@@ -161,14 +161,14 @@ def vetoed(labels: DataFrame, member: DataFrame, peak: DataFrame, like: DataFram
     inner = S.erode(lab.select(*CELL, F.col("label").isNotNull().alias("m")), 2).where("m").select(*CELL)
     far = labels.join(peak.select("stack", "label", "near", "win"), ["stack", "label"]).join(member.select(*CELL, "arg"), CELL)
     cand = far.where(F.abs(F.col("arg") - F.col("near")) > F.col("win")).join(inner, CELL).join(like, CELL).select(*CELL, F.lit(True).alias("_c"))
-    m = C.cut(member.select(*CELL, "arg").join(cand, CELL, "left").select(*CELL, "arg", F.coalesce("_c", F.lit(False)).alias("m")))
+    m = C.settle(member.select(*CELL, "arg").join(cand, CELL, "left").select(*CELL, "arg", F.coalesce("_c", F.lit(False)).alias("m")))
     if m.where("m").isEmpty():
         return m.where("m").select(*CELL)
-    pk = C.cut(C.label(m.select(*CELL, "m"), cols).where("label > 0").join(m.select(*CELL, "arg"), CELL))
+    pk = C.settle(C.label(m.select(*CELL, "m"), cols).where("label > 0").join(m.select(*CELL, "arg"), CELL))
     size = pk.groupBy("stack", "label").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= o.pocket)
     at = A.upper_median(pk, "arg", ["stack", "label"]).join(size.select("stack", "label"), ["stack", "label"]).select("stack", "label", F.col("q").alias("ref"))
     seeds = pk.join(at, ["stack", "label"]).select(*CELL, "label", "ref")
-    room = C.cut(far.select(*CELL, "arg", "win"))
+    room = C.settle(far.select(*CELL, "arg", "win"))
     return walk(seeds, room, F.abs(F.col("arg") - F.col("ref")) <= F.col("win")).select(*CELL).distinct()
 
 
@@ -186,23 +186,23 @@ def lit_cells(grid: DataFrame, cut: DataFrame, frames: DataFrame, rows: int, col
     Blocks at the grid's edge have no say in the decision: a coverage rim would look like a peak at an end. Cells that two regions reach
     go to the nearer one, then to the smaller label. Stacks without any such region have no rows."""
     o = o or Lit()
-    grid, frames = C.cut(grid), C.cut(frames)
-    member = C.cut(membership(grid, cut, rows, cols, o))
-    labels = C.cut(regions(member, rows, cols, o))
+    grid, frames = C.settle(grid), C.settle(frames)
+    member = C.settle(membership(grid, cut, rows, cols, o))
+    labels = C.settle(regions(member, rows, cols, o))
     blocks = block_labels(labels, o)
     last = F.lit(-(-rows // o.block) - 1), F.lit(-(-cols // o.block) - 1)
-    blocks = C.cut(blocks.where((F.col("by") > 0) & (F.col("bx") > 0) & (F.col("by") < last[0]) & (F.col("bx") < last[1])))
-    like = C.cut(coherent(member, frames, o))
-    veto = C.cut(vetoed(labels, member, C.cut(peaks(curves(blocks, grid, frames, o), frames, o)), like, rows, cols, o))
+    blocks = C.settle(blocks.where((F.col("by") > 0) & (F.col("bx") > 0) & (F.col("by") < last[0]) & (F.col("bx") < last[1])))
+    like = C.settle(coherent(member, frames, o))
+    veto = C.settle(vetoed(labels, member, C.settle(peaks(curves(blocks, grid, frames, o), frames, o)), like, rows, cols, o))
     left = curves(without_pockets(blocks, labels, veto, o), grid, frames, o)
-    own = C.cut(peaks(left, frames, o).where("committed").select("stack", "label", F.col("frame").alias("ref"), "win"))
+    own = C.settle(peaks(left, frames, o).where("committed").select("stack", "label", F.col("frame").alias("ref"), "win"))
     seeds = labels.join(own, ["stack", "label"]).select(*CELL, "label", "ref")
     win = frames.select("stack", P.dof_window(F.col("n")).cast("int").alias("win"))
     room = member.where("wide").join(win, "stack").join(like.select(*CELL, F.lit(True).alias("_l")), CELL, "left").select(*CELL, "arg", "win", F.coalesce("_l", F.lit(False)).alias("_l"))
     off = F.col("_l") & F.coalesce(F.abs(F.col("arg") - F.col("ref")) > F.col("win"), F.lit(False))
-    w = walk(seeds, C.cut(room), ~off, o.reach)
+    w = walk(seeds, C.settle(room), ~off, o.reach)
     near = w.groupBy(*CELL).agg(F.min(F.struct("steps", "label", "ref")).alias("_b")).select(*CELL, F.col("_b.label").alias("label"), F.col("_b.ref").cast("int").alias("frame"), F.col("_b.steps").alias("steps"))
-    out = C.cut(near.join(veto.select(*CELL, F.lit(True).alias("_v")), CELL, "left").select(*CELL, "label", "frame", F.coalesce("_v", F.lit(False)).alias("veto"), "steps"))
+    out = C.settle(near.join(veto.select(*CELL, F.lit(True).alias("_v")), CELL, "left").select(*CELL, "label", "frame", F.coalesce("_v", F.lit(False)).alias("veto"), "steps"))
     by = block_labels(out, o).join(own.select("stack", "label", F.col("ref").cast("int").alias("frame")), ["stack", "label"]).select("stack", "by", "bx", "frame")
     return out, by
 
