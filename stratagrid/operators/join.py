@@ -69,7 +69,7 @@ def nearest_survivor(frames: DataFrame, survivors: DataFrame) -> DataFrame:
     f = frames.select("stack", "frame").join(s, ["stack", "frame"], "left")
     at = F.when(F.col("_s"), F.col("frame"))
     before = F.last(at, True).over(W.partitionBy("stack").orderBy("frame").rowsBetween(W.unboundedPreceding, 0))
-    after = F.first(at, True).over(W.partitionBy("stack").orderBy("frame").rowsBetween(0, W.unboundedFollowing))
+    after = F.last(at, True).over(W.partitionBy("stack").orderBy(F.desc("frame")).rowsBetween(W.unboundedPreceding, 0))  # a frame that only grows: one that shrinks is read anew for each row
     f = f.withColumn("_b", before).withColumn("_a", after)
     pick = F.when(F.col("_b").isNull(), F.col("_a")).when(F.col("_a").isNull(), F.col("_b")).when(F.col("frame") - F.col("_b") <= F.col("_a") - F.col("frame"), F.col("_b")).otherwise(F.col("_a"))
     return f.select("stack", "frame", pick.alias("nearest"))
