@@ -7,7 +7,7 @@
   each explains within ``reach`` pixels, and the least-squares homography of the best one's matches.
 
 What meets in one task is a pair's descriptors (``most`` on either side); counting is a group-by over hypotheses, of
-which each pair has ``draws``. Frames without enough corners or matches lose their pair, as no warp can be told.
+which each pair has ``draws``, and fitting merges triangles of batches. Frames without enough corners or matches lose their pair, as no warp can be told.
 """
 
 from __future__ import annotations
@@ -129,21 +129,57 @@ def through_four(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     return out
 
 
-def least_squares(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
-    """The homography of all places, scaled about their centres first."""
+def moments(p: np.ndarray) -> tuple[np.ndarray, float]:
+    """Centre of places and the scale that makes their root mean square distance from it sqrt(2)."""
+    c = p.mean(0)
+    return c, np.sqrt(2) / max(np.sqrt(((p - c) ** 2).sum(1).mean()), 1e-12)
 
-    def scaled(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        c = p.mean(0)
-        s = np.sqrt(2) / max(np.sqrt(((p - c) ** 2).sum(1)).mean(), 1e-12)
-        return (p - c) * s, np.array([[s, 0, -s * c[0]], [0, s, -s * c[1]], [0, 0, 1]])
 
-    (p, a), (q, b) = scaled(src), scaled(dst)
+def triangle(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """At most 9 rows with the same least squares as the two equations of each of the (scaled) places."""
     one, zero = np.ones(len(p)), np.zeros(len(p))
     m = np.concatenate([np.stack([p[:, 0], p[:, 1], one, zero, zero, zero, -p[:, 0] * q[:, 0], -p[:, 1] * q[:, 0], -q[:, 0]], 1), np.stack([zero, zero, zero, p[:, 0], p[:, 1], one, -p[:, 0] * q[:, 1], -p[:, 1] * q[:, 1], -q[:, 1]], 1)])
-    h = np.linalg.inv(b) @ np.linalg.svd(m)[2][-1].reshape(3, 3) @ a
+    return np.linalg.qr(m, "r")
+
+
+def solution(rows: np.ndarray, src: tuple[np.ndarray, float], dst: tuple[np.ndarray, float]) -> np.ndarray:
+    """The homography that the rows of :func:`triangle` fix, back in places as they were before scaling."""
+    a, b = (np.array([[s, 0, -s * c[0]], [0, s, -s * c[1]], [0, 0, 1]]) for c, s in (src, dst))
+    h = np.linalg.inv(b) @ np.linalg.svd(np.linalg.qr(rows, "r"))[2][-1].reshape(3, 3) @ a
     return (h / h[2, 2]).ravel()
 
 
+def least_squares(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """The homography of all places, scaled about their centres first."""
+    (c, s), (d, t) = m = moments(src), moments(dst)
+    return solution(triangle((src - c) * s, (dst - d) * t), *m)
+
+
+def fitted(own: DataFrame) -> DataFrame:
+    """stack, frame, other, h, n: :func:`least_squares` of each pair's matches, of which there may be any number: the centres and
+    scales are aggregates, every batch of matches becomes a triangle of at most 9 rows a pair, and only triangles meet."""
+    cols = ("mx", "my", "fx", "fy")
+    spread = lambda u, v: F.sqrt(F.lit(2.0)) / F.greatest(F.sqrt(F.var_pop(u) + F.var_pop(v)), F.lit(1e-12))
+    at = own.groupBy(*PAIR).agg(*[F.avg(c).alias(f"_{c}") for c in cols], spread("mx", "my").alias("_s"), spread("fx", "fy").alias("_t"), F.count(F.lit(1)).cast("int").alias("n"))
+    row = [f"r{k}" for k in range(9)]
+
+    def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, p in batch.groupby(PAIR, sort=False):
+                v = p[list(cols)].to_numpy()
+                yield pd.DataFrame(triangle(v[:, :2], v[:, 2:]), columns=row).assign(**dict(zip(PAIR, key)))
+
+    scaled = own.join(at, PAIR).select(*PAIR, *[((F.col(c) - F.col(f"_{c}")) * F.col(s)).alias(c) for c, s in zip(cols, ("_s", "_s", "_t", "_t"))])
+    triangles = scaled.mapInPandas(reduced, ", ".join([f"{c} int" for c in PAIR] + [f"{c} double" for c in row]))
+
+    def solved(key: tuple, p: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        m = m.iloc[0]
+        h = solution(p[row].to_numpy(), (m[["_mx", "_my"]].to_numpy(float), m["_s"]), (m[["_fx", "_fy"]].to_numpy(float), m["_t"]))
+        return pd.DataFrame([(*key, h, int(m["n"]))], columns=[*PAIR, "h", "n"])
+
+    return triangles.groupBy(*PAIR).cogroup(at.groupBy(*PAIR)).applyInPandas(solved, "stack int, frame int, other int, h array<double>, n int")
+
+
 def hypotheses(matches: DataFrame, draws: int = 500, seed: int = 0) -> DataFrame:
     """stack, frame, other, hyp, h: homographies (moving -> fixed place) through four matches of a pair that a hash draws.
 
@@ -173,16 +209,13 @@ def inliers(matches: DataFrame, hyps: DataFrame, reach: float = REACH) -> DataFr
 def consensus(matches: DataFrame, draws: int = 500, reach: float = REACH, seed: int = 0) -> DataFrame:
     """stack, frame, other, h (moving -> fixed place), n (inliers): the least-squares homography of the matches of the hypothesis with
     the most inliers (the first of equals)."""
-    hyps = hypotheses(matches, draws, seed)
+    from .components import cut
+
+    hyps = cut(hypotheses(matches, draws, seed))
     count = inliers(matches, hyps, reach).groupBy(*PAIR, "hyp").agg(F.count(F.lit(1)).alias("n"))
     best = count.groupBy(*PAIR).agg(F.max(F.struct("n", (-F.col("hyp")).alias("hyp"))).alias("b")).where(F.col("b.n") >= 4).select(*PAIR, (-F.col("b.hyp")).alias("hyp"))
-    own = inliers(matches, hyps.join(best, [*PAIR, "hyp"]), reach)
-
-    def fit(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("id")
-        return pd.DataFrame([(*key, least_squares(p[["mx", "my"]].to_numpy(), p[["fx", "fy"]].to_numpy()), len(p))], columns=[*PAIR, "h", "n"])
-
-    return own.groupBy(*PAIR).applyInPandas(fit, "stack int, frame int, other int, h array<double>, n int")
+    own = cut(inliers(matches, hyps.join(best, [*PAIR, "hyp"]), reach))  # read three times
+    return fitted(own)
 
 
 def register_features(px: DataFrame, pairs: DataFrame, height: int, width: int, value: str = "v", draws: int = 500, most: int = MOST) -> DataFrame:

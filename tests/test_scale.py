@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from stratagrid.operators import join as J
+from stratagrid.operators import matching as MT
 
 
 def test_nearest_survivor_reads_no_window_anew(spark):
@@ -13,3 +14,21 @@ def test_nearest_survivor_reads_no_window_anew(spark):
     assert "unboundedfollowing" not in plan
     at = np.array([i for i in range(700) if i % 97 in (3, 50) and i > 60])
     assert {r["frame"]: r["nearest"] for r in got.collect()} == {i: int(at[np.abs(at - i).argmin()]) for i in range(700)}
+
+
+def test_consensus_fits_many_matches_in_little_memory(spark):
+    """40000 inliers: the full left factor of their equations would take 51 GB."""
+    q = lambda k: (F.xxhash64(F.lit(k), "id") % 100000) / 1000.0
+    m = spark.range(40000).select(F.lit(3).alias("stack"), F.lit(0).alias("frame"), F.lit(1).alias("other"), F.col("id").cast("int").alias("id"), q(1).alias("mx"), q(2).alias("my"))
+    m = m.withColumn("fx", F.col("mx") * 1.02 - F.col("my") * 0.01 + 3).withColumn("fy", F.col("mx") * 0.01 + F.col("my") * 0.98 - 2)
+    got = MT.consensus(m, 5).collect()
+    assert [r["n"] for r in got] == [40000]
+    assert np.allclose(got[0]["h"], [1.02, -0.01, 3, 0.01, 0.98, -2, 0, 0, 1], atol=1e-9)
+
+
+def test_least_squares_of_four_places():
+    src = np.array([(0.0, 0), (10, 1), (2, 9), (8, 12)])
+    h = np.array([1.1, 0.05, 3, -0.02, 0.9, 1, 0.001, 0.002, 1])
+    w = src @ h[6:8] + 1
+    dst = np.stack([(src @ h[:2] + h[2]) / w, (src @ h[3:5] + h[5]) / w], 1)
+    assert np.allclose(MT.least_squares(src, dst), h, atol=1e-9)
