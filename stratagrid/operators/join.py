@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import pixel as P
 from .aggregate import PIXEL
@@ -27,15 +32,92 @@ def band_join(depth: DataFrame, frames: DataFrame, radius: float) -> DataFrame:
     return near.where(F.abs(F.col("frame") - F.col("d")) < radius).join(frames, ["stack", "frame"])
 
 
+#: Side of the blocks of pixels that sampling joins, in rasters that are larger.
+BLOCK = 16
+
+
+def sampled(df: DataFrame, src: DataFrame, at: tuple[Column, Column], reach: tuple[int, int], height: int, width: int, value: str, key: tuple[str, ...], rest: list[str], kernel: Callable[[dict[str, np.ndarray], Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]], tuple[np.ndarray, dict[str, np.ndarray]]], names: list[str]) -> DataFrame:
+    """``rest`` of ``df`` and ``names`` (double), by what the kernel reads from ``src``.
+
+    A pixel of ``df`` reads pixels of one block of ``src`` and its rim: from ``reach[0]`` before to ``reach[1]`` after its place ``at``
+    (whole numbers), clamped to the raster. Both sides are packed, a row for each block of either (``df``'s pixels by their own
+    place too, so that no row holds more than a block of them), so one row a block is joined instead of one for each tap, and a
+    batch of blocks is read at once. ``kernel`` gets the columns of ``df`` and a function from places to (values, 0 where nothing is
+    known; whether ``src`` has a row there; whether that holds a value); it gives which pixels have a result, and the results,
+    NaN for null where masked."""
+    before, after = reach
+    size = min(BLOCK, max(height, width))
+    last = lambda n: F.lit((n - 1) // size)
+
+    def blocks(c: str, n: int) -> Column:
+        # the blocks whose rim, clamped to the raster, holds the pixel
+        lo = F.greatest(F.floor((F.col(c) - after) / size), F.lit(0)).cast("int")
+        return F.sequence(lo, F.least(F.floor((F.col(c) + before) / size), last(n)).cast("int"))
+
+    block = lambda c, n: F.least(F.greatest(F.floor(c / size), F.lit(0)), last(n)).cast("int")
+    s = src.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)).select(*key, "y", "x", F.col(value).cast("double").alias("_v"))
+    s = s.withColumn("_by", F.explode(blocks("y", height))).withColumn("_bx", F.explode(blocks("x", width)))
+    side = size + before + after
+    place = ((F.col("y") - F.col("_by") * size + before) * side + F.col("x") - F.col("_bx") * size + before).cast("int")
+    s = s.groupBy(*key, "_by", "_bx").agg(F.collect_list(F.struct(place.alias("p"), F.col("_v").alias("v"))).alias("_src"))
+    d = df.withColumn("_by", block(at[0], height)).withColumn("_bx", block(at[1], width))
+    own = [F.floor(F.col(c) / size).alias(f"_o{c}") for c in ("y", "x")]
+    d = d.groupBy(*key, "_by", "_bx", *own).agg(F.collect_list(F.struct(*[c for c in df.columns if c not in key])).alias("_at"))
+    j = d.join(s, [*key, "_by", "_bx"]).select(*key, "_by", "_bx", "_at", "_src")
+    out = StructType([*[df.schema[c] for c in rest], *[StructField(n, DoubleType()) for n in names]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pixels, known = batch["_at"], batch["_src"]
+            group = np.repeat(np.arange(len(pixels)), pixels.value_lengths().to_numpy())
+            flat = pixels.flatten()
+            cols = dict(zip([f.name for f in flat.type], flat.flatten())) | {k: batch[k].take(pa.array(group)) for k in key}
+            plane, there = np.zeros((len(known), side * side)), np.zeros((len(known), side * side), bool)
+            full = there.copy()
+            row = np.repeat(np.arange(len(known)), known.value_lengths().to_numpy())
+            p, v = known.flatten().flatten()
+            p = p.to_numpy()
+            there[row, p], full[row, p] = True, v.is_valid().to_numpy(zero_copy_only=False)
+            plane[row, p] = v.fill_null(0.0).to_numpy()
+            by, bx = (batch[c].to_numpy()[group] * size - before for c in ("_by", "_bx"))
+            base = group * (side * side)
+
+            def read(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                i = base + (np.clip(y, 0, height - 1) - by) * side + np.clip(x, 0, width - 1) - bx  # noqa: B023
+                return plane.ravel()[i], there.ravel()[i], full.ravel()[i]  # noqa: B023
+
+            keep, got = kernel({n: c.to_numpy(zero_copy_only=False) for n, c in cols.items() if pa.types.is_primitive(c.type)}, read)
+            whole = pa.RecordBatch.from_arrays([*[cols[c] for c in rest], *[pa.array(got[n].data, mask=got[n].mask) for n in names]], names=[*rest, *names])
+            yield whole if keep.all() else whole.filter(pa.array(keep))
+
+    return j.mapInArrow(run, out)
+
+
 def gather(df: DataFrame, src: DataFrame, sy: str, sx: str, height: int, width: int, value: str = "v", key: tuple[str, ...] = ("stack",), out: str = "v") -> DataFrame:
-    """Bilinear value of ``src`` at (sy, sx), edge-clamped: four rows for each pixel and an equi-join."""
-    fy, fx = P.clamp(F.col(sy), 0, height - 1), P.clamp(F.col(sx), 0, width - 1)
-    y0, x0 = F.least(F.floor(fy).cast("int"), F.lit(height - 1)), F.least(F.floor(fx).cast("int"), F.lit(width - 1))
-    d = df.withColumn("_y0", y0).withColumn("_x0", x0).withColumn("_fy", fy - F.col("_y0")).withColumn("_fx", fx - F.col("_x0"))
-    tap = F.array(*[F.struct(F.least(F.col("_y0") + i, F.lit(height - 1)).alias("y"), F.least(F.col("_x0") + j, F.lit(width - 1)).alias("x"), ((F.col("_fy") if i else 1 - F.col("_fy")) * (F.col("_fx") if j else 1 - F.col("_fx"))).alias("w")) for i in (0, 1) for j in (0, 1)])
-    e = d.withColumn("_t", F.explode(tap)).withColumn("_sy", F.col("_t.y")).withColumn("_sx", F.col("_t.x")).withColumn("_w", F.col("_t.w"))
-    s = src.select(*key, F.col("y").alias("_sy"), F.col("x").alias("_sx"), F.col(value).alias("_v"))
-    return e.join(s, [*key, "_sy", "_sx"]).groupBy(*df.columns).agg(F.sum(F.col("_w") * F.col("_v")).alias(out))
+    """Bilinear value of ``src`` at (sy, sx), edge-clamped; pixels that ``src`` lacks add nothing, and one that has none of its four is left out."""
+    d = df.withColumn("_fy", P.clamp(F.col(sy), 0, height - 1).cast("double")).withColumn("_fx", P.clamp(F.col(sx), 0, width - 1).cast("double"))
+
+    def kernel(c: dict[str, np.ndarray], read: Callable) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        y, x = np.floor(c["_fy"]).astype(int), np.floor(c["_fx"]).astype(int)
+        fy, fx = c["_fy"] - y, c["_fx"] - x
+        total, any_there, any_full = np.zeros(len(y)), np.zeros(len(y), bool), np.zeros(len(y), bool)
+        for i in (0, 1):
+            for j in (0, 1):
+                v, there, full = read(y + i, x + j)
+                total += (fy if i else 1 - fy) * (fx if j else 1 - fx) * v
+                any_there |= there
+                any_full |= full
+        return any_there, {out: np.ma.array(total, mask=~any_full)}
+
+    return sampled(d, src, (F.floor("_fy"), F.floor("_fx")), (0, 1), height, width, value, key, df.columns, kernel, [out])
+
+
+def lanczos(t: np.ndarray) -> np.ndarray:
+    """:func:`pixel.lanczos3` of an array."""
+    p = np.pi * np.where(np.abs(t) < 1e-6, 1.0, t)
+    return np.where(np.abs(t) < 1e-6, 1.0, np.where(np.abs(t) >= 3, 0.0, 3 * np.sin(p) * np.sin(p / 3) / (p * p)))
 
 
 def warp_gather(out: DataFrame, src: DataFrame, h: list[float] | list[Column], height: int, width: int, value: str = "v", key: tuple[str, ...] = ("stack", "frame")) -> DataFrame:
@@ -45,17 +127,34 @@ def warp_gather(out: DataFrame, src: DataFrame, h: list[float] | list[Column], h
     sx, sy = P.project(h, F.col("x").cast("double"), F.col("y").cast("double"))
     d = out.select(*key, "y", "x", sy.alias("_sy"), sx.alias("_sx"))
     inside = (F.col("_sy") >= -0.5) & (F.col("_sy") <= height - 0.5) & (F.col("_sx") >= -0.5) & (F.col("_sx") <= width - 0.5)
-    d = d.withColumn("a", F.when(inside, 1.0).otherwise(0.0)).withColumn("_iy", F.floor("_sy").cast("int")).withColumn("_ix", F.floor("_sx").cast("int"))
-    taps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 4) for j in range(-2, 4)]))
-    e = d.withColumn("_t", taps).withColumn("i", F.col("_t.i")).withColumn("j", F.col("_t.j"))
-    e = e.withColumn("_w", P.lanczos3(F.col("_sy") - F.col("_iy") - F.col("i")) * P.lanczos3(F.col("_sx") - F.col("_ix") - F.col("j")))
-    e = e.withColumn("_cy", P.clamp(F.col("_iy") + F.col("i"), 0, height - 1).cast("int")).withColumn("_cx", P.clamp(F.col("_ix") + F.col("j"), 0, width - 1).cast("int"))
-    s = src.select(*key, F.col("y").alias("_cy"), F.col("x").alias("_cx"), F.col(value).alias("_v"))
-    inner = F.col("i").between(0, 1) & F.col("j").between(0, 1)
-    g = e.join(s, [*key, "_cy", "_cx"]).groupBy(*key, "y", "x", "a").agg(
-        F.sum(F.col("_w") * F.col("_v")).alias("n"), F.sum("_w").alias("d"), F.min(F.when(inner, F.col("_v"))).alias("lo"), F.max(F.when(inner, F.col("_v"))).alias("hi")
-    )
-    return g.select(*key, "y", "x", F.least(F.greatest(F.col("n") / F.col("d"), "lo"), "hi").alias(value), "a")
+    d = d.withColumn("a", F.when(inside, 1.0).otherwise(0.0))
+
+    def kernel(c: dict[str, np.ndarray], read: Callable) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        lost = np.isnan(c["_sy"]) | np.isnan(c["_sx"])  # null too
+        sy, sx = np.where(lost, 0.0, c["_sy"]), np.where(lost, 0.0, c["_sx"])
+        iy, ix = np.floor(sy), np.floor(sx)
+        wy, wx = ([lanczos(s - i - k) for k in range(-2, 4)] for s, i in ((sy, iy), (sx, ix)))
+        # beyond the raster's rim all taps are the edge's, so places far off may be drawn near
+        iy, ix = np.clip(iy, -4, height + 4).astype(int), np.clip(ix, -4, width + 4).astype(int)
+        n, d = np.zeros(len(iy)), np.zeros(len(iy))
+        lo, hi = np.full(len(iy), np.inf), np.full(len(iy), -np.inf)
+        any_there, inner = np.zeros(len(iy), bool), np.zeros(len(iy), bool)
+        for i in range(-2, 4):
+            for j in range(-2, 4):
+                v, there, full = read(iy + i, ix + j)
+                w = wy[i + 2] * wx[j + 2]
+                n += w * v
+                d += np.where(there, w, 0.0)
+                any_there |= there
+                if 0 <= i <= 1 and 0 <= j <= 1:
+                    lo, hi, inner = np.where(full, np.fmin(lo, v), lo), np.where(full, np.maximum(hi, v), hi), inner | full  # NaN counts as the greatest
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return any_there, {value: np.ma.array(np.fmin(np.maximum(n / d, lo), hi), mask=lost | ~inner)}
+
+    lost = F.col("_sy").isNull() | F.col("_sx").isNull() | F.isnan("_sy") | F.isnan("_sx")
+    at = tuple(F.when(lost, F.lit(0)).otherwise(F.floor(P.clamp(F.col(c), -4, n + 4))) for c, n in (("_sy", height), ("_sx", width)))
+    got = sampled(d, src, at, (2, 3), height, width, value, key, [*key, "y", "x", "a"], kernel, [value])
+    return got.select(*key, "y", "x", value, "a")
 
 
 def adjacent_pairs(frames: DataFrame) -> DataFrame:

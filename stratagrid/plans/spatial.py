@@ -65,7 +65,7 @@ GRID = f"{ALL}, dn AS (SELECT stack, frame, y // 4 AS y, x // 4 AS x, avg(v) AS
 
 @book.add("n3_energy_grid", with_views("emb", GRID, cte=True))
 def n3(spark, d):
-    return out6(S.energy_grid(V.emb_stack(spark, d), 8, 8, 4.0, "v"), *KEY)
+    return out6(S.energy_grid(V.emb_stack(spark, d, by_frame=True), 8, 8, 4.0, "v"), *KEY)
 
 
 @book.add("n4_half", with_views("emb", "SELECT stack, frame, y // 2 AS y, x // 2 AS x, round(avg(v), 6) + 0.0 AS v FROM emb WHERE y < 6 GROUP BY stack, frame, y // 2, x // 2"))
@@ -99,7 +99,7 @@ BIL = f"{ALL}, pt AS (SELECT stack, frame, y, x, least(greatest((-0.015 * x + 0.
 
 @book.add("n7_bilinear_warp", with_views("emb", BIL, cte=True))
 def n7(spark, d):
-    e = V.emb_stack(spark, d)
+    e = V.emb_stack(spark, d, by_frame=True)
     sx, sy = P.project(H, F.col("x"), F.col("y"))
     at = e.select(*KEY).withColumn("sy", sy).withColumn("sx", sx)
     return out6(J.gather(at, e, "sy", "sx", 8, 8, key=("stack", "frame")), *KEY)

@@ -24,9 +24,12 @@ def emb_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("label").alias("stack"), (F.row_number().over(w) - 1).alias("frame"), "embedding")
 
 
-def emb_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """stack, frame, y, x, v."""
-    e = emb_frames(spark, sf_dir).select("stack", "frame", F.posexplode("embedding").alias("i", "f"))
+def emb_stack(spark: SparkSession, sf_dir: str, by_frame: bool = False) -> DataFrame:
+    """stack, frame, y, x, v. ``by_frame``: frames are dealt out before their pixels come apart, for work on single planes; numbering
+    them leaves all of a stack in one task."""
+    e = emb_frames(spark, sf_dir)
+    e = e.repartition("stack", "frame") if by_frame else e
+    e = e.select("stack", "frame", F.posexplode("embedding").alias("i", "f"))
     return e.select("stack", "frame", F.floor(F.col("i") / SIDE).cast("int").alias("y"), (F.col("i") % SIDE).alias("x"), F.col("f").cast("double").alias("v"))
 
 

@@ -32,3 +32,37 @@ def test_least_squares_of_four_places():
     w = src @ h[6:8] + 1
     dst = np.stack([(src @ h[:2] + h[2]) / w, (src @ h[3:5] + h[5]) / w], 1)
     assert np.allclose(MT.least_squares(src, dst), h, atol=1e-9)
+
+
+def test_gather_and_warp_read_across_blocks_and_gaps(spark):
+    """A raster of several blocks with missing and null pixels, places beyond its rim, a null place; no row for each tap is joined."""
+    h, w, rng = 41, 37, np.random.default_rng(5)
+    a = rng.normal(size=(h, w))
+    there, full = rng.random((h, w)) > 0.2, rng.random((h, w)) > 0.1
+    there[:6, :6] = False
+    src = spark.createDataFrame([(2, 0, y, x, float(a[y, x]) if full[y, x] else None) for y in range(h) for x in range(w) if there[y, x]], "stack int, frame int, y int, x int, v double")
+    at = spark.createDataFrame([(2, 0, i // w, i % w, float(py), float(px), "k") for i, (py, px) in enumerate(rng.uniform(-9, 50, (h * w, 2)))] + [(2, 0, 0, w, None, 3.0, "n")], "stack int, frame int, y int, x int, py double, px double, tag string")
+    g = J.gather(at, src, "py", "px", h, w, key=("stack", "frame"), out="o")
+    assert g.columns == [*at.columns, "o"]
+    want = {}
+    for r in at.collect():
+        py, px = min(max(r["py"] or 0.0, 0), h - 1), min(max(r["px"], 0), w - 1)
+        y, x = int(py), int(px)
+        taps = [(min(y + i, h - 1), min(x + j, w - 1), (py - y if i else 1 - py + y) * (px - x if j else 1 - px + x)) for i in (0, 1) for j in (0, 1)]
+        if any(there[q[:2]] for q in taps):
+            vs = [a[q[:2]] * q[2] for q in taps if there[q[:2]] and full[q[:2]]]
+            want[r["y"], r["x"], r["tag"]] = sum(vs) if vs else None
+    got = {(r["y"], r["x"], r["tag"]): r["o"] for r in g.collect()}
+    assert set(got) == set(want)
+    assert all((got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 1e-12) for k, v in want.items())
+    whole = spark.createDataFrame([(2, 0, y, x, float(a[y, x])) for y in range(h) for x in range(w)], "stack int, frame int, y int, x int, v double")
+    moved = J.warp_gather(whole, whole, [1.0, 0, 5.0, 0, 1.0, -18.0, 0, 0, 1.0], h, w)
+    out = {(r["y"], r["x"]): (r["v"], r["a"]) for r in moved.collect()}
+    assert len(out) == h * w and all(abs(out[y, x][0] - a[max(y - 18, 0), min(x + 5, w - 1)]) < 1e-9 and out[y, x][1] == float(y >= 18 and x + 5 < w) for y in range(h) for x in range(w))
+    turned = J.warp_gather(whole, whole, [0.98, 0.2, 1.3, -0.2, 0.98, 4.6, 0, 0, 1.0], h, w).where("y = 20 AND x = 15").first()
+    sx, sy = 0.98 * 15 + 0.2 * 20 + 1.3, -0.2 * 15 + 0.98 * 20 + 4.6
+    ky, kx = (np.sinc(s - np.arange(int(s) - 2, int(s) + 4)) * np.sinc((s - np.arange(int(s) - 2, int(s) + 4)) / 3) for s in (sy, sx))
+    part = a[int(sy) - 2 : int(sy) + 4, int(sx) - 2 : int(sx) + 4]
+    assert abs(turned["v"] - np.clip((ky[:, None] * kx * part).sum() / (ky.sum() * kx.sum()), part[2:4, 2:4].min(), part[2:4, 2:4].max())) < 1e-9
+    plan = J.warp_gather(whole, whole, [1.0] * 9, h, w)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan
