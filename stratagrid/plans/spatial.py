@@ -78,7 +78,7 @@ RES = f"{ALL}, pt AS (SELECT stack, frame, CAST(y AS INTEGER) AS y, CAST(x AS IN
 
 @book.add("n5_resize", with_views("emb", RES, cte=True))
 def n5(spark, d):
-    return out6(S.resize(V.emb_stack(spark, d), 8, 8, 5, 12), *KEY)
+    return out6(S.resize(V.emb_stack(spark, d, by_frame=True), 8, 8, 5, 12), *KEY)
 
 
 H = [1.01, 0.02, -0.3, -0.015, 0.99, 0.4, 0.0005, -0.0004, 1.0]
