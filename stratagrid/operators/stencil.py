@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -173,51 +173,98 @@ def parallax(image: DataFrame, depth: DataFrame, height: int, width: int, shift:
 
 # -- tile form -----------------------------------------------------------------------------------------------
 
-TILE = "stack int, frame int, ty int, tx int, y0 int, x0 int, h int, w int, px binary"
+#: Least side of the blocks that tiles are cut from, and most pixels that a kernel gets at once.
+CUT, AT_ONCE = 32, 1 << 20
+
+
+def cut_tiles(df: DataFrame, key: tuple[str, ...], tile: int, halo: int, height: int, width: int, values: tuple[str, ...], dtype: str = "<f8") -> DataFrame:
+    """``key``, ty, tx, y0, x0, h, w and px: tiles with a halo of neighbours (edge tiles end at the raster), planes one after another.
+
+    Pixels meet in blocks of whole tiles and their halo, a list each, so one goes to more than one block only near the rim of a block;
+    a batch of blocks is cut at once. A block is bounded by (max(tile, CUT) + tile + 2 halo) ** 2."""
+    n = max(1, CUT // tile)
+    size = n * tile
+
+    def span(c: str, length: int) -> Column:
+        lo = F.greatest(F.floor((F.col(c) - halo) / size), F.lit(0)).cast("int")
+        return F.sequence(lo, F.least(F.floor((F.col(c) + halo) / size), F.lit((length - 1) // size)).cast("int"))
+
+    cols = [F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(values)]
+    e = df.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)).select(*[F.col(k).cast("int").alias(k) for k in key], "y", "x", *cols)
+    e = e.withColumn("_by", F.explode(span("y", height))).withColumn("_bx", F.explode(span("x", width)))
+    side = size + 2 * halo
+    place = ((F.col("y") - F.col("_by") * size + halo) * side + F.col("x") - F.col("_bx") * size + halo).cast("int")
+    g = e.groupBy(*key, "_by", "_bx").agg(F.collect_list(F.struct(place.alias("p"), *[f"_v{i}" for i in range(len(values))])).alias("_px"))
+    names = [*key, "ty", "tx", "y0", "x0", "h", "w"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            step = max(1, AT_ONCE // (side * side))
+            for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
+                px = batch["_px"]
+                row = np.repeat(np.arange(len(px)), px.value_lengths().to_numpy())
+                p, *vs = px.flatten().flatten()
+                a = np.zeros((len(px), len(vs), side * side), dtype)
+                for i, v in enumerate(vs):
+                    a[row, i, p.to_numpy()] = v.to_numpy(zero_copy_only=False)  # null becomes NaN
+                a = a.reshape(len(px), len(vs), side, side)
+                by, bx = batch["_by"].to_numpy(), batch["_bx"].to_numpy()
+                keys = [batch[k].to_numpy() for k in key]
+                for cy, cx in np.unique(np.stack([by, bx], 1), axis=0).tolist():
+                    at = np.flatnonzero((by == cy) & (bx == cx))
+                    for ty in range(cy * n, min((cy + 1) * n, -(-height // tile))):
+                        for tx in range(cx * n, min((cx + 1) * n, -(-width // tile))):
+                            y0, x0 = max(0, ty * tile - halo), max(0, tx * tile - halo)
+                            h, w = min(height, (ty + 1) * tile + halo) - y0, min(width, (tx + 1) * tile + halo) - x0
+                            oy, ox = y0 - cy * size + halo, x0 - cx * size + halo
+                            part = np.ascontiguousarray(a[at, :, oy : oy + h, ox : ox + w])
+                            packed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.arange(len(at) + 1) * (part.nbytes // len(at))).astype("<i4")), pa.py_buffer(part)])
+                            ints = [*[k[at] for k in keys], *[np.full(len(at), c, np.int32) for c in (ty, tx, y0, x0, h, w)]]
+                            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int32()) for c in ints], packed], names=[*names, "px"])
+
+    return g.mapInArrow(run, ", ".join(f"{c} int" for c in names) + ", px binary")
 
 
 def to_tiles(df: DataFrame, tile: int, halo: int, height: int, width: int, value: str = "v") -> DataFrame:
-    """Tiles of float64 with a halo of neighbours (edge tiles end at the raster). Each pixel goes to the few tiles
-    whose halo holds it; a tile's rows meet in one task and are bounded by (tile + 2 halo) ** 2."""
-
-    def span(c: str, n: int) -> Column:
-        last = (n - 1) // tile
-        lo = F.greatest(F.floor((F.col(c) - halo) / tile), F.lit(0)).cast("int")
-        hi = F.least(F.floor((F.col(c) + halo) / tile), F.lit(last)).cast("int")
-        return F.sequence(lo, hi)
-
-    e = df.select("stack", "frame", "y", "x", F.col(value).cast("double").alias("v")).withColumn("ty", F.explode(span("y", height))).withColumn("tx", F.explode(span("x", width)))
-
-    def pack(k: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        stack, frame, ty, tx = (int(v) for v in k)
-        y0, x0 = max(0, ty * tile - halo), max(0, tx * tile - halo)
-        h, w = min(height, (ty + 1) * tile + halo) - y0, min(width, (tx + 1) * tile + halo) - x0
-        a = np.zeros((h, w))
-        a[p["y"].to_numpy() - y0, p["x"].to_numpy() - x0] = p["v"].to_numpy()
-        return pd.DataFrame([(stack, frame, ty, tx, y0, x0, h, w, a.tobytes())], columns=["stack", "frame", "ty", "tx", "y0", "x0", "h", "w", "px"])
-
-    return e.groupBy("stack", "frame", "ty", "tx").applyInPandas(pack, TILE)
+    """Tiles of float64 with a halo of neighbours (:func:`cut_tiles`)."""
+    return cut_tiles(df, PLANE, tile, halo, height, width, (value,))
 
 
 def map_tiles(tiles: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], tile: int, value: str = "v") -> DataFrame:
-    """Long form of the kernel's result inside each tile (its halo is dropped). The kernel pads by repeating the edge."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            for r in p.itertuples(index=False):
-                a = kernel(np.frombuffer(r.px).reshape(r.h, r.w))
-                y, x = np.arange(r.y0, r.y0 + r.h), np.arange(r.x0, r.x0 + r.w)
-                own_y, own_x = y // tile == r.ty, x // tile == r.tx
-                a = a[own_y][:, own_x]
-                gy, gx = np.meshgrid(y[own_y], x[own_x], indexing="ij")
-                yield pd.DataFrame({"stack": r.stack, "frame": r.frame, "y": gy.ravel().astype("int32"), "x": gx.ravel().astype("int32"), value: a.ravel()})
-
-    return tiles.mapInPandas(run, f"stack int, frame int, y int, x int, {value} double")
+    """Long form of the kernel's result inside each tile (its halo is dropped). The kernel pads by repeating the edge and works on the
+    last two axes: it gets all tiles of a batch that have one place at once."""
+    where = ["ty", "tx", "y0", "x0", "h", "w"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.stack([batch[c].to_numpy() for c in where], 1) if batch.num_rows else np.empty((0, 6), np.int32)
+            places, which = np.unique(at, axis=0, return_inverse=True)
+            for k, (ty, tx, y0, x0, h, w) in enumerate(places.tolist()):
+                rows = np.flatnonzero(which.ravel() == k)
+                step = max(1, AT_ONCE // (h * w))
+                for part in (batch.take(pa.array(rows[i : i + step])) for i in range(0, len(rows), step)):
+                    n, px = part.num_rows, part["px"]
+                    _, offsets, data = px.buffers()
+                    first = np.frombuffer(offsets, "<i4")[px.offset]
+                    a = kernel(np.frombuffer(data, "<f8", n * h * w, first).reshape(n, h, w))
+                    y, x = np.arange(y0, y0 + h, dtype=np.int32), np.arange(x0, x0 + w, dtype=np.int32)
+                    own_y, own_x = y // tile == ty, x // tile == tx
+                    a = a[:, own_y][:, :, own_x]
+                    gy, gx = np.meshgrid(y[own_y], x[own_x], indexing="ij")
+                    long = [*[np.repeat(part[c].to_numpy(), gy.size) for c in PLANE], np.tile(gy.ravel(), n), np.tile(gx.ravel(), n)]
+                    yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int32()) for c in long], pa.array(a.ravel())], names=[*PLANE, "y", "x", value])
+
+    return tiles.mapInArrow(run, f"stack int, frame int, y int, x int, {value} double")
+
+
+def edged(a: np.ndarray, y: int, x: int) -> np.ndarray:
+    """Padded along the last two axes with the edge."""
+    return np.pad(a, [(0, 0)] * (a.ndim - 2) + [(y, y), (x, x)], mode="edge")
 
 
 def kernel_laplacian(a: np.ndarray) -> np.ndarray:
-    p = np.pad(a, 1, mode="edge")
-    return (p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * a) ** 2
+    p = edged(a, 1, 1)
+    return (p[..., :-2, 1:-1] + p[..., 2:, 1:-1] + p[..., 1:-1, :-2] + p[..., 1:-1, 2:] - 4 * a) ** 2
 
 
 def kernel_gaussian(sigma: float) -> Callable[[np.ndarray], np.ndarray]:
@@ -225,9 +272,9 @@ def kernel_gaussian(sigma: float) -> Callable[[np.ndarray], np.ndarray]:
     r = len(k) // 2
 
     def run(a: np.ndarray) -> np.ndarray:
-        p = np.pad(a, ((0, 0), (r, r)), mode="edge")
-        a = sum(w * p[:, i : i + a.shape[1]] for i, w in enumerate(k))
-        p = np.pad(a, ((r, r), (0, 0)), mode="edge")
-        return sum(w * p[i : i + a.shape[0]] for i, w in enumerate(k))
+        p = edged(a, 0, r)
+        a = sum(w * p[..., i : i + a.shape[-1]] for i, w in enumerate(k))
+        p = edged(a, r, 0)
+        return sum(w * p[..., i : i + a.shape[-2], :] for i, w in enumerate(k))
 
     return run

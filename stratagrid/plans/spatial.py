@@ -39,7 +39,7 @@ def n1(spark, d):
 
 @book.add("n1_gaussian_tiles", with_views("emb", f"{ALL}, {lines('f4', G15, 'x', 'g1')}, {lines('g1', G15, 'y', 'g2')} SELECT stack, frame, y, x, round(v, 6) + 0.0 AS v FROM g2", cte=True))
 def n1t(spark, d):
-    t = S.to_tiles(V.emb_stack(spark, d), 4, 5, 8, 8)
+    t = S.to_tiles(V.emb_stack(spark, d, by_frame=True), 4, 5, 8, 8)
     return out6(S.map_tiles(t, S.kernel_gaussian(1.5), 4), *KEY)
 
 
