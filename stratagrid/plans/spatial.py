@@ -53,7 +53,7 @@ def n2(spark, d):
 
 @book.add("n2_laplacian_tiles", with_views("emb", f"lp AS ({LAP.format(src='emb')}) SELECT stack, frame, y, x, round(e, 6) AS e FROM lp", cte=True))
 def n2t(spark, d):
-    t = S.to_tiles(V.emb_stack(spark, d), 4, 1, 8, 8)
+    t = S.to_tiles(V.emb_stack(spark, d, by_frame=True), 4, 1, 8, 8)
     return out6(S.map_tiles(t, S.kernel_laplacian, 4, "e"), *KEY, value="e")
 
 
