@@ -139,21 +139,8 @@ def from_pixels(px: DataFrame, g: Grid, halo: int | None = None, names: str = "r
     """Tiles with halo of long-form frames (stack, frame, y, x and the planes); a pixel goes to the few tiles that hold it."""
     halo = g.halo(g.rounds()[0][1]) if halo is None else halo
 
-    def span(c: str, n: int):
-        last = (n - 1) // g.tile
-        return F.sequence(F.greatest(F.floor((F.col(c) - halo) / g.tile), F.lit(0)).cast("int"), F.least(F.floor((F.col(c) + halo) / g.tile), F.lit(last)).cast("int"))
-
-    e = px.select("stack", "frame", "y", "x", *[F.col(c).cast("double").alias(c) for c in names]).withColumn("ty", F.explode(span("y", g.height))).withColumn("tx", F.explode(span("x", g.width)))
-
-    def pack(k: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        stack, frame, ty, tx = (int(v) for v in k)
-        a, b, c, d = g.square(0, ty, tx, margin=halo)
-        out = np.zeros((len(names), b - a, d - c))
-        for i, n in enumerate(names):
-            out[i, p["y"].to_numpy() - a, p["x"].to_numpy() - c] = p[n].to_numpy()
-        return pd.DataFrame([(stack, ty, tx, "frame", 0, frame, a, c, b - a, d - c, out.astype(g.dtype).tobytes())], columns=COLUMNS)
-
-    return e.groupBy("stack", "frame", "ty", "tx").applyInPandas(pack, TILES)
+    t = S.cut_tiles(px, ("stack", "frame"), g.tile, halo, g.height, g.width, tuple(names), g.dtype)
+    return t.withColumns({"kind": F.lit("frame"), "level": F.lit(0)}).select(*COLUMNS)
 
 
 def exchanged(parts: DataFrame, g: Grid, level: int, halo: int, to_scale: int = 0) -> DataFrame:

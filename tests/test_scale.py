@@ -86,3 +86,15 @@ def test_tiles_are_cut_in_batches(spark):
         want, seen = [kernel(p) for p in a], S.map_tiles(t, kernel, tile).collect()
         assert len(seen) == 2 * h * w
         assert all(abs(r["v"] - want[r["frame"]][r["y"], r["x"]]) < 1e-12 for r in seen)
+
+
+def test_colour_tiles_are_cut_in_batches(spark):
+    from stratagrid.operators import pyramid_tiles as PT
+
+    g, rng = PT.Grid(40, 28, 16, 1, "<f4"), np.random.default_rng(3)
+    a = rng.random((3, 40, 28))
+    px = spark.createDataFrame([(4, 2, y, x, *[float(v) for v in a[:, y, x]]) for y in range(40) for x in range(28)], "stack int, frame int, y int, x int, r double, g double, b double")
+    t = PT.from_pixels(px, g)
+    assert t.columns == PT.COLUMNS and "FlatMapGroupsInPandas" not in t._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((tuple(r) for r in t.collect()), key=str)
+    assert got == sorted(PT.cut_frames(a, g, 4, 2), key=str)
